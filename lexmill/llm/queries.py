@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexmill.llm.common import documents
 
@@ -21,7 +22,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path(), 2048)
 
 
+def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir), words=3, most=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_near_dup": op3_simhash_near_dup,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
 
