@@ -29,8 +29,15 @@ def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), 50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dup": op3_simhash_near_dup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
 
