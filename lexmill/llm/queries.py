@@ -35,9 +35,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), 50)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.chunk_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dup": op3_simhash_near_dup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
 
