@@ -47,9 +47,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.fingerprint import compare_versions
+
+    return compare_versions(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash_near_dup": op3_simhash_near_dup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
