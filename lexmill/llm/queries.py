@@ -53,10 +53,34 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_versions(documents(spark, sf_dir))
 
 
+def _turn(modulus: int):
+    """crc32 of doc_id as text, modulo a number: the folds of the learnt operators. A null doc_id is in no held-out fold."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.quality import learn, scored
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    docs = documents(spark, sf_dir)
+    model = learn(docs, labels.where(_turn(3) != 1))
+    return scored(docs, model).select("doc_id", F.coalesce(_turn(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.language import identify, learn
+
+    model = learn(documents(spark, sf_dir, "doc_id", "text", "lang").where(_turn(4) != 2))
+    found = identify(documents(spark, sf_dir), model)
+    return found.withColumn("held_out", F.coalesce(_turn(4) == 2, F.lit(False)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash_near_dup": op3_simhash_near_dup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
