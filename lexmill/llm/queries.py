@@ -53,6 +53,12 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_versions(documents(spark, sf_dir))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.url_filter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
 def _turn(modulus: int):
     """crc32 of doc_id as text, modulo a number: the folds of the learnt operators. A null doc_id is in no held-out fold."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash_near_dup": op3_simhash_near_dup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_url_filter": op6_url_filter,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
