@@ -41,6 +41,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.decontaminate import overlaps
 
@@ -82,6 +88,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash_near_dup": op3_simhash_near_dup,
     "op5_quality_classifier": op5_quality_classifier,
