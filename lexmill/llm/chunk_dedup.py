@@ -87,15 +87,17 @@ def repeated_spans(docs: DataFrame, least: int = 16, most: int = 128) -> DataFra
     return again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest: int = 96) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest: int = 96, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes runs of at least `shortest` bytes made of chunks that a document of a smaller doc_id holds too.
 
     Returns a row for each of docs (doc_id, text): doc_id, kept_text, n_bytes, n_removed, n_spans, n_chunks, kept_sha256. Cuts
     depend on the last 16 bytes, so chunks fall in step again after an insertion; what a passage loses at its two ends is
     part of a chunk. Runs stay on character boundaries. Null is empty; a null doc_id is kept as it is and makes nothing else
-    a repeat; documents of one doc_id never remove each other; empty tables give empty results; other columns are ignored.
+    a repeat; documents of one doc_id never remove each other; empty tables give empty results; other columns are ignored,
+    but for those to `carry` into the result.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    schema = "doc_id long, kept_text string, n_bytes long, n_removed long, n_spans long, n_chunks long, kept_sha256 string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +109,10 @@ def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest:
                     kept = b"".join(raw[x:y] for x, y in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)], strict=True))
                     out.append((doc, kept.decode(), len(raw), sum(e - s for s, e in runs), len(runs), len(spans or ()), hashlib.sha256(kept).hexdigest()))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "kept_text", "n_bytes", "n_removed", "n_spans", "n_chunks", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)), *(batch.column(3 + i).slice(a, b - a) for i in range(len(carry)))], names=["doc_id", "kept_text", "n_bytes", "n_removed", "n_spans", "n_chunks", "kept_sha256", *carry])
 
     found = plain.join(repeated_spans(docs, least, most), "doc_id", "left")
-    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept_text string, n_bytes long, n_removed long, n_spans long, n_chunks long, kept_sha256 string")
+    return found.select("doc_id", "text", "spans", *carry).mapInArrow(run, schema)
 
 
 def _runs(raw: bytes, spans: list[tuple[int, int]], shortest: int) -> list[tuple[int, int]]:
