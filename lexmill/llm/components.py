@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import checkpointed
 
+#: Links that one task joins to a forest before the rounds begin. A dense group has far fewer nodes than links.
+PART = 50_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every neighbour above a node to the least node next to it."""
@@ -22,6 +28,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part's links, one for each node: to the least node that they join it with. A part has about PART links."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    stars = [(x, find(x)) for x in list(root) if find(x) != x]
+    for i in range(0, len(stars), 10_000):
+        nodes, least = zip(*stars[i : i + 10_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["a", "b"])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_033)).first())
 
@@ -29,10 +55,13 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """links: a, b long. Returns node, component (the least node reachable) for every node that has a link.
 
-    Every round costs two aggregations and two joins of the links that are left, and is written to the checkpoint folder.
+    Forests of parts of the links come first: a group that many keys have found leaves one link a node and part. Then every
+    round costs two aggregations and two joins of the links that are left, and is written to the checkpoint folder.
     A node with very many links meets only a minimum with map-side combine, and joins that the engine may split.
     """
     edges = checkpointed(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    parts = 1 + edges.count() // PART
+    edges = checkpointed(edges.repartition(parts).mapInArrow(_forest, "a long, b long").distinct())
     state = _state(edges)
     while state[0]:
         edges = checkpointed(_small_star(_large_star(edges)).where("a != b").distinct())
