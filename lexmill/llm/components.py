@@ -28,24 +28,37 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a part's links, one for each node: to the least node that they join it with. A part has about PART links."""
-    root: dict[int, int] = {}
+class Forest:
+    """Joins nodes by links, and gives one link a node instead: to the least node that it is joined with."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        root = self.root
         while root.setdefault(x, x) != x:
             root[x] = x = root[root[x]]
         return x
 
+    def add(self, a: list[int], b: list[int]) -> None:
+        for x, y in zip(a, b, strict=True):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+
+    def stars(self) -> Iterator[pa.RecordBatch]:
+        found = [(x, self.find(x)) for x in list(self.root) if self.find(x) != x]
+        for i in range(0, len(found), 10_000):
+            nodes, least = zip(*found[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["a", "b"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a part's links, of which there are about PART."""
+    forest = Forest()
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    stars = [(x, find(x)) for x in list(root) if find(x) != x]
-    for i in range(0, len(stars), 10_000):
-        nodes, least = zip(*stars[i : i + 10_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["a", "b"])
+        forest.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    yield from forest.stars()
 
 
 def _state(edges: DataFrame) -> tuple:

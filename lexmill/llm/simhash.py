@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import LOWER, SPACE, U64, checkpointed, mix, prefix_sums, range_hashes, slices, utf8_view, word_spans
-from lexmill.llm.components import components
+from lexmill.llm.components import Forest, components
 
 _LANES = U64(0x0101010101010101)
 #: Buckets up to this size are compared pair by pair; larger ones in another way, without all pairs.
@@ -82,14 +82,26 @@ def majority_bits(hashes: np.ndarray, begin: np.ndarray, lanes: int = 1) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, hasher: str = "xxh64") -> DataFrame:
-    """doc_id, f0 ... : fingerprints of 64 bits a lane as longs. A null text is empty and, like any text without words, zero."""
+def distinct(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's hashes without repeats."""
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    _, at = np.unique(mix(hashes + row.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)
+    at.sort()
+    return hashes[at], np.searchsorted(row[at], np.arange(len(begin)))
+
+
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, hasher: str = "xxh64", repeats: bool = True) -> DataFrame:
+    """doc_id, f0 ... : fingerprints of 64 bits a lane as longs. A null text is empty and, like any text without words, zero.
+
+    With `repeats` a shingle counts as often as it occurs, else once.
+    """
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                words_ = majority_bits(*shingle_hashes(*utf8_view(batch.column(1).slice(a, b - a)), words, hasher), lanes)
+                hashed = shingle_hashes(*utf8_view(batch.column(1).slice(a, b - a)), words, hasher)
+                words_ = majority_bits(*(hashed if repeats else distinct(*hashed)), lanes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(words_[:, i]).view(np.int64)) for i in range(lanes))], names=["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
@@ -184,15 +196,18 @@ def _hub_links(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _leader_links(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a large bucket to leaders: whoever is within half the distance of a leader is compared with no one else."""
-    a, b, rest = [], [], np.arange(len(words))
+    """Links of a large bucket to leaders: whoever is within the distance of a leader is compared with no one else.
+
+    Which rows lead depends on the bucket, so that two that different leaders part in one bucket may meet in another.
+    """
+    seed = int(np.bitwise_xor.reduce(words[:, 0])) ^ int(words[0, -1])
+    a, b, rest = [], [], np.random.default_rng(seed).permutation(len(words))
     while len(rest) > 1:
         lead, rest = rest[0], rest[1:]
-        d = np.bitwise_count(words[rest] ^ words[lead]).sum(axis=1, dtype=np.int64)
-        close = rest[d <= most]
-        a.append(np.full(len(close), lead))
-        b.append(close)
-        rest = rest[d > most // 2]
+        close = np.bitwise_count(words[rest] ^ words[lead]).sum(axis=1, dtype=np.int64) <= most
+        a.append(np.full(close.sum(), lead))
+        b.append(rest[close])
+        rest = rest[~close]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
@@ -218,7 +233,10 @@ def _bucket_links(keys: np.ndarray, words: np.ndarray, most: int, exact: bool) -
 
 
 def links(nodes: DataFrame, lanes: int, tables: list[list[int]], most: int, exact: bool) -> DataFrame:
-    """nodes: node long, f0 ... (distinct fingerprints). Returns a, b: nodes that a link or a line of links joins."""
+    """nodes: node long, f0 ... (distinct fingerprints). Returns a, b: nodes that a link or a line of links joins.
+
+    What the buckets of a partition join comes out as a forest: one row a node, however many links a dense group has.
+    """
     names = [f"f{i}" for i in range(lanes)]
     schema = "key long, node long, " + ", ".join(f"{n} long" for n in names)
 
@@ -235,10 +253,11 @@ def links(nodes: DataFrame, lanes: int, tables: list[list[int]], most: int, exac
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+        forest = Forest()
+
+        def join(cols: list[np.ndarray]) -> None:
             a, b = _bucket_links(cols[0], np.stack(cols[2:], axis=1).view(U64), most, exact)
-            pair = np.unique(np.stack([cols[1][a], cols[1][b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            forest.add(cols[1][a].tolist(), cols[1][b].tolist())
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -246,18 +265,19 @@ def links(nodes: DataFrame, lanes: int, tables: list[list[int]], most: int, exac
                 continue
             if not held or cols[0][-1] != held[0][0][-1]:  # all keys but the last are complete
                 cut = np.searchsorted(cols[0], cols[0][-1])
-                yield out([np.concatenate([*(h[i] for h in held), c[:cut]]) for i, c in enumerate(cols)])
+                join([np.concatenate([*(h[i] for h in held), c[:cut]]) for i, c in enumerate(cols)])
                 held = [[c[cut:] for c in cols]]
             else:
                 held.append(cols)
         if held:
-            yield out([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
+            join([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
+        yield from forest.stars()
 
     keyed = nodes.select("node", *names).mapInArrow(emit, schema)
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, lanes: int = 1, hasher: str = "xxh64", tables: list[list[int]] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, lanes: int = 1, hasher: str = "xxh64", tables: list[list[int]] | None = None, repeats: bool = True) -> DataFrame:
     """One row a document: doc_id, f0 ..., component_id (the smallest doc_id reachable over links, its own included).
 
     Fingerprints link at `most` differing bits or fewer. By default the search is exact (64 bits, two of them); with other
@@ -268,7 +288,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, lanes: int =
     names = [f"f{i}" for i in range(lanes)]
     if not tables and (most != 2 or lanes != 1):
         raise ValueError("the exact search is for 64 bits and two differences")
-    each = checkpointed(fingerprints(docs, words, lanes, hasher))
+    each = checkpointed(fingerprints(docs, words, lanes, hasher, repeats))
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
     classes = each.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node)
     joined = components(links(classes, lanes, tables or exact_tables(), most, exact=not tables))
