@@ -169,17 +169,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, np.array([r["label"] for r in rows], np.int64))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score (0 to 1) to all columns of docs. Null is the empty text; a table without rows stays so."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Adds a score (0 to 1) to all columns of docs, in place of one of that name. Null is the empty text; a table without rows stays so."""
     box = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fieldNames() if f != "score"]
-    schema = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in fields) + ", score double"
+    fields = [f for f in docs.schema.fieldNames() if f != name]
+    schema = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in fields) + f", `{name}` double"
     at = fields.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(box.value.score(features(part.column(at))))], names=[*fields, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(box.value.score(features(part.column(at))))], names=[*fields, name])
 
     return docs.select(*(F.col(f"`{f}`") for f in fields)).mapInArrow(run, schema)
