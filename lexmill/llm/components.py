@@ -76,7 +76,7 @@ def components(links: DataFrame) -> DataFrame:
     parts = 1 + edges.count() // PART
     edges = checkpointed(edges.repartition(parts).mapInArrow(_forest, "a long, b long").distinct())
     state = _state(edges)
-    while state[0]:
+    while state[0] and parts > 1:  # the forest of a single part is what the rounds would end with
         edges = checkpointed(_small_star(_large_star(edges)).where("a != b").distinct())
         state, before = _state(edges), state
         if state == before:

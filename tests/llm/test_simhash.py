@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from lexmill.llm import simhash
@@ -75,7 +76,9 @@ def test_chain_filter_prunes_and_keeps():
     assert simhash.viable(d, 2).tolist() == [True, True, False, True, False, True]
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("part", [50_000, 20])
+def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, part):
+    monkeypatch.setattr("lexmill.llm.components.PART", part)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {7: 7} | {i: 7 for i in range(200, 260)}
