@@ -18,8 +18,12 @@ RESULT = ["document_id", "document_title", "provision_ref", "chapter", "section"
 
 
 def tokenized(provisions: DataFrame) -> DataFrame:
-    """Adds the tokens of content and title, and their number."""
-    return provisions.withColumns({"_c": T.tokens(F.col("content")), "_t": T.tokens(F.col("title"))}).withColumn("_n", F.size("_c") + F.size("_t"))
+    """Adds the tokens of content and title, and their number.
+
+    They come out of a generator. No filter on them is pushed below it, where it would split the text anew for every token.
+    """
+    each = F.inline(F.array(F.struct(T.tokens(F.col("content")).alias("_c"), T.tokens(F.col("title")).alias("_t"))))
+    return provisions.select("*", each).withColumn("_n", F.size("_c") + F.size("_t"))
 
 
 def count_of(phrase: Q.Phrase) -> Column:
