@@ -240,13 +240,15 @@ def links(nodes: DataFrame, lanes: int, tables: list[list[int]], most: int, exac
     names = [f"f{i}" for i in range(lanes)]
     schema = "key long, node long, " + ", ".join(f"{n} long" for n in names)
 
+    step = max(1, 32_768 // len(tables))  # rows that go out at once, times their keys, are few
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             words = np.stack(cols[1:], axis=1).view(U64)
             keys = _keys(words, tables)
-            for begin in range(0, len(words), 4096):
-                own = slice(begin, begin + 4096)
+            for begin in range(0, len(words), step):
+                own = slice(begin, begin + step)
                 k = keys[own]
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(pa.array(np.repeat(c[own], k.shape[1])) for c in cols)], names=["key", "node", *names])
 
