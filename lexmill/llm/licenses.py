@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,25 +69,20 @@ class Templates:
     def __init__(self, templates, least: float) -> None:
         self.names = [name for name, _ in templates]
         pairs, first, _ = bigrams(pa.array([text for _, text in templates], pa.string()))
-        self.counts = [Counter(pairs[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
         self.sizes = np.diff(first)
         self.least = least
         row = np.repeat(np.arange(len(templates)), self.sizes)
-        known = np.unique(np.stack([pairs.view(np.int64), row], axis=1), axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
+        known, self.times = np.unique(np.stack([pairs.view(np.int64), row], axis=1), axis=0, return_counts=True) if len(pairs) else (np.zeros((0, 2), np.int64),) * 2
         self.keys, self.owners = known[:, 0], known[:, 1]
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[self.keys & ((1 << 18) - 1)] = True
 
-    def dice(self, pairs: np.ndarray, template: int) -> float:
-        own = Counter(pairs.tolist())
-        return 2 * sum(min(n, self.counts[template][p]) for p, n in own.items()) / (len(pairs) + self.sizes[template])
-
     def stretches(self, pairs: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """template, dice, first pair, pairs: the best stretch of each template in one text, if it reaches the least.
+        """template, dice, first pair, pairs: the stretches of one text that reach the least, without a word in common.
 
-        With m of a stretch's L pairs in a template of B, dice is at most 2m / (L + B). So fewer than least*B / (2 - least)
-        pairs of the template in all rule it out, and else the stretch of the greatest sum of 2 for a pair of the template
-        and -least for any pair is the best there is: it must reach least*B.
+        The one most alike comes first (then the longer, the earlier template, the earlier stretch), then the best of those
+        beside it, until none is left. A lazy heap holds the best stretch from each start; one that what is taken has cut is
+        sought again in the room that is left to it.
         """
         at = np.flatnonzero(self.maybe[pairs.view(np.int64) & ((1 << 18) - 1)])
         if not len(at):
@@ -95,29 +91,80 @@ class Templates:
         begin, end = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
         many = end - begin
         spot = np.repeat(at, many)
-        owner = self.owners[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        which = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        owner = self.owners[which]
         hits = np.bincount(owner, minlength=len(self.names))
-        out = []
+        windows, heap = {}, []
         for t in np.flatnonzero((hits > 0) & (hits * (2 - self.least) >= self.least * self.sizes - 1e-9)).tolist():
-            p = spot[owner == t]
-            gain = 2.0 * np.arange(1, len(p) + 1) - self.least * (p + 1)  # up to and with each hit
-            before = 2.0 * np.arange(len(p)) - self.least * p
-            low = np.minimum.accumulate(before)
-            stop = int(np.argmax(gain - low))
-            if gain[stop] - low[stop] < self.least * self.sizes[t] - 1e-9:
+            mine = owner == t
+            windows[t] = own = Windows(spot[mine], which[mine], self.times[which[mine]], int(self.sizes[t]), self.least)
+            heap += [(-d, -n, t, s, i) for d, n, s, i in own.best(own.starts())]
+        heapq.heapify(heap)
+        firsts, taken, out = [], [], []
+        while heap:
+            d, n, t, s, i = heapq.heappop(heap)
+            k = bisect.bisect_right(firsts, s)
+            if k and s <= taken[k - 1]:  # the last word of the stretch before
+                continue
+            if k < len(firsts) and s - n >= firsts[k]:
+                for d, n, s, i in windows[t].best(np.array([i]), firsts[k] - 2):
+                    heapq.heappush(heap, (-d, -n, t, s, i))
                 continue
-            start = int(np.argmin(before[: stop + 1]))
-            d = self.dice(pairs[p[start] : p[stop] + 1], t)
-            if d >= self.least - 1e-12:
-                out.append((t, d, int(p[start]), int(p[stop] - p[start] + 1)))
+            firsts.insert(k, s)
+            taken.insert(k, s - n)
+            out.append((t, -d, s, -n))
         return out
 
 
+class Windows:
+    """The stretches of a text that begin and end with a pair of one template: of any others, a part is more alike.
+
+    spot: where pairs of the template stand; which: what pairs they are; times: how often the template has that pair.
+    """
+
+    def __init__(self, spot: np.ndarray, which: np.ndarray, times: np.ndarray, size: int, least: float) -> None:
+        self.spot, self.size, self.least = spot, size, least
+        order = np.argsort(which, kind="stable")
+        back = np.arange(len(order)) - times[order]
+        same = (back >= 0) & (which[order[np.maximum(back, 0)]] == which[order])
+        self.full = np.full(len(order), -1)  # a pair counts if a stretch begins after this one, else there are enough of it
+        self.full[order[same]] = order[back[same]]
+        self.stop = np.searchsorted(spot, spot + int((2 - least) / least * size + 1e-9))  # longer ones cannot reach the least
+
+    def starts(self) -> np.ndarray:
+        """Starts from which some stretch may reach the least.
+
+        With m of a stretch's L pairs in a template of B, dice is at most 2m / (L + B). So the sum of 2 for a pair of the
+        template and -least for any pair must reach least*B.
+        """
+        k = np.arange(len(self.spot))
+        gain = 2.0 * (k + 1) - self.least * (self.spot + 1)  # up to and with each hit
+        high = np.maximum.accumulate(gain[::-1])[::-1]
+        return np.flatnonzero(high - (2.0 * k - self.least * self.spot) >= self.least * self.size - 1e-9)
+
+    def best(self, starts: np.ndarray, last: int | None = None) -> Iterator[tuple[float, int, int, int]]:
+        """dice, pairs, first pair, start: the best stretch from each start, if it reaches the least; up to pair `last`."""
+        stop = self.stop[starts] if last is None else np.minimum(self.stop[starts], np.searchsorted(self.spot, last, "right"))
+        starts, stop = starts[stop > starts], stop[stop > starts]
+        width = int((stop - starts).max()) if len(starts) else 1
+        step = max(1, (1 << 18) // width)
+        for i in range(0, len(starts), step):
+            own = starts[i : i + step, None]
+            at = own + np.arange(width)
+            inside = at < stop[i : i + step, None]
+            at = np.minimum(at, len(self.spot) - 1)
+            n = self.spot[at] - self.spot[own] + 1
+            d = np.where(inside, 2 * np.cumsum(self.full[at] < own, axis=1) / (n + self.size), 0)
+            j = width - 1 - np.argmax(d[:, ::-1], axis=1)  # the longest of those that are equally alike
+            row = np.flatnonzero(d[np.arange(len(j)), j] >= self.least - 1e-12)
+            yield from zip(d[row, j[row]].tolist(), n[row, j[row]].tolist(), self.spot[own[row, 0]].tolist(), own[row, 0].tolist(), strict=True)
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """doc_id, license, template, dice, first_word, n_words: what licenses each of docs (doc_id, text) carries, and where.
 
-    The stretch of a text most like a template counts from a Dice coefficient of `least`; of stretches that overlap, the one
-    most alike stays (then the longer, then the earlier template). Texts are normalised: lower case, runs of letters and
+    Every stretch of a text counts that is like a template from a Dice coefficient of `least`, so a license that stands twice
+    gives two rows; of stretches that overlap, the one most alike stays (then the longer, then the earlier template). Texts are normalised: lower case, runs of letters and
     digits, one spelling of "license". Null and short texts carry nothing; a document may have several rows or none; repeated
     rows and null ids are kept; an empty table gives an empty result; other columns are ignored.
     """
@@ -132,11 +179,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
                 seen = np.concatenate([[0], np.cumsum(known.maybe[pairs.view(np.int64) & ((1 << 18) - 1)])])
                 out = []
                 for i in np.flatnonzero(np.diff(seen[first]) > 0).tolist():
-                    doc, taken = batch.column(0)[a + i].as_py(), []
-                    for t, d, s, n in sorted(known.stretches(pairs[first[i] : first[i + 1]]), key=lambda x: (-x[1], -x[3], x[0])):
-                        if all(s + n < s2 or s2 + n2 < s for s2, n2 in taken):
-                            taken.append((s, n))
-                            out.append((doc, known.names[t], t, d, s, n + 1))
+                    doc = batch.column(0)[a + i].as_py()
+                    out += [(doc, known.names[t], t, d, s, n + 1) for t, d, s, n in known.stretches(pairs[first[i] : first[i + 1]])]
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
