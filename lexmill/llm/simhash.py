@@ -195,19 +195,27 @@ def _hub_links(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _leader_links(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a large bucket to leaders: whoever is within the distance of a leader is compared with no one else.
+def _reach_links(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a large bucket that connect all its pairs within the distance: each row is compared with all not yet reached.
 
-    Which rows lead depends on the bucket, so that two that different leaders part in one bucket may meet in another.
+    A dense group is reached from its first row at once, and then no more of it is left to compare. Rows whose distances
+    from that first row differ by more than `most` cannot be within it of each other.
     """
-    seed = int(np.bitwise_xor.reduce(words[:, 0])) ^ int(words[0, -1])
-    a, b, rest = [], [], np.random.default_rng(seed).permutation(len(words))
-    while len(rest) > 1:
-        lead, rest = rest[0], rest[1:]
-        close = np.bitwise_count(words[rest] ^ words[lead]).sum(axis=1, dtype=np.int64) <= most
-        a.append(np.full(close.sum(), lead))
-        b.append(rest[close])
-        rest = rest[~close]
+    a, b = [], []
+    left = np.arange(len(words))
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        far = np.bitwise_count(words[left] ^ words[first]).sum(axis=1, dtype=np.int64)
+        reached = [(first, 0)]
+        while reached and len(left):
+            row, d = reached.pop()
+            maybe = np.flatnonzero(np.abs(far - d) <= most)
+            close = maybe[np.bitwise_count(words[left[maybe]] ^ words[row]).sum(axis=1, dtype=np.int64) <= most]
+            if len(close):
+                a.append(np.full(len(close), row))
+                b.append(left[close])
+                reached += zip(left[close].tolist(), far[close].tolist(), strict=True)
+                left, far = np.delete(left, close), np.delete(far, close)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
@@ -226,7 +234,7 @@ def _bucket_links(keys: np.ndarray, words: np.ndarray, most: int, exact: bool) -
         right.append(alive[good] + shift)
         shift += 1
     for begin, many in zip(edges[size > SMALL_BUCKET].tolist(), size[size > SMALL_BUCKET].tolist(), strict=True):
-        a, b = (_hub_links if exact else _leader_links)(words[begin : begin + many], most)
+        a, b = (_hub_links if exact else _reach_links)(words[begin : begin + many], most)
         left.append(a + begin)
         right.append(b + begin)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2

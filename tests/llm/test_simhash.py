@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from lexmill.llm import simhash
-from lexmill.llm.components import components
+from lexmill.llm.components import Forest, components
 from tests.llm.helpers import ODD, table, texts
 
 
@@ -99,6 +99,25 @@ def test_spread_tables_find_similar_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d - d % 2 for d, _ in rows}
 
 
+def test_large_buckets_of_long_fingerprints_lose_nothing():
+    rng = random.Random(15)
+    flip = lambda f, n: f ^ sum(1 << b for b in rng.sample(range(20, 256), n))
+    base = rng.getrandbits(256)
+    prints = [flip(base, rng.randrange(10, 26)) for _ in range(100)]
+    prints += [flip(prints[0], 45)]  # within 51 bits of few of the others
+    for _ in range(6):  # a chain that leads away
+        prints.append(flip(prints[-1], 48))
+    prints += [base & 0xFFFFF | rng.getrandbits(236) << 20 for _ in range(30)]
+    for seed in range(5):
+        random.Random(seed).shuffle(prints)
+        words = np.array([[f >> 64 * i & (2**64 - 1) for i in range(4)] for f in prints], np.uint64)
+        a, b = simhash._bucket_links(np.zeros(len(words), np.int64), words, 51, exact=False)
+        forest = Forest()
+        forest.add(a.tolist(), b.tolist())
+        assert {i: forest.find(i) for i in range(len(prints))} == plain_components(dict(enumerate(prints)), 51)
+        assert len(a) < len(prints)
+
+
 def test_empty_table_and_null_id(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, [(None, "one two"), (4, "three four five")])).collect()}
