@@ -14,7 +14,8 @@ from lexmill.llm import chunk_dedup, decontaminate, packing, quality, simhash
 from lexmill.llm.common import ensure_checkpoint_dir
 from lexmill.llm.queries import tokenizer_path
 
-#: Near duplicates: fingerprints of 256 bits over shingles of five words that agree in 0.8 of their bits or more.
+#: Near duplicates: distinct shingles of five words with a Jaccard similarity of 0.8 or more, sought among fingerprints of
+#: 256 bits over them that agree in 0.8 of their bits or more.
 WORDS, LANES, SIMILARITY = 5, 4, 0.8
 #: Candidates share one of so many keys of 20 fingerprint bits.
 TABLES, KEY_BITS = 128, 20
@@ -33,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without a doc_id cannot be named and all stay.
     """
     bits = 64 * LANES
-    found = simhash.near_duplicates(docs.where("doc_id is not null"), WORDS, int((1 - SIMILARITY) * bits + 1e-9), LANES, "rolling", simhash.spread_tables(LANES, TABLES, KEY_BITS), repeats=False)
+    found = simhash.near_duplicates(docs.where("doc_id is not null"), WORDS, int((1 - SIMILARITY) * bits + 1e-9), LANES, "rolling", simhash.spread_tables(LANES, TABLES, KEY_BITS), repeats=False, least=SIMILARITY)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null")).select(docs.columns)

@@ -90,21 +90,33 @@ def distinct(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[at], np.searchsorted(row[at], np.arange(len(begin)))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, hasher: str = "xxh64", repeats: bool = True) -> DataFrame:
+def set_digests(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64 bits of each row's set of hashes, as longs. Hashes of a row are distinct."""
+    out = np.zeros(len(begin) - 1, U64)
+    filled = np.flatnonzero(np.diff(begin))
+    if len(filled):
+        out[filled] = mix(np.add.reduceat(mix(hashes + U64(1)), begin[filled]))
+    return out.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, hasher: str = "xxh64", repeats: bool = True, sets: bool = False) -> DataFrame:
     """doc_id, f0 ... : fingerprints of 64 bits a lane as longs. A null text is empty and, like any text without words, zero.
 
-    With `repeats` a shingle counts as often as it occurs, else once.
+    With `repeats` a shingle counts as often as it occurs, else once. With `sets`, node is the digest of a text's shingles.
     """
     names = [f"f{i}" for i in range(lanes)]
+    out = ["doc_id", *names, *(["node"] if sets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 hashed = shingle_hashes(*utf8_view(batch.column(1).slice(a, b - a)), words, hasher)
-                words_ = majority_bits(*(hashed if repeats else distinct(*hashed)), lanes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(words_[:, i]).view(np.int64)) for i in range(lanes))], names=["doc_id", *names])
+                once = distinct(*hashed) if sets or not repeats else hashed
+                words_ = majority_bits(*(hashed if repeats else once), lanes)
+                own = [np.ascontiguousarray(words_[:, i]).view(np.int64) for i in range(lanes)] + ([set_digests(*once)] if sets else [])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, own)], names=out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in out))
 
 
 def viable(differences: np.ndarray, most: int) -> np.ndarray:
@@ -287,22 +299,100 @@ def links(nodes: DataFrame, lanes: int, tables: list[list[int]], most: int, exac
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, lanes: int = 1, hasher: str = "xxh64", tables: list[list[int]] | None = None, repeats: bool = True) -> DataFrame:
+def alike(hashes: np.ndarray, begin: np.ndarray, least: float) -> np.ndarray:
+    """A number for each set, equal for sets that pairs with a Jaccard similarity of `least` connect. All such pairs count.
+
+    Each set is compared with all not yet reached that share an element; a dense group is reached from its first set at once.
+    """
+    n, size = len(begin) - 1, np.diff(begin)
+    element = np.unique(hashes, return_inverse=True)[1] if len(hashes) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(element, kind="stable")
+    listed = owner[order]  # who has an element, by element
+    key = element[order]
+    group, left = np.full(n, -1), np.ones(n, bool)
+    indexed = many = n
+    for first in range(n):
+        if not left[first]:
+            continue
+        left[first], group[first], reached = False, first, [first]
+        many -= 1
+        while reached and many:
+            if 2 * many < indexed:
+                kept = left[listed]
+                listed, key, indexed = listed[kept], key[kept], many
+            row = reached.pop()
+            own = element[begin[row] : begin[row + 1]]
+            a, b = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+            found = listed[np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())]
+            who, shared = np.unique(found[left[found]], return_counts=True)
+            close = who[shared * (1 + least) >= least * (size[who] + size[row]) - 1e-9]
+            left[close], group[close] = False, first
+            many -= len(close)
+            reached += close.tolist()
+    return group
+
+
+def verified(docs: DataFrame, candidates: DataFrame, words: int, hasher: str, least: float) -> DataFrame:
+    """node, component: candidates (doc_id, node, component; a document for each node) that pairs of at least that Jaccard
+    similarity of their distinct shingles connect within a component. Texts are read again for them alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+
+        def settle() -> list[np.ndarray]:
+            sets = {node: own for _, node, own in held}  # rows of one doc_id repeat
+            nodes = np.array(list(sets), np.int64)
+            group = alike(np.concatenate(list(sets.values())), np.cumsum([0, *map(len, sets.values())]), least)
+            held.clear()
+            return [nodes, nodes[group]]
+
+        out = []
+        for batch in batches:
+            for a, b in slices(batch.column(2)):
+                h, begin = distinct(*shingle_hashes(*utf8_view(batch.column(2).slice(a, b - a)), words, hasher))
+                component, node = (batch.column(i).slice(a, b - a).to_numpy() for i in (0, 1))
+                for i in np.flatnonzero(set_digests(h, begin) == node).tolist():  # a doc_id may have other texts too
+                    if held and held[0][0] != component[i]:
+                        out.append(settle())
+                    held.append((component[i], int(node[i]), h[begin[i] : begin[i + 1]].copy()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["node", "component"])
+                out = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle()], names=["node", "component"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(candidates, "doc_id").select("component", "node", "text")
+    return found.repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, lanes: int = 1, hasher: str = "xxh64", tables: list[list[int]] | None = None, repeats: bool = True, least: float | None = None) -> DataFrame:
     """One row a document: doc_id, f0 ..., component_id (the smallest doc_id reachable over links, its own included).
 
     Fingerprints link at `most` differing bits or fewer. By default the search is exact (64 bits, two of them); with other
     `tables` (see spread_tables) it is as complete as the tables make it. Null and empty texts have fingerprint zero and
     link like any other; repeated rows stay; other columns are ignored; an empty table gives an empty result. A null doc_id
     is a document that cannot name a component: without others in it, its component_id is null.
+
+    With `least`, what the fingerprints find are candidates, and only pairs whose distinct shingles have that Jaccard
+    similarity link; documents of a null doc_id then link with equal sets only.
     """
     names = [f"f{i}" for i in range(lanes)]
     if not tables and (most != 2 or lanes != 1):
         raise ValueError("the exact search is for 64 bits and two differences")
-    each = checkpointed(fingerprints(docs, words, lanes, hasher, repeats))
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    classes = each.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node)
+    each = checkpointed(fingerprints(docs, words, lanes, hasher, repeats, least is not None))
+    if least is None:
+        node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
+        classes = each.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node)
+    else:
+        names = [*names, "node"]
+        classes = each.groupBy(*names).agg(F.min("doc_id").alias("first"))
     joined = components(links(classes, lanes, tables or exact_tables(), most, exact=not tables))
+    if least is not None:
+        candidates = joined.join(classes.select("node", F.col("first").alias("doc_id")), "node")
+        joined = verified(docs, candidates, words, hasher, least)
     grouped = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "component").select(*names, "component_id")
-    return each.join(named, names)
+    lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = grouped.join(lowest, "component").select(*names, "component_id")
+    return each.join(named, names).drop("node") if least is not None else each.join(named, names)

@@ -118,6 +118,66 @@ def test_large_buckets_of_long_fingerprints_lose_nothing():
         assert len(a) < len(prints)
 
 
+def shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def plain_alike(sets, least=0.8):
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+def revisions():
+    """Texts of 200 words, copies of them with up to six words changed, and chains of copies; all are lower case."""
+    rng, rows = random.Random(33), []
+    for _ in range(25):
+        now = [f"w{rng.randrange(9999)}" for _ in range(200)]
+        for _ in range(rng.choice([1, 4, 30])):
+            v = list(now)
+            for _ in range(rng.randrange(7)):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(9999)}"
+            rows.append(" ".join(v))
+            now = v if rng.random() < 0.3 else now
+    return rows
+
+
+def test_verified_sets_are_connected_as_by_brute_force():
+    sets = {i: shingles(t) for i, t in enumerate(revisions())} | {10_000: set(), 10_001: {("a",)}}
+    number = {x: i for i, x in enumerate(sorted(set().union(*sets.values())))}
+    begin = np.cumsum([0, *map(len, sets.values())])
+    group = simhash.alike(np.array([number[x] for s in sets.values() for x in s], np.uint64), begin, 0.8)
+    ids = list(sets)
+    assert {d: ids[g] for d, g in zip(ids, group)} == plain_alike(sets)
+
+
+def test_fingerprints_near_each_other_do_not_link_other_sets(spark):
+    rows = revisions() + ODD + ["a b", "a b"]
+    docs = [(3 * i + 1, t) for i, t in enumerate(rows)]
+    docs += [(docs[0][0], docs[-1][1]), docs[1]]
+    args = dict(words=5, most=51, lanes=4, hasher="rolling", tables=simhash.spread_tables(4, 128, 20), repeats=False)
+    named = lambda **b: [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(table(spark, docs).repartition(3), **args, **b).collect()]
+    loose, got = named(), named(least=0.8)
+    assert len(got) == len(docs) and len(set(loose)) < len(docs)
+    want = plain_alike({i: shingles((t or "").lower()) for i, (_, t) in enumerate(docs)})
+    least = {}
+    for i, c in want.items():
+        least[c] = min(least.get(c, docs[i][0]), docs[i][0])
+    assert sorted(got) == sorted((docs[i][0], least[c]) for i, c in want.items())
+    assert sum(d != c for d, c in loose) > sum(d != c for d, c in got) > 50
+
+
 def test_empty_table_and_null_id(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, [(None, "one two"), (4, "three four five")])).collect()}
