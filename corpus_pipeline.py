@@ -45,7 +45,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("_others"))
     made = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long"), "doc_id": F.col("doc_id")}
-    cut = chunk_dedup.remove_repeats(packed, carry=("_others",))
+    cut = chunk_dedup.remove_repeats(packed, carry=("_others",), reach=chunk_dedup.REACH)
     return cut.select(*(made.get(c, F.col(f"_others.{c}")).alias(c) for c in docs.columns))
 
 

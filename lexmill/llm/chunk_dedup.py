@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import U64, mix, prefix_sums, range_hashes, slices, utf8_view
+from lexmill.llm.common import U64, checkpointed, mix, prefix_sums, range_hashes, slices, utf8_view
 
 #: A gear value for each byte; what they are matters only in that they are fixed and look random.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
 #: h = 2h + gear[byte]. Bits 11 to 15 of h depend on the last 16 bytes alone; all five are zero at one place in 32.
 MASK = np.uint32(0xF800)
 WINDOW = 16
+#: Bytes compared beyond each end of a run. Chunks of a shared passage fall in step far sooner.
+REACH = 512
 
 
 def cut_points(data: np.ndarray) -> np.ndarray:
@@ -87,12 +89,49 @@ def repeated_spans(docs: DataFrame, least: int = 16, most: int = 128) -> DataFra
     return again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest: int = 96, carry: tuple[str, ...] = ()) -> DataFrame:
+def reached_spans(docs: DataFrame, least: int, most: int, reach: int) -> DataFrame:
+    """doc_id, spans, edges: repeated_spans, and for the chunks where a run begins or ends what stands around them in the
+    document of the least doc_id: start and size of the chunk, `before` bytes of `said` that precede it there."""
+    each = chunks(docs, least, most).where("doc_id is not null")
+    first = each.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    found = checkpointed(each.join(first, ["d1", "d2"]))
+    there = found.where("doc_id = first").groupBy("d1", "d2").agg(F.min("start").alias("there"))
+    again = found.where("doc_id > first")
+    order = Window.partitionBy("doc_id").orderBy("start", "size")
+    begins = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) < F.col("start"), F.lit(True))
+    ends = F.coalesce(F.lead("start").over(order) > F.col("start") + F.col("size"), F.lit(True))
+    edges = again.select("*", begins.alias("begins"), ends.alias("ends")).where("begins or ends").join(there, ["d1", "d2"])
+    edges = edges.withColumn("before", F.expr(f"if(begins, least(there, {reach}), 0)"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string").cast("binary").alias("text"))
+    said = F.expr(f"substring(text, there - before + 1, before + size + if(ends, {reach}, 0))")
+    edges = edges.join(texts, "first").select("doc_id", F.struct("start", "size", "before", said.alias("said")).alias("edge"))
+    spans = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    return spans.join(edges.groupBy("doc_id").agg(F.collect_list("edge").alias("edges")), "doc_id", "left")
+
+
+def _agree(a: bytes, b: bytes) -> int:
+    """How many bytes two texts have in common from their beginning."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else ()
+    return int(other[0]) if len(other) else n
+
+
+def _widened(raw: bytes, edges) -> Iterator[tuple[int, int]]:
+    """Spans of the chunks at the edges of runs, extended byte by byte as far as both documents say the same."""
+    for e in edges:
+        start, end, said, before = e["start"], e["start"] + e["size"], e["said"], e["before"]
+        if raw[start:end] == said[before : before + e["size"]]:  # a doc_id may have other texts too
+            left = _agree(raw[max(0, start - before) : start][::-1], said[:before][::-1])
+            yield start - left, left + e["size"] + _agree(raw[end : end + len(said)], said[before + e["size"] :])
+
+
+def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest: int = 96, carry: tuple[str, ...] = (), reach: int = 0) -> DataFrame:
     """Removes runs of at least `shortest` bytes made of chunks that a document of a smaller doc_id holds too.
 
     Returns a row for each of docs (doc_id, text): doc_id, kept_text, n_bytes, n_removed, n_spans, n_chunks, kept_sha256. Cuts
     depend on the last 16 bytes, so chunks fall in step again after an insertion; what a passage loses at its two ends is
-    part of a chunk. Runs stay on character boundaries. Null is empty; a null doc_id is kept as it is and makes nothing else
+    part of a chunk. With `reach`, runs are first extended byte by byte to both sides, up to so many bytes, as far as the
+    document of the least doc_id that holds their outer chunk says the same. Runs stay on character boundaries. Null is empty; a null doc_id is kept as it is and makes nothing else
     a repeat; documents of one doc_id never remove each other; empty tables give empty results; other columns are ignored,
     but for those to `carry` into the result.
     """
@@ -103,16 +142,17 @@ def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 out = []
-                for doc, text, spans in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(3)), strict=True):
+                for doc, text, spans, edges in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(4)), strict=True):
                     raw = (text or "").encode()
-                    runs = _runs(raw, sorted((s["start"], s["size"]) for s in spans or ()), shortest)
+                    runs = _runs(raw, sorted([*((s["start"], s["size"]) for s in spans or ()), *_widened(raw, edges or ())]), shortest)
                     kept = b"".join(raw[x:y] for x, y in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)], strict=True))
                     out.append((doc, kept.decode(), len(raw), sum(e - s for s, e in runs), len(runs), len(spans or ()), hashlib.sha256(kept).hexdigest()))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)), *(batch.column(3 + i).slice(a, b - a) for i in range(len(carry)))], names=["doc_id", "kept_text", "n_bytes", "n_removed", "n_spans", "n_chunks", "kept_sha256", *carry])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)), *(batch.column(4 + i).slice(a, b - a) for i in range(len(carry)))], names=["doc_id", "kept_text", "n_bytes", "n_removed", "n_spans", "n_chunks", "kept_sha256", *carry])
 
-    found = plain.join(repeated_spans(docs, least, most), "doc_id", "left")
-    return found.select("doc_id", "text", "spans", *carry).mapInArrow(run, schema)
+    spans = reached_spans(docs, least, most, reach) if reach else repeated_spans(docs, least, most).withColumn("edges", F.lit(None).cast("array<struct<start: int, size: int, before: int, said: binary>>"))
+    found = plain.join(spans, "doc_id", "left")
+    return found.select("doc_id", "text", "spans", "edges", *carry).mapInArrow(run, schema)
 
 
 def _runs(raw: bytes, spans: list[tuple[int, int]], shortest: int) -> list[tuple[int, int]]:

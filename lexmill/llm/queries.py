@@ -37,9 +37,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexmill.llm.chunk_dedup import remove_repeats
+    from lexmill.llm.chunk_dedup import REACH, remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+    return remove_repeats(documents(spark, sf_dir), reach=REACH).drop("kept_text")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

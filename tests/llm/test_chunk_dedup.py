@@ -5,6 +5,7 @@ import numpy as np
 
 from lexmill.llm import chunk_dedup
 from lexmill.llm.common import utf8_view
+from lexmill.llm.queries import QUERIES
 from tests.llm.helpers import ODD, table, texts
 
 
@@ -73,5 +74,35 @@ def test_long_passages_go_and_short_lines_stay(spark):
     assert all(len(passage) * 0.6 < found[i]["n_removed"] <= len(passage) + 2 for i in range(1, 20))
 
 
+def planted(n):
+    """Two documents each for n passages of 51 words, which nothing else shares."""
+    rng, out = random.Random(91), []
+    say = lambda k: " ".join("".join(rng.choice("aeioubcdnrst") for _ in range(rng.randrange(2, 9))) for _ in range(k))
+    for i in range(n):
+        passage = say(51)
+        out += [(d, say(rng.randrange(5, 60)), passage, say(rng.randrange(5, 60))) for d in (2 * i, 2 * i + 1)]
+    return out
+
+
+def test_shared_passages_go_as_a_whole(spark, tmp_path):
+    docs = planted(300)
+    rows = [(d, f"{a} {p} {b}") for d, a, p, b in docs] + [(5000, "é" * 60 + "shared by two, é"), (5001, "ü" * 60 + "shared by two, é")]
+    table(spark, rows + rows[:2]).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in QUERIES["op10_substring_dedup"](spark, str(tmp_path)).collect()}
+    text = {r["doc_id"]: r["kept_text"] for r in chunk_dedup.remove_repeats(table(spark, rows), reach=chunk_dedup.REACH).collect()}
+    whole = left = 0
+    for d, a, p, b in docs:
+        assert hashlib.sha256(text[d].encode()).hexdigest() == found[d]["kept_sha256"]
+        if d % 2 == 0:
+            assert found[d]["n_removed"] == 0
+            continue
+        assert found[d]["n_removed"] <= len(p) + 12
+        left += len(p) - min(found[d]["n_removed"], len(p))
+        whole += found[d]["n_removed"] >= len(p)
+    assert whole >= 0.97 * 300 and left < 0.03 * sum(len(p) for _, _, p, _ in docs) / 2
+    assert found[5001]["n_removed"] == 0
+
+
 def test_empty_table(spark):
+    assert chunk_dedup.remove_repeats(table(spark, []), reach=chunk_dedup.REACH).count() == 0
     assert chunk_dedup.remove_repeats(table(spark, [])).count() == 0
