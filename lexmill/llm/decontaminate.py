@@ -87,8 +87,8 @@ class Benchmark:
             found.append(np.stack([row[place], item[each], place - (at[each] - self.first[item[each]])], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
-    def overlap(self, tokens: np.ndarray, begin: int, end: int, item: int, diagonal: int) -> tuple[int, int, int]:
-        """The best overlap on a diagonal: equal tokens, its first token in the item, its length."""
+    def overlap(self, tokens: np.ndarray, begin: int, end: int, item: int, diagonal: int, least: int = 0) -> tuple[int, int, int]:
+        """The best overlap on a diagonal with `least` equal tokens: how many, its first token in the item, its length."""
         own = self.tokens[self.first[item] : self.first[item + 1]]
         a, b = max(diagonal, begin), min(diagonal + len(own), end)
         same = own[a - diagonal : b - diagonal] == tokens[a:b]
@@ -96,14 +96,40 @@ class Benchmark:
         gain = score - np.minimum.accumulate(score)
         stop = int(gain.argmax())
         start = int(np.flatnonzero(score[: stop + 1] == score[: stop + 1].min())[-1])
+        if same[start:stop].sum() < least <= same.sum():  # another stretch may have enough of them
+            enough = [(gain, -start, stop) for gain, start, stop in stretches(same.tolist()) if same[start:stop].sum() >= least]
+            if enough:
+                _, start, stop = max(enough)
+                start = -start
         return int(same[start:stop].sum()), a - diagonal + start, stop - start
 
 
+def stretches(same: list[bool]) -> list[tuple[int, int, int]]:
+    """gain, start, stop: the maximal stretches of a diagonal, those that no longer one outdoes (Ruzzo and Tompa)."""
+    found: list[tuple[int, int, int, int]] = []  # start, stop, the score before and with it
+    score = 0
+    for i, equal in enumerate(same):
+        score += 1 if equal else -PENALTY
+        if not equal:
+            continue
+        start, low = i, score - 1
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= low:
+                j -= 1
+            if j < 0 or found[j][3] >= score:
+                break
+            start, low = found[j][0], found[j][2]
+            del found[j:]
+        found.append((start, i + 1, low, score))
+    return [(high - low, start, stop) for start, stop, low, high in found]
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, masks: tuple[str, ...] = MASKS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, n_match, n_overlap, n_item, score, doc_token, item_token: a document's best overlap with an item.
 
     An overlap runs along aligned tokens and gains one for an equal token and loses PENALTY for one that differs; it counts
-    with `least` equal tokens or more, or with all of a shorter item's. score is n_match over the item's tokens. docs: doc_id, text;
+    with `least` equal tokens or more, or with all of a shorter item's; of the maximal stretches that have them the best is taken. score is n_match over the item's tokens. docs: doc_id, text;
     benchmark: item_id, text; other columns are ignored. Null and empty texts have no tokens and no overlaps, an empty table
     on either side gives no rows, rows repeated give rows repeated, a null id stays null. Every document is read for each
     block of the benchmark, which holds block_bytes of it at most (or one item).
@@ -135,7 +161,7 @@ def _search(block, masks: tuple[str, ...], least: int, schema: str):
                 tokens, first = token_hashes(batch.column(1).slice(a, b - a))
                 best: dict[tuple[int, int], tuple] = {}
                 for row, item, diagonal in bench.candidates(tokens, first).tolist():
-                    match, start, length = bench.overlap(tokens, int(first[row]), int(first[row + 1]), item, diagonal)
+                    match, start, length = bench.overlap(tokens, int(first[row]), int(first[row + 1]), item, diagonal, int(min(least, sizes[item])))
                     if match >= min(least, sizes[item]):
                         place = diagonal + start - int(first[row])
                         best[row, item] = max(best.get((row, item), (0,)), (match, -length, -place, start))

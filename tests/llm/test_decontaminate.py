@@ -61,6 +61,14 @@ def test_matches_brute_force(spark):
     assert left == {d for d, _ in docs} - {d for d, _, _ in want}
 
 
+def test_a_shorter_run_of_more_gain_hides_no_overlap(spark):
+    item = [f"w{i}" for i in range(50)]
+    swap = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(item[:29]))
+    docs = [(1, swap(11, 12, 13, 14, 21)), (2, swap(11, 12, 13, 14, 20, 24)), (3, swap(*range(11, 15), *range(18, 29)))]
+    found = D.overlaps(table(spark, docs), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_match"], r["n_overlap"], r["item_token"]) for r in found) == [(1, 13, 14, 15), (2, 12, 14, 15)]
+
+
 def test_empty_tables(spark):
     docs, items = cases()
     none = spark.createDataFrame([], "item_id long, text string")
