@@ -13,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import U64, chunk_count, mix, prefix_sums, range_hashes, slices, text_bytes, utf8_view, window_hashes
+from lexmill.llm.common import U64, checkpointed, chunk_count, mix, prefix_sums, range_hashes, text_bytes, utf8_view, window_hashes
 
 ANCHOR = 20
 #: Bytes of text handled as one group, and anchors to a bucket.
 CHUNK_BYTES = 2 << 20
-BUCKET_ANCHORS = 400_000
+#: Bytes that are hashed at once, however long a text is.
+BLOCK = 1 << 20
+BUCKET_ANCHORS = 200_000
 #: Windows of an anchor that so many chunks share are dealt one by one, not by their anchor.
 HOT_CHUNKS = 1000
 #: Windows in one batch of the level family.
@@ -86,8 +89,11 @@ def gather(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[starts]).view(f"S{width}").ravel()
 
 
-def window_anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: row, first window, windows, anchor's place; and the hash of each run's anchor."""
+def window_anchors(data: np.ndarray, offsets: np.ndarray, width: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: row, first window, windows, anchor's place; and the hash of each run's anchor.
+
+    limits: where each row ends, which may be beyond the data.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none, none, none, none, np.zeros(0, U64)
@@ -101,7 +107,7 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
         least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
     at = (least & U64(0xFFFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
-    ok = np.arange(len(at)) + width <= offsets[1:][row]
+    ok = np.arange(len(at)) + width <= limits[row]
     starts = np.flatnonzero(ok)
     at, row = at[starts], row[starts]
     if not len(starts):
@@ -111,43 +117,91 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
 
 
 class _Chunk:
-    """The documents of a chunk, in the order of doc_id and text, without copies; read slice by slice."""
+    """The documents of a chunk, in the order of doc_id and text, without copies; windows are numbered in all their bytes."""
 
     def __init__(self, docs: pa.Table, notes: pa.Table) -> None:
-        docs = docs.combine_chunks()
-        ids = [(_LAST if d is None else d) for d in docs["doc_id"].to_pylist()]
-        column = docs["text"].combine_chunks() if isinstance(docs["text"], pa.ChunkedArray) else docs["text"]
-        self.real = docs["doc_id"].to_pylist()
-        texts = [(t or "") for t in column.to_pylist()] if len(set(ids)) < len(ids) else None
-        order = sorted(range(len(ids)), key=(lambda i: (ids[i], texts[i])) if texts else (lambda i: ids[i]))
-        self.text = column.take(pa.array(order, pa.int64())) if order else pa.array([], pa.string())
-        if isinstance(self.text, pa.ChunkedArray):
-            self.text = self.text.combine_chunks()
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.real = [self.real[i] for i in order]
+        self.docs = docs.sort_by([("id", "ascending"), ("digest", "ascending")]).combine_chunks()
         kinds = notes["kind"].to_numpy() if notes.num_rows else np.zeros(0, np.int32)
-        self.copies = np.isin(self.ids, np.array([d for d, k in zip(notes["doc_id"].to_pylist(), kinds.tolist(), strict=True) if k == _COPY], np.int64))
         blobs = notes["data"].to_pylist()
+        first = {blobs[i][:32]: int.from_bytes(blobs[i][32:], "big", signed=True) for i in np.flatnonzero(kinds == _COPY)}
+        ids = self.docs["id"].to_numpy()
+        self.copies = np.fromiter((first.get(d, n) < n for d, n in zip(self.docs["digest"].to_pylist(), ids.tolist(), strict=True)), bool, len(ids)) if first else np.zeros(len(ids), bool)
+        self.ids = ids[~self.copies]
+        self.text = whole_column(self.docs["text"].filter(pa.array(~self.copies)))
+        self.data, self.offsets = utf8_view(self.text)
         self.noted = {k: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(blobs[i], np.int64) for i in np.flatnonzero(kinds == k))]) for k in (_SHARED, _HOT, _SPANS)}
 
-    def runs(self, width: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """data, offsets, and the runs of windows of rows that are no copies; rows count within the chunk."""
-        for a, b in slices(self.text):
-            data, offsets = utf8_view(self.text.slice(a, b - a))
-            row, start, many, _, hashes = window_anchors(data, offsets, width)
-            keep = ~self.copies[row + a]
-            yield data, offsets, row[keep] + a, start[keep], many[keep], hashes[keep], a
+    def runs(self, width: int) -> tuple[np.ndarray, ...]:
+        """Row, first window, windows and anchor's hash of the runs of windows with one anchor; a block of bytes at a time."""
+        found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)]
+        for begin in range(0, len(self.data) - width + 1, BLOCK):
+            end = min(begin + BLOCK + width - 1, len(self.data))
+            a = int(np.searchsorted(self.offsets, begin, "right")) - 1
+            b = int(np.searchsorted(self.offsets, end, "left"))
+            row, start, many, _, h = window_anchors(self.data[begin:end], np.clip(self.offsets[a : b + 1] - begin, 0, end - begin), width, self.offsets[a + 1 : b + 1] - begin)
+            found.append((row + a, start + begin, many, h))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def distinct_anchors(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all anchors, sorted; those that two texts hold. Rows come in ascending order."""
+    order = np.argsort(h.view(np.int64), kind="stable")
+    h, row = h[order].view(np.int64), row[order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    tail = np.append(head[1:], len(h)) - 1 if len(h) else head
+    return h[head], h[head][row[tail] != row[head]]
+
+
+def range_blocks(size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of ranges of these sizes, BLOCK bytes or one range at a time: first and last range, whose each byte is, its turn."""
+    total = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BLOCK, "right")))
+        n = size[a:b]
+        whose = np.repeat(np.arange(a, b), n)
+        yield a, b, whose, np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
+        a = b
+
+
+def pick(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all ranges, one after the other."""
+    out = np.empty(int(size.sum()), np.uint8)
+    at = 0
+    for _, _, whose, turn in range_blocks(size):
+        out[at : at + len(whose)] = data[start[whose] + turn]
+        at += len(whose)
+    return out
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs of ranges, none of them empty, say the same."""
+    out = np.ones(len(size), bool)
+    for _, _, whose, turn in range_blocks(size):
+        out[whose[data[start[whose] + turn] != data[other[whose] + turn]]] = False
+    return out
+
+
+def whole_column(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
-    def repeated(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all anchors of the chunk; those that two of its texts hold."""
-        seen = [np.unique(np.stack([h.view(np.int64), row], axis=1), axis=0) for _, _, row, _, _, h, _ in self.runs(width) if len(h)]
-        if not seen:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        h, many = np.unique(np.concatenate(seen)[:, 0], return_counts=True)
-        return h, h[many > 1]
 
+def blobs_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The longs of all blobs of a binary column, and how many each has."""
+    data, offsets = utf8_view(whole_column(column))
+    return np.frombuffer(data.tobytes(), np.int64), np.diff(offsets) // 8
 
-_NOTE = "chunk long, kind int, doc_id long, data binary"
+
+def parted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, the place of each key's first in that order, and where the last of them ends."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
+    return order, at, np.append(at, len(k))[1:]
+
+
+_NOTE = "chunk long, kind int, data binary"
+_WINDOWS = "bucket long, salt long, chunk long, ids binary, lengths binary, data binary"
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -155,8 +209,68 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _notes(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table({"chunk": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int32()), "doc_id": pa.array(cols[2], pa.int64()), "data": pa.array(cols[3], pa.binary())})
+    cols = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.table({"chunk": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int32()), "data": pa.array(cols[2], pa.binary())})
+
+
+class _Windows:
+    """Segments of windows, many in a row: id, row and start of each, its number of windows, its bytes one after the other."""
+
+    def __init__(self, chunk: np.ndarray, ids: np.ndarray, many: np.ndarray, data: np.ndarray, width: int) -> None:
+        self.chunk, self.ids, self.many, self.data, self.width = chunk, ids, many, data, width
+        self.size = many + width - 1
+        self.at = np.cumsum(self.size) - self.size
+
+    @staticmethod
+    def read(table: pa.Table, width: int) -> tuple[_Windows, list[tuple]]:
+        """The segments of a group, and the spans among its rows as notes."""
+        rows, parts = [], []
+        for c, ids, lengths, data in zip(*(table[n].to_pylist() for n in ("chunk", "ids", "lengths", "data")), strict=True):
+            if lengths:
+                parts.append((c, np.frombuffer(ids, np.int64).reshape(-1, 3), np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(data, np.uint8)))
+            else:
+                rows.append((c, _SPANS, data))
+        chunk = np.concatenate([np.zeros(0, np.int64), *(np.full(len(p[2]), p[0]) for p in parts)])
+        empty = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        return _Windows(chunk, *(np.concatenate([e, *(p[i + 1] for p in parts)]) for i, e in enumerate(empty)), width), rows
+
+    def scan(self) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk, row, start and end of all spans that an earlier document has, by batches against the levels; and how many
+        windows of each segment were found."""
+        width = self.width
+        order = np.lexsort((self.ids[:, 2], self.ids[:, 1], self.chunk, self.ids[:, 0]))
+        levels = SuffixLevels(width)
+        found: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+        hits = np.zeros(len(order), np.int64)
+        total = np.cumsum(self.many[order])
+        begin = 0
+        while begin < len(order):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + BATCH, "right")))
+            own = order[begin:end]
+            n = self.many[own]
+            turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            segment = np.repeat(own, n)
+            hit = levels.add(gather(self.data, self.at[segment] + turn, width), self.ids[segment, 0])
+            segment, turn = segment[hit], turn[hit]
+            if len(segment):
+                hits += np.bincount(segment, minlength=len(hits))
+                head = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (turn[1:] != turn[:-1] + 1)]))
+                tail = np.append(head[1:], len(segment)) - 1
+                s = segment[head]
+                found.append(np.stack([self.chunk[s], self.ids[s, 1], self.ids[s, 2] + turn[head], self.ids[s, 2] + turn[tail] + width], axis=1))
+            begin = end
+        return np.concatenate(found), hits
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "salt", "chunk", "ids", "lengths", "data"), cols, (pa.int64(),) * 3 + (pa.binary(),) * 3, strict=True)})
+
+
+def _by_chunk(spans: np.ndarray) -> list[tuple]:
+    order, at, end = parted(spans[:, 0])
+    spans = spans[order]
+    return [(int(spans[a, 0]), _SPANS, spans[a:b, 1:].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNKS, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False) -> DataFrame:
@@ -164,132 +278,116 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
 
     Returns a row for each of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
     with `with_text` also spans (start and end of each, as array<struct>). Texts are judged as UTF-8 bytes of the input, null
-    as empty; other columns are ignored. Documents of equal doc_id never remove each other's bytes; a null doc_id comes after
-    all others. An empty table gives an empty result. No candidate is dropped: all windows of shared anchors are compared.
+    as empty; other columns are ignored. A document is what its doc_id and text are: texts of one doc_id, and all texts
+    without one, never remove each other's bytes; a null doc_id comes after all others. An empty table gives an empty
+    result. No candidate is dropped: all windows of shared anchors are compared, byte by byte.
+
+    Whole copies, and segments that repeat within a chunk, do not travel. An anchor in `hot_chunks` chunks or more has its
+    windows dealt one by one, and what is dealt so meets by groups of as many chunks first, of which the earliest holders go on.
     """
     _, size = text_bytes(docs)
     chunks = chunk_count(size, chunk_bytes)
     buckets = chunk_count(size * 2, BUCKET_ANCHORS * (width - ANCHOR + 2))
+    salts = -(-chunks // hot_chunks)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "doc_id"), F.lit(chunks)).alias("chunk")
-    dealt = plain.select(chunk, "doc_id", "text")
+    plain = plain.select("doc_id", F.coalesce("doc_id", F.lit(int(_LAST))).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text")
+    dealt = plain.select(F.pmod(F.xxhash64(F.lit("chunk"), "id", "digest"), F.lit(chunks)).alias("chunk"), "doc_id", "id", "digest", "text")
 
-    digests = plain.where(F.octet_length("text") >= width).select(chunk, F.coalesce("doc_id", F.lit(int(_LAST))).alias("doc_id"), F.sha2("text", 256).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = digests.join(firsts, "digest").where("doc_id > first").select("chunk", F.lit(_COPY).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("data"))
+    # Copies by their digest; a chunk tells each of its digests once.
+    told = dealt.where(F.octet_length("text") >= width).groupBy("chunk", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    firsts = told.groupBy("digest").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").drop("most")
+    packed = F.concat("digest", F.unhex(F.lpad(F.hex("least"), 16, "0")))
+    copies = told.join(firsts, "digest").where("last > least").select(F.col("chunk").alias("chunk"), F.lit(_COPY).alias("kind"), packed.alias("data"))
 
     def tell_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-        hashes, _ = _Chunk(left, right).repeated(width)
+        row, _, _, h = _Chunk(left, right).runs(width)
+        hashes, _ = distinct_anchors(row, h)
         to = _bucket(hashes.view(U64), buckets)
-        order = np.argsort(to, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1]])) if len(to) else np.zeros(0, np.int64)
-        blobs = [x.tobytes() for x in np.split(hashes[order], at[1:])] if len(to) else []
-        return pa.table({"bucket": pa.array(to[order][at]), "chunk": pa.array([left["chunk"][0].as_py()] * len(at), pa.int64()), "data": pa.array(blobs, pa.binary())})
+        order, at, end = parted(to)
+        hashes = hashes[order]
+        blobs = [hashes[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+        return pa.table({"bucket": pa.array(to[order][at]), "chunk": pa.array(np.full(len(at), left["chunk"][0].as_py(), np.int64)), "data": pa.array(blobs, pa.binary())})
 
     def shared_anchors(table: pa.Table) -> pa.Table:
-        chunk_ = table["chunk"].to_numpy()
-        blobs = [np.frombuffer(x, np.int64) for x in table["data"].to_pylist()]
-        h = np.concatenate(blobs)
-        _, inverse, many = np.unique(h, return_inverse=True, return_counts=True)
-        rows, at = [], 0
-        for c, own in zip(chunk_.tolist(), blobs, strict=True):
-            times = many[inverse[at : at + len(own)]]
-            at += len(own)
-            rows += [(c, kind, None, own[take].tobytes()) for kind, take in ((_SHARED, (times > 1) & (times < hot_chunks)), (_HOT, times >= max(2, hot_chunks))) if take.any()]
+        h, many = blobs_of(table["data"])
+        chunk = np.repeat(table["chunk"].to_numpy(), many)
+        order, at, end = parted(h)
+        times = np.empty(len(h), np.int64)
+        times[order] = np.repeat(end - at, end - at)
+        rows = []
+        for kind, take in ((_SHARED, (times > 1) & (times < hot_chunks)), (_HOT, times >= max(2, hot_chunks))):
+            own, of = h[take], chunk[take]
+            order, at, end = parted(of)
+            own, of = own[order], of[order]
+            rows += [(int(of[a]), kind, own[a:b].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
         return _notes(rows)
 
     def tell_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"bucket": [], "chunk": [], "ids": [], "lengths": [], "data": []}
-        if left.num_rows:
-            whole = _Chunk(left, right)
-            number = left["chunk"][0].as_py()
-            _, local = whole.repeated(width)
-            hot = whole.noted[_HOT]
-            wanted = np.unique(np.concatenate([local, whole.noted[_SHARED], hot]))
-            seen: dict[int, int] = {}  # segments: the first document that has each
-            held: list[tuple[np.ndarray, ...]] = []
-            spans: list[np.ndarray] = []
-            for data, offsets, row, start, many, h, a in whole.runs(width):
-                take = np.isin(h.view(np.int64), wanted)
-                row, start, many, h = row[take], start[take], many[take], h[take]
-                if not len(row):
-                    continue
-                to, sums = h, prefix_sums(data)
-                lone = np.isin(h.view(np.int64), hot)
-                if lone.any():
-                    each = np.repeat(np.flatnonzero(lone), many[lone])
-                    turn = np.arange(len(each)) - np.repeat(np.cumsum(many[lone]) - many[lone], many[lone])
-                    row, start, h = (np.concatenate([x[~lone], x[each]]) for x in (row, start, h))
-                    start[len(start) - len(each) :] += turn
-                    many = np.concatenate([many[~lone], np.ones(len(each), many.dtype)])
-                    to = h.copy()
-                    tail = start[len(start) - len(each) :]
-                    to[len(to) - len(each) :] = range_hashes(sums, tail, tail + width)
-                order = np.argsort(row, kind="stable")
-                row, start, many, to = row[order], start[order], many[order], to[order]
-                key = range_hashes(sums, start, start + many + width - 1).view(np.int64).tolist()
-                ids = whole.ids[row]
-                first = np.fromiter((seen.setdefault(k, d) for k, d in zip(key, ids.tolist(), strict=True)), np.int64, len(key))
-                again = first < ids
-                local_start = start - offsets[row - a]
-                spans.append(np.stack([row[again], local_start[again], local_start[again] + many[again] + width - 1], axis=1))
-                keep = np.flatnonzero(~again)
-                size_ = many[keep] + width - 1
-                begin = np.cumsum(size_) - size_
-                index = np.repeat(start[keep] - begin, size_) + np.arange(size_.sum())
-                held.append((_bucket(to[keep], buckets), ids[keep], row[keep], local_start[keep], many[keep], data[index]))
-            if spans and sum(map(len, spans)):
-                out = _add(out, number % buckets, number, b"", b"", np.concatenate(spans).astype(np.int64).tobytes())
-            for b in np.unique(np.concatenate([x[0] for x in held])).tolist() if held else []:
-                ids, sizes, raw = [], [], []
-                for to, doc, row, start, many, data in held:
-                    own = to == b
-                    ids.append(np.stack([doc[own], row[own], start[own]], axis=1))
-                    sizes.append(many[own])
-                    raw.append(data[np.repeat(own, many + width - 1)])
-                out = _add(out, b, number, np.concatenate(ids).astype(np.int64).tobytes(), np.concatenate(sizes).astype(np.int32).tobytes(), np.concatenate(raw).tobytes())
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "chunk": pa.array(out["chunk"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()), "lengths": pa.array(out["lengths"], pa.binary()), "data": pa.array(out["data"], pa.binary())})
+        if not left.num_rows:
+            return _table([])
+        whole = _Chunk(left, right)
+        number = left["chunk"][0].as_py()
+        row, start, many, h = whole.runs(width)
+        _, local = distinct_anchors(row, h)
+        hot = whole.noted[_HOT]
+        take = np.flatnonzero(np.isin(h.view(np.int64), np.concatenate([local, whole.noted[_SHARED], hot])))
+        row, start, many, h = row[take], start[take], many[take], h[take]
+        if not len(row):
+            return _table([])
+        lone = np.isin(h.view(np.int64), hot)
+        sums = prefix_sums(whole.data)
+        if lone.any():  # in the order of rows and starts, as before
+            each = np.repeat(np.arange(len(row)), np.where(lone, many, 1))
+            turn = np.arange(len(each)) - np.searchsorted(each, each)
+            row, start, lone, h = row[each], start[each] + turn, lone[each], h[each]
+            many = np.where(lone, 1, many[each])
+            h[lone] = range_hashes(sums, start[lone], start[lone] + width)
+        ids = whole.ids[row]
+        size = many + width - 1
+        # Of segments that repeat within the chunk, those of later documents are told at once.
+        order, at, end = parted(range_hashes(sums, start, start + size))
+        first = np.empty(len(order), np.int64)
+        first[order] = np.repeat(order[at], end - at)
+        again = np.flatnonzero((ids[first] < ids) & (size[first] == size))
+        again = again[same_bytes(whole.data, start[again], start[first[again]], size[again])]
+        local_start = start - whole.offsets[row]
+        out = []
+        if len(again):
+            out.append((number % buckets, 0, number, b"", b"", np.stack([row[again], local_start[again], local_start[again] + size[again]], axis=1).tobytes()))
+        keep = np.ones(len(row), bool)
+        keep[again] = False
+        keep = np.flatnonzero(keep)
+        salt = np.where(lone[keep] & (salts > 1), 1 + number % salts, 0)
+        to = _bucket(h[keep], buckets)
+        order, at, end = parted(to * (salts + 1) + salt)
+        keep, to, salt = keep[order], to[order], salt[order]
+        told_ = np.stack([ids[keep], row[keep], local_start[keep]], axis=1)
+        n = size[keep]
+        stop = np.append(0, np.cumsum(n))
+        data = pick(whole.data, start[keep], n)
+        lengths = many[keep].astype(np.int32)
+        out += [(int(to[a]), int(salt[a]), number, told_[a:b].tobytes(), lengths[a:b].tobytes(), data[stop[a] : stop[b]].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+        return _table(out)
+
+    def first_holders(table: pa.Table) -> pa.Table:
+        """Of the windows of a group of chunks: spans of those that an earlier document of the group has, and the others."""
+        own, _ = _Windows.read(table, width)
+        spans, hits = own.scan()
+        bucket = table["bucket"][0].as_py()
+        out = [(bucket, 0, c, b"", b"", data) for c, _, data in _by_chunk(spans)]
+        left = np.flatnonzero(hits < own.many)  # segments of one window each
+        order, at, end = parted(own.chunk[left])
+        left = left[order]
+        for a, b in zip(at.tolist(), end.tolist(), strict=True):
+            part = left[a:b]
+            out.append((bucket, 0, int(own.chunk[part[0]]), own.ids[part].tobytes(), own.many[part].astype(np.int32).tobytes(), pick(own.data, own.at[part], own.size[part]).tobytes()))
+        return _table(out)
 
     def scan_windows(table: pa.Table) -> pa.Table:
-        rows, parts = [], []
-        for c, ids, lengths, data in zip(*(table[n].to_pylist() for n in ("chunk", "ids", "lengths", "data")), strict=True):
-            if lengths:
-                parts.append((c, np.frombuffer(ids, np.int64).reshape(-1, 3), np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(data, np.uint8)))
-            else:
-                rows.append((c, _SPANS, None, data))
-        if not parts:
-            return _notes(rows)
-        chunk_ = np.concatenate([np.full(len(p[2]), p[0]) for p in parts])
-        ids, many, data = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        size_ = many + width - 1
-        at = np.cumsum(size_) - size_
-        order = np.lexsort((ids[:, 2], ids[:, 1], chunk_, ids[:, 0]))
-        levels = SuffixLevels(width)
-        found: list[np.ndarray] = []
-        begin = 0
-        total = np.cumsum(many[order])
-        while begin < len(order):
-            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + BATCH, "right")))
-            own = order[begin:end]
-            n = many[own]
-            turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            segment = np.repeat(own, n)
-            hit = levels.add(gather(data, at[segment] + turn, width), ids[segment, 0])
-            segment, turn = segment[hit], turn[hit]
-            if len(segment):
-                head = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (turn[1:] != turn[:-1] + 1)]))
-                tail = np.append(head[1:], len(segment)) - 1
-                s = segment[head]
-                found.append(np.stack([chunk_[s], ids[s, 1], ids[s, 2] + turn[head], ids[s, 2] + turn[tail] + width], axis=1))
-            begin = end
-        if found:
-            every = np.concatenate(found)
-            every = every[np.argsort(every[:, 0], kind="stable")]
-            cuts = np.flatnonzero(every[1:, 0] != every[:-1, 0]) + 1
-            rows += [(int(x[0, 0]), _SPANS, None, np.ascontiguousarray(x[:, 1:]).tobytes()) for x in np.split(every, cuts)]
-        return _notes(rows)
+        own, rows = _Windows.read(table, width)
+        return _notes(rows + _by_chunk(own.scan()[0]))
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans"] if with_text else [])]
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:long,end:long>>" * with_text
@@ -302,16 +400,18 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
             spans = whole.noted[_SPANS].reshape(-1, 3)
             spans = spans[np.argsort(spans[:, 0], kind="stable")]
             first = np.searchsorted(spans[:, 0], np.arange(len(whole.ids) + 1))
-            for a, b in slices(whole.text):
-                data, offsets = utf8_view(whole.text.slice(a, b - a))
-                for i in range(a, b):
-                    raw = data[offsets[i - a] : offsets[i - a + 1]]
-                    begin, end = merged(spans[first[i] : first[i + 1], 1:])
-                    if whole.copies[i] and len(raw) >= width:
-                        begin, end = np.array([0]), np.array([len(raw)])
+            turn = np.cumsum(~whole.copies) - 1
+            copied = pc.fill_null(pc.binary_length(whole.docs["text"]), 0).to_pylist()
+            for i, (doc, copy, k) in enumerate(zip(whole.docs["doc_id"].to_pylist(), whole.copies.tolist(), turn.tolist(), strict=True)):
+                if copy:
+                    line = (doc, copied[i], copied[i], 1, hashlib.sha256().hexdigest())
+                    begin, end = np.array([0]), np.array([copied[i]])
+                else:
+                    raw = whole.data[whole.offsets[k] : whole.offsets[k + 1]]
+                    begin, end = merged(spans[first[k] : first[k + 1], 1:])
                     kept = [raw[x:y].tobytes() for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(raw)], strict=True)]
-                    line = (whole.real[i], len(raw), int((end - begin).sum()), len(begin), hashlib.sha256(b"".join(kept)).hexdigest())
-                    out.append((*line, [{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)]) if with_text else line)
+                    line = (doc, len(raw), int((end - begin).sum()), len(begin), hashlib.sha256(b"".join(kept)).hexdigest())
+                out.append((*line, [{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)]) if with_text else line)
         cols = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=False)})
 
@@ -320,17 +420,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
 
     anchors = together(copies).applyInArrow(tell_anchors, "bucket long, chunk long, data binary")
     shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, _NOTE)
-    windows = together(copies.unionByName(shared)).applyInArrow(tell_windows, "bucket long, chunk long, ids binary, lengths binary, data binary")
+    windows = together(copies.unionByName(shared)).applyInArrow(tell_windows, _WINDOWS)
+    if salts > 1:
+        windows = checkpointed(windows)
+        windows = windows.where("salt = 0").unionByName(windows.where("salt > 0").groupBy("bucket", "salt").applyInArrow(first_holders, _WINDOWS))
     spans = windows.groupBy("bucket").applyInArrow(scan_windows, _NOTE)
     return together(copies.unionByName(spans)).applyInArrow(cut, result)
 
 
-def _add(out: dict[str, list], bucket: int, chunk: int, ids: bytes, lengths: bytes, data: bytes) -> dict[str, list]:
-    for name, value in zip(out, (bucket, chunk, ids, lengths, data), strict=True):
-        out[name].append(value)
-    return out
-
-
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of spans that touch or overlap: starts, ends."""
     if not len(spans):

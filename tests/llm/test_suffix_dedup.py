@@ -54,6 +54,33 @@ def test_matches_brute_force(spark, monkeypatch, hot, chunk_bytes):
     assert {d: sorted(x) for d, x in got.items()} == plain(docs)
 
 
+def test_a_document_is_its_id_and_its_text(spark):
+    """Neither another text of a copy's id nor another text without an id goes with the copy."""
+    a, u, v = texts(3, 11, 90, 900)
+    docs = [(1, a), (None, a), (None, u), (5, a), (5, v), (None, None), (5, v)]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(table(spark, docs)).collect())
+    n = {t: len(t) for t in (a, u, v)}
+    assert min(n.values()) >= 50
+    assert got == sorted([(1, n[a], 0), (0, n[a], n[a]), (0, n[u], 0), (5, n[a], n[a]), (5, n[v], 0), (0, 0, 0), (5, n[v], 0)])
+
+
+def test_blocks_find_the_windows_of_one_buffer(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 101, 3000, dtype=np.uint8)
+    offsets = np.array([0, 10, 10, 700, 1500, 1560, 3000])
+
+    def windows(runs):
+        row, start, many, h = runs
+        return [(r, s + i, x) for r, s, m, x in zip(row.tolist(), start.tolist(), many.tolist(), h.tolist()) for i in range(m)]
+
+    whole = object.__new__(suffix_dedup._Chunk)
+    whole.data, whole.offsets = data, offsets
+    every = windows(whole.runs(50))
+    assert [(r, s) for r, s, _ in every] == [(r, s) for r in range(6) for s in range(offsets[r], offsets[r + 1] - 49)]
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
+    assert windows(whole.runs(50)) == every
+
+
 def test_levels_stay_geometric_and_find_earlier_documents():
     rng = np.random.default_rng(1)
     family, first = suffix_dedup.SuffixLevels(4), {}
