@@ -16,6 +16,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
+#: Bytes that are hashed or gathered at once, however long a text is.
+BLOCK = 1 << 20
+
 #: The six bytes that contracts count as space: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,6 +52,16 @@ def chunk_count(df_bytes: int, target: int) -> int:
     return max(1, -(-int(df_bytes) // target))
 
 
+def dealt_texts(docs: DataFrame, chunks: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """chunk, doc_id, id (doc_id, or the greatest long without one), digest (SHA-256 of the text), text, and columns to carry.
+
+    Documents are dealt by id and digest, so that neither one id nor the rows without one come to a single chunk.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    named = plain.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text", *carry)
+    return named.select(F.pmod(F.xxhash64(F.lit("chunk"), "id", "digest"), F.lit(chunks)).alias("chunk"), "doc_id", "id", "digest", "text", *carry)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column."""
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
@@ -154,3 +167,61 @@ def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
 
 def string_rows(column: pa.Array, begin: int, end: int) -> list[str]:
     return [x or "" for x in column.slice(begin, end - begin).to_pylist()]
+
+
+def range_blocks(size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of ranges of these sizes, BLOCK bytes or one range at a time: first and last range, whose each byte is, its turn."""
+    total = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BLOCK, "right")))
+        n = size[a:b]
+        whose = np.repeat(np.arange(a, b), n)
+        yield a, b, whose, np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
+        a = b
+
+
+def pick(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all ranges, one after the other."""
+    out = np.empty(int(size.sum()), np.uint8)
+    at = 0
+    for _, _, whose, turn in range_blocks(size):
+        out[at : at + len(whose)] = data[start[whose] + turn]
+        at += len(whose)
+    return out
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs of ranges, none of them empty, say the same."""
+    out = np.ones(len(size), bool)
+    for _, _, whose, turn in range_blocks(size):
+        out[whose[data[start[whose] + turn] != data[other[whose] + turn]]] = False
+    return out
+
+
+def whole_column(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def blobs_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The longs of all blobs of a binary column, and how many each has."""
+    data, offsets = utf8_view(whole_column(column))
+    return np.frombuffer(data.tobytes(), np.int64), np.diff(offsets) // 8
+
+
+def parted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, the place of each key's first in that order, and where the last of them ends."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
+    return order, at, np.append(at, len(k))[1:]
+
+
+def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of spans that touch or overlap: starts, ends."""
+    if not len(spans):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    head = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
+    return spans[head, 0], reach[np.append(head[1:], len(spans)) - 1]

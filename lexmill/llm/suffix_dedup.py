@@ -9,7 +9,6 @@ the levels of all earlier batches, and join the levels, which merge whenever two
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import U64, checkpointed, chunk_count, mix, prefix_sums, range_hashes, text_bytes, utf8_view, window_hashes
+from lexmill.llm.common import BLOCK, U64, blobs_of, checkpointed, chunk_count, dealt_texts, merged, mix, parted, pick, prefix_sums, range_hashes, same_bytes, text_bytes, utf8_view, whole_column, window_hashes
 
 ANCHOR = 20
 #: Bytes of text handled as one group, and anchors to a bucket.
 CHUNK_BYTES = 2 << 20
-#: Bytes that are hashed at once, however long a text is.
-BLOCK = 1 << 20
 BUCKET_ANCHORS = 200_000
 #: Windows of an anchor that so many chunks share are dealt one by one, not by their anchor.
 HOT_CHUNKS = 1000
@@ -31,7 +28,7 @@ HOT_CHUNKS = 1000
 BATCH = 1 << 16
 
 _COPY, _SHARED, _HOT, _SPANS = 0, 1, 2, 3
-_LAST = np.iinfo(np.int64).max
+_LAST = np.iinfo(np.int64).max  # no earlier document
 
 
 class SuffixLevels:
@@ -152,54 +149,6 @@ def distinct_anchors(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[head], h[head][row[tail] != row[head]]
 
 
-def range_blocks(size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Blocks of ranges of these sizes, BLOCK bytes or one range at a time: first and last range, whose each byte is, its turn."""
-    total = np.cumsum(size)
-    a = 0
-    while a < len(size):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BLOCK, "right")))
-        n = size[a:b]
-        whose = np.repeat(np.arange(a, b), n)
-        yield a, b, whose, np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
-        a = b
-
-
-def pick(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of all ranges, one after the other."""
-    out = np.empty(int(size.sum()), np.uint8)
-    at = 0
-    for _, _, whose, turn in range_blocks(size):
-        out[at : at + len(whose)] = data[start[whose] + turn]
-        at += len(whose)
-    return out
-
-
-def same_bytes(data: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which pairs of ranges, none of them empty, say the same."""
-    out = np.ones(len(size), bool)
-    for _, _, whose, turn in range_blocks(size):
-        out[whose[data[start[whose] + turn] != data[other[whose] + turn]]] = False
-    return out
-
-
-def whole_column(column) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
-def blobs_of(column) -> tuple[np.ndarray, np.ndarray]:
-    """The longs of all blobs of a binary column, and how many each has."""
-    data, offsets = utf8_view(whole_column(column))
-    return np.frombuffer(data.tobytes(), np.int64), np.diff(offsets) // 8
-
-
-def parted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by key, the place of each key's first in that order, and where the last of them ends."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
-    return order, at, np.append(at, len(k))[1:]
-
-
 _NOTE = "chunk long, kind int, data binary"
 _WINDOWS = "bucket long, salt long, chunk long, ids binary, lengths binary, data binary"
 
@@ -289,9 +238,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
     chunks = chunk_count(size, chunk_bytes)
     buckets = chunk_count(size * 2, BUCKET_ANCHORS * (width - ANCHOR + 2))
     salts = -(-chunks // hot_chunks)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plain = plain.select("doc_id", F.coalesce("doc_id", F.lit(int(_LAST))).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text")
-    dealt = plain.select(F.pmod(F.xxhash64(F.lit("chunk"), "id", "digest"), F.lit(chunks)).alias("chunk"), "doc_id", "id", "digest", "text")
+    dealt = dealt_texts(docs, chunks)
 
     # Copies by their digest; a chunk tells each of its digests once.
     told = dealt.where(F.octet_length("text") >= width).groupBy("chunk", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
@@ -426,13 +373,3 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
         windows = windows.where("salt = 0").unionByName(windows.where("salt > 0").groupBy("bucket", "salt").applyInArrow(first_holders, _WINDOWS))
     spans = windows.groupBy("bucket").applyInArrow(scan_windows, _NOTE)
     return together(copies.unionByName(spans)).applyInArrow(cut, result)
-
-
-def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of spans that touch or overlap: starts, ends."""
-    if not len(spans):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    head = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
-    return spans[head, 0], reach[np.append(head[1:], len(spans)) - 1]

@@ -55,6 +55,75 @@ def test_matches_brute_force(spark):
     assert sum(r[2] for r in got) > 1000
 
 
+def plain_reach(docs, reach):
+    """Runs extended along the earliest holder of their outer chunks; one text an id."""
+    cuts = {d: plain_cuts(t.encode(), 16, 128) for d, t in docs}
+    raw = {d: t.encode() for d, t in docs}
+    first = {}
+    for d in sorted(cuts):
+        for a, b in cuts[d]:
+            first.setdefault(raw[d][a:b], (d, a, b))
+    out = {}
+    for d, cut in cuts.items():
+        runs = []
+        for a, b in cut:
+            if first[raw[d][a:b]][0] < d:
+                if runs and runs[-1][1] == a:
+                    runs[-1][1:] = [b, first[raw[d][a:b]]]
+                else:
+                    runs.append([a, b, first[raw[d][a:b]]])
+        spans = []
+        for a, b, (e, _, y) in runs:
+            k, x, _ = first[raw[d][a : next(j for i, j in cut if i == a)]]
+            n = m = 0
+            while n < min(a, x, reach) and raw[d][a - n - 1] == raw[k][x - n - 1]:
+                n += 1
+            while m < min(len(raw[d]) - b, len(raw[e]) - y, reach) and raw[d][b + m] == raw[e][y + m]:
+                m += 1
+            spans.append((a - n, b - a + n + m))
+        out[d] = sum(e - s for s, e in chunk_dedup._runs(raw[d], sorted(spans), 96))
+    return out
+
+
+def test_reach_matches_brute_force(spark):
+    rng = random.Random(16)
+    passages = texts(8, 17, 90)
+    docs = []
+    for d, t in zip(rng.sample(range(1000), 60), texts(60, 18, 60, 800)):
+        w = t.split()
+        for _ in range(rng.randrange(3)):
+            w[(at := rng.randrange(len(w))) : at] = rng.choice(passages).split()[rng.randrange(5) :]
+        docs.append((d, " ".join(w)))
+    for more in ({}, {"chunk_bytes": 2000, "reach": 20}):
+        found = chunk_dedup.remove_repeats(table(spark, docs).repartition(3), **{"reach": 512} | more).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in found} == plain_reach(docs, more.get("reach", 512))
+
+
+def test_groups_of_parts_lose_no_repeat(spark, monkeypatch):
+    monkeypatch.setattr(chunk_dedup, "BUCKET_BYTES", 2000)
+    docs = rows()
+    one, many = ({(r["doc_id"], r["kept_text"], r["n_chunks"]) for r in chunk_dedup.remove_repeats(table(spark, docs), **more).collect()} for more in ({}, {"chunk_bytes": 1500, "fan": 3}))
+    assert one == many
+
+
+def test_a_document_is_its_id_and_its_text(spark):
+    """What a copy loses, no other text of its id loses."""
+    a, v, w = texts(3, 11, 90, 900)
+    docs = [(1, a), (5, a), (5, v), (None, a), (None, w), (5, a), (6, v)]
+    for reach in (0, 512):
+        got = sorted((r["doc_id"] or 0, r["kept_text"]) for r in chunk_dedup.remove_repeats(table(spark, docs), reach=reach).collect())
+        assert got == sorted([(1, a), (5, ""), (5, v), (0, a), (0, w), (5, ""), (6, "")])
+
+
+def test_blocks_cut_alike(monkeypatch):
+    data, offsets = utf8_view(__import__("pyarrow").array(texts(40, 19, 90)))
+    s, e = chunk_dedup.chunk_ends(data, offsets, 16, 128)
+    d = chunk_dedup.digests(data, s, e)
+    monkeypatch.setattr(chunk_dedup, "BLOCK", 50)
+    again = chunk_dedup.chunk_ends(data, offsets, 16, 128)
+    assert np.array_equal(s, again[0]) and np.array_equal(e, again[1]) and np.array_equal(d, chunk_dedup.digests(data, s, e))
+
+
 def test_chunks_fall_in_step_after_an_insertion():
     text = " ".join(texts(40, 12, 60))
     cut = {}
