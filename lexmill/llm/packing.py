@@ -23,7 +23,7 @@ _AGREED = 0x250
 
 
 def _encoder(path: str):
-    """The tokenizer of a JSON file, and a faster encoder over the same vocabulary and merges."""
+    """The tokenizer of a JSON file, the tokens it has beside its vocabulary, and a faster encoder over the same merges."""
     if path not in _encoders:
         import json
 
@@ -32,26 +32,29 @@ def _encoder(path: str):
         from tokenizers.pre_tokenizers import ByteLevel
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            told = json.load(f)
+        vocabulary, added = told["model"]["vocab"], tuple(t["content"] for t in told["added_tokens"])
         # The byte of each character in a byte-level vocabulary: printable Latin-1 stands for itself, the rest from 256 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         if set(byte) != set(ByteLevel.alphabet()):
             raise ValueError(f"{path} is not a byte-level vocabulary")
-        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word) and not word.startswith("<|")}
+        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word) and word not in added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _encoders[path] = slow, tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = slow, added, tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
 def encode(path: str, text: str) -> np.ndarray:
-    """Token ids as uint32. Texts of unusual characters go through the tokenizer itself, the others through its faster twin."""
-    slow, fast = _encoder(path)
+    """Token ids as uint32, as the tokenizer gives them without adding special tokens; those that a text spells out are its own.
+
+    Texts of unusual characters or with added tokens go through the tokenizer itself, the others through its faster twin.
+    """
+    slow, added, fast = _encoder(path)
     if not text:
         return np.zeros(0, "<u4")
-    if text.isascii() or max(text) < chr(_AGREED):
+    if (text.isascii() or max(text) < chr(_AGREED)) and not any(t in text for t in added):
         return np.array(fast.encode_ordinary(text), "<u4")
     return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
 

@@ -11,9 +11,7 @@ from tests.llm.helpers import ODD, table, texts
 
 
 def tokenizer():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def check(rows, docs, capacity):
@@ -50,7 +48,7 @@ def check(rows, docs, capacity):
 
 def test_round_trip(spark):
     rng = random.Random(91)
-    rows = texts(300, 92, 120) + ODD + ["Ж" * 30 + " 中文   x", "<|endoftext|> it's", "\t\n  \x85 a b", " ".join(texts(1, 93, 3000) * 40)]
+    rows = texts(300, 92, 120) + ODD + ["Ж" * 30 + " 中文   x", "<|endoftext|> it's", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", " <|endoftext|> Ж", "\t\n  \x85 a b", " ".join(texts(1, 93, 3000) * 40)]
     docs = list(zip(rng.sample(range(5000), len(rows)), rows)) + [(None, "no id"), (7000, rows[0])]
     docs.append(docs[3])
     for capacity in (64, 2048):
@@ -65,6 +63,9 @@ def test_the_fast_encoder_agrees():
     for _ in range(2000):
         text = "".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(32, 127), rng.choice([32, 10, 9, 13, 0xA0, 0x85, 39])])) for _ in range(rng.randrange(60)))
         assert packing.encode(tokenizer_path(), text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert packing.encode(tokenizer_path(), "<|endoftext|> it's").tolist() == t.encode("<|endoftext|> it's", add_special_tokens=False).ids == [50256, 340, 338]
+    for text in texts(3, 96, 20_000, 4000) + ["x" * 30_000, " " * 9000 + "é" * 9000, "a1" * 20_000]:
+        assert packing.encode(tokenizer_path(), text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_best_two_fit():
