@@ -14,12 +14,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import U64, mix, prefix_sums, range_hashes, slices, utf8_view, word_spans
+from lexmill.llm.common import U64, checkpointed, mix, prefix_sums, range_hashes, slices, utf8_view, word_spans
 
 #: Fixed masks: 1 counts, 0 is ignored.
 MASKS = ("11101011", "1101001011", "110010100111")
-#: Bytes of benchmark text sent to the executors at once. A larger benchmark goes through in several passes.
+#: Bytes of benchmark text that a task holds at most. A larger benchmark is dealt to blocks, each to so many tasks.
 BLOCK_BYTES = 8 << 20
+SALTS = 64
+#: Bits of the filter over the seeds of a larger benchmark, and of one of its pages.
+BLOOM, PAGE_BITS = 1 << 27, 20
+#: Tokens of items that are aligned with documents at once.
+DIAGONAL_TOKENS = 1 << 19
 #: In an overlap, a token that differs costs as much as so many equal ones earn.
 PENALTY = 3
 
@@ -48,34 +53,42 @@ def seeds(tokens: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, n
     return mix(h[at]), at
 
 
+def item_seeds(tokens: np.ndarray, first: np.ndarray, masks: tuple[str, ...]) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Mask, hashes, places and items of all seeds. An item shorter than the shortest mask has one for all of its tokens."""
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    shortest = min(map(len, masks))
+    out = []
+    for mask in (*masks, *("1" * k for k in sorted(set(n[(n > 0) & (n < shortest)].tolist())))):
+        h, at = seeds(tokens, row, mask)
+        if len(mask) < shortest:
+            own = n[row[at]] == len(mask)
+            h, at = h[own], at[own]
+        out.append((mask, h, at, row[at]))
+    return out
+
+
 class Benchmark:
     """A block of benchmark items: their tokens and a sorted table of their seeds."""
 
     def __init__(self, ids: list, texts: list[str | None], masks: tuple[str, ...]) -> None:
         self.ids = ids
         self.tokens, self.first = token_hashes(pa.array(texts, pa.string()))
-        n = np.diff(self.first)
-        row = np.repeat(np.arange(len(ids)), n)
-        shortest = min(map(len, masks))
-        self.masks = (*masks, *("1" * k for k in sorted(set(n[(n > 0) & (n < shortest)].tolist()))))
+        self.sizes = np.diff(self.first)
         self.tables = []
-        for mask in self.masks:
-            h, at = seeds(self.tokens, row, mask)
-            if len(mask) < shortest:  # for items of just so many tokens
-                own = n[row[at]] == len(mask)
-                h, at = h[own], at[own]
+        for mask, h, at, row in item_seeds(self.tokens, self.first, masks):
             order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
+            h, at, row = h[order], at[order], row[order]
             bits = max(16, min(24, int(len(h) * 32).bit_length()))
             maybe = np.zeros(1 << bits, bool)
             maybe[(h & U64((1 << bits) - 1)).astype(np.int64)] = True
-            self.tables.append((h, at, row[at], maybe, U64((1 << bits) - 1)))
+            self.tables.append((mask, h, at, row, maybe, U64((1 << bits) - 1)))
 
     def candidates(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (row, item, diagonal) of the hits; a diagonal is where the item's first token would stand."""
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         found = [np.zeros((0, 3), np.int64)]
-        for mask, (h, at, item, maybe, low) in zip(self.masks, self.tables, strict=True):
+        for mask, h, at, item, maybe, low in self.tables:
             if not len(h):
                 continue
             g, where = seeds(tokens, row, mask)
@@ -87,21 +100,53 @@ class Benchmark:
             found.append(np.stack([row[place], item[each], place - (at[each] - self.first[item[each]])], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
-    def overlap(self, tokens: np.ndarray, begin: int, end: int, item: int, diagonal: int, least: int = 0) -> tuple[int, int, int]:
-        """The best overlap on a diagonal with `least` equal tokens: how many, its first token in the item, its length."""
-        own = self.tokens[self.first[item] : self.first[item + 1]]
-        a, b = max(diagonal, begin), min(diagonal + len(own), end)
-        same = own[a - diagonal : b - diagonal] == tokens[a:b]
-        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-        gain = score - np.minimum.accumulate(score)
-        stop = int(gain.argmax())
-        start = int(np.flatnonzero(score[: stop + 1] == score[: stop + 1].min())[-1])
-        if same[start:stop].sum() < least <= same.sum():  # another stretch may have enough of them
-            enough = [(gain, -start, stop) for gain, start, stop in stretches(same.tolist()) if same[start:stop].sum() >= least]
+    def overlaps(self, tokens: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+        """row, item, equal tokens, length, place in the row, place in the item: the best overlap of each row and item that has
+        enough equal tokens on a diagonal (see stretches); the most equal tokens, then the shortest, then the earliest."""
+        found = self.candidates(tokens, first)
+        best = [np.zeros((0, 6), np.int64)]
+        room = np.cumsum(self.sizes[found[:, 1]]) // DIAGONAL_TOKENS
+        for part in np.split(found, np.flatnonzero(np.diff(room)) + 1) if len(found) else ():
+            best.append(self._best(part, tokens, first, least))
+        out = np.concatenate(best)
+        out = out[np.lexsort((out[:, 4], out[:, 3], -out[:, 2], out[:, 1], out[:, 0]))]
+        return out[np.concatenate([np.ones(min(1, len(out)), bool), (out[1:, :2] != out[:-1, :2]).any(axis=1)])]
+
+    def _best(self, found: np.ndarray, tokens: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+        row, item, diagonal = found.T
+        a, b = np.maximum(diagonal, first[row]), np.minimum(diagonal + self.sizes[item], first[row + 1])
+        n, need = b - a, np.minimum(least, self.sizes[item])
+        edge = np.cumsum(n + 1) - (n + 1)  # a zero, then the scores, for each diagonal
+        pair = np.repeat(np.arange(len(n)), n)
+        turn = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        same = self.tokens[self.first[item[pair]] + a[pair] - diagonal[pair] + turn] == tokens[a[pair] + turn]
+        step = np.zeros(int((n + 1).sum()), np.int64)
+        step[edge[pair] + turn + 1] = np.where(same, 1, -PENALTY)
+        equal = np.zeros(len(step), np.int64)
+        equal[edge[pair] + turn + 1] = same
+        score, equal = np.cumsum(step), np.cumsum(equal)
+        whose = np.repeat(np.arange(len(n)), n + 1)
+        score -= whose * (int(np.ptp(score)) + 1)  # no lowest score of a diagonal reaches into the next
+        low = np.minimum.accumulate(score)
+        place = np.arange(len(score))
+        begin = np.maximum.accumulate(np.where(score == low, place, 0))
+        gain = score - low
+        top = np.maximum.reduceat(gain, edge)
+        stop = np.full(len(n), len(score))
+        np.minimum.at(stop, whose[gain == top[whose]], place[gain == top[whose]])
+        start = begin[stop]
+        match = equal[stop] - equal[start]
+        start, stop = start - edge, stop - edge
+        total = equal[np.append(edge[1:], len(score)) - 1] - equal[edge]
+        for i in np.flatnonzero((match < need) & (total >= need)).tolist():  # another stretch may have enough of them
+            own = same[np.searchsorted(pair, i) : np.searchsorted(pair, i, "right")]
+            enough = [(gain, -x, y) for gain, x, y in stretches(own.tolist()) if own[x:y].sum() >= need[i]]
             if enough:
-                _, start, stop = max(enough)
-                start = -start
-        return int(same[start:stop].sum()), a - diagonal + start, stop - start
+                _, x, stop[i] = max(enough)
+                start[i] = -x
+                match[i] = own[start[i] : stop[i]].sum()
+        out = np.stack([row, item, match, stop - start, a + start - first[row], a - diagonal + start], axis=1)
+        return out[match >= need]
 
 
 def stretches(same: list[bool]) -> list[tuple[int, int, int]]:
@@ -125,55 +170,140 @@ def stretches(same: list[bool]) -> list[tuple[int, int, int]]:
     return [(high - low, start, stop) for start, stop, low, high in found]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, masks: tuple[str, ...] = MASKS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, n_match, n_overlap, n_item, score, doc_token, item_token: a document's best overlap with an item.
+_RESULT = "doc_id long, item_id long, n_items long, n_match int, n_overlap int, n_item int, score double, doc_token long, item_token int"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32())
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, masks: tuple[str, ...] = MASKS, block_bytes: int = BLOCK_BYTES, salts: int = SALTS) -> DataFrame:
+    """doc_id, item_id, n_items, n_match, n_overlap, n_item, score, doc_token, item_token: where a document overlaps the benchmark.
 
     An overlap runs along aligned tokens and gains one for an equal token and loses PENALTY for one that differs; it counts
-    with `least` equal tokens or more, or with all of a shorter item's; of the maximal stretches that have them the best is taken. score is n_match over the item's tokens. docs: doc_id, text;
-    benchmark: item_id, text; other columns are ignored. Null and empty texts have no tokens and no overlaps, an empty table
-    on either side gives no rows, rows repeated give rows repeated, a null id stays null. Every document is read for each
-    block of the benchmark, which holds block_bytes of it at most (or one item).
+    with `least` equal tokens or more, or with all of a shorter item's; of the maximal stretches that have them the best is
+    taken, and of a document and an item the one of the most equal tokens. Items that overlap a document alike (in the same
+    tokens of it, with as many equal ones, as those with a common preamble do) make one row, of the least item_id, with their
+    number in n_items. score is n_match over the item's tokens. docs: doc_id, text; benchmark: item_id, text; other columns
+    are ignored. Null and empty texts have no tokens and no overlaps, an empty table on either side gives no rows, rows of
+    docs repeated give rows repeated, a null id stays null.
+
+    A benchmark of up to block_bytes goes to all executors. A larger one is dealt to blocks of that size at most (or one
+    item); hashes of documents and of blocks are joined, documents go to the blocks that they share a hash with, dealt over
+    `salts` tasks a block, and a row is given for each of them (of items alike in two blocks, for each block).
     """
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * int(size) // block_bytes))
-    schema = "doc_id long, item_id long, n_match int, n_overlap int, n_item int, score double, doc_token long, item_token int"
-    out = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = part.collect()
+    if size <= block_bytes:
+        rows = items.collect()
         block = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        found = plain.mapInArrow(_search(block, masks, least, schema), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(*block.value, masks)
+            for batch in batches:
+                yield from _search(bench, batch.column(0), batch.column(1), least)
+
+        return plain.mapInArrow(run, _RESULT)
 
-def _search(block, masks: tuple[str, ...], least: int, schema: str):
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32())
-    names = [c.split()[0] for c in schema.split(", ")]
+    blocks = -(-2 * int(size) // block_bytes)
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    plain = plain.withColumn("h", F.xxhash64("doc_id", "text"))
+    hits = shared_seeds(plain, items, masks)
+    # Documents, after the items of each task's block, which every salt has.
+    far = plain.join(hits, "h").select("block", F.pmod(F.xxhash64(F.lit("salt"), "h"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "text")
+    near = items.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), F.col("item_id").alias("id"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(*block.value, masks)
-        sizes = np.diff(bench.first)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bench, ids, texts = None, None, [], []
+        for batch in batches:
+            key = batch.column(0).to_numpy() * salts + batch.column(1).to_numpy()
+            kind = batch.column(2).to_numpy()
+            for a, b in _even(key * 2 + kind):
+                if key[a] != at:
+                    at, bench, ids, texts = key[a], None, [], []
+                if kind[a] == 0:
+                    ids += batch.column(3).slice(a, b - a).to_pylist()
+                    texts += batch.column(4).slice(a, b - a).to_pylist()
+                else:
+                    bench = bench or Benchmark(ids, texts, masks)
+                    yield from _search(bench, batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a), least)
+
+    return near.unionByName(far).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(stream, _RESULT)
+
+
+def _even(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of equal keys."""
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    yield from zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True)
+
+
+def shared_seeds(plain: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """h, block: documents (h, text) and blocks of items (block, text) that share a seed.
+
+    A Bloom filter of fixed size over the items' seeds keeps most others of the documents at home.
+    """
+    shortest = min(map(len, masks))
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                block = batch.column(0).slice(a, b - a).to_numpy()
+                for mask, h, _, row in item_seeds(*token_hashes(batch.column(1).slice(a, b - a)), masks):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(block[row]), pa.array(np.full(len(h), len(mask), np.int32))], names=["seed", "block", "length"])
+
+    def page(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PAGE_BITS, bool)
+        bits[table["bit"].to_numpy() & ((1 << PAGE_BITS) - 1)] = True
+        return pa.table({"page": pa.array([table["page"][0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    known = checkpointed(items.select("block", "text").mapInArrow(of_items, "seed long, block long, length int").distinct())
+    short = [int(r[0]) for r in known.where(F.col("length") < shortest).select("length").distinct().collect()]  # a number for each short length
+    every = (*masks, *("1" * k for k in sorted(short)))
+    places = known.select(F.explode(F.array(F.expr(f"seed & {BLOOM - 1}"), F.expr(f"shiftrightunsigned(seed, 32) & {BLOOM - 1}"))).alias("bit")).distinct()
+    pages = places.withColumn("page", F.shiftright("bit", PAGE_BITS)).groupBy("page").applyInArrow(page, "page long, bits binary").collect()  # BLOOM bits at most
+    bloom = np.zeros(BLOOM, bool)
+    for r in pages:
+        bloom[r["page"] << PAGE_BITS : (r["page"] + 1) << PAGE_BITS] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    box = plain.sparkSession.sparkContext.broadcast(np.packbits(bloom))
+
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 tokens, first = token_hashes(batch.column(1).slice(a, b - a))
-                best: dict[tuple[int, int], tuple] = {}
-                for row, item, diagonal in bench.candidates(tokens, first).tolist():
-                    match, start, length = bench.overlap(tokens, int(first[row]), int(first[row + 1]), item, diagonal, int(min(least, sizes[item])))
-                    if match >= min(least, sizes[item]):
-                        place = diagonal + start - int(first[row])
-                        best[row, item] = max(best.get((row, item), (0,)), (match, -length, -place, start))
-                ids = batch.column(0).slice(a, b - a).to_pylist()
-                out = [(ids[r], bench.ids[i], m, -n, int(sizes[i]), m / int(sizes[i]), -p, s) for (r, i), (m, n, p, s) in sorted(best.items())]
-                cols = list(zip(*out, strict=True)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                name = batch.column(0).slice(a, b - a).to_numpy()
+                for mask in every:
+                    h, at = seeds(tokens, row, mask)
+                    for shift in (0, 32):
+                        bit = (h >> U64(shift) & U64(BLOOM - 1)).astype(np.int64)
+                        own = box.value[bit >> 3] >> (7 - (bit & 7)) & 1 == 1
+                        h, at = h[own], at[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[row[at]])], names=["seed", "h"])
+
+    told = plain.select("h", "text").mapInArrow(of_documents, "seed long, h long").distinct()
+    return told.join(known.select("seed", "block"), "seed").select("h", "block").distinct()
 
-    return run
+
+def _search(bench: Benchmark, ids: pa.Array, column: pa.Array, least: int) -> Iterator[pa.RecordBatch]:
+    """The overlaps of texts; one row for the items of a document that overlap it alike."""
+    names = [c.split()[0] for c in _RESULT.split(", ")]
+    number = np.array([(1 << 63) - 1 if i is None else i for i in bench.ids], np.int64)
+    for a, b in slices(column):
+        found = bench.overlaps(*token_hashes(column.slice(a, b - a)), least)
+        row, item, match, length, place, at = found[np.lexsort((number[found[:, 1]], found[:, 2], found[:, 3], found[:, 4], found[:, 0]))].T
+        alike = np.stack([row, place, length, match])
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (alike[:, 1:] != alike[:, :-1]).any(axis=0)]))
+        many = np.diff(np.append(head, len(row)))
+        row, item, match, length, place, at = (x[head] for x in (row, item, match, length, place, at))
+        size = bench.sizes[item]
+        columns = (ids.slice(a, b - a).take(pa.array(row)), pa.array([bench.ids[i] for i in item.tolist()], pa.int64()), many, match, length, size, match / np.maximum(size, 1), place, at)
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(k) for c, k in zip(columns, _KINDS, strict=True)], names=names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 12) -> DataFrame:
-    """The rows of docs that no benchmark item overlaps, all columns kept. Rows without doc_id stay."""
-    hit = overlaps(docs, benchmark, least).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs (doc_id, text) whose text overlaps no benchmark item, all columns kept, whatever their names.
+
+    A document is judged by its text, named by 64 bits of its hash: another text of its doc_id, or another without one, stays. Null and empty texts
+    stay, repeated rows go or stay together, an empty benchmark takes nothing away.
+    """
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.lit("text"), F.col("text").cast("string")).alias("name"), F.col("text").cast("string").alias("text"))
+    hit = overlaps(named.select(F.col("name").alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias("name")).distinct()
+    return named.join(hit, "name", "left_anti").select("row.*")

@@ -53,9 +53,11 @@ def test_matches_brute_force(spark):
     docs, items = cases()
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {(d, i, m) for d, t in docs for i, x in items if (m := plain(t, x))}
-    for block in (8 << 20, 200):
-        got = {(r["doc_id"], r["item_id"], r["n_match"]) for r in D.overlaps(table(spark, docs).repartition(3), bench, block_bytes=block).collect()}
-        assert got == want
+    for block in (8 << 20, 600):
+        found = D.overlaps(table(spark, docs).repartition(3), bench, block_bytes=block, salts=3).collect()
+        got = {(r["doc_id"], r["item_id"], r["n_match"]) for r in found}
+        assert got <= want and sum(r["n_items"] for r in found) == len(want)
+        assert {(d, m) for d, _, m in got} == {(d, m) for d, _, m in want}
     assert len(want) > 20
     left = {r["doc_id"] for r in D.decontaminate(table(spark, docs), bench).collect()}
     assert left == {d for d, _ in docs} - {d for d, _, _ in want}
@@ -69,6 +71,22 @@ def test_a_shorter_run_of_more_gain_hides_no_overlap(spark):
     assert sorted((r["doc_id"], r["n_match"], r["n_overlap"], r["item_token"]) for r in found) == [(1, 13, 14, 15), (2, 12, 14, 15)]
 
 
+def test_items_with_a_common_preamble_make_one_row_a_document(spark):
+    preamble = "read the question below with care and then choose the one best answer of all"
+    items = [(i, preamble + " " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(300)]
+    docs = [(d, f"text {d} says {preamble} and more") for d in range(100)] + [(200, "before " + items[57][1]), (None, items[3][1]), (200, "clean text of the same id")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (8 << 20, 8000):
+        found = D.overlaps(table(spark, docs), bench, block_bytes=block, salts=2).collect()
+        assert sum(r["n_items"] for r in found) == 102 * 300
+        assert {(r["doc_id"], r["n_items"]) for r in found if r["item_id"] == 57} == {(200, 1)} or block == 8000
+        assert max(r["n_match"] for r in found if r["doc_id"] == 200) == 35
+        if block > 8000:
+            assert len(found) == 100 + 2 + 2
+    left = D.decontaminate(table(spark, docs), bench).collect()
+    assert [(r["doc_id"], r["text"]) for r in left] == [(200, "clean text of the same id")]
+
+
 def test_empty_tables(spark):
     docs, items = cases()
     none = spark.createDataFrame([], "item_id long, text string")
