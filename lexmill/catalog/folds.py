@@ -159,7 +159,10 @@ def extract_refs(spark, sf):
     return found.select("o_orderkey", "eu_document_id", "type", "year", "number", "community", "eu_article", "reference_type", "full_citation")
 
 
-@query("ref_context", f"""SELECT doc_id, {sql_spaced("right(left(text, 500), 119) || ' Directive 2016/680 ' || left(substr(text, 501), 119)")} AS context FROM documents""")
+@query("ref_context", f"""SELECT doc_id, {sql_spaced("right(left(text, length(text) // 2), 119) || ' Directive 2016/680 ' || left(substr(text, length(text) // 2 + 1), 119)")} AS context FROM documents""")
 def ref_context(spark, sf):
-    docs = A.read(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 500), F.lit(" Directive 2016/680 "), F.expr("substring(text, 501)")).alias("said"), F.least(F.lit(500), F.char_length("text")).alias("before"))
-    return docs.select("doc_id", extract.context(F.col("said"), F.col("before") + 2, F.lit(18)).alias("context"))
+    """What stands around a reference in the middle of a text."""
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    docs = A.read(spark, sf, "documents").select("doc_id", "text", half.alias("before"))
+    said = docs.select("doc_id", F.concat(F.expr("substring(text, 1, before)"), F.lit(" Directive 2016/680 "), F.expr("substring(text, before + 1)")).alias("said"), "before")
+    return said.select("doc_id", extract.context(F.col("said"), F.col("before") + 2, F.lit(18)).alias("context"))

@@ -46,48 +46,98 @@ best AS (SELECT id, round(-({score}), 6) AS relevance FROM cnt, st WHERE hit)
 {rest}"""
 
 
-_SHOW = """SELECT document_id, document_title, provision_ref, chapter, section, title, relevance FROM (
-  SELECT p.*, d.title AS document_title, b.relevance FROM best b JOIN prov p USING (id) JOIN doc d ON d.id = p.document_id {where} ORDER BY b.relevance, p.id LIMIT {twice}) ORDER BY relevance, CAST(section AS BIGINT) LIMIT {limit}"""
+def sql_snippet(found: list[Q.Phrase], before: str = ">>>", after: str = "<<<", gap: str = "...", width: int = 32) -> str:
+    """An expression over content, w (its words), b (what stands between them), c (its tokens) and n (their number)."""
+    places = []
+    for p in found:
+        fits = " AND ".join(f"starts_with(c[i + {k}], '{w}')" if p.prefix and k == len(p.words) - 1 else f"c[i + {k}] = '{w}'" for k, w in enumerate(p.words))
+        places.append(f"list_filter(range(1, n - {len(p.words) - 2}), lambda i: {fits})")
+    last = f"greatest(1, least({{i}}, n - {width - 1}))"
+    if len(found) == 1:
+        start = last.format(i=f"coalesce({places[0]}[1], 1)")
+    else:
+        starts = "list_distinct(flatten([[CAST(1 AS BIGINT)], " + ", ".join(f"list_transform({x}, lambda i: {last.format(i='i')})" for x in places) + "]))"
+        hits = " + ".join(f"CASE WHEN len(list_filter({x}, lambda i: i >= s AND i + {len(p.words) - 1} < s + {width})) > 0 THEN 1 ELSE 0 END" for p, x in zip(found, places, strict=True))
+        start = f"-list_max(list_transform({starts}, lambda s: {{'hits': {hits}, 's': -s}})).s"
+    return f"""CASE WHEN n = 0 THEN content ELSE (SELECT CASE WHEN s > 1 THEN '{gap}' ELSE b[1] END || array_to_string(list_transform(range(s, least(n, s + {width - 1}) + 1), lambda j:
+  CASE WHEN j > s THEN b[j] ELSE '' END || CASE WHEN {" OR ".join(f"len(list_filter(at{k}, lambda i: i <= j AND j < i + {len(p.words)})) > 0" for k, p in enumerate(found))} THEN '{before}' || w[j] || '{after}' ELSE w[j] END), '')
+  || CASE WHEN s + {width - 1} < n THEN '{gap}' ELSE b[n + 1] END FROM (SELECT {start} AS s, {", ".join(f"{x} AS at{k}" for k, x in enumerate(places))})) END"""
+
+
+#: Words and what stands between them, for snippets.
+_SHOWN = r"(SELECT *, len(c) AS n, regexp_extract_all(content, '[\p{L}\p{N}\p{Co}]+') AS w, regexp_split_to_array(content, '[\p{L}\p{N}\p{Co}]+') AS b FROM tok)"
+
+
+def sql_search(text: str, where: str = "true", limit: int = 10, drop: tuple[str, ...] = ("snippet",)) -> str:
+    """The ladder of a query's variants, the strictest that a row within `where` meets, its best rows; else contents by LIKE."""
+    trees = search.plans(text)
+    some = [(i, t) for i, t in enumerate(trees) if t is not None]
+    every = list(dict.fromkeys(p for _, t in some for p in Q.phrases(t)))
+    counts = "".join(f", {sql_count(p.words, p.prefix)} AS f{i}" for i, p in enumerate(every))
+    df = "".join(f", count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(every)))
+    met = "".join(f", {sql_matches(t)} AS m{i}" for i, t in some)
+    case = lambda of, rest="": "CASE " + " ".join(f"WHEN {of[0](i)} THEN {of[1](i, t)}" for i, t in some) + f"{rest} END"
+    score = lambda t: "round(-(" + " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i, p in enumerate(every) if p in Q.phrases(t)) + "), 6)"
+    pattern = Q.like_pattern(Q.sanitize(text)).lower().replace("'", "''")
+    columns = ", ".join(c for c in search.RESULT if c not in drop)
+    snippet = "" if "snippet" in drop else ", CASE WHEN tier IS NULL THEN substr(content, 1, 200) ELSE " + case((lambda i: f"tier = {i}", lambda i, t: sql_snippet([p for p in Q.phrases(t) if p.words]))) + " END AS snippet"
+    return SQL + f""", cnt AS MATERIALIZED (SELECT id, len(c) + len(t) AS size{met}{counts} FROM tok), st AS (SELECT count(*) AS n, avg(size) AS mean{df} FROM cnt),
+inside AS (SELECT p.id, d.title AS document_title FROM prov p JOIN doc d ON d.id = p.document_id WHERE {where}),
+rung AS (SELECT min({case((lambda i: f"m{i}", lambda i, t: str(i)))}) AS tier FROM cnt JOIN inside USING (id)),
+best AS (SELECT id, tier, {case((lambda i: f"tier = {i}", lambda i, t: score(t)))} AS relevance FROM cnt, st, rung WHERE {" OR ".join(f"(tier = {i} AND m{i})" for i, _ in some)}
+  UNION ALL SELECT id, NULL, 0.0 FROM prov, rung WHERE tier IS NULL AND translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '{pattern}'),
+top AS (SELECT * FROM best JOIN inside USING (id) ORDER BY relevance, id LIMIT {2 * limit}),
+firsts AS (SELECT t.*, x.* EXCLUDE (id, title){', x.title' if 'title' not in drop else ''}{snippet}, row_number() OVER (PARTITION BY document_title, provision_ref ORDER BY relevance, t.id) AS turn FROM top t JOIN {_SHOWN} x USING (id))
+SELECT {columns} FROM firsts WHERE turn = 1 ORDER BY relevance, id LIMIT {limit}"""
 
 
 def _found(spark, sf, text, **args):
     return search.search(A.store(spark, sf), text, **args).rows.drop("snippet")
 
 
-@query("search_topk", sql_ranked("ndat AND estion", _SHOW.format(where="", twice=20, limit=10)))
+@query("search_topk", sql_search("ndat   (estion)"))
 def search_topk(spark, sf):
-    """The strictest variant with matches: both words, next to each other nowhere."""
+    """The strictest variant with matches."""
     return _found(spark, sf, "ndat   (estion)")
 
 
-@query("search_single", sql_ranked("esat", _SHOW.format(where="", twice=100, limit=50)))
+@query("search_single", sql_search("esat", limit=50))
 def search_single(spark, sf):
     return _found(spark, sf, "esat", limit=400)
 
 
-@query("search_status_document", sql_ranked("eou OR esat", _SHOW.format(where="WHERE d.status = 'in_force' AND d.id = 'src0'", twice=40, limit=20)))
+@query("search_status_document", sql_search("eou OR esat", "d.status = 'in_force' AND d.id = 'src0'", 20))
 def search_status_document(spark, sf):
     return _found(spark, sf, "eou OR esat", document="Act src0", status="in_force", limit=20)
 
 
-@query("search_cascade", sql_ranked("xyzzyflurble OR ndat", _SHOW.format(where="", twice=20, limit=10)))
+@query("search_cascade", sql_search("xyzzyflurble ndat"))
 def search_cascade(spark, sf):
     """Nothing is met before the loosest variant: either word will do."""
     return _found(spark, sf, "xyzzyflurble ndat")
 
 
-@query("stance", sql_ranked("eou AND ai", _SHOW.format(where="", twice=10, limit=5).replace("chapter, ", "")))
+@query("search_snippets", sql_search("of the ndat", limit=20, drop=()))
+def search_snippets(spark, sf):
+    return search.search(A.store(spark, sf), "of the ndat", limit=20).rows
+
+
+@query("stance", sql_search("eou AND ai", limit=5, drop=("snippet", "chapter")))
 def stance(spark, sf):
     return search.stance(A.store(spark, sf), "eou AND ai").rows.drop("snippet")
 
 
-@query("like_search", A.SQL + """SELECT document_id, document_title, provision_ref, chapter, section, title, snippet, CAST(0 AS DOUBLE) AS relevance FROM (SELECT p.*, d.title AS document_title, substr(content, 1, 200) AS snippet
-  FROM prov p JOIN doc d ON d.id = p.document_id WHERE translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%th%,%ed%' ORDER BY p.id LIMIT 10)""")
+@query("like_search", sql_search("th , ed", drop=()))
 def like_search(spark, sf):
-    """A comma alone is no term of a query: all variants but the phrase are syntax errors, and no row has the phrase."""
+    """A comma alone is no term of a query: all variants but the phrase are syntax errors. Without the phrase, LIKE answers."""
     return search.search(A.store(spark, sf), "th , ed").rows
 
 
+@query("like_search_only", sql_search("the , of , and", drop=()))
+def like_search_only(spark, sf):
+    return search.search(A.store(spark, sf), "the , of , and").rows
+
+
 def _ids(spark, sf, text):
     tree = Q.parse(text)
     counts, columns = search.counted(A.provisions(spark, sf), Q.phrases(tree))
@@ -142,13 +192,11 @@ def query_variants(spark, sf):
     return spark.createDataFrame([(i, k, v) for i, s in enumerate(said) for k, v in enumerate(Q.variants(Q.sanitize(s)))], "q int, turn int, variant string")
 
 
-@query("snippet", SQL + r"""SELECT id, regexp_replace(content, '\b(esat)\b', '>>>\1<<<', 'gi') AS snippet FROM tok WHERE len(c) <= 32
-  UNION ALL SELECT id, NULL FROM tok WHERE len(c) > 32""")
+@query("snippet", SQL + f"SELECT id, {sql_snippet([Q.Phrase(('esat',))])} AS snippet FROM {_SHOWN}")
 def snippet(spark, sf):
-    shown = T.with_snippet(A.provisions(spark, sf), "content", [(("esat",), False)])
-    return shown.select("id", F.when(F.size(T.tokens(F.col("content"))) <= 32, F.col("snippet")).alias("snippet"))
+    return T.with_snippet(A.provisions(spark, sf), "content", [(("esat",), False)]).select("id", "snippet")
 
 
-@query("snippet_long")
+@query("snippet_long", SQL + f"SELECT id, {sql_snippet([Q.Phrase(('esat',)), Q.Phrase(('of', 'th'), True)])} AS snippet FROM {_SHOWN}")
 def snippet_long(spark, sf):
     return T.with_snippet(A.provisions(spark, sf), "content", [(("esat",), False), (("of", "th"), True)]).select("id", "snippet")

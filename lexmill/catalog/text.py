@@ -90,9 +90,9 @@ def section_key_roundtrip(spark, sf):
     )
 
 
-@query("provision_ref", "SELECT doc_id, 's' || lower(regexp_replace(substr(text, 1, 40), '[^0-9A-Za-z]', '', 'g')) AS ref, lang AS number FROM documents")
+@query("provision_ref", "SELECT doc_id, 's' || lower(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')) AS ref, lang AS number FROM documents")
 def provision_ref(spark, sf):
-    return A.read(spark, sf, "documents").select("doc_id", X.provision_ref(F.substring("text", 1, 40)).alias("ref"), X.section_number(F.concat(F.lit("s"), "lang")).alias("number"))
+    return A.read(spark, sf, "documents").select("doc_id", X.provision_ref(F.col("text")).alias("ref"), X.section_number(F.concat(F.lit("s"), "lang")).alias("number"))
 
 
 _TENS, _ONES = ("", "X", "XX", "XXX", "XL", "L"), ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")
@@ -135,13 +135,17 @@ def parse_citation(spark, sf):
 
 
 
-@query("sanitize_query", f"""SELECT doc_id, CASE WHEN regexp_matches(q, '\\b(AND|OR|NOT)\\b') THEN {sql_spaced("regexp_replace(q, '[{}\\[\\]^~*:]', ' ', 'g')")} ELSE {sql_spaced("regexp_replace(q, '[''\"(){}\\[\\]^~:]', ' ', 'g')")} END AS cleaned
-  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '("x" AND {{y}}) OR ' ELSE '["a: b' END || text AS q FROM documents WHERE NOT contains(text, '*'))
-  UNION ALL SELECT doc_id, NULL FROM documents WHERE contains(text, '*')""")
+#: A star stays at a word's end; of several there, the last.
+_BARE = "regexp_replace(q, '[''\"(){}\\[\\]^~:]', ' ', 'g')"
+_PLAIN_Q = f"regexp_replace(regexp_replace({_BARE}, '\\*+([^*{_WS[1:]})', ' \\1', 'g'), '\\*\\*+', ' *', 'g')"
+
+
+@query("sanitize_query", f"""SELECT doc_id, CASE WHEN regexp_matches(q, '\\b(AND|OR|NOT)\\b') THEN {sql_spaced("regexp_replace(q, '[{}\\[\\]^~*:]', ' ', 'g')")} ELSE {sql_spaced(_PLAIN_Q)} END AS cleaned
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '("x" AND {{y}}) OR ' ELSE '["a: b' END || CASE WHEN doc_id % 3 = 1 THEN '*c **d e** f* ***' ELSE '' END || text AS q FROM documents)""")
 def sanitize_query(spark, sf):
-    docs = A.read(spark, sf, "documents")
-    q = F.concat(F.when(F.col("doc_id") % 3 == 0, '("x" AND {y}) OR ').otherwise('["a: b'), "text")
-    return docs.select("doc_id", F.when(~F.contains("text", F.lit("*")), X.sanitized(q)).alias("cleaned"))
+    n = F.col("doc_id") % 3
+    q = F.concat(F.when(n == 0, '("x" AND {y}) OR ').otherwise('["a: b'), F.when(n == 1, "*c **d e** f* ***").otherwise(""), "text")
+    return A.read(spark, sf, "documents").select("doc_id", X.sanitized(q).alias("cleaned"))
 
 
 _STEM = "CASE " + " ".join(f"WHEN ends_with(lower(w), '{s}') AND length(w) - {len(s)} >= 3 THEN left(lower(w), -{len(s)})" for s in X.SUFFIXES) + " END"

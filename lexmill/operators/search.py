@@ -62,7 +62,8 @@ def bm25(stats, columns: dict[Q.Phrase, Column], used: list[Q.Phrase]) -> Column
     return -score
 
 
-def _plans(query: str) -> list:
+def plans(query: str) -> list:
+    """The trees of a query's variants; None for a variant that is a syntax error."""
     out = []
     for variant in Q.variants(Q.sanitize(query)):
         try:
@@ -100,7 +101,7 @@ def search(store: Store, query: str | None, document: str | None = None, status:
         wanted = wanted.where(F.col("document_id") == resolved)
     if status:
         wanted = wanted.where(F.col("_status") == status)
-    trees = _plans(query)
+    trees = plans(query)
     every = list(dict.fromkeys(p for t in trees if t is not None for p in Q.phrases(t)))
     if every:
         counts, columns = counted(provisions, every)
