@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.catalog import adapters as A
 from lexmill.catalog.registry import query
 from lexmill.operators import citation, dedupe, relations, reports, resolve
-from lexmill.schema import Store, orphans, violations
+from lexmill.schema import Store, lacking, orphans, repeated, violations
 from lexmill.sources.seed import as_json, digest
 
 
@@ -205,7 +205,7 @@ def about_stats(spark, sf):
     return reports.about(A.store(spark, sf))
 
 
-@query("list_sources", "SELECT 'free' AS tier, '1.0' AS schema_version, '2026-01-01T00:00:00Z' AS built_at, (SELECT count(DISTINCT source) FROM documents) AS document_count, (SELECT count(*) FROM documents) AS provision_count")
+@query("list_sources", "SELECT 'free' AS tier, '1.0' AS schema_version, '2026-01-01T00:00:00Z' AS built_at, " + ", ".join(f"'{v}' AS {k}" for k, v in reports.SOURCE.items()) + ", 'hu,en' AS languages, (SELECT count(DISTINCT source) FROM documents) AS document_count, (SELECT count(*) FROM documents) AS provision_count")
 def list_sources(spark, sf):
     return reports.list_sources(A.store(spark, sf))
 
@@ -294,14 +294,40 @@ def primary_impl(spark, sf):
     return dedupe.mark_primary(refs, "id").select("id", "document_id", "eu_document_id", "reference_type", "is_primary_implementation", "implementation_status")
 
 
-@query("override_union", """SELECT n_nationkey AS id, coalesce(r_name, n_name) AS title, n_regionkey AS status FROM nation LEFT JOIN region ON r_regionkey = n_nationkey
-  UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region""")
+@query("override_union", """WITH found AS (SELECT p_partkey AS position, CAST(p_partkey % 3000 AS VARCHAR) AS document_id, p_name AS title, CASE WHEN p_partkey % 3 > 0 THEN '2001-01-01' END AS day, 'https://x/' || p_partkey AS url FROM part),
+own AS (SELECT s_suppkey AS position, CASE s_suppkey % 10 WHEN 0 THEN 'sub-' || s_suppkey % 20 ELSE 'act-' || s_suppkey % 40 END AS id, CASE WHEN s_suppkey % 4 > 0 OR s_suppkey % 10 = 0 THEN CAST(s_suppkey // 2 AS VARCHAR) END AS document_id, s_name AS title, CAST(s_suppkey AS VARCHAR) AS day FROM supplier),
+whole AS (SELECT document_id, arg_min(id, position) AS id, arg_min(title, position) AS title, arg_min(day, position) AS day FROM own WHERE document_id IS NOT NULL AND NOT starts_with(id, 'sub-') GROUP BY 1),
+every AS (SELECT coalesce(w.id, 'hu-law-' || f.document_id) AS id, CASE WHEN w.id IS NULL THEN f.title ELSE w.title END AS title, 'in_force' AS status, coalesce(f.day, w.day) AS in_force_date, url,
+    CASE WHEN w.id IS NULL THEN 'Official Hungarian statute text from Nemzeti Jogszabalytar (njt.hu).' ELSE 'curated' END AS description, 0 AS later, position FROM found f LEFT JOIN whole w USING (document_id)
+  UNION ALL SELECT id, title, 'amended', day, NULL, 'curated', 1, position FROM own WHERE starts_with(id, 'sub-'))
+SELECT id, title, status, in_force_date, url, description FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY later, position) AS turn FROM every) WHERE turn = 1""")
 def override_union(spark, sf):
-    found = A.read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("status"))
-    region = A.read(spark, sf, "region")
-    curated = region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("title"), F.lit(None).cast("int").alias("status"))
-    aliases = region.select((F.col("r_regionkey") + 100).alias("id"), F.col("r_name").alias("title"), F.lit(None).cast("int").alias("status"))
-    return dedupe.keep_first(dedupe.override(found, curated, "id", ("title",), ("status",)).unionByName(aliases), ("id",), "title")
+    none = F.lit(None).cast("string")
+    key, n = F.col("p_partkey"), F.col("s_suppkey")
+    found = A.read(spark, sf, "part").select(
+        key.alias("position"), (key % 3000).cast("string").alias("document_id"), F.col("p_name").alias("title"), none.alias("title_en"), F.lit("in_force").alias("status"), none.alias("issued_date"),
+        F.when(key % 3 > 0, "2001-01-01").alias("in_force_date"), F.concat(F.lit("https://x/"), key.cast("string")).alias("url"), none.alias("description"),
+    )
+    name = F.when(n % 10 == 0, F.concat(F.lit("sub-"), (n % 20).cast("string"))).otherwise(F.concat(F.lit("act-"), (n % 40).cast("string")))
+    curated = A.read(spark, sf, "supplier").select(
+        n.alias("position"), name.alias("id"), F.when((n % 4 > 0) | (n % 10 == 0), F.floor(n / 2).cast("string")).alias("document_id"), F.col("s_name").alias("title"), none.alias("title_en"), none.alias("short_name"), F.lit("amended").alias("status"),
+        none.alias("issued_date"), n.cast("string").alias("in_force_date"), none.alias("url"), F.lit("curated").alias("description"),
+    )
+    return dedupe.full_corpus(found, curated, ("sub-0", "sub-10")).select("id", "title", "status", "in_force_date", "url", "description")
+
+
+@query("key_violations", """SELECT 'id' AS key, CAST(l_orderkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1
+  UNION ALL SELECT 'document_id, provision_ref', l_suppkey || '|' || CASE WHEN l_linenumber > 1 THEN l_partkey END, count(*) FROM lineitem WHERE l_linenumber > 1 GROUP BY l_suppkey, l_linenumber > 1, l_partkey HAVING count(*) > 1""")
+def key_violations(spark, sf):
+    rows = A.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").cast("string").alias("document_id"), F.when(F.col("l_linenumber") > 1, F.col("l_partkey").cast("string")).alias("provision_ref"))
+    return repeated("legal_provisions", rows)
+
+
+@query("null_violations", """SELECT id, lacks FROM (SELECT doc_id AS id, unnest(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'document_id' END, CASE WHEN lang = 'en' THEN 'section' END], lambda v: v IS NOT NULL)) AS lacks FROM documents)""")
+def null_violations(spark, sf):
+    docs = A.read(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("document_id"), F.lit("s").alias("provision_ref"), F.when(F.col("lang") != "en", F.col("lang")).alias("section"), F.coalesce("text", F.lit("")).alias("content"))
+    return lacking("legal_provisions", rows).select("id", "lacks")
 
 
 @query("store_missing_tables", "SELECT 'EU references not available in this database tier' AS note, 0 AS n")

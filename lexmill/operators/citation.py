@@ -27,13 +27,24 @@ PATTERNS = (
 
 
 def parsed(c: Column) -> Column:
-    """A struct of document and section (null without one); null for a blank citation."""
-    said = F.regexp_replace(c, rf"^{_S}+|{_S}+\z", "")
-    out = F.struct(said.alias("document"), F.lit(None).cast("string").alias("section"))
-    for pattern, doc, section in reversed(PATTERNS):
-        found = F.struct(F.trim(F.regexp_extract(said, pattern, doc)).alias("document"), (F.regexp_extract(said, pattern, section) if section else F.lit(None).cast("string")).alias("section"))
-        out = F.when(said.rlike(pattern), found).otherwise(out)
-    return F.when(said != "", out)
+    """A struct of document and section (null without one); null for a blank citation.
+
+    The trimmed citation is bound once, and its patterns are tried in turn, outside generated code, which seven of them with
+    their groups would make too large.
+    """
+
+    def read(said: Column) -> Column:
+        out = F.struct(said.alias("document"), F.lit(None).cast("string").alias("section"))
+        for pattern, doc, section in reversed(PATTERNS):
+            found = F.struct(F.trim(F.regexp_extract(said, pattern, doc)).alias("document"), (F.regexp_extract(said, pattern, section) if section else F.lit(None).cast("string")).alias("section"))
+            out = F.when(said.rlike(pattern), found).otherwise(out)
+        return F.when(said != "", out)
+
+    return F.element_at(F.transform(F.array(_trimmed(c)), read), 1)
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{_S}+|{_S}+\z", "")
 
 
 def lookup_rank(ref: Column, provision_ref: Column, section: Column) -> Column:
@@ -93,16 +104,20 @@ def validate_citations(store: Store, citations: DataFrame) -> DataFrame:
 
 def format_citations(store: Store, citations: DataFrame, style: str = "full") -> DataFrame:
     """original, formatted. `pinpoint` shows the section alone; other styles the act and the section."""
-    said = F.regexp_replace(F.col("citation"), rf"^{_S}+|{_S}+\z", "")
     formal = rf"(?iu)^(\d{{4}})\.{_S}*évi{_S}+([IVXLCDM]+)\.{_S}*törvény(?:{_S}+({_NUMBER})\.{_S}*§)?"
     by_id = rf"(?i)^({_ID}){_S}+s(\d+[A-Za-z]*(?:/[A-Za-z])?)\z"
     first, last = PATTERNS[4][0], PATTERNS[6][0]
-    g = lambda pattern, i: F.regexp_extract(said, pattern, i)
-    formal_name = F.concat(g(formal, 1), F.lit(". évi "), g(formal, 2), F.lit(". törvény"))
-    kind = F.when(said.rlike(formal), "formal").when(said.rlike(by_id), "id").when(said.rlike(first), "first").when(said.rlike(last), "last").otherwise("plain")
-    act = F.when(F.col("kind") == "formal", formal_name).when(F.col("kind") == "id", g(by_id, 1)).when(F.col("kind") == "first", g(first, 2)).when(F.col("kind") == "last", g(last, 1)).otherwise(said)
-    section = F.when(F.col("kind") == "formal", F.nullif(g(formal, 3), F.lit(""))).when(F.col("kind") == "id", g(by_id, 2)).when(F.col("kind") == "first", g(first, 1)).when(F.col("kind") == "last", g(last, 2))
-    each = citations.select("citation").withColumn("kind", kind).withColumns({"act": act, "section": section})
+
+    def read(said: Column) -> Column:
+        g = lambda pattern, i: F.regexp_extract(said, pattern, i)
+        one = lambda kind, act, section: F.struct(F.lit(kind).alias("kind"), act.alias("act"), section.alias("section"))
+        formal_name = F.concat(g(formal, 1), F.lit(". évi "), g(formal, 2), F.lit(". törvény"))
+        out = F.when(said.rlike(formal), one("formal", formal_name, F.nullif(g(formal, 3), F.lit(""))))
+        out = out.when(said.rlike(by_id), one("id", g(by_id, 1), g(by_id, 2))).when(said.rlike(first), one("first", g(first, 2), g(first, 1)))
+        return out.when(said.rlike(last), one("last", g(last, 1), g(last, 2))).otherwise(one("plain", said, F.lit(None).cast("string")))
+
+    # As in parsed.
+    each = citations.select("citation", F.element_at(F.transform(F.array(_trimmed(F.col("citation"))), read), 1).alias("_c")).select("citation", "_c.*")
     formal_acts = resolve(store["legal_documents"], each.where("kind = 'formal'").select(F.col("act").alias("said")).distinct()).where("document_id is not null")
     ids = each.where("kind = 'id'").select(F.col("act").alias("said")).distinct().withColumn("document_id", F.col("said"))
     titles = formal_acts.unionByName(ids.select(formal_acts.columns)).join(store["legal_documents"].select(F.col("id").alias("document_id"), "title"), "document_id").select(F.col("said").alias("act"), "title")

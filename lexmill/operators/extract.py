@@ -9,14 +9,16 @@ from lexmill.functions import text as X
 from lexmill.operators.dedupe import keep_first
 
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
-#: Patterns in the order in which they are tried, with the groups of year, number and community.
+_S = X.SPACES
+#: Patterns in the order in which they are tried, with the groups of year, number and community.
 PATTERNS = (
-    (rf"(?i){_B}(Regulation|Directive)\s*\((EU|EC|EEC|Euratom)\)\s*(?:No\.?\s*)?(\d{{2,4}})/(\d{{1,4}}){_E}", 3, 4, 2),
-    (rf"(?i){_B}(Regulation|Directive)\s*(?:No\.?\s*)?(\d{{2,4}})/(\d{{1,4}})/(EU|EC|EEC|Euratom){_E}", 2, 3, 4),
-    (rf"(?i){_B}(Regulation|Directive)\s*(?:No\.?\s*)?(\d{{2,4}})/(\d{{1,4}}){_E}", 2, 3, None),
+    (rf"(?i){_B}(Regulation|Directive){_S}*\((EU|EC|EEC|Euratom)\){_S}*(?:No\.?{_S}*)?(\d{{2,4}})/(\d{{1,4}}){_E}", 3, 4, 2),
+    (rf"(?i){_B}(Regulation|Directive){_S}*(?:No\.?{_S}*)?(\d{{2,4}})/(\d{{1,4}})/(EU|EC|EEC|Euratom){_E}", 2, 3, 4),
+    (rf"(?i){_B}(Regulation|Directive){_S}*(?:No\.?{_S}*)?(\d{{2,4}})/(\d{{1,4}}){_E}", 2, 3, None),
 )
 CONTEXT = 120
-_ARTICLE = rf"(?i){_B}Article\s+(\d+[A-Za-z]?(?:\(\d+\))?)"
+#: What an article is called, and words that tell of an implementation.
+_ARTICLE = rf"(?i){_B}Article{_S}+(\d+[A-Za-z]?(?:\(\d+\))?)"
 _IMPLEMENTS = rf"(?i){_B}(implement|align|transpos|equivalent){_E}"
 
 

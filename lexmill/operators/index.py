@@ -34,6 +34,12 @@ def write_index(rows: DataFrame, folder: str, columns: tuple[str, ...] = ("conte
     lengths(rows, columns).write.mode("overwrite").parquet(f"{folder}/lengths")
 
 
+def current(posts: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of the rows as the last batch with each left them; a row that it took away has a null length."""
+    last = sizes.groupBy("id").agg(F.max(F.struct("batch", "n")).alias("_l")).where("_l.n is not null").select("id", "_l.batch", "_l.n")
+    return posts.join(last.select("id", "batch"), ["id", "batch"], "left_semi").drop("batch"), last.drop("batch")
+
+
 def lengths(rows: DataFrame, columns: tuple[str, ...] = ("content", "title")) -> DataFrame:
     size = F.size(T.tokens(F.col(columns[0])))
     for c in columns[1:]:

@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators.dedupe import keep_first, keep_longest, mark_primary, unique_unless_null
 from lexmill.operators.extract import act_url, eu_references
 from lexmill.schema import Store, valid_eu_document
 from lexmill.sources.seed import children
+from lexmill.storage import checkpoint_dir
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with an id from 1 in this order, which tells any two rows apart.
+
+    Rows are dealt by ranges of the order and numbered within each; only the sizes of the ranges come together. Numbers are
+    written to the checkpoint folder, so that they stay what they are.
+    """
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_m", 33)
+    sizes = sorted((r["p"], r["n"]) for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], 0
+    for p, n in sizes:  # a row for each partition
+        before.append((p, total))
+        total += n
+    offsets = spark.createDataFrame(before, "_p long, _before long")
+    # A row a partition.
+    return dealt.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn("id", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_m", "_before")
+
+
+def attempts(seeds: DataFrame, store: Store) -> DataFrame:
+    """name, attempted, kept: rows that the files of a load held of each kind, and what the rules left of them."""
+    tried = {"legal_documents": seeds.count(), "legal_provisions": children(seeds, "provisions").count(), "definitions": children(seeds, "definitions").count()}
+    return store.spark.createDataFrame([(name, n, store[name].count()) for name, n in tried.items()], "name string, attempted long, kept long")
 
 
 def build(spark: SparkSession, seeds: DataFrame, mappings: DataFrame, built_at: str, folder: str) -> Store:
-    """Builds and saves the store. A file's documents come in the order of file names; ids follow that order.
+    """Builds and saves the store, all of its tables or none. A file's documents come in the order of file names; ids follow that order.
 
     Edges come from the text of provisions, then from mappings whose statute is known; acts that break a constraint are left
     out, with their edges.
@@ -20,13 +47,7 @@ def build(spark: SparkSession, seeds: DataFrame, mappings: DataFrame, built_at:
     documents = keep_first(seeds, ("id",), "file").select("id", "type", "title", "title_en", "short_name", "status", "issued_date", "in_force_date", "url", "description", F.lit(built_at).try_cast("timestamp").alias("last_updated"))
     kept = keep_longest(children(seeds, "provisions"), ("document_id", "provision_ref"), "content", "pos")
     provisions = kept.select("file", "pos", "document_id", "provision_ref", "chapter", "section", "title", "content", "metadata")
-    numbered = provisions.withColumn("id", F.row_number().over(Window.partitionBy("document_id").orderBy("file", "pos")).cast("long"))
-    offsets = numbered.groupBy("document_id").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("n"))
-    offsets = offsets.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("file", "document_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("document_id", "_before")
-    provisions = numbered.join(offsets, "document_id").withColumn("id", F.col("id") + F.col("_before")).select("id", "document_id", "provision_ref", "chapter", "section", "title", "content", "metadata")
-    store = Store(spark, {"legal_documents": documents, "legal_provisions": provisions})
-    store.save(folder)
-    provisions = spark.read.parquet(f"{folder}/legal_provisions")
+    provisions = numbered(provisions, "file", "document_id", "pos").select("id", "document_id", "provision_ref", "chapter", "section", "title", "content", "metadata")
     defined = keep_first(children(seeds, "definitions"), ("document_id", "term"), "file", "pos")
     definitions = defined.select(F.xxhash64("document_id", "term").alias("id"), "document_id", "term", "term_en", "definition", "source_provision")
 
@@ -39,11 +60,11 @@ def build(spark: SparkSession, seeds: DataFrame, mappings: DataFrame, built_at:
         F.lit(None).cast("string").alias("reference_context"), F.lit(None).cast("string").alias("full_citation"), F.coalesce(F.col("is_primary").cast("int"), F.lit(0)).alias("is_primary_implementation"), F.coalesce("implementation_status", F.lit("unknown")).alias("implementation_status"), F.lit(9).alias("pattern"), F.lit(0).alias("at"),
     )
     every = unique_unless_null(edges.unionByName(mapped), ("source_id", "eu_document_id"), "eu_article", "pattern", "at").drop("pattern", "at")
-    references = every.withColumn("id", F.xxhash64("source_type", "source_id", "eu_document_id", "eu_article"))
+    references = numbered(every, "source_type", "source_id", "eu_document_id", "eu_article", "reference_type", "is_primary_implementation", "implementation_status")
     acts = found.select(F.col("eu_document_id").alias("id"), "type", "year", "number", "community", F.lit(None).cast("string").alias("title"), F.concat(F.initcap("type"), F.lit(" "), F.col("year").cast("string"), F.lit("/"), F.col("number").cast("string")).alias("short_name"), F.lit(1).alias("_rank"))
     acts = acts.unionByName(known.select(F.col("eu_document_id").alias("id"), F.col("eu_type").alias("type"), F.col("eu_year").alias("year"), F.col("eu_number").alias("number"), F.col("eu_community").alias("community"), F.col("eu_title").alias("title"), F.col("eu_short_name").alias("short_name"), F.lit(2).alias("_rank")))
     acts = keep_first(acts, ("id",), "_rank", "community", "title", "short_name").drop("_rank")
     acts = acts.withColumns({"in_force": F.lit(True), "url": act_url(F.col("type"), F.col("year"), F.col("number"))})
     metadata = spark.createDataFrame([("tier", "free"), ("schema_version", "2"), ("built_at", built_at), ("jurisdiction", "HU")], "key string, value string")
-    Store(spark, {"definitions": definitions, "eu_documents": acts, "eu_references": references, "db_metadata": metadata}).save(folder)
+    Store(spark, {"legal_documents": documents, "legal_provisions": provisions, "definitions": definitions, "eu_documents": acts, "eu_references": references, "db_metadata": metadata}).save(folder)
     return Store.load(spark, folder)

@@ -15,8 +15,9 @@ LEGACY_CLASS = r"(?i)(preambulum|bekezdes|pont|alpont|mondat|szoveg|szelet)"
 SECTION_RANGES = {"act-cxii-2011-public-data": (26, 39)}
 SECTION_SETS = {"criminal-code-cybercrime": ("422", "423", "424")}
 KEEPS_TITLE = (*SECTION_RANGES, *SECTION_SETS)
+#: What marks a block, and how a definition is written.
 MARKER = r'<span class="jhId" id="([^"]+)"></span>'
-DEFINITION = r"(?<![0-9A-Za-z_])\d+\.\s*([^:;]{2,120}):\s*([^;]{10,500})(?=;\s*\d+\.|\z)"
+DEFINITION = rf"(?<![0-9A-Za-z_])\d+\.{X.SPACES}*([^:;]{{2,120}}):{X.SPACES}*([^;]{{10,500}})(?=;{X.SPACES}*\d+\.|\z)"
 
 
 def blocks(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ from lexmill.schema import Store
 #: A store older than this many days is stale.
 STALE_DAYS = 90
 CORE = ("legal_documents", "legal_provisions")
+#: Where the statutes come from, and what is said beside them.
+JURISDICTION = "HU"
+SOURCE = {
+    "name": "Nemzeti Jogszabálytár (National Legislation Database)",
+    "authority": "Magyar Közlöny (Hungarian Official Gazette)",
+    "url": "https://njt.hu",
+    "license": "Official legal text publication (see portal terms at njt.hu)",
+    "coverage": "Curated set of key Hungarian statutes covering data protection, cybersecurity, electronic commerce, telecommunications, public procurement, trade secrets, trust services, and criminal cybercrime provisions",
+}
+LANGUAGES = ("hu", "en")
+DISCLAIMER = "This is a research tool, not legal advice. Verify critical citations against official sources."
 
 
 def table_counts(store: Store, tables: tuple[str, ...]) -> DataFrame:
@@ -35,9 +48,26 @@ def about(store: Store) -> DataFrame:
     return store.spark.createDataFrame(shown, "name string, n long")
 
 
+def about_record(store: Store, version: str) -> dict:
+    """What a store is: its counts, source, age and fingerprint, and what to keep in mind."""
+    stats = {r["name"].removeprefix("legal_"): r["n"] for r in about(store).collect()}
+    built = metadata(store["db_metadata"]).first()["built_at"]
+    return {"version": version, "jurisdiction": JURISDICTION, "stats": stats, "data_sources": [{"name": SOURCE["name"], "url": SOURCE["url"], "authority": SOURCE["authority"]}], "freshness": {"database_built": built}, "fingerprint": fingerprint(store), "disclaimer": DISCLAIMER}
+
+
+def fingerprint(store: Store) -> str:
+    """12 hexadecimal digits that change with the store's metadata and the rows of its core tables, whatever their order."""
+    parts = [f"{r['key']}={r['value']}" for r in store["db_metadata"].orderBy("key", "value").collect()]
+    for t in CORE:
+        parts.append(str(store[t].agg(F.count(F.lit(1)), F.sum(F.xxhash64(*store[t].columns) % 1_000_000_007)).first()))
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:12]
+
+
 def list_sources(store: Store) -> DataFrame:
+    """The source of the statutes, and the store's metadata and counts."""
     n = {r["name"]: r["n"] for r in table_counts(store, CORE).collect()}
-    return metadata(store["db_metadata"]).withColumns({"document_count": F.lit(n[CORE[0]]), "provision_count": F.lit(n[CORE[1]])})
+    said = {k: F.lit(v) for k, v in SOURCE.items()} | {"languages": F.lit(",".join(LANGUAGES))}
+    return metadata(store["db_metadata"]).withColumns(said | {"document_count": F.lit(n[CORE[0]]), "provision_count": F.lit(n[CORE[1]])})
 
 
 def healthy(store: Store) -> bool:

@@ -8,27 +8,62 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 
 
-def match_tier(docs: DataFrame, said: Column) -> Column:
-    """How a row of docs answers to a name: 0 its id, 1 a formal reference, 2 an id with a tail, 3 part of a title; else null."""
+#: The columns of a document that a part of its title may stand in.
+TITLES = ("title", "short_name", "title_en")
+#: Characters of a gram that a part and a title must share.
+GRAM = 3
+
+
+def _in_title(said: Column) -> Column:
     pattern = F.concat(F.lit("%"), X.ascii_lower(said), F.lit("%"))
     part = F.lit(False)
-    for c in ("title", "short_name", "title_en"):
+    for c in TITLES:
         part = part | F.coalesce(F.like(X.ascii_lower(F.col(c)), pattern, F.lit("\x01")), F.lit(False))
-    return F.when(F.col("id") == said, 0).when(F.col("id") == X.formal_ref_to_id(said), 1).when(F.col("id") == X.id_prefix(said), 2).when(part, 3)
+    return part
+
+
+def match_tier(docs: DataFrame, said: Column) -> Column:
+    """How a row of docs answers to a name: 0 its id, 1 a formal reference, 2 an id with a tail, 3 part of a title; else null."""
+    return F.when(F.col("id") == said, 0).when(F.col("id") == X.formal_ref_to_id(said), 1).when(F.col("id") == X.id_prefix(said), 2).when(_in_title(said), 3)
+
+
+def _grams(c: Column, size: int) -> Column:
+    """All grams of a text, each once; none if it is shorter."""
+    n = F.char_length(c) - size + 1
+    return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(size))))
+
+
+def in_titles(docs: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """column, document_id: for each of names (column, _said) the least id with the name in a title, where there is one.
+
+    A name meets the titles that hold the rarest gram of its longest piece without wildcards, and is then held against them
+    alone. A name of wildcards only fits all titles of its length or more: the least id for each length answers it.
+    """
+    low = X.ascii_lower(F.col("_said"))
+    piece = F.array_max(F.transform(F.split(low, "[%_]"), lambda p: F.struct(F.char_length(p).alias("size"), p.alias("text"))))
+    each = names.withColumn("_piece", piece).select(column, "_said", F.col("_piece.text").alias("_text"), F.least("_piece.size", F.lit(GRAM)).alias("_size"))
+    titles = docs.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*(X.ascii_lower(F.col(c)) for c in TITLES))))).alias("_title"))
+    grams = titles.select("id", F.explode(F.array_distinct(F.concat(*(_grams(F.col("_title"), k) for k in range(1, GRAM + 1))))).alias("_gram")).distinct()
+    wanted = each.where("_size > 0").select(column, "_said", F.explode(F.when(F.col("_size") == 1, _grams(F.col("_text"), 1)).when(F.col("_size") == 2, _grams(F.col("_text"), 2)).otherwise(_grams(F.col("_text"), GRAM))).alias("_gram"))
+    spread = grams.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = wanted.join(spread, "_gram", "left").groupBy(column, "_said").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_least"))
+    met = rarest.where("_least.n > 0").select(column, "_said", F.col("_least.g").alias("_gram")).join(grams, "_gram").join(docs.select("id", *TITLES), "id").where(_in_title(F.col("_said")))
+    lengths = titles.groupBy(F.char_length("_title").alias("_n")).agg(F.min("id").alias("id"))
+    fits = lengths.select("id", F.explode(F.sequence(F.lit(0), "_n")).alias("_n")).groupBy("_n").agg(F.min("id").alias("id"))
+    loose = each.where("_size = 0").select(column, F.char_length(F.replace("_said", F.lit("%"), F.lit(""))).alias("_n")).join(fits, "_n")
+    return met.select(column, "id").unionByName(loose.select(column, "id")).groupBy(column).agg(F.min("id").alias("document_id"))
 
 
 def resolve(docs: DataFrame, names: DataFrame, column: str = "said") -> DataFrame:
     """Adds document_id to names: the best tier, then the least id; null if nothing answers or the name is blank.
 
-    Equal ids join by hash; only names without one are held against titles, in blocks of the (small) table of names.
+    Equal ids join by hash; only names without one are held against titles, by way of shared grams.
     """
     trimmed = F.trim(F.col(column))
     each = names.select(column).distinct().withColumn("_said", trimmed).where("_said != ''")
     keyed = each.withColumn("_key", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("tier"), F.col("_said").alias("id")), F.struct(F.lit(1).alias("tier"), X.formal_ref_to_id(F.col("_said")).alias("id")), F.struct(F.lit(2).alias("tier"), X.id_prefix(F.col("_said")).alias("id"))))))
     exact = keyed.select(column, "_key.tier", F.col("_key.id").alias("id")).join(docs.select("id"), "id").groupBy(column).agg(F.min_by("id", F.struct("tier", "id")).alias("document_id"))
-    loose = each.join(exact, column, "left_anti")
-    tier = match_tier(docs, F.col("_said"))
-    titled = docs.select("id", "title", "short_name", "title_en").join(loose, tier.isNotNull()).groupBy(column).agg(F.min("id").alias("document_id"))
+    titled = in_titles(docs, each.join(exact, column, "left_anti"), column)
     return names.join(exact.unionByName(titled), column, "left")
 
 

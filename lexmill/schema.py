@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +26,37 @@ ALLOWED: dict[tuple[str, str], tuple[str, ...]] = {
     ("eu_documents", "type"): ("directive", "regulation"),
     ("eu_documents", "community"): ("EU", "EC", "EEC", "Euratom"),
     ("eu_references", "source_type"): ("provision", "document", "case_law"),
+    ("eu_references", "reference_type"): ("implements", "supplements", "applies", "references", "complies_with", "derogates_from", "amended_by", "repealed_by", "cites_article"),
     ("eu_references", "implementation_status"): ("complete", "partial", "pending", "unknown"),
     ("cross_references", "ref_type"): ("references", "amended_by", "implements", "see_also"),
 }
 YEARS = (1957, 2100)
+#: Keys that no two rows share (a null in a key makes it differ from any other), and columns that hold no null.
+KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "legal_documents": (("id",),),
+    "legal_provisions": (("id",), ("document_id", "provision_ref")),
+    "definitions": (("id",), ("document_id", "term")),
+    "eu_documents": (("id",),),
+    "eu_references": (("id",), ("source_id", "eu_document_id", "eu_article")),
+    "db_metadata": (("key",),),
+}
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "legal_documents": ("id", "type", "title", "status"),
+    "legal_provisions": ("id", "document_id", "provision_ref", "section", "content"),
+    "cross_references": ("source_document_id", "target_document_id", "ref_type"),
+    "definitions": ("id", "document_id", "term", "definition"),
+    "eu_documents": ("id", "type", "year", "number"),
+    "eu_references": ("id", "source_type", "source_id", "document_id", "eu_document_id", "reference_type"),
+    "db_metadata": ("key", "value"),
+}
+#: Columns that name a row of another table.
+REFERENCES: tuple[tuple[str, str, str], ...] = (
+    ("legal_provisions", "document_id", "legal_documents"), ("cross_references", "source_document_id", "legal_documents"), ("cross_references", "target_document_id", "legal_documents"), ("definitions", "document_id", "legal_documents"),
+    ("eu_references", "document_id", "legal_documents"), ("eu_references", "provision_id", "legal_provisions"), ("eu_references", "eu_document_id", "eu_documents"),
+)
+#: Where a store lies if no folder is named: what this variable says, else the first of these folders that holds one.
+STORE_VARIABLE = "LEXMILL_STORE"
+CANDIDATES = ("data/store", "../data/store")
 EU_NOTE = "EU {} not available in this database tier"
 
 
@@ -58,6 +87,22 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str = "id
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti").select(child.columns)
 
 
+def repeated(table: str, df: DataFrame) -> DataFrame:
+    """key, value, n: keys that several rows share, and how many rows do. A key with a null is shared by none."""
+    out = None
+    for key in KEYS.get(table, ()):
+        found = df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.select(F.lit(", ".join(key)).alias("key"), F.concat_ws("|", *(F.col(c).cast("string") for c in key)).alias("value"), "n")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else df.sparkSession.createDataFrame([], "key string, value string, n long")
+
+
+def lacking(table: str, df: DataFrame) -> DataFrame:
+    """Rows without a value that they need: the columns of df and `lacks`, the column at fault."""
+    named = [F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED.get(table, ()) if c in df.columns]
+    return df.withColumn("lacks", F.explode(F.array_compact(F.array(*named, F.lit(None).cast("string")))))
+
+
 @dataclass
 class Store:
     """The tables that there are. A table may be missing; what needs it then has an empty answer with a note."""
@@ -72,24 +117,60 @@ class Store:
         return self.tables[table] if table in self.tables else empty(self.spark, table)
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> Store:
-        """Tables of a folder, a Parquet each. Raises FileNotFoundError if there is none."""
-        from pyspark.errors import AnalysisException
-
-        found = {}
-        for name in TABLES:
+    def open(cls, spark: SparkSession, folder: str | None = None, candidates: Iterable[str] = CANDIDATES) -> Store:
+        """The store of a folder, of the one that STORE_VARIABLE names, or of the first candidate that holds one."""
+        told = folder or os.environ.get(STORE_VARIABLE)
+        for place in [told] if told else candidates:
             try:
-                found[name] = spark.read.parquet(f"{folder}/{name}")
-            except AnalysisException:
+                return cls.load(spark, place)
+            except FileNotFoundError:
                 continue
-        if not found:
+        raise FileNotFoundError(f"no store in {told}" if told else f"no store: set {STORE_VARIABLE} or place one in {' or '.join(candidates)}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Store:
+        """The last complete version of a folder's tables. Raises FileNotFoundError if there is none."""
+        kept = versions(spark, folder)
+        if not kept:
             raise FileNotFoundError(folder)
-        return cls(spark, found)
+        place = f"{folder}/version={kept[-1]}"
+        there = {p.getPath().getName() for p in _files(spark, place).listStatus(_path(spark, place))}
+        return cls(spark, {name: spark.read.parquet(f"{place}/{name}") for name in TABLES if name in there})
 
     def save(self, folder: str) -> None:
-        """Replaces each table as a whole."""
+        """Writes all tables as a new version, which counts once its mark is written: a reader sees all of it or none.
+
+        The version before stays for those who read it; older ones go.
+        """
+        kept = versions(self.spark, folder)
+        place = f"{folder}/version={kept[-1] + 1 if kept else 0}"
         for name, df in self.tables.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            df.write.mode("overwrite").parquet(f"{place}/{name}")
+        _files(self.spark, place).create(_path(self.spark, f"{place}/{_COMPLETE}"), True).close()
+        for old in kept[:-1]:
+            _files(self.spark, folder).delete(_path(self.spark, f"{folder}/version={old}"), True)
+
+
+#: The mark of a version whose tables are all written.
+_COMPLETE = "_COMPLETE"
+
+
+def _path(spark: SparkSession, place: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(place)
+
+
+def _files(spark: SparkSession, place: str):
+    return _path(spark, place).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions of a folder, in order."""
+    files = _files(spark, folder)
+    if not files.exists(_path(spark, folder)):
+        return []
+    names = [p.getPath().getName() for p in files.listStatus(_path(spark, folder))]
+    numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(n for n in numbers if files.exists(_path(spark, f"{folder}/version={n}/{_COMPLETE}")))
 
 
 @dataclass

@@ -52,3 +52,9 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(folder)
     head = F.rpad(F.substring("content", 1, 65536), 65536, F.lit(b"\0"))
     return files.select("path", digest(head).alias("digest"), F.col("modificationTime").alias("modified"))
+
+
+def is_current(stored: str | None, expected: str | None) -> bool:
+    """Whether a copy whose checksum line is `stored` need not be refreshed: both lines are there and name the same digest."""
+    first = lambda line: (line or "").split()[:1]
+    return bool(first(stored)) and first(stored) == first(expected)

@@ -4,8 +4,8 @@ import json
 
 import pytest
 
-from lexmill.operators import extract, load, parse_html
-from lexmill.schema import Store
+from lexmill.operators import dedupe, extract, load, parse_html
+from lexmill.schema import KEYS, REFERENCES, STORE_VARIABLE, Store, lacking, orphans, repeated, versions
 from lexmill.sources import seed
 
 
@@ -21,7 +21,7 @@ def test_build(spark, tmp_path):
     }
     for name, doc in docs.items():
         (staged / name).write_text(json.dumps(doc, ensure_ascii=False, indent=2))
-    mapping = [{"hungarian_document_id": i, "eu_document_id": "directive:2022/2555", "eu_type": "directive", "eu_year": 2022, "eu_number": 2555, "eu_community": "EU", "eu_title": "NIS2", "eu_short_name": "NIS2", "reference_type": "implements", "is_primary": True, "implementation_status": "complete"} for i in ("act-a", "unknown")]
+    mapping = 2 * [{"hungarian_document_id": i, "eu_document_id": "directive:2022/2555", "eu_type": "directive", "eu_year": 2022, "eu_number": 2555, "eu_community": "EU", "eu_title": "NIS2", "eu_short_name": "NIS2", "reference_type": "implements", "is_primary": True, "implementation_status": "complete"} for i in ("act-a",)] + [{"hungarian_document_id": "unknown", "eu_document_id": "directive:2022/2555", "eu_type": "directive", "eu_year": 2022, "eu_number": 2555, "eu_community": "EU", "reference_type": "implements"}]
     (tmp_path / "map.json").write_text(json.dumps(mapping))
     store = load.build(spark, seed.read_seed(spark, str(staged)), seed.read_mappings(spark, str(tmp_path / "map.json")), "2026-01-01T00:00:00Z", str(tmp_path / "db"))
     assert {(r["id"], r["type"], r["status"]) for r in store["legal_documents"].collect()} == {("act-a", "statute", "in_force"), ("act-b", "statute", "repealed")}
@@ -35,10 +35,50 @@ def test_build(spark, tmp_path):
     assert Store.load(spark, str(tmp_path / "db")).has("db_metadata")
     with pytest.raises(FileNotFoundError):
         Store.load(spark, str(tmp_path / "nowhere"))
+    assert not any(repeated(t, store[t]).count() or lacking(t, store[t]).count() for t in KEYS)
+    assert not any(orphans(store[t], c, store[to]).count() for t, c, to in REFERENCES)
+    assert sorted(tuple(r) for r in load.attempts(seed.read_seed(spark, str(staged)), store).collect()) == [("definitions", 2, 1), ("legal_documents", 2, 2), ("legal_provisions", 3, 2)]
     (digest,) = seed.file_digests(spark, str(tmp_path / "map.json")).collect()
     assert len(digest["digest"]) == 12
 
 
+def test_a_store_is_replaced_as_a_whole(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "db")
+    table = lambda i: Store(spark, {"db_metadata": spark.createDataFrame([("built_at", str(i))], "key string, value string"), "definitions": spark.createDataFrame([(i,)], "id long")})
+    for i in range(4):
+        table(i).save(folder)
+    assert versions(spark, folder) == [2, 3]
+    broken = table(9)
+    broken.tables["definitions"] = spark.createDataFrame([("x",)], "s string").selectExpr("raise_error(s) AS id")
+    with pytest.raises(Exception):
+        broken.save(folder)
+    read = Store.load(spark, folder)
+    assert read["db_metadata"].first()["value"] == "3" and read["definitions"].first()["id"] == 3
+    table(5).save(folder)
+    assert Store.load(spark, folder)["definitions"].first()["id"] == 5
+    monkeypatch.setenv(STORE_VARIABLE, folder)
+    assert Store.open(spark)["definitions"].first()["id"] == 5
+    monkeypatch.delenv(STORE_VARIABLE)
+    assert Store.open(spark, candidates=(str(tmp_path / "none"), folder)).has("definitions")
+    with pytest.raises(FileNotFoundError, match=STORE_VARIABLE):
+        Store.open(spark, candidates=(str(tmp_path / "none"),))
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(5000).selectExpr("pmod(xxhash64(id), 100000) AS a", "id AS b").repartition(7)
+    got = load.numbered(rows, "a", "b").orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(1, 5001)) and [(r["a"], r["b"]) for r in got] == sorted((r["a"], r["b"]) for r in got)
+
+
+def test_deferred_blocks_and_kept_discoveries(spark):
+    pages = spark.createDataFrame([("a", "<p>1</p>"), ("b", "<p>2</p>")], "document_id string, html string")
+    blocks = spark.createDataFrame([("a", 1, "later"), ("a", 0, "sooner")], "document_id string, chunk int, body string")
+    assert {tuple(r) for r in dedupe.hydrated(pages, blocks).collect()} == {("a", "<p>1</p>\n\nsooner\nlater"), ("b", "<p>2</p>")}
+    caches = spark.createDataFrame([(1, True, 50, ["x"]), (2, False, 50, ["x"]), (3, True, 20, ["x"]), (4, True, 50, []), (5, True, 50, None), (6, None, 50, ["x"])], "k int, in_force_only boolean, page_size int, laws array<string>")
+    assert [r["k"] for r in dedupe.fresh_cache(caches, True, 50).collect()] == [1]
+    assert seed.is_current("abc  file", "abc") and not seed.is_current("abc", "abd") and not seed.is_current("", "abc") and not seed.is_current(None, None)
+
+
 def test_pages(spark, tmp_path):
     (tmp_path / "act-1.html").write_text('<span class="jhId" id="SZ1"></span><div class="szakasz">1. § egy</div>')
     pages = seed.read_html(spark, str(tmp_path))
@@ -47,6 +87,12 @@ def test_pages(spark, tmp_path):
     assert parse_html.provisions(spark.createDataFrame([("x", None), ("y", "")], "id string, html string")).count() == 0
 
 
+def test_a_no_break_space_is_a_space(spark):
+    text = "Article\u00a07 of Regulation\u00a0(EU)\u202f2016/679 and Directive\u20032000/31/EC"
+    rows = extract.eu_references(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").collect()
+    assert {(r["eu_document_id"], r["eu_article"]) for r in rows} == {("regulation:2016/679", "7"), ("directive:2000/31", "7")}
+
+
 def test_references_have_places(spark):
     text = "x" * 200 + " Directive 2000/1 and Directive 2000/1/EC; Article 5 of directive 99/2. " + "y" * 200
     rows = extract.eu_references(spark.createDataFrame([(1, text), (2, None), (3, "Regulation")], "k long, t string"), "k", "t").collect()

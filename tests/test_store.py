@@ -39,6 +39,14 @@ def test_resolver(spark, store):
     assert got == {"": None, "doc-inforce": "doc-inforce", "force act": "doc-inforce", "IFA": "doc-inforce", "nothing": None}
 
 
+def test_names_in_titles_answer_alike_one_by_one_and_as_a_table(spark, store):
+    docs = store["legal_documents"]
+    said = ["%", "_", "_%_", "f_ture", "%act%", "ct", "A", "a", "in", "ure act en", "x%y", "_" * 16, "_" * 40, "in force_act", "é", "Act%EN", " AMENDED ", "e"]
+    got = {r["said"]: r["document_id"] for r in resolve.resolve(docs, names(spark, *said)).collect()}
+    assert got == {s: resolve.resolve_one(docs, s) for s in said}
+    assert "NestedLoop" not in resolve.resolve(docs, names(spark, *said))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_ladder(store):
     rows = search.search(store, "személyes adat").rows.collect()
     assert [r["provision_ref"] for r in rows] == ["s1"] and ">>>személyes<<< >>>adat<<<" in rows[0]["snippet"]
@@ -143,3 +151,24 @@ def test_index_of_a_stream(spark, store, tmp_path):
     maintain_index(stream, f"{tmp_path}/index", f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/index/lengths").count() == 3
     assert spark.read.parquet(f"{tmp_path}/index/postings").where("token = 'adat'").count() == 2
+
+
+def test_rows_of_an_index_change_and_go(spark, tmp_path):
+    from lexmill.operators.index import current
+    from lexmill.streaming.index import maintain_index
+
+    schema = "id long, content string, title string, deleted boolean, version long"
+    batches = [[(1, "one fish", "", None, 1), (2, "two fish", "", None, 1), (3, "red fish", "", None, 1)], [(2, "two birds", "", False, 2), (2, "a bird", "", False, 3), (3, None, None, True, 2)], [(3, "blue fish", "", None, 4)]]
+    want = [{1, 2, 3}, {1}, {1, 3}]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        maintain_index(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/index", f"{tmp_path}/state").awaitTermination()
+        posts, sizes = current(spark.read.parquet(f"{tmp_path}/index/postings"), spark.read.parquet(f"{tmp_path}/index/lengths"))
+        assert {r["id"] for r in ranked(posts, sizes, ["fish"]).collect()} == want[k]
+    assert {r["token"] for r in posts.where("id = 2").collect()} == {"a", "bird"}
+
+
+def test_what_a_store_says_of_itself(spark, store):
+    record = reports.about_record(store, "1.0")
+    assert record["stats"]["documents"] == 4 and record["freshness"]["database_built"] == "2026-02-21T00:00:00Z" and record["data_sources"][0]["url"] == "https://njt.hu"
+    assert len(record["fingerprint"]) == 12 and record["fingerprint"] == reports.fingerprint(make(spark)) != reports.fingerprint(make(spark, ("definitions", "legal_provisions")))
