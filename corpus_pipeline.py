@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import chunk_dedup, decontaminate, packing, quality, simhash
-from lexmill.llm.common import ensure_checkpoint_dir
 from lexmill.llm.queries import tokenizer_path
+from lexmill.storage import checkpoint_dir
 
 #: Near duplicates: distinct shingles of five words with a Jaccard similarity of 0.8 or more, sought among fingerprints of
 #: 256 bits over them that agree in 0.8 of their bits or more.
@@ -73,7 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written in the shared folder and read again."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
