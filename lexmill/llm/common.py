@@ -33,6 +33,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder, so that a lost executor costs no more than a read."""
     checkpoint_dir(df.sparkSession)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import U64, checkpointed, mix, prefix_sums, range_hashes, slices, utf8_view, word_spans
+from lexmill.llm.common import U64, checkpointed, mix, prefix_sums, quoted, range_hashes, slices, utf8_view, word_spans
 
 #: Fixed masks: 1 counts, 0 is ignored.
 MASKS = ("11101011", "1101001011", "110010100111")
@@ -304,6 +304,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 12) -> Dat
     A document is judged by its text, named by 64 bits of its hash: another text of its doc_id, or another without one, stays. Null and empty texts
     stay, repeated rows go or stay together, an empty benchmark takes nothing away.
     """
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.lit("text"), F.col("text").cast("string")).alias("name"), F.col("text").cast("string").alias("text"))
+    named = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.xxhash64(F.lit("text"), F.col("text").cast("string")).alias("name"), F.col("text").cast("string").alias("text"))
     hit = overlaps(named.select(F.col("name").alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias("name")).distinct()
     return named.join(hit, "name", "left_anti").select("row.*")

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexmill.llm.common import SPACE, U64, mix, prefix_sums, range_hashes, slices, utf8_view, word_spans
+from lexmill.llm.common import SPACE, U64, mix, prefix_sums, quoted, range_hashes, slices, utf8_view, word_spans
 
 #: Labelled rows that a model is learnt from, at most (documented bound; the rows are those of the least id hashes).
 SAMPLE = 8000
@@ -150,8 +151,14 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 11) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on the documents (doc_id, text) that `labels` (doc_id, label 0 or 1) marks, on `sample` of them at most."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
+    """Fits a model on the documents (doc_id, text) that `labels` (doc_id, label 0 or 1) marks, on `sample` of them at most.
+
+    A null text is empty; a label that is neither is none, and so are labels of one doc_id that contradict each other; each of
+    several texts of a labelled doc_id counts. Without rows of both labels the model scores all texts alike (see fit). The
+    rows are put in order, so that the same tables give the same model.
+    """
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = marked.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     n = known.count()
     part = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.95 * sample / max(n, 1)) + 1)).limit(sample)
 
@@ -173,7 +180,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """Adds a score (0 to 1) to all columns of docs, in place of one of that name. Null is the empty text; a table without rows stays so."""
     box = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fieldNames() if f != name]
-    schema = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in fields) + f", `{name}` double"
+    schema = T.StructType([*(docs.schema[f] for f in fields), T.StructField(name, T.DoubleType())])
     at = fields.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +189,4 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(box.value.score(features(part.column(at))))], names=[*fields, name])
 
-    return docs.select(*(F.col(f"`{f}`") for f in fields)).mapInArrow(run, schema)
+    return docs.select(*(F.col(quoted(f)) for f in fields)).mapInArrow(run, schema)

@@ -99,24 +99,25 @@ def set_digests(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, hasher: str = "xxh64", repeats: bool = True, sets: bool = False) -> DataFrame:
-    """doc_id, f0 ... : fingerprints of 64 bits a lane as longs. A null text is empty and, like any text without words, zero.
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, hasher: str = "xxh64", repeats: bool = True, sets: bool = False, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, f0 ... : fingerprints of 64 bits a lane as longs. A null text is empty and, like any text without words, zero.
 
     With `repeats` a shingle counts as often as it occurs, else once. With `sets`, node is the digest of a text's shingles.
     """
-    names = [f"f{i}" for i in range(lanes)]
-    out = ["doc_id", *names, *(["node"] if sets else [])]
+    out = [*keys, *(f"f{i}" for i in range(lanes)), *(["node"] if sets else [])]
+    at = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                hashed = shingle_hashes(*utf8_view(batch.column(1).slice(a, b - a)), words, hasher)
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                hashed = shingle_hashes(*utf8_view(part.column(at)), words, hasher)
                 once = distinct(*hashed) if sets or not repeats else hashed
                 words_ = majority_bits(*(hashed if repeats else once), lanes)
                 own = [np.ascontiguousarray(words_[:, i]).view(np.int64) for i in range(lanes)] + ([set_digests(*once)] if sets else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, own)], names=out)
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *map(pa.array, own)], names=out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in out))
+    return docs.select(*(F.col(k).cast("long") for k in keys), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in out))
 
 
 def viable(differences: np.ndarray, most: int) -> np.ndarray:
@@ -161,6 +162,18 @@ def spread_tables(lanes: int, tables: int, key_bits: int, seed: int = 7) -> list
     return out
 
 
+def spread_plan(rows: int, similarity: float, missed: float = 0.008, least_bits: int = 20) -> tuple[int, int]:
+    """How many tables of how many bits find all but `missed` of the pairs of a Jaccard similarity among so many fingerprints.
+
+    A key has about as many values as there are fingerprints, so that unlike ones seldom share it; the more bits it takes, the
+    more tables make up for the pairs that it parts.
+    """
+    bits = max(least_bits, -(-max(1, rows).bit_length() // 4) * 4)
+    cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
+    agree = 1 - np.arccos(cosine) / np.pi
+    return int(np.ceil(np.log(missed) / np.log1p(-(agree**bits)))), bits
+
+
 def _keys(words: np.ndarray, tables: list[list[int]]) -> np.ndarray:
     """(n, tables) keys: the table's number over the bits that it names."""
     out = np.empty((len(words), len(tables)), np.int64)
@@ -334,14 +347,14 @@ def alike(hashes: np.ndarray, begin: np.ndarray, least: float) -> np.ndarray:
 
 
 def verified(docs: DataFrame, candidates: DataFrame, words: int, hasher: str, least: float) -> DataFrame:
-    """node, component: candidates (doc_id, node, component; a document for each node) that pairs of at least that Jaccard
-    similarity of their distinct shingles connect within a component. Texts are read again for them alone."""
+    """node, component: candidates (name, node, component; a document for each node) that pairs of at least that Jaccard
+    similarity of their distinct shingles connect within a component. Texts (name, text) are read again for them alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, np.ndarray]] = []
 
         def settle() -> list[np.ndarray]:
-            sets = {node: own for _, node, own in held}  # rows of one doc_id repeat
+            sets = {node: own for _, node, own in held}  # rows of one name repeat
             nodes = np.array(list(sets), np.int64)
             group = alike(np.concatenate(list(sets.values())), np.cumsum([0, *map(len, sets.values())]), least)
             held.clear()
@@ -352,7 +365,7 @@ def verified(docs: DataFrame, candidates: DataFrame, words: int, hasher: str, le
             for a, b in slices(batch.column(2)):
                 h, begin = distinct(*shingle_hashes(*utf8_view(batch.column(2).slice(a, b - a)), words, hasher))
                 component, node = (batch.column(i).slice(a, b - a).to_numpy() for i in (0, 1))
-                for i in np.flatnonzero(set_digests(h, begin) == node).tolist():  # a doc_id may have other texts too
+                for i in np.flatnonzero(set_digests(h, begin) == node).tolist():  # a name may have other texts too
                     if held and held[0][0] != component[i]:
                         out.append(settle())
                     held.append((component[i], int(node[i]), h[begin[i] : begin[i + 1]].copy()))
@@ -362,37 +375,46 @@ def verified(docs: DataFrame, candidates: DataFrame, words: int, hasher: str, le
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle()], names=["node", "component"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(candidates, "doc_id").select("component", "node", "text")
+    found = docs.join(candidates, "name").select("component", "node", "text")
     return found.repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, lanes: int = 1, hasher: str = "xxh64", tables: list[list[int]] | None = None, repeats: bool = True, least: float | None = None) -> DataFrame:
-    """One row a document: doc_id, f0 ..., component_id (the smallest doc_id reachable over links, its own included).
-
-    Fingerprints link at `most` differing bits or fewer. By default the search is exact (64 bits, two of them); with other
-    `tables` (see spread_tables) it is as complete as the tables make it. Null and empty texts have fingerprint zero and
-    link like any other; repeated rows stay; other columns are ignored; an empty table gives an empty result. A null doc_id
-    is a document that cannot name a component: without others in it, its component_id is null.
+def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, hasher: str = "xxh64", repeats: bool = True) -> DataFrame:
+    """One row a document: doc_id, f0, component_id (the smallest doc_id reachable over links, its own included).
 
-    With `least`, what the fingerprints find are candidates, and only pairs whose distinct shingles have that Jaccard
-    similarity link; documents of a null doc_id then link with equal sets only.
+    Fingerprints of 64 bits link at two differing bits or fewer; the search is exact. Null and empty texts have fingerprint
+    zero and link like any other; repeated rows stay; other columns are ignored; an empty table gives an empty result. A null
+    doc_id is a document that cannot name a component: without others in it, its component_id is null.
     """
-    names = [f"f{i}" for i in range(lanes)]
-    if not tables and (most != 2 or lanes != 1):
-        raise ValueError("the exact search is for 64 bits and two differences")
-    each = checkpointed(fingerprints(docs, words, lanes, hasher, repeats, least is not None))
-    if least is None:
-        node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-        classes = each.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node)
-    else:
-        names = [*names, "node"]
-        classes = each.groupBy(*names).agg(F.min("doc_id").alias("first"))
-    joined = components(links(classes, lanes, tables or exact_tables(), most, exact=not tables))
-    if least is not None:
-        candidates = joined.join(classes.select("node", F.col("first").alias("doc_id")), "node")
-        joined = verified(docs, candidates, words, hasher, least)
+    if most != 2:
+        raise ValueError("the exact search is for two differences")
+    each = checkpointed(fingerprints(docs, words, 1, hasher, repeats))
+    classes = each.groupBy("f0").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("f0"))
+    joined = components(links(classes, 1, exact_tables(), most, exact=True))
     grouped = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(lowest, "component").select(*names, "component_id")
-    return each.join(named, names).drop("node") if least is not None else each.join(named, names)
+    named = grouped.join(lowest, "component").select("f0", "component_id")
+    return each.join(named, "f0")
+
+
+def alike_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes: int = 4, hasher: str = "rolling") -> DataFrame:
+    """name, first: for each of docs (rank long, name long, text) the name of the first document of its group, by rank and name.
+
+    Documents are alike that pairs of a Jaccard similarity of `least` or more connect, by their distinct shingles; texts
+    without a word are alike. Candidates are fingerprints (64 bits a lane) of which `least` of the bits agree, found by keys
+    that grow with the number of fingerprints (see spread_plan), and verified by their shingles. A null text is empty; rows
+    of one name and text are one document; an empty table gives an empty result; other columns are ignored.
+    """
+    names = [f"f{i}" for i in range(lanes)] + ["node"]
+    plain = docs.select(F.col("rank").cast("long").alias("rank"), F.col("name").cast("long").alias("name"), F.col("text").cast("string").alias("text"))
+    each = checkpointed(fingerprints(plain, words, lanes, hasher, False, True, ("rank", "name")))
+    classes = each.groupBy(*names).agg(F.min(F.struct("rank", "name")).alias("first"))
+    bits = 64 * lanes
+    tables = spread_tables(lanes, *spread_plan(each.select(*names).distinct().count(), least))
+    joined = components(links(classes, lanes, tables, int((1 - least) * bits + 1e-9), exact=False))
+    candidates = joined.join(classes.select("node", F.col("first.name").alias("name")), "node")
+    sure = verified(plain.select("name", "text"), candidates, words, hasher, least)
+    grouped = classes.join(sure, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = grouped.groupBy("component").agg(F.min("first").alias("lowest"))
+    firsts = grouped.join(lowest, "component").select(*names, F.col("lowest.name").alias("first"))
+    return each.join(firsts, names).select("name", "first")

@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 from tests.llm.helpers import texts
 from tests.llm.test_learned import junk
+from tests.llm.test_simhash import shingles
 
 
 def corpus():
@@ -28,8 +30,8 @@ def corpus():
 def test_stages_take_effect(spark, tmp_path):
     rows, items, duplicates, leaks, shared, passage = corpus()
     rows = [*rows, (None, "A text of no known document, but a text.", 1), (99_999, None, 1), rows[0]]
-    clashing = "score string, spans string, size int, kept_text string, f0 long, component_id string, d1 string, item_id long, start string"
-    extra = ("a", "b", 3, "c", 4, "d", "e", 5, "f")
+    clashing = "score string, row string, `a``b.c d` string, rank string, spans string, size int, kept_text string, f0 long, component_id string, d1 string, item_id long, start string"
+    extra = ("a", "r", "q", "k", "b", 3, "c", 4, "d", "e", 5, "f")
     docs = spark.createDataFrame([(d, t, "en", "src0", len(t or ""), *extra) for d, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long, " + clashing)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(d, y, 0) for d, _, y in rows if d is not None], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
@@ -65,3 +67,42 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_keep_texts_and_lose_no_pair(spark, tmp_path):
+    """On the given documents: one of each pair of 0.8 or more goes, and whatever goes has such a partner."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    sets = {r["doc_id"]: shingles("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "")) for r in docs.collect()}
+    owners = {}
+    for d, own in sets.items():
+        for x in own or {()}:
+            owners.setdefault(x, []).append(d)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    partners = {}
+    for d, own in sets.items():
+        shared = Counter(e for x in own or {()} for e in owners[x] if e < d)
+        for e, n in shared.items():
+            if not own or 5 * n >= 4 * (len(own) + len(sets[e]) - n):
+                partners.setdefault(d, set()).add(e)
+                partners.setdefault(e, set()).add(d)
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    firsts = {find(d) for d in sets}
+    assert all(d in partners for d in set(sets) - kept)
+    assert len(kept & firsts) == len(firsts) and len(kept - firsts) <= 0.02 * (len(sets) - len(firsts))
+    assert len(sets) - len(kept) > 30
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join((t.split() * 20)[:60]) for t in texts(3, 79, 90, 4000))
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, b), (None, c), (3, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, {"k": d}) for d, t in rows], "doc_id long, text string, extra map<string, long>")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, a), (1, b), (None, c), (3, None)], key=repr)

@@ -95,8 +95,14 @@ def test_spread_tables_find_similar_texts(spark):
         for _ in range(4):
             v[rng.randrange(len(v))] = "other"
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
-    found = simhash.near_duplicates(table(spark, rows), words=5, most=51, lanes=4, hasher="rolling", tables=simhash.spread_tables(4, 64, 20))
-    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d - d % 2 for d, _ in rows}
+    found = simhash.alike_documents(spark.createDataFrame([(d, d, t) for d, t in rows], "rank long, name long, text string"))
+    assert {r["name"]: r["first"] for r in found.collect()} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_keys_grow_with_the_fingerprints():
+    plans = [simhash.spread_plan(n, 0.8) for n in (0, 10, 1 << 19, 1 << 21, 1 << 30, 1 << 36)]
+    assert [bits for _, bits in plans] == [20, 20, 20, 24, 32, 40]
+    assert [t for t, _ in plans] == sorted(t for t, _ in plans) and 100 < plans[0][0] < 160
 
 
 def test_large_buckets_of_long_fingerprints_lose_nothing():
@@ -162,23 +168,21 @@ def test_verified_sets_are_connected_as_by_brute_force():
     assert {d: ids[g] for d, g in zip(ids, group)} == plain_alike(sets)
 
 
-def test_fingerprints_near_each_other_do_not_link_other_sets(spark):
+def test_alike_documents_are_those_of_brute_force(spark):
     rows = revisions() + ODD + ["a b", "a b"]
-    docs = [(3 * i + 1, t) for i, t in enumerate(rows)]
-    docs += [(docs[0][0], docs[-1][1]), docs[1]]
-    args = dict(words=5, most=51, lanes=4, hasher="rolling", tables=simhash.spread_tables(4, 128, 20), repeats=False)
-    named = lambda **b: [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(table(spark, docs).repartition(3), **args, **b).collect()]
-    loose, got = named(), named(least=0.8)
-    assert len(got) == len(docs) and len(set(loose)) < len(docs)
-    want = plain_alike({i: shingles((t or "").lower()) for i, (_, t) in enumerate(docs)})
+    docs = [(7 * i % 1009, 3 * i + 1, t) for i, t in enumerate(rows)]
+    docs += [(docs[0][0], 9000, docs[-1][2]), docs[1], ((1 << 63) - 1, 9003, docs[2][2])]
+    got = sorted((r["name"], r["first"]) for r in simhash.alike_documents(spark.createDataFrame(docs, "rank long, name long, text string").repartition(3)).collect())
+    want = plain_alike({i: shingles((t or "").lower()) for i, (_, _, t) in enumerate(docs)})
     least = {}
     for i, c in want.items():
-        least[c] = min(least.get(c, docs[i][0]), docs[i][0])
-    assert sorted(got) == sorted((docs[i][0], least[c]) for i, c in want.items())
-    assert sum(d != c for d, c in loose) > sum(d != c for d, c in got) > 50
+        least[c] = min(least.get(c, docs[i]), docs[i], key=lambda d: d[:2])
+    assert got == sorted((docs[i][1], least[c][1]) for i, c in want.items())
+    assert sum(a != b for a, b in got) > 50
 
 
 def test_empty_table_and_null_id(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
+    assert simhash.alike_documents(spark.createDataFrame([], "rank long, name long, text string")).count() == 0
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, [(None, "one two"), (4, "three four five")])).collect()}
     assert got == {None: None, 4: 4}
