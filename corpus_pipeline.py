@@ -9,53 +9,63 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm import chunk_dedup, decontaminate, packing, quality, simhash
+from lexmill.llm.common import quoted
 from lexmill.llm.queries import tokenizer_path
 from lexmill.storage import checkpoint_dir
 
-#: Near duplicates: distinct shingles of five words with a Jaccard similarity of 0.8 or more, sought among fingerprints of
-#: 256 bits over them that agree in 0.8 of their bits or more.
-WORDS, LANES, SIMILARITY = 5, 4, 0.8
-#: Candidates share one of so many keys of 20 fingerprint bits.
-TABLES, KEY_BITS = 128, 20
+#: Near duplicates have distinct shingles of five words with a Jaccard similarity of 0.8 or more.
+WORDS, SIMILARITY = 5, 0.8
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id and text of each document, and all its columns as `row`, so that no name of theirs meets an operator's own."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. Labels of the held-out fold are not learnt from."""
+    """Documents that the classifier does not reject. Labels of the held-out fold are not learnt from.
+
+    A null text is judged as the empty one; rows of equal text go or stay together; without labels of both kinds all stay or
+    all go, as the one kind says (none: all stay).
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     learnt = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    return quality.scored(docs, quality.learn(docs, learnt), "_quality_score").where("_quality_score >= 0.5").select(docs.columns)
+    return quality.scored(boxed(docs), quality.learn(docs, learnt)).where("score >= 0.5").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least doc_id. Of repeated rows of one doc_id one stays.
+    """One document of each group of near duplicates: that of the least doc_id, and of the texts of one doc_id the least hash.
 
-    Documents without a doc_id cannot be named and all stay.
+    A document is what all its columns are, so that other texts of a doc_id are documents of their own. Documents without a
+    doc_id come last. Of equal rows one stays.
     """
-    bits = 64 * LANES
-    found = simhash.near_duplicates(docs.where("doc_id is not null"), WORDS, int((1 - SIMILARITY) * bits + 1e-9), LANES, "rolling", simhash.spread_tables(LANES, TABLES, KEY_BITS), repeats=False, least=SIMILARITY)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    hashed = [F.map_entries(quoted(f.name)) if isinstance(f.dataType, T.MapType) else F.col(quoted(f.name)) for f in docs.schema]
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64(*hashed).alias("name"), F.col("text").cast("string").alias("text"), row)
+    kept = simhash.alike_documents(named, SIMILARITY, WORDS).where("name = first").select("name").distinct()
+    return named.join(kept, "name", "left_semi").dropDuplicates(["rank", "name"]).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document of a smaller doc_id holds too. Every document stays, if emptied."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("_others"))
-    made = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long"), "doc_id": F.col("doc_id")}
-    cut = chunk_dedup.remove_repeats(packed, carry=("_others",), reach=chunk_dedup.REACH)
-    return cut.select(*(made.get(c, F.col(f"_others.{c}")).alias(c) for c in docs.columns))
+    """Texts without the passages that a document of a smaller doc_id holds too. Every document stays, if emptied.
+
+    Texts of one doc_id, and those without one, take nothing from each other; repeated rows stay.
+    """
+    cut = chunk_dedup.remove_repeats(boxed(docs), carry=("row",), reach=chunk_dedup.REACH)
+    made = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return cut.select(*(made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(f"row.{quoted(c)}") for c in docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
+    """Documents that overlap no benchmark item. Null and empty texts stay; a text goes in all rows that have it."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of 2048 tokens."""
+    """Pieces of all documents, placed in sequences of 2048 tokens. A null or empty text is one end token."""
     return packing.pack(docs, tokenizer_path(), 2048)
 
 
