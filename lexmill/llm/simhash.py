@@ -21,6 +21,8 @@ from lexmill.llm.components import Forest, components
 _LANES = U64(0x0101010101010101)
 #: Buckets up to this size are compared pair by pair; larger ones in another way, without all pairs.
 SMALL_BUCKET = 16
+#: Nodes of a group of candidates that one task verifies by their shingles.
+BLOCK_NODES = 4_000
 
 
 def _xxh64(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -346,37 +348,74 @@ def alike(hashes: np.ndarray, begin: np.ndarray, least: float) -> np.ndarray:
     return group
 
 
-def verified(docs: DataFrame, candidates: DataFrame, words: int, hasher: str, least: float) -> DataFrame:
-    """node, component: candidates (name, node, component; a document for each node) that pairs of at least that Jaccard
-    similarity of their distinct shingles connect within a component. Texts (name, text) are read again for them alone."""
+def _settled(texts: DataFrame, keys: tuple[str, ...], words: int, hasher: str, least: float) -> DataFrame:
+    """node, root: texts (keys, node, text) of equal keys that pairs of at least that similarity connect have one root."""
+    many = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
+        sets: dict[int, np.ndarray] = {}  # rows of one name repeat
+        at: tuple | None = None
 
         def settle() -> list[np.ndarray]:
-            sets = {node: own for _, node, own in held}  # rows of one name repeat
             nodes = np.array(list(sets), np.int64)
             group = alike(np.concatenate(list(sets.values())), np.cumsum([0, *map(len, sets.values())]), least)
-            held.clear()
+            sets.clear()
             return [nodes, nodes[group]]
 
         out = []
         for batch in batches:
-            for a, b in slices(batch.column(2)):
-                h, begin = distinct(*shingle_hashes(*utf8_view(batch.column(2).slice(a, b - a)), words, hasher))
-                component, node = (batch.column(i).slice(a, b - a).to_numpy() for i in (0, 1))
+            for a, b in slices(batch.column(many + 1)):
+                h, begin = distinct(*shingle_hashes(*utf8_view(batch.column(many + 1).slice(a, b - a)), words, hasher))
+                own = list(zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(many)), strict=True))
+                node = batch.column(many).slice(a, b - a).to_numpy()
                 for i in np.flatnonzero(set_digests(h, begin) == node).tolist():  # a name may have other texts too
-                    if held and held[0][0] != component[i]:
+                    if sets and at != own[i]:
                         out.append(settle())
-                    held.append((component[i], int(node[i]), h[begin[i] : begin[i + 1]].copy()))
+                    at = own[i]
+                    sets[int(node[i])] = h[begin[i] : begin[i + 1]].copy()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["node", "component"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["node", "root"])
                 out = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle()], names=["node", "component"])
+        if sets:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle()], names=["node", "root"])
+
+    return texts.select(*keys, "node", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, root long")
+
 
-    found = docs.join(candidates, "name").select("component", "node", "text")
-    return found.repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long")
+def verified(docs: DataFrame, candidates: DataFrame, words: int, hasher: str, least: float, block: int = BLOCK_NODES) -> DataFrame:
+    """node, component: candidates (name, node, component; a document for each node) that pairs of at least that Jaccard
+    similarity of their distinct shingles connect within a component. Texts (name, text) are read again for them alone.
+
+    A task holds two blocks of about `block` nodes at most. A larger component is verified block by block; the roots found
+    meet; and the nodes that its main group still lacks are held against every block, so that no pair is left out.
+    """
+    size = F.count(F.lit(1)).alias("n")
+    blocks = candidates.groupBy("component").agg(size).select("component", F.ceil(F.col("n") / block).alias("blocks"))
+    placed = candidates.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")))
+    texts = docs.join(placed, "name")
+    first = _settled(texts, ("component", "block"), words, hasher, least)
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return first.withColumnRenamed("root", "component")
+    first = checkpointed(first)
+    large_texts = texts.where("blocks > 1").select("component", "blocks", "block", "node", "text")
+    roots = first.where("node = root").select("node").join(large_texts, "node")
+    parted = roots.join(roots.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("some")), "component")
+    met = _settled(parted.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("some"))), ("component", "part"), words, hasher, least)
+    of_large = first.join(large.select("node"), "node", "left_semi")
+    links_ = checkpointed(of_large.unionByName(met).where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    label = components(links_).select("node", F.col("component").alias("label"))
+    labelled = checkpointed(large.select("component", "blocks", "block", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    share = labelled.groupBy("component", "label").agg(size)
+    main = share.groupBy("component").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("every")).select("component", F.col("m.label").alias("main"), F.ceil((F.col("every") - F.col("m.n")) / block).alias("batches")).where("batches > 0")
+    rest = labelled.join(main, "component").select("component", "blocks", "block", "node", "batches", (F.col("label") != F.col("main")).alias("lacked"))
+    own = rest.select("component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"), "node")
+    lacked = rest.where("lacked").select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit("batch"), "node"), F.col("batches")).alias("batch"), "node")
+    tasks = own.unionByName(lacked).distinct().join(large_texts.select("node", "text"), "node")
+    last = _settled(tasks, ("component", "block", "batch"), words, hasher, least).where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    joined = components(links_.unionByName(last))
+    small = first.join(large.select("node"), "node", "left_anti").select("node", F.col("root").alias("component"))
+    return small.unionByName(joined.select("node", "component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, hasher: str = "xxh64", repeats: bool = True) -> DataFrame:
@@ -397,7 +436,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, hasher: str
     return each.join(named, "f0")
 
 
-def alike_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes: int = 4, hasher: str = "rolling") -> DataFrame:
+def alike_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes: int = 4, hasher: str = "rolling", block: int = BLOCK_NODES) -> DataFrame:
     """name, first: for each of docs (rank long, name long, text) the name of the first document of its group, by rank and name.
 
     Documents are alike that pairs of a Jaccard similarity of `least` or more connect, by their distinct shingles; texts
@@ -413,7 +452,7 @@ def alike_documents(docs: DataFrame, least: float = 0.8, words: int = 5, lanes:
     tables = spread_tables(lanes, *spread_plan(each.select(*names).distinct().count(), least))
     joined = components(links(classes, lanes, tables, int((1 - least) * bits + 1e-9), exact=False))
     candidates = joined.join(classes.select("node", F.col("first.name").alias("name")), "node")
-    sure = verified(plain.select("name", "text"), candidates, words, hasher, least)
+    sure = verified(plain.select("name", "text"), candidates, words, hasher, least, block)
     grouped = classes.join(sure, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = grouped.groupBy("component").agg(F.min("first").alias("lowest"))
     firsts = grouped.join(lowest, "component").select(*names, F.col("lowest.name").alias("first"))

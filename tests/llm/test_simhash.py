@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from lexmill.llm import simhash
@@ -179,6 +180,31 @@ def test_alike_documents_are_those_of_brute_force(spark):
         least[c] = min(least.get(c, docs[i]), docs[i], key=lambda d: d[:2])
     assert got == sorted((docs[i][1], least[c][1]) for i, c in want.items())
     assert sum(a != b for a, b in got) > 50
+    again = simhash.alike_documents(spark.createDataFrame(docs, "rank long, name long, text string"), block=7)
+    assert sorted((r["name"], r["first"]) for r in again.collect()) == got
+
+
+def test_large_groups_are_verified_in_blocks(spark):
+    """One group of candidates: a dense group, a chain of revisions, and texts of their own."""
+    rng = random.Random(41)
+    base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+    rows = [" ".join(x if rng.random() > 0.01 else f"x{rng.randrange(9999)}" for x in base) for _ in range(60)]
+    now = base
+    for _ in range(25):
+        now = list(now)
+        for _ in range(3):
+            now[rng.randrange(200)] = f"y{rng.randrange(9999)}"
+        rows.append(" ".join(now))
+    rows += [" ".join(f"z{rng.randrange(9999)}" for _ in range(50)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "name long, text string")
+    each = simhash.fingerprints(docs.withColumnRenamed("name", "doc_id"), 5, 1, "rolling", False, True).select(F.col("doc_id").alias("name"), "node")
+    nodes = {r["name"]: r["node"] for r in each.collect()}
+    want = plain_alike({nodes[i]: shingles(t) for i, t in enumerate(rows)})
+    candidates = each.groupBy("node").agg(F.min("name").alias("name")).withColumn("component", F.lit(5).cast("long"))
+    for block in (1000, 30, 6):
+        got = {n: n for n in want} | {r["node"]: r["component"] for r in simhash.verified(docs, candidates, 5, "rolling", 0.8, block).collect()}
+        groups = lambda g: sorted(sorted(n for n in g if g[n] == c) for c in set(g.values()))
+        assert groups(got) == groups(want)
 
 
 def test_empty_table_and_null_id(spark):
