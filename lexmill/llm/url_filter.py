@@ -22,6 +22,8 @@ RULES = (
 ORDER = 4
 BEFORE, AFTER = "\x02", "\x03"
 ALPHABET = 256
+#: A window that makes up more than one in so many of all is dealt over as many tasks as HOT_TASKS.
+HOT_SHARE, HOT_TASKS = 1000, 64
 #: Scores are binned by this for calibration, and cut off at this many bins on either side.
 BIN, BINS = 0.01, 2000
 
@@ -30,7 +32,8 @@ _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def after_scheme(url: Column) -> Column:
     """What follows the first `://`; null without one."""
-    return F.when(F.locate("://", url) > 0, F.expr("substring({u}, locate('://', {u}) + 3)".format(u="url")))
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.char_length(url)))
 
 
 def host_and_path(pages: DataFrame) -> DataFrame:
@@ -79,7 +82,8 @@ def _log_ratios(windows: DataFrame) -> DataFrame:
 def url_scores(pages: DataFrame, rules=RULES) -> DataFrame:
     """url, verdict of the rules, kept_back, score for each distinct url: mean log ratio a character, 6 decimals.
 
-    The models count every url that a rule decides, but for those kept back for calibration (3 of 16 by digest).
+    The models count every url that a rule decides, but for those kept back for calibration (3 of 16 by digest). Windows that
+    nearly all urls have, as those at their starts, are dealt over many tasks.
     """
     urls = host_and_path(pages.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct())
     _, verdict = longest_rule(F.col("host"), F.col("path"), rules)
@@ -91,8 +95,13 @@ def url_scores(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     each = urls.select(F.xxhash64("url").alias("h1"), F.xxhash64(F.lit("second"), "url").alias("h2"), "verdict", "kept_back", F.explode(_windows(F.col("text"))).alias("w"))
     learnt = lambda what: F.sum(F.when((F.col("verdict") == what) & ~F.col("kept_back"), 1).otherwise(0))
-    counts = each.groupBy("w").agg(learnt("allow").alias("a"), learnt("block").alias("r"))
-    scored = each.select("h1", "h2", "w").join(_log_ratios(counts), "w").groupBy("h1", "h2").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    counts = checkpointed(each.groupBy("w").agg(learnt("allow").alias("a"), learnt("block").alias("r"), F.count(F.lit(1)).alias("n")))
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > every / HOT_SHARE).select("w", F.lit(HOT_TASKS).alias("tasks"))
+    # HOT_SHARE rows at most, for their shares sum up to one.
+    dealt = each.select("h1", "h2", "w").join(F.broadcast(hot), "w", "left").withColumn("task", F.coalesce(F.pmod("h1", "tasks"), F.lit(0).cast("long")))
+    ratios = _log_ratios(counts).join(F.broadcast(hot), "w", "left").select("w", "ratio", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1)).cast("long") - 1)).alias("task"))
+    scored = dealt.select("h1", "h2", "w", "task").join(ratios, ["w", "task"]).groupBy("h1", "h2").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
     named = urls.select("url", "verdict", "kept_back", F.xxhash64("url").alias("h1"), F.xxhash64(F.lit("second"), "url").alias("h2"))
     return named.join(scored, ["h1", "h2"]).select("url", "verdict", "kept_back", F.round("score", 6).alias("score"))
 
