@@ -146,9 +146,9 @@ class Store:
         place = f"{folder}/version={kept[-1] + 1 if kept else 0}"
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{place}/{name}")
-        _files(self.spark, place).create(_path(self.spark, f"{place}/{_COMPLETE}"), True).close()
+        complete(self.spark, place)
         for old in kept[:-1]:
-            _files(self.spark, folder).delete(_path(self.spark, f"{folder}/version={old}"), True)
+            remove(self.spark, f"{folder}/version={old}")
 
 
 #: The mark of a version whose tables are all written.
@@ -163,6 +163,15 @@ def _files(spark: SparkSession, place: str):
     return _path(spark, place).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def complete(spark: SparkSession, place: str) -> None:
+    """Marks a version as whole."""
+    _files(spark, place).create(_path(spark, f"{place}/{_COMPLETE}"), True).close()
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    _files(spark, place).delete(_path(spark, place), True)
+
+
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the complete versions of a folder, in order."""
     files = _files(spark, folder)
