@@ -3,20 +3,24 @@
 Every window of `width` bytes belongs to one anchor: its substring of ANCHOR bytes with the least hash, the leftmost of
 equals. Equal windows have equal anchors at equal places, so only windows around anchors that occur in two texts can repeat.
 Their bytes go to the bucket of the anchor. There, batches in document order get suffix arrays, are merge-scanned against
-the levels of all earlier batches, and join the levels, which merge whenever two have the same size class.
+the levels of all earlier batches, and join the levels, which merge whenever two have the same size class. Levels does so with
+batches that come one after the other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import BLOCK, U64, blobs_of, checkpointed, chunk_count, dealt_texts, merged, mix, parted, pick, prefix_sums, range_hashes, same_bytes, text_bytes, utf8_view, whole_column, window_hashes
+from lexmill.schema import complete, remove, versions
 
 ANCHOR = 20
 #: Bytes of text handled as one group, and anchors to a bucket.
@@ -222,7 +226,66 @@ def _by_chunk(spans: np.ndarray) -> list[tuple]:
     return [(int(spans[a, 0]), _SPANS, spans[a:b, 1:].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNKS, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False) -> DataFrame:
+class Levels:
+    """A stored family of levels that takes batches of documents: each holds its texts and their anchors, and levels of one size
+    class merge. A new batch is scanned against all of them; only texts that share an anchor with it are read again.
+
+    folder: where levels lie, as Parquet; a batch counts once it is whole, and a batch that failed can be added again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, width: int = 50) -> None:
+        self.spark, self.folder, self.width = spark, folder, width
+
+    def held(self) -> list[tuple[str, int, int]]:
+        """Name, bytes and chunks of each level, the largest first."""
+        kept = versions(self.spark, f"{self.folder}/state")
+        rows = self.spark.read.parquet(f"{self.folder}/state/version={kept[-1]}/levels").collect() if kept else []  # a row a level
+        return sorted(((r["name"], r["bytes"], r["chunks"]) for r in rows), key=lambda r: (-r[1], r[0]))
+
+    def _read(self, name: str, what: str, base: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}/{what}").withColumn("chunk", F.col("chunk") + F.lit(base))
+
+    def _all(self, held: list[tuple[str, int, int]]) -> tuple[DataFrame, DataFrame, int] | None:
+        """Documents and anchors of levels, and how many chunks they have."""
+        base, docs, anchors = 0, None, None
+        for name, _, chunks in held:
+            d, a = self._read(name, "documents", base), self._read(name, "anchors", base)
+            docs, anchors = (d, a) if docs is None else (docs.unionByName(d), anchors.unionByName(a))
+            base += chunks
+        return (docs, anchors, base) if held else None
+
+    def add(self, docs: DataFrame, **how) -> DataFrame:
+        """What remove_repeats gives for a batch, with the documents of all batches before as documents, too; these get no row.
+        The result is written, and the batch becomes a level."""
+        held = self.held()
+        size = text_bytes(docs)[1]
+        chunks = chunk_count(size, how.get("chunk_bytes", CHUNK_BYTES))
+        name, dealt = uuid.uuid4().hex, dealt_texts(docs, chunks)
+        result, anchors = _remove(dealt, size, chunks, self._all(held), sum(b for _, b, _ in held), self.width, **how)
+        result.write.parquet(f"{self.folder}/{name}/result")
+        dealt.write.parquet(f"{self.folder}/{name}/documents")
+        anchors.withColumn("chunk", F.col("chunk") - sum(c for *_, c in held)).select("chunk", "data").write.parquet(f"{self.folder}/{name}/anchors")
+        held.append((name, size, chunks))
+        old = []
+        while len(held) > 1 and held[-2][1].bit_length() <= held[-1][1].bit_length():
+            pair = held[-2:]
+            merged_ = uuid.uuid4().hex
+            d, a, n = self._all(pair)
+            d.write.parquet(f"{self.folder}/{merged_}/documents")
+            a.write.parquet(f"{self.folder}/{merged_}/anchors")
+            old += [p[0] for p in pair]
+            held[-2:] = [(merged_, sum(p[1] for p in pair), n)]
+        kept = versions(self.spark, f"{self.folder}/state")
+        state = f"{self.folder}/state/version={kept[-1] + 1 if kept else 0}"
+        self.spark.createDataFrame(held, "name string, bytes long, chunks long").write.mode("overwrite").parquet(f"{state}/levels")
+        complete(self.spark, state)
+        for n in old:
+            remove(self.spark, f"{self.folder}/{n}/documents")
+            remove(self.spark, f"{self.folder}/{n}/anchors")
+        return self.spark.read.parquet(f"{self.folder}/{name}/result")
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, **how) -> DataFrame:
     """Removes every byte that a `width`-byte string covers which also starts in a document of a smaller doc_id.
 
     Returns a row for each of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
@@ -233,15 +296,24 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
 
     Whole copies, and segments that repeat within a chunk, do not travel. An anchor in `hot_chunks` chunks or more has its
     windows dealt one by one, and what is dealt so meets by groups of as many chunks first, of which the earliest holders go on.
+    Documents that come by batches are for Levels.
     """
     _, size = text_bytes(docs)
-    chunks = chunk_count(size, chunk_bytes)
-    buckets = chunk_count(size * 2, BUCKET_ANCHORS * (width - ANCHOR + 2))
-    salts = -(-chunks // hot_chunks)
-    dealt = dealt_texts(docs, chunks)
+    chunks = chunk_count(size, how.get("chunk_bytes", CHUNK_BYTES))
+    return _remove(dealt_texts(docs, chunks), size, chunks, None, 0, width, **how)[0]
+
+
+def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame, DataFrame, int] | None, before: int, width: int, hot_chunks: int = HOT_CHUNKS, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The result for documents dealt, and their anchors; earlier: documents, anchors and number of the chunks of levels."""
+    base = earlier[2] if earlier else 0
+    buckets = chunk_count((size + before) * 2, BUCKET_ANCHORS * (width - ANCHOR + 2))
+    salts = -(-(chunks + base) // hot_chunks)
+    if earlier:
+        dealt = dealt.withColumn("chunk", F.col("chunk") + F.lit(base))
+    every = dealt.unionByName(earlier[0].select(dealt.columns)) if earlier else dealt
 
     # Copies by their digest; a chunk tells each of its digests once.
-    told = dealt.where(F.octet_length("text") >= width).groupBy("chunk", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    told = every.where(F.octet_length("text") >= width).groupBy("chunk", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     firsts = told.groupBy("digest").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").drop("most")
     packed = F.concat("digest", F.unhex(F.lpad(F.hex("least"), 16, "0")))
     copies = told.join(firsts, "digest").where("last > least").select(F.col("chunk").alias("chunk"), F.lit(_COPY).alias("kind"), packed.alias("data"))
@@ -250,12 +322,19 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
         if not left.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
         row, _, _, h = _Chunk(left, right).runs(width)
-        hashes, _ = distinct_anchors(row, h)
+        return pa.table(bucketed(left["chunk"][0].as_py(), distinct_anchors(row, h)[0]))
+
+    def bucketed(chunk: int, hashes: np.ndarray) -> dict[str, pa.Array]:
         to = _bucket(hashes.view(U64), buckets)
         order, at, end = parted(to)
         hashes = hashes[order]
         blobs = [hashes[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
-        return pa.table({"bucket": pa.array(to[order][at]), "chunk": pa.array(np.full(len(at), left["chunk"][0].as_py(), np.int64)), "data": pa.array(blobs, pa.binary())})
+        return {"bucket": pa.array(to[order][at]), "chunk": pa.array(np.full(len(at), chunk, np.int64)), "data": pa.array(blobs, pa.binary())}
+
+    def deal_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pydict(bucketed(chunk, np.frombuffer(data, np.int64)))
 
     def shared_anchors(table: pa.Table) -> pa.Table:
         h, many = blobs_of(table["data"])
@@ -263,6 +342,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
         order, at, end = parted(h)
         times = np.empty(len(h), np.int64)
         times[order] = np.repeat(end - at, end - at)
+        if base:  # an anchor that no judged chunk has is of no use
+            here = np.zeros(len(h), bool)
+            here[order] = np.repeat(np.logical_or.reduceat(chunk[order] >= base, at), end - at) if len(h) else here
+            times[~here] = 0
         rows = []
         for kind, take in ((_SHARED, (times > 1) & (times < hot_chunks)), (_HOT, times >= max(2, hot_chunks))):
             own, of = h[take], chunk[take]
@@ -277,7 +360,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
         whole = _Chunk(left, right)
         number = left["chunk"][0].as_py()
         row, start, many, h = whole.runs(width)
-        _, local = distinct_anchors(row, h)
+        local = distinct_anchors(row, h)[1] if number >= base else np.zeros(0, np.int64)
         hot = whole.noted[_HOT]
         take = np.flatnonzero(np.isin(h.view(np.int64), np.concatenate([local, whole.noted[_SHARED], hot])))
         row, start, many, h = row[take], start[take], many[take], h[take]
@@ -362,14 +445,19 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot_chunks: int = HOT_CHUNK
         cols = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=False)})
 
-    def together(notes: DataFrame):
-        return dealt.groupBy("chunk").cogroup(notes.groupBy("chunk"))
+    def together(notes: DataFrame, texts: DataFrame = dealt):
+        return texts.groupBy("chunk").cogroup(notes.groupBy("chunk"))
 
-    anchors = together(copies).applyInArrow(tell_anchors, "bucket long, chunk long, data binary")
+    anchors = own_anchors = together(copies).applyInArrow(tell_anchors, "bucket long, chunk long, data binary")
+    if earlier:
+        anchors = anchors.unionByName(earlier[1].select("chunk", "data").mapInArrow(deal_anchors, "bucket long, chunk long, data binary"))
     shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, _NOTE)
-    windows = together(copies.unionByName(shared)).applyInArrow(tell_windows, _WINDOWS)
+    texts = dealt
+    if earlier:
+        texts = dealt.unionByName(earlier[0].select(dealt.columns).join(shared.select(F.col("chunk").alias("chunk")).distinct(), "chunk", "left_semi"))
+    windows = together(copies.unionByName(shared), texts).applyInArrow(tell_windows, _WINDOWS)
     if salts > 1:
         windows = checkpointed(windows)
         windows = windows.where("salt = 0").unionByName(windows.where("salt > 0").groupBy("bucket", "salt").applyInArrow(first_holders, _WINDOWS))
     spans = windows.groupBy("bucket").applyInArrow(scan_windows, _NOTE)
-    return together(copies.unionByName(spans)).applyInArrow(cut, result)
+    return together(copies.unionByName(spans).where(F.col("chunk") >= base)).applyInArrow(cut, result), own_anchors

@@ -96,5 +96,29 @@ def test_levels_stay_geometric_and_find_earlier_documents():
         assert sizes == sorted(set(sizes), reverse=True)
 
 
+def test_batches_are_scanned_against_stored_levels(spark, tmp_path):
+    docs = corpus()
+    rng = random.Random(5)
+    rng.shuffle(docs)
+    family = suffix_dedup.Levels(spark, str(tmp_path / "levels"))
+    sizes, begin = [], 0
+    for many in (20, 5, 30, 3, 0, len(docs)):
+        batch = docs[begin : begin + many]
+        got = {}
+        for r in family.add(table(spark, batch), chunk_bytes=3000, hot_chunks=4).collect():
+            got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+        held = docs[: begin + many]
+        everything = plain([(d, t) for d, t in held])
+        for d in {d for d, _ in batch}:
+            assert set(got[d]) <= set(everything[d])
+        assert sum(map(len, got.values())) == len(batch)
+        begin += many
+        sizes.append([b.bit_length() for _, b, _ in family.held()])
+        assert all(x > y for x, y in zip(sizes[-1], sizes[-1][1:]))
+    assert max(map(len, sizes)) > 1
+    again = suffix_dedup.Levels(spark, str(tmp_path / "levels")).add(table(spark, [(10**6, docs[0][1]), (10**6 + 1, "new " + docs[1][1])])).collect()
+    assert [r["n_removed"] for r in sorted(again)] == [len((docs[0][1] or "").encode()) if len((docs[0][1] or "").encode()) >= 50 else 0, len((docs[1][1] or "").encode()) if len((docs[1][1] or "").encode()) >= 50 else 0]
+
+
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
