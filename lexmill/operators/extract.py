@@ -23,18 +23,19 @@ _IMPLEMENTS = rf"(?i){_B}(implement|align|transpos|equivalent){_E}"
 
 
 def _hits(text: Column, k: int) -> Column:
-    """All matches of a pattern with their places: what stands between matches gives the lengths before each."""
+    """All matches of a pattern with their places: what stands between matches gives the lengths before each. Groups are read
+    from the matches, not from the text again."""
     pattern, year, number, community = PATTERNS[k]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
     between = F.slice(F.split(text, pattern), 1, F.greatest(F.size(whole), F.lit(1)))
     zipped = F.arrays_zip(whole.alias("w"), between.alias("b"))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
     places = F.aggregate(zipped, start, lambda s, z: F.struct((s["end"] + F.length(z["b"]) + F.coalesce(F.length(z["w"]), F.lit(0))).alias("end"), F.concat(s["at"], F.array(s["end"] + F.length(z["b"]) + 1)).alias("at")), lambda s: s["at"])
-    kind = F.transform(group(community), lambda c: F.upper(c)) if community else F.transform(whole, lambda _: F.lit("EU"))
+    group = lambda w, i: F.regexp_extract(w, pattern, i)
+    kind = (lambda w: F.upper(group(w, community))) if community else (lambda w: F.lit("EU"))
     return F.transform(
-        F.arrays_zip(whole.alias("full_citation"), group(1).alias("type"), group(year).alias("raw_year"), group(number).alias("raw_number"), kind.alias("community"), F.slice(places, 1, F.size(whole)).alias("at")),
-        lambda h: F.struct(F.lit(k).alias("pattern"), h["at"].alias("at"), F.lower(h["type"]).alias("type"), X.two_digit_year(h["raw_year"]).alias("year"), h["raw_number"].try_cast("int").alias("number"), h["community"].alias("community"), h["full_citation"].alias("full_citation")),
+        F.arrays_zip(whole.alias("w"), F.slice(places, 1, F.size(whole)).alias("at")),
+        lambda h: F.struct(F.lit(k).alias("pattern"), h["at"].alias("at"), F.lower(group(h["w"], 1)).alias("type"), X.two_digit_year(group(h["w"], year)).alias("year"), group(h["w"], number).try_cast("int").alias("number"), kind(h["w"]).alias("community"), h["w"].alias("full_citation")),
     )
 
 

@@ -10,6 +10,7 @@ from lexmill.functions import tokens as T
 from lexmill.operators.resolve import resolve_one
 from lexmill.plans import ftsquery as Q
 from lexmill.schema import Answer, Store
+from lexmill.storage import checkpoint_dir
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -83,8 +84,9 @@ def first_per_provision(rows: DataFrame, order: list, limit: int) -> DataFrame:
 def search(store: Store, query: str | None, document: str | None = None, status: str | None = None, limit: int | None = None) -> Answer:
     """Provisions that match the strictest variant of the query that any provision matches, the best first.
 
-    One aggregation over the tokens tells for all variants at once which is met, and gives the corpus statistics; a second
-    pass scores and keeps the best. If no variant is met, contents are searched for the words in order.
+    One pass over the tokens counts the phrases of all variants. One aggregation over the counts tells which variant is met,
+    and gives the corpus statistics; what matches is scored and the best kept. If no variant is met, contents are searched
+    for the words in order.
     """
     spark = store.spark
     nothing = spark.createDataFrame([], "document_id string, document_title string, provision_ref string, chapter string, section string, title string, snippet string, relevance double")
@@ -104,7 +106,10 @@ def search(store: Store, query: str | None, document: str | None = None, status:
     trees = plans(query)
     every = list(dict.fromkeys(p for t in trees if t is not None for p in Q.phrases(t)))
     if every:
+        # Texts are split once; their counts are written, and read for statistics and scores.
+        checkpoint_dir(spark)
         counts, columns = counted(provisions, every)
+        counts = counts.drop(*(c for c in provisions.columns if c not in ("id", "document_id", "provision_ref"))).checkpoint()
         met = [matches(t, columns) if t is not None else F.lit(False) for t in trees]
         tier = F.lit(None).cast("int")
         for i, m in reversed(list(enumerate(met))):
@@ -115,8 +120,10 @@ def search(store: Store, query: str | None, document: str | None = None, status:
             tree = trees[stats["tier"]]
             used = Q.phrases(tree)
             scored = counts.where(matches(tree, columns)).withColumn("relevance", F.round(bm25(stats, columns, used), 6)).join(wanted, "document_id")
-            best = first_per_provision(scored, [F.col("relevance"), F.col("id")], limit)
-            shown = T.with_snippet(best, "content", [(p.words, p.prefix) for p in used if p.words])
+            # `limit` rows at most, whose texts are read by id.
+            best = first_per_provision(scored, [F.col("relevance"), F.col("id")], limit).select("id", "document_title", "relevance").collect()
+            texts = provisions.where(F.col("id").isin([r["id"] for r in best])).join(F.broadcast(spark.createDataFrame(best, "id long, document_title string, relevance double")), "id")
+            shown = T.with_snippet(texts, "content", [(p.words, p.prefix) for p in used if p.words])
             return Answer(shown.orderBy("relevance", "id").select(RESULT), strategy="broadened" if stats["tier"] else None)
     found = like_search(provisions, Q.like_pattern(Q.sanitize(query))).join(wanted, "document_id")
     rows = first_per_provision(found, [F.col("id")], limit)
