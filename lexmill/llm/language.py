@@ -41,10 +41,9 @@ def has_letter(column: pa.Array) -> np.ndarray:
     """Which rows hold a letter of any script. A null row holds none."""
     data, offsets = utf8_view(column)
     low = data | 0x20
-    plain = np.concatenate([[0], np.cumsum((low >= 0x61) & (low <= 0x7A))])
-    wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
-    out = np.diff(plain[offsets]) > 0
-    for i in np.flatnonzero(~out & (np.diff(wide[offsets]) > 0)).tolist():
+    holds = lambda held: np.diff(np.searchsorted(np.flatnonzero(held), offsets)) > 0
+    out = holds((low >= 0x61) & (low <= 0x7A))
+    for i in np.flatnonzero(~out & holds(data >= 0x80)).tolist():
         out[i] = any(c.isalpha() for c in column[i].as_py())
     return out
 

@@ -18,17 +18,19 @@ SAMPLE = 8000
 PAIRS = 60_000
 #: Bytes whose shares are features of their own: all ASCII that is neither a letter nor a digit.
 _SIGNS = [b for b in range(0x20, 0x7F) if not chr(b).isalnum()]
+_SIGN_CODE = np.full(256, -1)
+_SIGN_CODE[_SIGNS] = np.arange(len(_SIGNS))
 #: A line shorter than this many bytes says too little about its make-up.
 _LINE = 24
 #: Shares also count as whether there is more than this of them.
 _STEPS = (0.01, 0.05, 0.2)
 
 
-def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Sums of values between cuts."""
-    total = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=total[1:])
-    return np.diff(total[cuts])
+def _sums(held: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many are true between cuts."""
+    if np.count_nonzero(held) * 2 > len(held):
+        return np.diff(cuts) - _sums(~held, cuts)
+    return np.diff(np.searchsorted(np.flatnonzero(held), cuts))
 
 
 def _shares(data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
@@ -53,7 +55,9 @@ def features(column: pa.Array) -> np.ndarray:
     rows = len(offsets) - 1
     size = np.diff(offsets)
     whole = _shares(data, offsets)
-    signs = [_sums(data == b, offsets) / np.maximum(size, 1) for b in _SIGNS]
+    at = np.flatnonzero(_SIGN_CODE[data] >= 0)
+    code = (np.searchsorted(offsets, at, "right") - 1) * len(_SIGNS) + _SIGN_CODE[data[at]]
+    signs = list((np.bincount(code, minlength=rows * len(_SIGNS)).reshape(rows, -1) / np.maximum(size, 1)[:, None]).T)
 
     starts, ends, first = word_spans(~SPACE[data], offsets)
     many = np.diff(first)
@@ -180,13 +184,14 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """Adds a score (0 to 1) to all columns of docs, in place of one of that name. Null is the empty text; a table without rows stays so."""
     box = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fieldNames() if f != name]
-    schema = T.StructType([*(docs.schema[f] for f in fields), T.StructField(name, T.DoubleType())])
+    places = [f"c{i}" for i in range(len(fields))]  # names that an Arrow function can take
+    schema = T.StructType([*(T.StructField(c, docs.schema[f].dataType) for c, f in zip(places, fields, strict=True)), T.StructField("score", T.DoubleType())])
     at = fields.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(at), 1 << 20):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(box.value.score(features(part.column(at))))], names=[*fields, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(box.value.score(features(part.column(at))))], names=[*places, "score"])
 
-    return docs.select(*(F.col(quoted(f)) for f in fields)).mapInArrow(run, schema)
+    return docs.select(*(F.col(quoted(f)).alias(c) for c, f in zip(places, fields, strict=True))).mapInArrow(run, schema).toDF(*fields, name)
