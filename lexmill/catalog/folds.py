@@ -9,12 +9,14 @@ from lexmill.catalog.registry import query
 from lexmill.catalog.text import sql_html, sql_spaced
 from lexmill.functions import text as X
 from lexmill.operators import dedupe, extract, parse_html
+from lexmill.sources import seed
 
 
 @query("defaults_coalesce", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, 'statute') AS type, coalesce(CASE WHEN doc_id % 2 > 0 THEN source END, 'in_force') AS status FROM documents")
 def defaults_coalesce(spark, sf):
     n = F.col("doc_id")
-    return A.read(spark, sf, "documents").select("doc_id", F.coalesce(F.when(n % 3 > 0, F.col("lang")), F.lit("statute")).alias("type"), F.coalesce(F.when(n % 2 > 0, F.col("source")), F.lit("in_force")).alias("status"))
+    rows = A.read(spark, sf, "documents").select("doc_id", F.when(n % 3 > 0, F.col("lang")).alias("type"), F.when(n % 2 > 0, F.col("source")).alias("status"))
+    return seed.with_defaults(rows)
 
 
 @query("unnest_children", "SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, line[pos] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)")

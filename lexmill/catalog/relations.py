@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.catalog import adapters as A
 from lexmill.catalog.registry import query
 from lexmill.operators import citation, dedupe, relations, reports, resolve
+from lexmill.plans import ftsquery
 from lexmill.schema import Store, lacking, orphans, repeated, violations
 from lexmill.sources.seed import as_json, digest
 
@@ -223,10 +224,11 @@ def capabilities(spark, sf):
     return spark.createDataFrame([(t, store.has(t)) for t in ("legal_documents", "legal_provisions", "definitions", "eu_documents", "eu_references")], "name string, available boolean")
 
 
-@query("kv_pivot", "SELECT coalesce(max(n_name) FILTER (n_regionkey = 0), 'free') AS tier, coalesce(max(n_name) FILTER (n_regionkey = 99), '1.0') AS schema_version, max(n_name) FILTER (n_regionkey = 2) AS built_at FROM nation")
+@query("kv_pivot", "SELECT coalesce(max(p_name) FILTER (p_partkey % 50 = 0), 'free') AS tier, coalesce(max(p_name) FILTER (p_partkey < 0), '1.0') AS schema_version, max(p_name) FILTER (p_partkey % 50 = 2) AS built_at FROM part")
 def kv_pivot(spark, sf):
-    key = F.when(F.col("n_regionkey") == 0, "tier").when(F.col("n_regionkey") == 99, "schema_version").when(F.col("n_regionkey") == 2, "built_at")
-    return reports.metadata(A.read(spark, sf, "nation").select(key.alias("key"), F.col("n_name").alias("value")))
+    n = F.col("p_partkey")
+    key = F.when(n % 50 == 0, "tier").when(n < 0, "schema_version").when(n % 50 == 2, "built_at")
+    return reports.metadata(A.read(spark, sf, "part").select(key.alias("key"), F.col("p_name").alias("value")))
 
 
 @query("freshness", """SELECT o_orderkey, age, CASE WHEN o_orderstatus = 'F' THEN 2 WHEN age IS NULL OR age > 90 OR o_custkey < 50 THEN 1 ELSE 0 END AS verdict
@@ -251,20 +253,21 @@ def fingerprint_sha2(spark, sf):
     return A.read(spark, sf, "documents").select("doc_id", digest(F.col("text")).alias("digest"))
 
 
-@query("to_json_rows", "SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS json FROM nation")
+@query("to_json_rows", "SELECT to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'n_chars': n_chars}) AS json FROM documents")
 def to_json_rows(spark, sf):
-    return as_json(A.read(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    return as_json(A.read(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars"))
 
 
-@query("prompt_template", "SELECT n_nationkey, 'Review the law of ' || n_name || ' on ' || CASE WHEN n_regionkey = 0 THEN 'all areas' ELSE CAST(n_regionkey AS VARCHAR) END || '.' AS prompt FROM nation")
+@query("prompt_template", "SELECT doc_id, 'Review the law of ' || coalesce(nullif(lang, ''), 'all areas') || ' on ' || CASE WHEN doc_id % 3 = 0 THEN 'all areas' WHEN text = '' THEN 'all areas' ELSE text END || '.' AS prompt FROM documents")
 def prompt_template(spark, sf):
-    area = F.coalesce(F.when(F.col("n_regionkey") > 0, F.col("n_regionkey").cast("string")), F.lit("all areas"))
-    return A.read(spark, sf, "nation").select("n_nationkey", F.format_string("Review the law of %s on %s.", "n_name", area).alias("prompt"))
+    area = F.when(F.col("doc_id") % 3 > 0, F.col("text"))
+    return A.read(spark, sf, "documents").select("doc_id", reports.prompts("Review the law of {country} on {area}.", country=F.col("lang"), area=area).alias("prompt"))
 
 
-@query("clamp", "SELECT o_orderkey, CAST(least(greatest(o_custkey - 20, 1), 50) AS BIGINT) AS n FROM orders")
+@query("clamp", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 10 ELSE least(greatest(o_custkey - 20, 1), 50) END AS BIGINT) AS n FROM orders")
 def clamp(spark, sf):
-    return A.read(spark, sf, "orders").select("o_orderkey", F.least(F.greatest(F.col("o_custkey") - 20, F.lit(1)), F.lit(50)).cast("long").alias("n"))
+    limit = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey") - 20)
+    return A.read(spark, sf, "orders").select("o_orderkey", ftsquery.clamped(limit, 10, 50).alias("n"))
 
 
 # Keeping one of several ------------------------------------------------------------------------------------------------

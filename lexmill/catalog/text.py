@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.catalog import adapters as A
 from lexmill.catalog.registry import query
 from lexmill.functions import text as X
-from lexmill.operators import citation
+from lexmill.operators import citation, relations
 
 _WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -206,4 +206,4 @@ def uuid_check(spark, sf):
 
 @query("eu_titles", A.SQL + "SELECT id, coalesce(title, short_name) AS title FROM act")
 def eu_titles(spark, sf):
-    return A.acts(spark, sf).select("id", F.coalesce("title", "short_name").alias("title"))
+    return A.acts(spark, sf).select("id", relations.act_title().alias("title"))

@@ -13,6 +13,7 @@ SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\
 NAMED_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ndash;", "-"), ("&mdash;", "-"), ("&shy;", ""))
 #: Word endings that a stem loses, in the order in which they are tried.
 SUFFIXES = ("ies", "ing", "ers", "tion", "ment", "ness", "able", "ible", "ous", "ive", "ed", "es", "er", "ly", "s")
+#: Tags that begin or end a line.
 _BLOCK_TAGS = "p|div|li|ul|ol|tr|td|th|table|tbody|thead|tfoot|h[1-6]"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -146,6 +147,7 @@ def roman_to_arabic(c: Column) -> Column:
     return F.aggregate(signed, F.lit(0), lambda s, x: s + x)
 
 
+#: How a statute is formally cited.
 FORMAL = rf"(?iu)(\d{{4}})\.{SPACES}*évi{SPACES}+([IVXLCDM]+)\.{SPACES}*törvény"
 
 

@@ -14,7 +14,7 @@ _FORMAL = rf"\d{{4}}\.{_S}*évi{_S}+[IVXLCDM]+\.{_S}*törvény"
 _NUMBER = r"\d+(?::\d+)?(?:/[A-Za-z])?"
 _ID = r"hu-law-\d{4}-\d+-\d{2}-\d{2}"
 _WORD_SECTION = r"\d+[A-Za-z]*(?:\(\d+\))?"
-#: Patterns in the order in which they are tried, with the groups of the document and of the section.
+#: Patterns in the order in which they are tried, with the groups of the document and of the section.
 PATTERNS = (
     (rf"(?iu)^({_FORMAL}){_S}+({_NUMBER})\.{_S}*§", 1, 2),
     (rf"(?iu)^({_FORMAL})\z", 1, None),

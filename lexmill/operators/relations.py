@@ -10,11 +10,17 @@ from lexmill.operators.resolve import resolve_one
 from lexmill.plans.ftsquery import clamp
 from lexmill.schema import EU_NOTE, Answer, Store
 
+#: What is said where there are no edges.
 NO_EDGES = "No EU cross-references found for this Hungarian statute. Hungary is an EU Member State; EU references indicate transposition obligations."
 
 
+def act_title() -> Column:
+    """What an act is called: its title, else its short name."""
+    return F.coalesce("title", "short_name")
+
+
 def _acts(store: Store) -> DataFrame:
-    return store["eu_documents"].select(F.col("id").alias("eu_document_id"), F.col("type").alias("eu_document_type"), F.coalesce("title", "short_name").alias("eu_document_title"))
+    return store["eu_documents"].select(F.col("id").alias("eu_document_id"), F.col("type").alias("eu_document_type"), act_title().alias("eu_document_title"))
 
 
 def basis(refs: DataFrame, acts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

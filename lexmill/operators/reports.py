@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from lexmill.schema import Store
 
 #: A store older than this many days is stale.
 STALE_DAYS = 90
+#: What stands in a prompt for what is not given.
+GENERAL = "all areas"
 CORE = ("legal_documents", "legal_provisions")
 #: Where the statutes come from, and what is said beside them.
 JURISDICTION = "HU"
@@ -82,4 +85,10 @@ def freshness(age: Column, failed: Column, documents: Column, provisions: Column
 
 def prompt(template: str, **values: str | None) -> str:
     """A prompt with its blanks filled; what is not given stays general."""
-    return template.format(**{k: v or "all areas" for k, v in values.items()})
+    return template.format(**{k: v or GENERAL for k, v in values.items()})
+
+
+def prompts(template: str, **values: Column) -> Column:
+    """As prompt, for columns of values."""
+    parts = list(Formatter().parse(template))
+    return F.concat(*(c for text, name, *_ in parts for c in (F.lit(text), *((F.coalesce(F.nullif(values[name], F.lit("")), F.lit(GENERAL)),) if name else ()))))

@@ -12,7 +12,12 @@ MAPPING = "hungarian_document_id string, eu_document_id string, eu_type string,
 
 def read_seed(spark: SparkSession, folder: str) -> DataFrame:
     """A row a JSON file, with its name; names that begin with a dot or an underscore are passed over."""
-    return spark.read.schema(SEED).option("multiLine", True).json(folder, pathGlobFilter="*.json").select("*", F.col("_metadata.file_name").alias("file")).withColumns({"type": F.coalesce("type", F.lit("statute")), "status": F.coalesce("status", F.lit("in_force"))})
+    return spark.read.schema(SEED).option("multiLine", True).json(folder, pathGlobFilter="*.json").select("*", F.col("_metadata.file_name").alias("file")).transform(with_defaults)
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """What a statute is that does not say it."""
+    return rows.withColumns({"type": F.coalesce("type", F.lit("statute")), "status": F.coalesce("status", F.lit("in_force"))})
 
 
 def children(seeds: DataFrame, column: str) -> DataFrame:
