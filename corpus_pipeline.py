@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from lexmill.llm import chunk_dedup, decontaminate, packing, quality, simhash
 from lexmill.llm.common import quoted
 from lexmill.llm.queries import tokenizer_path
+from lexmill.schema import remove
 from lexmill.storage import checkpoint_dir
 
 #: Near duplicates have distinct shingles of five words with a Jaccard similarity of 0.8 or more.
@@ -82,7 +83,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written in the shared folder and read again."""
+    """Applies the stages to documents; each result is written in the shared folder and read again, and goes after that."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
@@ -90,4 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")  # all that was read of it is written anew
     return docs
