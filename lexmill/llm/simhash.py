@@ -21,6 +21,8 @@ from lexmill.llm.components import Forest, components
 _LANES = U64(0x0101010101010101)
 #: Buckets up to this size are compared pair by pair; larger ones in another way, without all pairs.
 SMALL_BUCKET = 16
+#: Rows of a bucket that one task holds.
+LARGE_BUCKET = 200_000
 #: Nodes of a group of candidates that one task verifies by their shingles.
 BLOCK_NODES = 4_000
 
@@ -267,10 +269,12 @@ def _bucket_links(keys: np.ndarray, words: np.ndarray, most: int, exact: bool) -
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def links(nodes: DataFrame, lanes: int, tables: list[list[int]], most: int, exact: bool) -> DataFrame:
+def links(nodes: DataFrame, lanes: int, tables: list[list[int]], most: int, exact: bool, large: int = LARGE_BUCKET) -> DataFrame:
     """nodes: node long, f0 ... (distinct fingerprints). Returns a, b: nodes that a link or a line of links joins.
 
-    What the buckets of a partition join comes out as a forest: one row a node, however many links a dense group has.
+    What the buckets of a partition join comes out as a forest: one row a node, however many links a dense group has. A
+    bucket of more than `large` rows is held by no task: its rows come out as they are, and meet in another way, as
+    complete (by the values one bit away, or by pairs of blocks of that size).
     """
     names = [f"f{i}" for i in range(lanes)]
     schema = "key long, node long, " + ", ".join(f"{n} long" for n in names)
@@ -287,31 +291,81 @@ def links(nodes: DataFrame, lanes: int, tables: list[list[int]], most: int, exac
                 k = keys[own]
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(pa.array(np.repeat(c[own], k.shape[1])) for c in cols)], names=["key", "node", *names])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        forest = Forest()
-
-        def join(cols: list[np.ndarray]) -> None:
-            a, b = _bucket_links(cols[0], np.stack(cols[2:], axis=1).view(U64), most, exact)
-            forest.add(cols[1][a].tolist(), cols[1][b].tolist())
+    def meet(limit: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = []
+            forest = Forest()
+            over: int | None = None  # the key of a bucket that is too large
+
+            def join(cols: list[np.ndarray]) -> None:
+                a, b = _bucket_links(cols[0], np.stack(cols[2:], axis=1).view(U64), most, exact)
+                forest.add(cols[1][a].tolist(), cols[1][b].tolist())
+
+            def as_they_are(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+                for cols in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", *names])
+
+            for batch in batches:
+                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                if over is not None:
+                    rest = int(np.searchsorted(cols[0], over, "right"))
+                    yield from as_they_are([[c[:rest] for c in cols]])
+                    cols = [c[rest:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                over = None
+                if not held or cols[0][-1] != held[0][0][-1]:  # all keys but the last are complete
+                    cut = np.searchsorted(cols[0], cols[0][-1])
+                    join([np.concatenate([*(h[i] for h in held), c[:cut]]) for i, c in enumerate(cols)])
+                    held = [[c[cut:] for c in cols]]
+                else:
+                    held.append(cols)
+                if limit and sum(len(h[0]) for h in held) > limit:
+                    over = int(held[-1][0][-1])
+                    yield from as_they_are(held)
+                    held = []
+            if held:
+                join([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
+            for star in forest.stars():
+                none = pa.nulls(len(star), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, star.column(0), star.column(1), *[none] * (lanes - 1)], names=["key", "node", *names])
+
+        return run
+
+    def near_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = np.concatenate([[U64(0)], U64(1) << np.arange(64, dtype=U64)])
+        for batch in batches:
+            for begin in range(0, len(batch), 512):
+                node, f = (batch.column(i).slice(begin, 512).to_numpy() for i in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array((f.view(U64)[:, None] ^ flips).view(np.int64).ravel()), pa.array(np.repeat(node, 65))], names=["value", "node"])
 
+    def in_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, last = Forest(), (np.zeros(0, np.int64),) * 2
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(cols[0]):
-                continue
-            if not held or cols[0][-1] != held[0][0][-1]:  # all keys but the last are complete
-                cut = np.searchsorted(cols[0], cols[0][-1])
-                join([np.concatenate([*(h[i] for h in held), c[:cut]]) for i, c in enumerate(cols)])
-                held = [[c[cut:] for c in cols]]
-            else:
-                held.append(cols)
-        if held:
-            join([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
+            value, node = (np.concatenate([x, c.to_numpy()]) for x, c in zip(last, batch.columns, strict=True))
+            same = np.flatnonzero(value[1:] == value[:-1])
+            forest.add(node[same].tolist(), node[same + 1].tolist())
+            last = value[-1:], node[-1:]
         yield from forest.stars()
 
-    keyed = nodes.select("node", *names).mapInArrow(emit, schema)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    def met(rows: DataFrame, limit: int | None) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet(limit), schema)
+
+    out = checkpointed(met(nodes.select("node", *names).mapInArrow(emit, schema), large))
+    found = out.where("key is null").select(F.col("node").alias("a"), F.col("f0").alias("b"))
+    over = out.where("key is not null")
+    if not over.limit(1).count():
+        return found
+    if exact:
+        values = over.select("node", "f0").distinct().mapInArrow(near_values, "value long, node long")
+        more = values.repartition("value").sortWithinPartitions("value").mapInArrow(in_line, "a long, b long")
+    else:
+        blocks = over.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / large).alias("blocks"))
+        dealt = over.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", *names)
+        more = met(pairs, None).select(F.col("node").alias("a"), F.col("f0").alias("b"))
+    return found.unionByName(more)
 
 
 def alike(hashes: np.ndarray, begin: np.ndarray, least: float) -> np.ndarray:

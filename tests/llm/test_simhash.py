@@ -67,9 +67,23 @@ def test_links_lose_nothing_in_small_and_large_buckets(spark):
     prints = dict(enumerate(sorted(prints)))
     signed = {i: int(np.uint64(f).astype(np.int64)) for i, f in prints.items()}
     nodes = spark.createDataFrame([(i, f) for i, f in signed.items()], "node long, f0 long")
-    found = components(simhash.links(nodes, 1, simhash.exact_tables(), 2, exact=True))
-    got = {i: i for i in prints} | {r["node"]: r["component"] for r in found.collect()}
-    assert got == plain_components(prints)
+    for large in (simhash.LARGE_BUCKET, 100, 3):
+        found = components(simhash.links(nodes, 1, simhash.exact_tables(), 2, exact=True, large=large))
+        got = {i: i for i in prints} | {r["node"]: r["component"] for r in found.collect()}
+        assert got == plain_components(prints)
+
+
+def test_buckets_too_large_for_a_task_lose_no_link(spark):
+    rng = random.Random(17)
+    flip = lambda f, n: f ^ sum(1 << b for b in rng.sample(range(20, 256), n))
+    base = rng.getrandbits(256)
+    prints = [flip(base, rng.randrange(10, 40)) for _ in range(120)] + [base & 0xFFFFF | rng.getrandbits(236) << 20 for _ in range(60)]
+    words = [[int(np.uint64(f >> 64 * i & (2**64 - 1)).astype(np.int64)) for i in range(4)] for f in prints]
+    nodes = spark.createDataFrame([(i, *w) for i, w in enumerate(words)], "node long, f0 long, f1 long, f2 long, f3 long").repartition(3)
+    for large in (1000, 50, 7):
+        found = components(simhash.links(nodes, 4, [list(range(20))], 51, exact=False, large=large))
+        got = {i: i for i in range(len(prints))} | {r["node"]: r["component"] for r in found.collect()}
+        assert got == plain_components(dict(enumerate(prints)), 51)
 
 
 def test_chain_filter_prunes_and_keeps():
