@@ -99,6 +99,36 @@ def parse_provisions(spark, sf):
     return parse_html.provisions(_site(spark, sf))
 
 
+_LINES = """line AS (SELECT l_orderkey AS o, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey) - 1 AS pos, l_returnflag AS r,
+    CASE l_returnflag WHEN 'R' THEN l_linenumber || '. § part ' || l_partkey WHEN 'A' THEN '(' || l_suppkey || ') part ' || l_partkey ELSE 'Fejezet ' || l_suppkey END AS t,
+    CASE WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN 'Fejezet ' || l_suppkey END AS chapter FROM lineitem),
+near AS (SELECT *, last_value(CASE WHEN r = 'R' THEN n END IGNORE NULLS) OVER w AS sec, last_value(chapter IGNORE NULLS) OVER w AS ch FROM line WINDOW w AS (PARTITION BY o ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def _orders(spark, sf):
+    """A page for each order, with a block a line: sections, paragraphs, chapters and headings as its lines come."""
+    n, r, who = F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.col("l_suppkey").cast("string")
+    chapter, part = F.concat(F.lit("Fejezet "), who), F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
+    css = F.when(r == "R", "szakasz").when(r == "A", "bekezdes").when(F.col("l_linenumber") % 2 == 0, "fejezet").otherwise("cim")
+    text = F.when(r == "R", F.concat(n, F.lit(". §&nbsp;<b>"), part, F.lit("</b>"))).when(r == "A", F.concat(F.lit("( "), who, F.lit(" )  "), part)).otherwise(chapter)
+    key = F.when(r == "R", F.concat(F.lit("SZ"), n, F.lit("@K1"))).otherwise(F.concat(F.lit("x"), n))
+    block = F.concat(F.lit('<span class="jhId" id="'), key, F.lit('"></span><div class="'), css, F.lit('">'), text, F.lit("</div>"))
+    lines = A.read(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.struct("l_linenumber", "l_returnflag", "l_partkey", "l_suppkey").alias("at"), block.alias("block"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "block")))
+    return lines.groupBy("id").agg(F.array_join(parts["block"], "").alias("html"))
+
+
+@query("parse_pages", "WITH " + _LINES + """ SELECT CAST(o AS VARCHAR) AS document_id, CAST(min(pos) AS INTEGER) AS pos, 's' || sec AS provision_ref, arg_min(coalesce(ch, '-'), pos) AS chapter, CAST(sec AS VARCHAR) AS section, sec || '. §' AS title, string_agg(t, ' ' ORDER BY pos) AS content
+  FROM near WHERE r = 'R' OR (r = 'A' AND sec IS NOT NULL) GROUP BY o, sec""")
+def parse_pages(spark, sf):
+    return parse_html.provisions(_orders(spark, sf)).where("title like '%§'").withColumn("chapter", F.coalesce("chapter", F.lit("-")))
+
+
+@query("block_texts", "WITH " + _LINES + " SELECT CAST(o AS VARCHAR) AS id, CAST(pos AS INTEGER) AS pos, t AS text, CASE WHEN r = 'R' THEN CAST(n AS VARCHAR) END AS own_key, r IN ('R', 'A') AS content FROM line")
+def block_texts(spark, sf):
+    return parse_html.keyed(parse_html.blocks(_orders(spark, sf))).select("id", "pos", "text", "own_key", "content")
+
+
 @query("legacy_fallback", "SELECT CAST(c_custkey AS VARCHAR) AS document_id, '1' AS section, 'Whereas & so' || c_name AS content FROM customer WHERE c_nationkey % 4 = 0")
 def legacy_fallback(spark, sf):
     return parse_html.provisions(_site(spark, sf)).where("title = section").select("document_id", "section", "content")
