@@ -460,4 +460,5 @@ def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame,
         windows = checkpointed(windows)
         windows = windows.where("salt = 0").unionByName(windows.where("salt > 0").groupBy("bucket", "salt").applyInArrow(first_holders, _WINDOWS))
     spans = windows.groupBy("bucket").applyInArrow(scan_windows, _NOTE)
-    return together(copies.unionByName(spans).where(F.col("chunk") >= base)).applyInArrow(cut, result), own_anchors
+    notes = copies.unionByName(spans)
+    return together(notes.where(F.col("chunk") >= base) if earlier else notes).applyInArrow(cut, result), own_anchors
