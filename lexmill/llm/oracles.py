@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from lexmill.llm.divergence import SMOOTHING, WHOLE
+from lexmill.llm.hard_negatives import COMPONENT_BITS, SCALE
+from lexmill.llm.mixing import DRAW_BITS, DRAWS
 from lexmill.llm.url_filter import ALPHABET, BIN, BINS, ORDER, RULES
 
 
@@ -44,3 +47,47 @@ tries AS (SELECT bin + 1 AS bin, CAST(sum(a) OVER o AS DOUBLE) / sum(a) OVER ()
   UNION ALL SELECT min(bin), 1.0 FROM bins HAVING sum(a) > 0 AND sum(r) > 0),
 cut AS (SELECT coalesce((SELECT bin FROM tries ORDER BY miss, bin LIMIT 1), 0) * CAST({BIN} AS DOUBLE) AS cut)
 SELECT page_id, host, path, rule, coalesce(j.said, CASE WHEN coalesce(score, 0) >= cut THEN 'allow' ELSE 'block' END) AS verdict, coalesce(score, 0) AS score FROM judged j LEFT JOIN score USING (url), cut"""
+
+
+def mixing() -> str:
+    """Sizes, targets by the order in which sources stop (least cap a weight first), and of all draws the nearest's copies."""
+    half, mask = DRAW_BITS // 4, (1 << DRAW_BITS) - 1
+    copies = f"whole + CASE WHEN (a + turn * b) & {mask} < part * {float(1 << DRAW_BITS)}::DOUBLE THEN 1 ELSE 0 END"
+    return f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h FROM documents),
+e AS (SELECT doc_id, source, size, CAST('0x' || substr(h, 1, {half}) AS BIGINT) AS a, CAST('0x' || substr(h, {half + 1}, {half}) AS BIGINT) AS b FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest, (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS free FROM s WINDOW o AS (ORDER BY source_size / w::DOUBLE, source NULLS LAST)),
+level AS (SELECT rest, free FROM f WHERE w * rest / free <= 2 * source_size ORDER BY source_size / w::DOUBLE, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, w * level.rest / level.free) AS target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS part FROM s, level),
+m AS (SELECT e.*, source_size, target, whole, part FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source),
+off AS (SELECT source, turn, abs(sum(size * ({copies})) - any_value(target)) AS off FROM m, (SELECT unnest(range(0, {DRAWS})) AS turn) GROUP BY source, turn),
+near AS (SELECT source, turn FROM off QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, turn) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * ({copies}) AS BIGINT) AS taken FROM m JOIN near ON m.source IS NOT DISTINCT FROM near.source"""
+
+
+def source_divergence(least: int = 30, foremost: int = 50) -> str:
+    """Terms, kept terms, shares of every group and language, and the ranks of both parts."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= {least}),
+v AS (SELECT lang, count(*) AS v, sum(total) AS l FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(n) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + ({WHOLE}::HUGEINT * (coalesce(c.n, 0) + {SMOOTHING})) // (coalesce(s.n, 0) + {SMOOTHING} * v.v) AS p, 1 + ({WHOLE}::HUGEINT * (k.total + {SMOOTHING})) // (v.l + {SMOOTHING} * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every QUALIFY part = 'pair' OR rank <= {foremost}"""
+
+
+def hard_negatives() -> str:
+    """Integer components, every anchor against all rows, and both rankings."""
+    most = 1 << COMPONENT_BITS
+    return f"""WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(greatest(least({SCALE} * x::DOUBLE, {most}), -{most}))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER o <= 5"""

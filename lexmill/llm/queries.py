@@ -88,6 +88,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(_turn(4) == 2, F.lit(False)))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.mixing import taken
+
+    return taken(documents(spark, sf_dir, "doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, most=2.0).drop("source")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.divergence import audit
+
+    return audit(documents(spark, sf_dir, "text", "lang", "source"), least=30, foremost=50)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.hard_negatives import mine
+
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding"), F.col("id") % 100 == 0, label, positives=5, negatives=5, least=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -99,9 +118,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op11_mixing": op11_mixing,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": oracles.url_filter(),
     "op9_suffix_dedup": oracles.suffix_dedup(),
+    "op11_mixing": oracles.mixing(),
+    "op12_source_divergence": oracles.source_divergence(),
+    "op13_hard_negatives": oracles.hard_negatives(),
 }
