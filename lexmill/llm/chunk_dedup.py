@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import BLOCK, U64, blobs_of, chunk_count, dealt_texts, mix, parted, prefix_sums, range_hashes, text_bytes, utf8_view, whole_column
+from lexmill.llm.common import BLOCK, U64, blobs_of, checkpointed, chunk_count, dealt_texts, mix, parted, prefix_sums, range_hashes, text_bytes, utf8_view, whole_column
 
 #: A gear value for each byte; what they are matters only in that they are fixed and look random.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
@@ -156,8 +156,8 @@ def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest:
     results; other columns are ignored, but for those to `carry` into the result.
 
     Documents are dealt to parts of `chunk_bytes`. A part tells each of its distinct chunks once; where there are more than
-    `fan` parts, what they tell meets in groups of so many first, of which the earliest holders go on: a run is then extended
-    along the earliest holder of its group.
+    `fan` parts, what they tell meets in groups of so many first, and each group's earliest holders meet. The earliest of all
+    then goes back down to the groups and their parts, so that the result does not depend on how documents are dealt.
     """
     _, size = text_bytes(docs)
     parts = chunk_count(size, chunk_bytes)
@@ -176,23 +176,47 @@ def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest:
         return _told([(int(np.uint64(data[a, 0].view(U64)) % U64(buckets)), part % salts, part, _CHUNKS, data[a:b].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)])
 
     def meet(table: pa.Table) -> pa.Table:
-        """Of the chunks that parts tell: to all but the earliest, where the earliest is; the earliest themselves go on."""
-        kind = table["kind"].to_numpy()
-        rows = [(r["bucket"], r["salt"], r["chunk"], _FOUND, r["data"]) for r in table.filter(pa.array(kind == _FOUND)).to_pylist()]
-        table = table.filter(pa.array(kind == _CHUNKS))
+        """Of the chunks that all parts tell: to all but the earliest, where the earliest is."""
         longs, many = blobs_of(table["data"])
         data, part = longs.reshape(-1, 4), np.repeat(table["chunk"].to_numpy(), many // 4)
         order, at, end = earliest(data[:, :2], data[:, 2], part)
         first = np.empty(len(order), np.int64)
         first[order] = np.repeat(order[at], end - at)
-        later = data[:, 2] > data[first, 2]
-        found = np.concatenate([data[:, :2], part[first][:, None], data[first, 3:]], axis=1)
-        bucket = table["bucket"][0].as_py() if table.num_rows else 0
-        for kind, own, what in ((_FOUND, np.flatnonzero(later), found), (_CHUNKS, np.flatnonzero(~later), data)):
-            order, at, end = parted(part[own])
-            own = own[order]
-            rows += [(bucket, 0, int(part[own[a]]), kind, what[own[a:b]].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
-        return _told(rows)
+        own = np.flatnonzero(data[:, 2] > data[first, 2])
+        found = np.concatenate([data[:, :2], part[first][:, None], data[first, 3:]], axis=1)[own]
+        order, at, end = parted(part[own])
+        return _told([(table["bucket"][0].as_py(), 0, int(part[own[order[a]]]), _FOUND, found[order[a:b]].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)])
+
+    def lead(table: pa.Table) -> pa.Table:
+        """The earliest holder of each chunk within a group of parts: digest, doc_id, place, part."""
+        longs, many = blobs_of(table["data"])
+        data = np.concatenate([longs.reshape(-1, 4), np.repeat(table["chunk"].to_numpy(), many // 4)[:, None]], axis=1)
+        order, at, _ = earliest(data[:, :2], data[:, 2], data[:, 4])
+        return _told([(table["bucket"][0].as_py(), table["salt"][0].as_py(), 0, _CHUNKS, data[order[at]].tobytes())])
+
+    def settle(table: pa.Table) -> pa.Table:
+        """The earliest holder of all, told to each group that has the chunk."""
+        longs, many = blobs_of(table["data"])
+        data, group = longs.reshape(-1, 5), np.repeat(table["salt"].to_numpy(), many // 5)
+        order, at, end = earliest(data[:, :2], data[:, 2], data[:, 4])
+        first = np.empty(len(order), np.int64)
+        first[order] = np.repeat(order[at], end - at)
+        order, at, end = parted(group)
+        return _told([(table["bucket"][0].as_py(), int(group[order[a]]), 0, _FOUND, data[first[order[a:b]]].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)])
+
+    def down(left: pa.Table, right: pa.Table) -> pa.Table:
+        """To each part of a group, where the earliest holders of all are of those chunks that it holds later."""
+        longs, many = blobs_of(left["data"])
+        data, part = longs.reshape(-1, 4), np.repeat(left["chunk"].to_numpy(), many // 4)
+        first = blobs_of(right["data"])[0].reshape(-1, 5)
+        order, at, end = earliest(np.concatenate([first[:, :2], data[:, :2]]), np.concatenate([np.zeros(len(first), np.int64), np.ones(len(data), np.int64)]))
+        holder = np.empty(len(order), np.int64)
+        holder[order] = np.repeat(order[at], end - at)
+        known = first[holder[len(first) :]]
+        own = np.flatnonzero(data[:, 2] > known[:, 2])
+        found = np.concatenate([data[:, :2], known[:, 4:], known[:, 3:4]], axis=1)[own]
+        order, at, end = parted(part[own])
+        return _told([(left["bucket"][0].as_py(), 0, int(part[own[order[a]]]), _FOUND, found[order[a:b]].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)])
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         """The runs of a part, as notes to itself, and what stands around them, as questions to the parts of earlier holders."""
@@ -274,8 +298,11 @@ def remove_repeats(docs: DataFrame, least: int = 16, most: int = 128, shortest:
 
     told = dealt.groupBy("chunk").applyInArrow(tell, _TOLD)
     if salts > 1:
-        told = told.groupBy("bucket", "salt").applyInArrow(meet, _TOLD)
-    met = told.groupBy("bucket").applyInArrow(meet, _TOLD).where(F.col("kind") == _FOUND)
+        told = checkpointed(told)
+        first = told.groupBy("bucket", "salt").applyInArrow(lead, _TOLD).groupBy("bucket").applyInArrow(settle, _TOLD)
+        met = told.groupBy("bucket", "salt").cogroup(first.groupBy("bucket", "salt")).applyInArrow(down, _TOLD)
+    else:
+        met = told.groupBy("bucket").applyInArrow(meet, _TOLD)
     found = met.select(F.col("chunk").alias("chunk"), "kind", F.lit(0).cast("long").alias("source"), "data", F.lit(None).cast("binary").alias("said"))
     asked = together(found).applyInArrow(ask, _NOTE)
     return together(together(asked).applyInArrow(answer, _NOTE)).applyInArrow(cut, schema)

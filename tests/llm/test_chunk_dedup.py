@@ -101,9 +101,13 @@ def test_reach_matches_brute_force(spark):
 
 def test_groups_of_parts_lose_no_repeat(spark, monkeypatch):
     monkeypatch.setattr(chunk_dedup, "BUCKET_BYTES", 2000)
-    docs = rows()
-    one, many = ({(r["doc_id"], r["kept_text"], r["n_chunks"]) for r in chunk_dedup.remove_repeats(table(spark, docs), **more).collect()} for more in ({}, {"chunk_bytes": 1500, "fan": 3}))
-    assert one == many
+    rng = random.Random(23)
+    passages = texts(8, 24, 90)
+    docs = [(d, " ".join(w[:9] + rng.choice(passages).split()[rng.randrange(6) :] + w[9:])) for d, w in enumerate(t.split() for t in texts(120, 25, 60, 800))] + rows()[:300]
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    for reach in (0, chunk_dedup.REACH):
+        kept = [{(r["doc_id"], r["kept_text"], r["n_chunks"]) for r in chunk_dedup.remove_repeats(table(spark, docs), reach=reach, **more).collect()} for more in ({}, {"chunk_bytes": 3000, "fan": 3}, {"chunk_bytes": 3000, "fan": 1000}, {"chunk_bytes": 7000, "fan": 2})]
+        assert all(k == kept[0] for k in kept)
 
 
 def test_a_document_is_its_id_and_its_text(spark):
