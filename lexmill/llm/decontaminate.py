@@ -187,7 +187,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, masks: tupl
 
     A benchmark of up to block_bytes goes to all executors. A larger one is dealt to blocks of that size at most (or one
     item); hashes of documents and of blocks are joined, documents go to the blocks that they share a hash with, dealt over
-    `salts` tasks a block, and a row is given for each of them (of items alike in two blocks, for each block).
+    `salts` tasks a block, and what the blocks find is folded as within one: the rows do not depend on the blocks.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -205,11 +205,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, masks: tupl
 
     blocks = -(-2 * int(size) // block_bytes)
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    plain = plain.withColumn("h", F.xxhash64("doc_id", "text"))
+    plain = plain.withColumns({"h": F.xxhash64("doc_id", "text"), "row": F.monotonically_increasing_id()})
     hits = shared_seeds(plain, items, masks)
     # Documents, after the items of each task's block, which every salt has.
-    far = plain.join(hits, "h").select("block", F.pmod(F.xxhash64(F.lit("salt"), "h"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "text")
-    near = items.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), F.col("item_id").alias("id"), "text")
+    far = plain.join(hits, "h").select("block", F.pmod(F.xxhash64(F.lit("salt"), "h"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), F.struct(F.col("doc_id").alias("id"), "h", "row").alias("name"), "text")
+    near = items.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), F.struct(F.col("item_id").alias("id"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("row")).alias("name"), "text")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bench, ids, texts = None, None, [], []
@@ -220,13 +220,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, masks: tupl
                 if key[a] != at:
                     at, bench, ids, texts = key[a], None, [], []
                 if kind[a] == 0:
-                    ids += batch.column(3).slice(a, b - a).to_pylist()
+                    ids += batch.column(3).slice(a, b - a).field("id").to_pylist()
                     texts += batch.column(4).slice(a, b - a).to_pylist()
                 else:
                     bench = bench or Benchmark(ids, texts, masks)
                     yield from _search(bench, batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a), least)
 
-    return near.unionByName(far).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(stream, _RESULT)
+    found = near.unionByName(far).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(stream, _RESULT.replace("doc_id long", "name struct<id:long, h:long, row:long>"))
+    # Rows alike of several blocks: the least item of all, and the sum of their numbers.
+    number = F.coalesce("item_id", F.lit((1 << 63) - 1)).alias("number")
+    folded = found.groupBy("name", "doc_token", "n_overlap", "n_match").agg(F.min(F.struct(number, "n_item", "item_token", "item_id", "score")).alias("least"), F.sum("n_items").alias("n_items"))
+    return folded.select(F.col("name.id").alias("doc_id"), "least.item_id", "n_items", "n_match", "n_overlap", "least.n_item", "least.score", "doc_token", "least.item_token")
 
 
 def _even(key: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -288,7 +292,7 @@ def _search(bench: Benchmark, ids: pa.Array, column: pa.Array, least: int) -> It
     number = np.array([(1 << 63) - 1 if i is None else i for i in bench.ids], np.int64)
     for a, b in slices(column):
         found = bench.overlaps(*token_hashes(column.slice(a, b - a)), least)
-        row, item, match, length, place, at = found[np.lexsort((number[found[:, 1]], found[:, 2], found[:, 3], found[:, 4], found[:, 0]))].T
+        row, item, match, length, place, at = found[np.lexsort((found[:, 5], bench.sizes[found[:, 1]], number[found[:, 1]], found[:, 2], found[:, 3], found[:, 4], found[:, 0]))].T
         alike = np.stack([row, place, length, match])
         head = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (alike[:, 1:] != alike[:, :-1]).any(axis=0)]))
         many = np.diff(np.append(head, len(row)))
