@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.index import Index
 from lexmill.schema import Store
+from lexmill.storage import checkpoint_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +52,26 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of all provisions, written once a session for a table as it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    key = spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen()
+    if key not in _INDEXES:
+        _INDEXES[key] = Index.build(provisions(spark, sf_dir), f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+def searchable(spark: SparkSession, sf_dir: str) -> Store:
+    """The store with its index."""
+    out = store(spark, sf_dir)
+    out.index = index(spark, sf_dir)
+    return out
+
+
 def store(spark: SparkSession, sf_dir: str) -> Store:
     metadata = spark.createDataFrame([("tier", "free"), ("built_at", "2026-01-01T00:00:00Z")], "key string, value string")
     return Store(spark, {"legal_documents": documents(spark, sf_dir), "legal_provisions": provisions(spark, sf_dir), "eu_documents": acts(spark, sf_dir), "eu_references": references(spark, sf_dir), "db_metadata": metadata})

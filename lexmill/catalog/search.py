@@ -92,7 +92,7 @@ SELECT {columns} FROM firsts WHERE turn = 1 ORDER BY relevance, id LIMIT {limit}
 
 
 def _found(spark, sf, text, **args):
-    return search.search(A.store(spark, sf), text, **args).rows.drop("snippet")
+    return search.search(A.searchable(spark, sf), text, **args).rows.drop("snippet")
 
 
 @query("search_topk", sql_search("ndat   (estion)"))
@@ -119,28 +119,28 @@ def search_cascade(spark, sf):
 
 @query("search_snippets", sql_search("of the ndat", limit=20, drop=()))
 def search_snippets(spark, sf):
-    return search.search(A.store(spark, sf), "of the ndat", limit=20).rows
+    return search.search(A.searchable(spark, sf), "of the ndat", limit=20).rows
 
 
 @query("stance", sql_search("eou AND ai", limit=5, drop=("snippet", "chapter")))
 def stance(spark, sf):
-    return search.stance(A.store(spark, sf), "eou AND ai").rows.drop("snippet")
+    return search.stance(A.searchable(spark, sf), "eou AND ai").rows.drop("snippet")
 
 
 @query("like_search", sql_search("th , ed", drop=()))
 def like_search(spark, sf):
     """A comma alone is no term of a query: all variants but the phrase are syntax errors. Without the phrase, LIKE answers."""
-    return search.search(A.store(spark, sf), "th , ed").rows
+    return search.search(A.searchable(spark, sf), "th , ed").rows
 
 
 @query("like_search_only", sql_search("the , of , and", drop=()))
 def like_search_only(spark, sf):
-    return search.search(A.store(spark, sf), "the , of , and").rows
+    return search.search(A.searchable(spark, sf), "the , of , and").rows
 
 
 def _ids(spark, sf, text):
     tree = Q.parse(text)
-    counts, columns = search.counted(A.provisions(spark, sf), Q.phrases(tree))
+    counts, columns = A.index(spark, sf).counted(Q.phrases(tree))
     return counts.where(search.matches(tree, columns)).select("id")
 
 
@@ -151,9 +151,9 @@ for _name, _text in {
 
 
 def _scores(spark, sf, text):
-    tree = Q.parse(text)
-    counts, columns = search.counted(A.provisions(spark, sf), Q.phrases(tree))
-    stats = search.statistics(counts, columns)
+    tree, stored = Q.parse(text), A.index(spark, sf)
+    counts, columns = stored.counted(Q.phrases(tree))
+    stats = search.statistics(counts, columns).asDict() | {"n": stored.rows, "mean": stored.mean}
     return counts.where(search.matches(tree, columns)).select("id", F.round(search.bm25(stats, columns, Q.phrases(tree)), 6).alias("relevance"))
 
 
@@ -169,8 +169,24 @@ def bm25_multi(spark, sf):
 
 @query("bm25_postings", sql_ranked("esat OR ndat OR estion", "SELECT id, relevance FROM best"))
 def bm25_postings(spark, sf):
-    rows = A.provisions(spark, sf)
-    return index.ranked(index.postings(rows), index.lengths(rows), ["esat", "ndat", "estion"], every=False)
+    return A.index(spark, sf).ranked(["esat", "ndat", "estion"])
+
+
+@query("index_dictionary", SQL + "SELECT w AS token, count(*) AS rows, sum(n)::BIGINT AS hits FROM (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(c || t) AS w FROM tok) GROUP BY ALL) GROUP BY 1")
+def index_dictionary(spark, sf):
+    """What the stored index says of each token."""
+    return A.index(spark, sf).dictionary()
+
+
+@query("bm25_blocks", sql_ranked("esat OR ndat", "SELECT id, relevance FROM best ORDER BY relevance, id LIMIT 20"))
+def bm25_blocks(spark, sf):
+    """The best rows, from the blocks that can hold them."""
+    return A.index(spark, sf).top(["esat", "ndat"], 20)[0]
+
+
+@query("bm25_blocks_every", sql_ranked("the AND of", "SELECT id, relevance FROM best ORDER BY relevance, id LIMIT 20"))
+def bm25_blocks_every(spark, sf):
+    return A.index(spark, sf).top(["the", "of"], 20, every=True)[0]
 
 
 @query("tokenize", SQL + "SELECT id, array_to_string(c, ' ') AS tokens, len(c) AS n FROM tok")

@@ -1,61 +1,377 @@
-"""A stored inverted index: postings dealt by token, and the length of each row.
+"""A stored positional index of texts: segments of postings that are pruned by token, told by blocks, and merged as they grow.
 
-A query over it reads the buckets of its tokens alone. Postings of a token lie together, so that ranking needs one shuffle,
-by row, of the rows that hold one of the tokens.
+A segment holds, for every token of a row, the row's id, its length and the places of the token in each column. Postings lie in
+files by ranges of (token, id), so that a frequent token is split among files and a prefix is a range; a small table tells the
+range of each file. Blocks of ids hold, for each token, how many rows have it, how often at most, and the least length, which
+bound any score in the block. A row that comes again, or goes, is dead in the segments that held it. A few segments of one level
+are merged to one of the next, so that after n batches about log n are left; numbers of rows and tokens are kept by difference.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import tokens as T
-from lexmill.operators.search import B, K1, LEAST_IDF
-
-BUCKETS = 64
+from lexmill.plans.ftsquery import Phrase
+from lexmill.schema import complete, remove, versions
+from lexmill.storage import checkpoint_dir
 
+K1, B = 1.2, 0.75
+LEAST_IDF = 1e-6
+COLUMNS = ("content", "title")
+#: Ids of a block, segments of a level that are merged, bytes of text of a part of postings, and of one at least where there are few.
+BLOCK_IDS, FAN, PART_BYTES, LEAST_PART_BYTES = 1024, 4, 64 << 20, 1 << 20
+#: Rows whose tokens are sorted at once.
+GATHERED = 512
+#: Blocks that a search reads first; each time it needs more it reads so many times as many, and past the last number all.
+FIRST_BLOCKS, MORE_BLOCKS, MOST_BLOCKS = 16, 8, 2048
 
-def bucket_of(token):
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
-
-def postings(rows: DataFrame, columns: tuple[str, ...] = ("content", "title")) -> DataFrame:
-    """id, col, pos, token, bucket for every token of the columns."""
+def postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """id, col, pos (from 0), token for every token of the columns."""
     parts = [rows.select("id", F.lit(c).alias("col"), F.posexplode(T.tokens(F.col(c))).alias("pos", "token")) for c in columns]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("bucket", bucket_of(F.col("token")))
+    return out
 
 
-def write_index(rows: DataFrame, folder: str, columns: tuple[str, ...] = ("content", "title")) -> None:
-    """Writes postings and lengths; a rebuild replaces both."""
-    postings(rows, columns).repartition("bucket").sortWithinPartitions("token", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    lengths(rows, columns).write.mode("overwrite").parquet(f"{folder}/lengths")
+def lengths(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """id, n: the number of tokens of each row."""
+    size = F.size(T.tokens(F.col(columns[0])))
+    for c in columns[1:]:
+        size = size + F.size(T.tokens(F.col(c)))
+    return rows.select("id", size.cast("long").alias("n"))
 
 
-def current(posts: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of the rows as the last batch with each left them; a row that it took away has a null length."""
-    last = sizes.groupBy("id").agg(F.max(F.struct("batch", "n")).alias("_l")).where("_l.n is not null").select("id", "_l.batch", "_l.n")
-    return posts.join(last.select("id", "batch"), ["id", "batch"], "left_semi").drop("batch"), last.drop("batch")
+def idf(rows, having) -> Column:
+    return F.greatest(F.log((rows - having + 0.5) / (having + 0.5)), F.lit(LEAST_IDF))
 
 
-def lengths(rows: DataFrame, columns: tuple[str, ...] = ("content", "title")) -> DataFrame:
-    size = F.size(T.tokens(F.col(columns[0])))
-    for c in columns[1:]:
-        size = size + F.size(T.tokens(F.col(c)))
-    return rows.select("id", size.alias("n"))
-
-
-def ranked(posts: DataFrame, sizes: DataFrame, words: list[str], every: bool = True) -> DataFrame:
-    """id, relevance of the rows with every (or any) of the words, by BM25 over postings."""
-    stats = sizes.agg(F.count(F.lit(1)).alias("rows"), F.avg("n").alias("mean")).first()
-    buckets = [r[0] for r in posts.sparkSession.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w"))).distinct().collect()]
-    hits = posts.where(F.col("bucket").isin(*buckets) & F.col("token").isin(*words)).groupBy("id", "token").agg(F.count(F.lit(1)).alias("f"))
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("d"))
-    # df has a row a query word.
-    weighted = hits.join(F.broadcast(df), "token").join(sizes, "id")
-    idf = F.greatest(F.log((stats["rows"] - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.lit(stats["mean"] or 1.0)))
-    found = weighted.groupBy("id").agg(F.count(F.lit(1)).alias("_k"), F.round(-F.sum(part), 6).alias("relevance"))
-    return found.where(F.col("_k") == len(set(words)) if every else F.lit(True)).select("id", "relevance")
+def saturated(often: Column, n: Column, mean: float) -> Column:
+    """What a term that occurs so often counts in a row of n tokens; it rises with the one and falls with the other."""
+    return often * (K1 + 1) / (often + K1 * (1 - B + B * n / F.lit(mean or 1.0)))
+
+
+@dataclass
+class Segment:
+    name: str
+    level: int
+    rows: int
+    tokens: int
+    parts: int
+    dead: list[int] = field(default_factory=list)  # the batches that told dead rows of it
+
+
+@dataclass
+class Index:
+    """The segments that a folder's last complete state names."""
+
+    spark: SparkSession
+    folder: str
+    segments: list[Segment] = field(default_factory=list)
+    batch: int = -1
+    next: int = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        """The index of a folder; an empty one if there is none."""
+        kept = versions(spark, f"{folder}/state")
+        if not kept:
+            return cls(spark, folder)
+        said = json.loads(spark.read.parquet(f"{folder}/state/version={kept[-1]}/said").first()["said"])
+        return cls(spark, folder, [Segment(**s) for s in said["segments"]], said["batch"], said["next"])
+
+    @classmethod
+    def build(cls, rows: DataFrame, folder: str, columns: tuple[str, ...] = COLUMNS) -> Index:
+        """A new index of rows with an id that no two share; what was in the folder goes."""
+        remove(rows.sparkSession, folder)
+        return cls(rows.sparkSession, folder).add(rows, columns=columns)
+
+    @property
+    def rows(self) -> int:
+        return sum(s.rows for s in self.segments)
+
+    @property
+    def mean(self) -> float:
+        """Tokens of a row, on average."""
+        return sum(s.tokens for s in self.segments) / self.rows if self.rows else 0.0
+
+    # Changes.
+
+    def add(self, rows: DataFrame, gone: DataFrame | None = None, batch: int | None = None, columns: tuple[str, ...] = COLUMNS) -> Index:
+        """The index with rows added, which supersede those of their ids, and without the rows of the ids (id) that are gone.
+
+        A batch of a number that the index has, does nothing. The state counts once all of it is written.
+        """
+        if batch is not None and batch <= self.batch:
+            return self
+        name, ids = f"s{self.next}", rows.select(F.col("id").cast("long").alias("id"))
+        ids = ids if gone is None else ids.unionByName(gone.select(F.col("id").cast("long").alias("id")))
+        segments = [self._mark(s, ids) for s in self.segments]
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))), F.lit(0)).alias("bytes")).first()
+        if size["n"]:
+            few = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size["bytes"]) // LEAST_PART_BYTES))
+            parts = max(1, few, -(-int(size["bytes"]) // PART_BYTES))
+            told = _gathered(rows, columns)
+            segments.append(self._write(name, 0, told.where("token != ''").repartitionByRange(parts, "token", "id"), told.where("token = ''").select("id", "n"), parts))
+        out = Index(self.spark, self.folder, [s for s in segments if s.rows], max(self.batch, -1 if batch is None else batch), self.next + 1)
+        while len(same := out._crowded()) >= FAN:
+            out = out._merged(same)
+        return out._save()
+
+    def _crowded(self) -> list[Segment]:
+        levels: dict[int, list[Segment]] = {}
+        for s in self.segments:
+            levels.setdefault(s.level, []).append(s)
+        return max(levels.values(), key=len, default=[])
+
+    def _mark(self, segment: Segment, ids: DataFrame) -> Segment:
+        """Writes which living rows of a segment are dead now, and takes them off its numbers."""
+        place = f"{self.folder}/dead/{segment.name}/{self.next}"
+        self._alive(segment, self._read(segment, "lengths")).join(ids.distinct(), "id", "left_semi").write.mode("overwrite").parquet(place)
+        lost = self.spark.read.parquet(place).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+        if not lost["rows"]:
+            return segment
+        return Segment(segment.name, segment.level, segment.rows - lost["rows"], segment.tokens - lost["tokens"], segment.parts, [*segment.dead, self.next])
+
+    def _merged(self, same: list[Segment]) -> Index:
+        """The index with segments of one level as one of the next. Texts are not read again, dead rows stay behind."""
+        parts = sum(s.parts for s in same)
+        posts = _all(self._alive(s, self._read(s, "postings")) for s in same).repartitionByRange(parts, "token", "id")
+        segment = self._write(f"s{self.next}", same[0].level + 1, posts, _all(self._alive(s, self._read(s, "lengths")) for s in same), parts)
+        return Index(self.spark, self.folder, [*(s for s in self.segments if s not in same), segment], self.batch, self.next + 1)
+
+    def _write(self, name: str, level: int, posts: DataFrame, sizes: DataFrame, parts: int) -> Segment:
+        """posts: token, id, n and places by column, dealt by ranges of token and id."""
+        place = f"{self.folder}/segments/{name}"
+        dealt = posts.withColumn("block", F.floor(F.col("id") / BLOCK_IDS)).sortWithinPartitions("token", "id")
+        dealt.write.mode("overwrite").parquet(f"{place}/postings")
+        sizes.write.mode("overwrite").parquet(f"{place}/lengths")
+        written = self.spark.read.schema(_POSTINGS).parquet(f"{place}/postings")
+        file = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
+        written.groupBy(file).agg(F.min("token").alias("first"), F.max("token").alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{place}/ranges")
+        often = F.size("content") + F.size("title")
+        blocks = written.groupBy("token", "block").agg(F.count(F.lit(1)).alias("docs"), F.max(often).alias("most"), F.min("n").alias("least"), F.sum(often).alias("hits"))
+        blocks.sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{place}/blocks")
+        total = self.spark.read.parquet(f"{place}/lengths").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+        return Segment(name, level, total["rows"], total["tokens"], parts)
+
+    def _save(self) -> Index:
+        """Writes the state; segments that neither it nor the one before names go, as readers of the one before may be left."""
+        kept = versions(self.spark, f"{self.folder}/state")
+        place = f"{self.folder}/state/version={kept[-1] + 1 if kept else 0}"
+        said = json.dumps({"segments": [vars(s) for s in self.segments], "batch": self.batch, "next": self.next})
+        before = {s.name for s in Index.open(self.spark, self.folder).segments}
+        self.spark.createDataFrame([(said,)], "said string").coalesce(1).write.mode("overwrite").parquet(f"{place}/said")
+        complete(self.spark, place)
+        named = before | {s.name for s in self.segments}
+        for name in children_of(self.spark, f"{self.folder}/segments"):
+            if name not in named:
+                remove(self.spark, f"{self.folder}/segments/{name}")
+                remove(self.spark, f"{self.folder}/dead/{name}")
+        for old in kept[:-1]:
+            remove(self.spark, f"{self.folder}/state/version={old}")
+        return self
+
+    # Reads.
+
+    def _read(self, segment: Segment, what: str) -> DataFrame:
+        return self.spark.read.schema(_SCHEMAS[what]).parquet(f"{self.folder}/segments/{segment.name}/{what}")
+
+    def _alive(self, segment: Segment, rows: DataFrame) -> DataFrame:
+        """Without the rows of dead ids."""
+        if not segment.dead:
+            return rows
+        return rows.join(self.spark.read.schema(_SCHEMAS["lengths"]).parquet(*(f"{self.folder}/dead/{segment.name}/{k}" for k in segment.dead)).select("id"), "id", "left_anti")
+
+    def _files(self, segment: Segment, words: Iterable[str], prefixes: Iterable[str]) -> list[str]:
+        """The files of postings whose range may hold one of the words, or a token that begins with one of the prefixes."""
+        some = F.lit(False)
+        for low, high in [(w, w) for w in words] + [(p, p + "\U0010ffff") for p in prefixes]:
+            some = some | ((F.col("first") <= high) & (F.col("last") >= low))
+        place = f"{self.folder}/segments/{segment.name}/postings"
+        return [f"{place}/{r['file']}" for r in self._read(segment, "ranges").where(some).select("file").collect()]  # names alone
+
+    def _pruned(self, segment: Segment, words: set[str], prefixes: set[str]) -> DataFrame:
+        files = self._files(segment, words, prefixes)
+        posts = self.spark.read.schema(_POSTINGS).parquet(*files) if files else self.spark.createDataFrame([], _POSTINGS)
+        return posts.where(_said(words, prefixes))
+
+    def matching(self, words: set[str], prefixes: set[str] = frozenset()) -> DataFrame:
+        """token, id, n, content, title, block: living postings of words and of tokens that begin with a prefix."""
+        if not self.segments:
+            return self.spark.createDataFrame([], _POSTINGS)
+        return _all(self._alive(s, self._pruned(s, words, prefixes)) for s in self.segments)
+
+    def counted(self, phrases: list[Phrase]) -> tuple[DataFrame, dict[Phrase, Column]]:
+        """id, _n and a count for each phrase, for all rows that hold a token of one; and the counts' columns.
+
+        Postings meet by id; a phrase is where the places of its words, each set back by its turn, are the same.
+        """
+        pairs = list(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)))
+        posts = self.matching({w for w, x in pairs if not x}, {w for w, x in pairs if x})
+        slots = {}
+        for i, (w, x) in enumerate(pairs):
+            fits = F.col("token").startswith(w) if x else F.col("token") == w
+            slots[w, x] = {c: F.flatten(F.collect_list(F.when(fits, F.col(c)))).alias(f"_{c[0]}{i}") for c in COLUMNS} | {"n": F.coalesce(F.sum(F.when(fits, F.size("content") + F.size("title"))), F.lit(0)).alias(f"_s{i}")}
+        number = {pair: i for i, pair in enumerate(pairs)}
+        long = {(w, p.prefix and k == len(p.words) - 1) for p in phrases if len(p.words) > 1 for k, w in enumerate(p.words)}
+        single = {(p.words[0], p.prefix) for p in phrases if len(p.words) == 1}
+        rows = posts.groupBy("id").agg(F.max("n").alias("_n"), *(slots[s][c] for s in slots if s in long for c in COLUMNS), *(slots[s]["n"] for s in slots if s in single))
+
+        def count(phrase: Phrase) -> Column:
+            own = [number[w, phrase.prefix and k == len(phrase.words) - 1] for k, w in enumerate(phrase.words)]
+            if len(own) == 1:
+                return F.col(f"_s{own[0]}")
+            total = F.lit(0)
+            for c in COLUMNS:
+                places = F.col(f"_{c[0]}{own[0]}")
+                for k, i in enumerate(own[1:], 1):
+                    places = F.array_intersect(places, _back(F.col(f"_{c[0]}{i}"), k))
+                total = total + F.size(places)
+            return total
+
+        names = {p: f"_f{i}" for i, p in enumerate(phrases)}
+        told = rows.select("id", "_n", *((count(p) if p.words else F.lit(0)).cast("long").alias(n) for p, n in names.items()))
+        return told, {p: F.col(n) for p, n in names.items()}
+
+    def dictionary(self) -> DataFrame:
+        """token, rows, hits: living rows with each token, and how often they have it."""
+        often = (F.size("content") + F.size("title")).cast("long")
+        parts = [self._read(s, "blocks").select("token", "docs", "hits") if not s.dead else self._alive(s, self._read(s, "postings")).select("token", F.lit(1).cast("long").alias("docs"), often.alias("hits")) for s in self.segments]
+        return (_all(parts) if parts else self.spark.createDataFrame([], "token string, docs long, hits long")).groupBy("token").agg(F.sum("docs").alias("rows"), F.sum("hits").alias("hits"))
+
+    def having(self, words: list[str]) -> dict[str, int]:
+        """How many living rows have each word; of a segment without dead rows its blocks tell."""
+        parts = []
+        for s in self.segments:
+            clean = self._read(s, "blocks").where(F.col("token").isin(*words)).select("token", "docs")
+            parts.append(clean if not s.dead else self._alive(s, self._pruned(s, set(words), set())).select("token", F.lit(1).cast("long").alias("docs")))
+        found = _all(parts).groupBy("token").agg(F.sum("docs").alias("n")).collect() if parts else []  # a row a word
+        return {w: 0 for w in words} | {r["token"]: r["n"] for r in found}
+
+    def _weight(self, having: dict[str, int]) -> Column:
+        return F.element_at(F.create_map(*(x for w, n in having.items() for x in (F.lit(w), idf(F.lit(float(self.rows)), F.lit(float(n)))))), F.col("token"))
+
+    def _scored(self, posts: DataFrame, words: list[str], weight: Column, every: bool) -> DataFrame:
+        part = weight * saturated(F.size("content") + F.size("title"), F.col("n"), self.mean)
+        scored = posts.groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.round(-F.sum(part), 6).alias("relevance"))
+        return (scored.where(F.col("words") == len(words)) if every else scored).select("id", "relevance")
+
+    def ranked(self, words: list[str], every: bool = False) -> DataFrame:
+        """id, relevance of all rows with any (or every) of the words, by BM25."""
+        words = list(dict.fromkeys(words))
+        return self._scored(self.matching(set(words)), words, self._weight(self.having(words)), every)
+
+    def top(self, words: list[str], k: int, every: bool = False, among: DataFrame | None = None) -> tuple[DataFrame, int]:
+        """id, relevance of the k best rows with any (or every) of the words, by BM25; and how many blocks were read.
+
+        Blocks are read in the order of what a row in them can score at most, until the k-th best scores better than any row
+        in what is left. Ties go by id. `among` (id) bounds the rows that count; the words' weights are those of the whole.
+        """
+        words = list(dict.fromkeys(words))
+        nothing = self.spark.createDataFrame([], "id long, relevance double")
+        having = self.having(words)
+        if not self.segments or not any(having.values()):
+            return nothing, 0
+        weight, mean = self._weight(having), self.mean
+        told = _all(self._read(s, "blocks").where(F.col("token").isin(*words)) for s in self.segments)
+        # A row has the words of one segment alone, so that its segments' bounds of a block are bounds apart; the sum is one too.
+        bounds = told.groupBy("block").agg(F.sum(weight * saturated(F.col("most"), F.col("least"), mean)).alias("bound"), F.count_distinct("token").alias("words"))
+        bounds = bounds.where(F.col("words") == len(words)) if every else bounds
+        checkpoint_dir(self.spark)
+        bounds = bounds.checkpoint()
+        many, take = bounds.count(), FIRST_BLOCKS
+        while True:
+            best = bounds.orderBy(F.desc("bound"), "block").limit(take + 1).collect()  # MOST_BLOCKS at most
+            whole = take >= many or take > MOST_BLOCKS
+            posts = self.matching(set(words))
+            posts = posts if whole else posts.where(F.col("block").isin([r["block"] for r in best[:take]]))
+            scored = self._scored(posts, words, weight, every)
+            scored = scored if among is None else scored.join(among.select("id"), "id", "left_semi")
+            found = scored.orderBy("relevance", "id").limit(k).collect()  # k
+            if whole or len(found) == k and -found[-1]["relevance"] > best[take]["bound"] + 1e-6:
+                return self.spark.createDataFrame([tuple(r) for r in found], "id long, relevance double"), min(take, many) if not whole else many
+            take = take * MORE_BLOCKS
+
+
+_POSTINGS = "token string, id long, n long, content array<int>, title array<int>, block long"
+_SCHEMAS = {"postings": _POSTINGS, "lengths": "id long, n long", "ranges": "file string, first string, last string", "blocks": "token string, block long, docs long, most int, least long, hits long"}
+
+
+def _gathered(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """token, id, n, and the places (from 0) in the two columns that an index tells apart; a row of the token '' for every id.
+
+    A sole column is the first. Texts are split once: what is gathered is written, and read for lengths, ranges and parts.
+    """
+    one, two = (columns[0], columns[1] if len(columns) > 1 else None)
+    each = rows.select(F.col("id").cast("long").alias("id"), T.tokens(F.col(one)).alias("one"), (T.tokens(F.col(two)) if two else F.array().cast("array<string>")).alias("two"))
+    checkpoint_dir(rows.sparkSession)
+    return each.mapInArrow(_gather, "token string, id long, n long, content array<int>, title array<int>").checkpoint()
+
+
+def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each row, sorted, with their places."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, GATHERED):
+            piece = batch.slice(begin, GATHERED)
+            row, col, pos, words, n = [], [], [], [], np.zeros(piece.num_rows, np.int64)
+            for k, name in enumerate(("one", "two")):
+                lists = piece.column(name)
+                sizes = np.diff(lists.offsets.to_numpy())
+                n += sizes
+                row.append(np.repeat(np.arange(piece.num_rows), sizes))
+                col.append(np.full(len(row[-1]), k))
+                pos.append(np.arange(len(row[-1])) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+                words.append(lists.flatten())
+            row, col, pos = (np.concatenate(x) for x in (row, col, pos))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.lexsort((pos, col, code, row))
+            row, col, pos, code = row[order], col[order], pos[order].astype(np.int32), code[order]
+            head = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+            group = np.zeros(len(row), np.int64)
+            group[head[1:]] = 1
+            group = np.cumsum(group)
+            ids = piece.column("id").to_numpy(zero_copy_only=False)
+            every = piece.num_rows  # the rows of the token '' come last
+            places = []
+            for k in (0, 1):
+                sizes = np.bincount(group[col == k], minlength=len(head)) if len(head) else np.zeros(0, np.int64)
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate([sizes, np.zeros(every, np.int64)]))]).astype(np.int32)
+                places.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[col == k])))
+            token = pa.concat_arrays([coded.dictionary.take(pa.array(code[head])), pa.array([""] * every, coded.dictionary.type)])
+            yield pa.record_batch({"token": token, "id": np.concatenate([ids[row[head]], ids]), "n": np.concatenate([n[row[head]], n]), "content": places[0], "title": places[1]})
+
+
+def _back(places: Column, k: int) -> Column:
+    return F.transform(places, lambda x: x - k)
+
+
+def _said(words: set[str], prefixes: set[str]) -> Column:
+    some = F.col("token").isin(*words) if words else F.lit(False)
+    for p in sorted(prefixes):
+        some = some | F.col("token").startswith(p)
+    return some
+
+
+def _all(frames: Iterable[DataFrame]) -> DataFrame:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def children_of(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [p.getPath().getName() for p in files.listStatus(path)] if files.exists(path) else []
+

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.functions import tokens as T
+from lexmill.operators.index import B, K1, LEAST_IDF
 from lexmill.operators.resolve import resolve_one
 from lexmill.plans import ftsquery as Q
 from lexmill.schema import Answer, Store
 from lexmill.storage import checkpoint_dir
 
-K1, B = 1.2, 0.75
-LEAST_IDF = 1e-6
 DEFAULT_LIMIT, MOST = 10, 50
 RESULT = ["document_id", "document_title", "provision_ref", "chapter", "section", "title", "snippet", "relevance"]
 
@@ -74,6 +73,14 @@ def plans(query: str) -> list:
     return out
 
 
+def plain_words(tree) -> tuple[list[str], bool] | None:
+    """The words of a tree that is one word, or any of some, or all of some; and whether it is all. None for other trees."""
+    parts = tree.parts if isinstance(tree, Q.Op) and tree.kind != "not" else (tree,)
+    if not all(isinstance(p, Q.Phrase) and len(p.words) == 1 and not p.prefix for p in parts):
+        return None
+    return [p.words[0] for p in parts], isinstance(tree, Q.Op) and tree.kind == "and"
+
+
 def first_per_provision(rows: DataFrame, order: list, limit: int) -> DataFrame:
     """Of the 2 * limit best rows, the best of each title and reference, and of those `limit`."""
     fetched = rows.orderBy(*order).limit(2 * limit)
@@ -84,9 +91,10 @@ def first_per_provision(rows: DataFrame, order: list, limit: int) -> DataFrame:
 def search(store: Store, query: str | None, document: str | None = None, status: str | None = None, limit: int | None = None) -> Answer:
     """Provisions that match the strictest variant of the query that any provision matches, the best first.
 
-    One pass over the tokens counts the phrases of all variants. One aggregation over the counts tells which variant is met,
-    and gives the corpus statistics; what matches is scored and the best kept. If no variant is met, contents are searched
-    for the words in order.
+    With a stored index, the postings of the query's tokens are all that is read of the texts: where the strictest variant is
+    one of words alone, blocks in the order of what they can score, else all of them, whose counts tell which variant is met
+    and are scored. Without one, a pass over the texts counts the phrases of all variants. Of the best, texts are read by id.
+    If no variant is met, contents are searched for the words in order.
     """
     spark = store.spark
     nothing = spark.createDataFrame([], "document_id string, document_title string, provision_ref string, chapter string, section string, title string, snippet string, relevance double")
@@ -106,31 +114,48 @@ def search(store: Store, query: str | None, document: str | None = None, status:
     trees = plans(query)
     every = list(dict.fromkeys(p for t in trees if t is not None for p in Q.phrases(t)))
     if every:
-        # Texts are split once; their counts are written, and read for statistics and scores.
+        keys = provisions.select("id", "document_id", "provision_ref")
+        words = plain_words(trees[0]) if store.index and trees[0] is not None else None
+        if words:
+            top, _ = store.index.top(words[0], 2 * limit, words[1], keys.join(wanted.select("document_id"), "document_id", "left_semi"))
+            scored = top.join(keys, "id").join(wanted, "document_id")
+            best = first_per_provision(scored, [F.col("relevance"), F.col("id")], limit).select("id", "document_title", "relevance").collect()
+            if best:
+                return Answer(_shown(provisions, best, Q.phrases(trees[0])))
         checkpoint_dir(spark)
-        counts, columns = counted(provisions, every)
-        counts = counts.drop(*(c for c in provisions.columns if c not in ("id", "document_id", "provision_ref"))).checkpoint()
+        if store.index:
+            counts, columns = store.index.counted(every)
+            counts = counts.join(keys, "id").checkpoint()
+        else:
+            # Texts are split once; their counts are written, and read for statistics and scores.
+            counts, columns = counted(provisions, every)
+            counts = counts.drop(*(c for c in provisions.columns if c not in ("id", "document_id", "provision_ref"))).checkpoint()
         met = [matches(t, columns) if t is not None else F.lit(False) for t in trees]
         tier = F.lit(None).cast("int")
         for i, m in reversed(list(enumerate(met))):
             tier = F.when(m, i).otherwise(tier)
         inside = wanted.select("document_id", F.lit(True).alias("_in"))
-        stats = statistics(counts.join(inside, "document_id", "left"), columns, [F.min(F.when(F.col("_in"), tier)).alias("tier")])
+        stats = statistics(counts.join(inside, "document_id", "left"), columns, [F.min(F.when(F.col("_in"), tier)).alias("tier")]).asDict()
+        if store.index:
+            stats |= {"n": store.index.rows, "mean": store.index.mean}
         if stats["tier"] is not None:
             tree = trees[stats["tier"]]
             used = Q.phrases(tree)
             scored = counts.where(matches(tree, columns)).withColumn("relevance", F.round(bm25(stats, columns, used), 6)).join(wanted, "document_id")
-            # `limit` rows at most, whose texts are read by id.
             best = first_per_provision(scored, [F.col("relevance"), F.col("id")], limit).select("id", "document_title", "relevance").collect()
-            texts = provisions.where(F.col("id").isin([r["id"] for r in best])).join(F.broadcast(spark.createDataFrame(best, "id long, document_title string, relevance double")), "id")
-            shown = T.with_snippet(texts, "content", [(p.words, p.prefix) for p in used if p.words])
-            return Answer(shown.orderBy("relevance", "id").select(RESULT), strategy="broadened" if stats["tier"] else None)
+            return Answer(_shown(provisions, best, used), strategy="broadened" if stats["tier"] else None)
     found = like_search(provisions, Q.like_pattern(Q.sanitize(query))).join(wanted, "document_id")
     rows = first_per_provision(found, [F.col("id")], limit)
     rows = rows.withColumns({"snippet": F.substring("content", 1, 200), "relevance": F.lit(0.0)}).orderBy("id").select(RESULT)
     return Answer(rows, strategy="like_fallback" if rows.limit(1).count() else None)
 
 
+def _shown(provisions: DataFrame, best: list, used: list[Q.Phrase]) -> DataFrame:
+    """The result's columns for the best rows, `limit` at most, whose texts are read by id."""
+    texts = provisions.where(F.col("id").isin([r["id"] for r in best])).join(F.broadcast(provisions.sparkSession.createDataFrame(best, "id long, document_title string, relevance double")), "id")
+    return T.with_snippet(texts, "content", [(p.words, p.prefix) for p in used if p.words]).orderBy("relevance", "id").select(RESULT)
+
+
 def like_search(provisions: DataFrame, pattern: str) -> DataFrame:
     return provisions.where(X.like_ascii(F.col("content"), pattern))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,7 @@ class Store:
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    index: Any = None  # the stored index of legal_provisions, where there is one
 
     def has(self, table: str) -> bool:
         return table in self.tables

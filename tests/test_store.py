@@ -3,7 +3,7 @@
 import pytest
 
 from lexmill.operators import citation, relations, reports, resolve, search
-from lexmill.operators.index import lengths, postings, ranked, write_index
+from lexmill.operators.index import Index
 from lexmill.schema import Store, violations
 
 
@@ -137,10 +137,10 @@ def test_constraints(spark):
 
 def test_stored_index(spark, store, tmp_path):
     rows = store["legal_provisions"]
-    write_index(rows, str(tmp_path))
-    stored = ranked(spark.read.parquet(f"{tmp_path}/postings"), spark.read.parquet(f"{tmp_path}/lengths"), ["adat"])
-    assert {(r["id"], r["relevance"]) for r in stored.collect()} == {(r["id"], r["relevance"]) for r in ranked(postings(rows), lengths(rows), ["adat"]).collect()}
-    assert stored.count() == 2
+    stored = Index.build(rows, f"{tmp_path}/index")
+    assert stored.ranked(["adat"], every=True).count() == 2
+    again = Index.open(spark, f"{tmp_path}/index")
+    assert vars(again) == vars(stored) and again.rows == rows.count()
 
 
 def test_index_of_a_stream(spark, store, tmp_path):
@@ -149,12 +149,11 @@ def test_index_of_a_stream(spark, store, tmp_path):
     store["legal_provisions"].write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(store["legal_provisions"].schema).parquet(f"{tmp_path}/in")
     maintain_index(stream, f"{tmp_path}/index", f"{tmp_path}/state").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/index/lengths").count() == 3
-    assert spark.read.parquet(f"{tmp_path}/index/postings").where("token = 'adat'").count() == 2
+    stored = Index.open(spark, f"{tmp_path}/index")
+    assert stored.rows == 3 and stored.having(["adat", "nothing"]) == {"adat": 2, "nothing": 0}
 
 
 def test_rows_of_an_index_change_and_go(spark, tmp_path):
-    from lexmill.operators.index import current
     from lexmill.streaming.index import maintain_index
 
     schema = "id long, content string, title string, deleted boolean, version long"
@@ -163,9 +162,9 @@ def test_rows_of_an_index_change_and_go(spark, tmp_path):
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
         maintain_index(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/index", f"{tmp_path}/state").awaitTermination()
-        posts, sizes = current(spark.read.parquet(f"{tmp_path}/index/postings"), spark.read.parquet(f"{tmp_path}/index/lengths"))
-        assert {r["id"] for r in ranked(posts, sizes, ["fish"]).collect()} == want[k]
-    assert {r["token"] for r in posts.where("id = 2").collect()} == {"a", "bird"}
+        stored = Index.open(spark, f"{tmp_path}/index")
+        assert {r["id"] for r in stored.ranked(["fish"]).collect()} == want[k] and stored.rows == len(want[k]) + (k > 0)
+    assert {r["token"] for r in stored.matching({"a", "bird", "two", "birds"}).where("id = 2").collect()} == {"a", "bird"}
 
 
 def test_what_a_store_says_of_itself(spark, store):
