@@ -37,13 +37,20 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.scored(boxed(docs), quality.learn(docs, learnt)).where("score >= 0.5").select("row.*")
 
 
+def _maps(kind: T.DataType) -> bool:
+    """Whether a type has maps in it, however deep: they have no hash."""
+    if isinstance(kind, T.StructType):
+        return any(_maps(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _maps(kind.elementType)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the least doc_id, and of the texts of one doc_id the least hash.
 
     A document is what all its columns are, so that other texts of a doc_id are documents of their own. Documents without a
     doc_id come last. Of equal rows one stays.
     """
-    hashed = [F.map_entries(quoted(f.name)) if isinstance(f.dataType, T.MapType) else F.col(quoted(f.name)) for f in docs.schema]
+    hashed = [F.to_json(F.struct(F.col(quoted(f.name)))) if _maps(f.dataType) else F.col(quoted(f.name)) for f in docs.schema]
     row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64(*hashed).alias("name"), F.col("text").cast("string").alias("text"), row)
     kept = simhash.alike_documents(named, SIMILARITY, WORDS).where("name = first").select("name").distinct()
