@@ -106,3 +106,12 @@ def test_texts_of_one_id_are_documents_of_their_own(spark):
     docs = spark.createDataFrame([(d, t, {"k": d}) for d, t in rows], "doc_id long, text string, extra map<string, long>")
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, a), (1, b), (None, c), (3, None)], key=repr)
+
+
+def test_maps_within_columns_of_near_duplicates(spark, tmp_path):
+    text = " ".join(texts(1, 5, 60, 900)) * 9
+    schema = "doc_id long, text string, note struct<m:map<string,int>, n:int>, notes array<struct<m:map<string,int>>>, flat map<string,string>"
+    rows = [(1, text, ({"a": 1}, 2), [({"b": 3},)], {"c": "d"}), (2, text, (None, None), [], None), (3, "another text", None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.schema == docs.schema and {r["doc_id"] for r in got.collect()} == {1, 3}
