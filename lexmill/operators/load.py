@@ -12,6 +12,10 @@ from lexmill.sources.seed import children
 from lexmill.storage import checkpoint_dir
 
 
+#: What the metadata of a load says of its source.
+SOURCE, LICENCE = "official-source", "as the publisher of the statutes says"
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with an id from 1 in this order, which tells any two rows apart.
 
@@ -41,6 +45,8 @@ def attempts(seeds: DataFrame, store: Store) -> DataFrame:
 def build(spark: SparkSession, seeds: DataFrame, mappings: DataFrame, built_at: str, folder: str) -> Store:
     """Builds and saves the store, all of its tables or none. A file's documents come in the order of file names; ids follow that order.
 
+    Rows that break a constraint raise ConstraintError: the store stays as it was, and schema.rejected() has them with reasons.
+
     Edges come from the text of provisions, then from mappings whose statute is known; acts that break a constraint are left
     out, with their edges.
     """
@@ -65,6 +71,6 @@ def build(spark: SparkSession, seeds: DataFrame, mappings: DataFrame, built_at:
     acts = acts.unionByName(known.select(F.col("eu_document_id").alias("id"), F.col("eu_type").alias("type"), F.col("eu_year").alias("year"), F.col("eu_number").alias("number"), F.col("eu_community").alias("community"), F.col("eu_title").alias("title"), F.col("eu_short_name").alias("short_name"), F.lit(2).alias("_rank")))
     acts = keep_first(acts, ("id",), "_rank", "community", "title", "short_name").drop("_rank")
     acts = acts.withColumns({"in_force": F.lit(True), "url": act_url(F.col("type"), F.col("year"), F.col("number"))})
-    metadata = spark.createDataFrame([("tier", "free"), ("schema_version", "2"), ("built_at", built_at), ("jurisdiction", "HU")], "key string, value string")
-    Store(spark, {"legal_documents": documents, "legal_provisions": provisions, "definitions": definitions, "eu_documents": acts, "eu_references": references, "db_metadata": metadata}).save(folder)
+    metadata = spark.createDataFrame([("tier", "free"), ("schema_version", "2"), ("built_at", built_at), ("jurisdiction", "HU"), ("builder", "lexmill"), ("source", SOURCE), ("licence", LICENCE)], "key string, value string")
+    Store(spark, {"legal_documents": documents, "legal_provisions": provisions, "definitions": definitions, "eu_documents": acts, "eu_references": references, "db_metadata": metadata}).save(folder, check=True)
     return Store.load(spark, folder)

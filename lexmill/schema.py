@@ -104,6 +104,42 @@ def lacking(table: str, df: DataFrame) -> DataFrame:
     return df.withColumn("lacks", F.explode(F.array_compact(F.array(*named, F.lit(None).cast("string")))))
 
 
+def judged(table: str, df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """The rows of a table that break a constraint: its columns and `reasons`, one for each constraint.
+
+    Values out of what is allowed, columns without a value that they need, keys that rows share, references that name nothing
+    in tables. A constraint on a column or table that is not there is not held.
+    """
+    values = [(c, F.col(c).isin(*v)) for (t, c), v in ALLOWED.items() if t == table and c in df.columns]
+    if table == "eu_documents":
+        values += [("year", F.col("year").between(*YEARS)), ("number", F.col("number") > 0)]
+    reasons = [F.when(~ok, F.lit(f"{c}: not allowed")) for c, ok in values] + [F.when(F.col(c).isNull(), F.lit(f"{c}: lacking")) for c in REQUIRED.get(table, ()) if c in df.columns]
+    marked = df
+    for i, key in enumerate(k for k in KEYS.get(table, ()) if set(k) <= set(df.columns)):
+        shared = df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias(f"_k{i}")).where(F.col(f"_k{i}") > 1)
+        marked = marked.join(shared, list(key), "left")
+        reasons.append(F.when(F.col(f"_k{i}").isNotNull(), F.lit(f"{', '.join(key)}: shared")))
+    for i, (_, column, parent) in enumerate(r for r in REFERENCES if r[0] == table and r[1] in df.columns and r[2] in tables):
+        there = tables[parent].select(F.col("id").alias(column)).distinct().withColumn(f"_p{i}", F.lit(True))
+        marked = marked.join(there, column, "left")
+        reasons.append(F.when(F.col(column).isNotNull() & F.col(f"_p{i}").isNull(), F.lit(f"{column}: names no row of {parent}")))
+    told = F.array_compact(F.array(*reasons, F.lit(None).cast("string")))
+    return marked.withColumn("reasons", told).where(F.size("reasons") > 0).select(*df.columns, "reasons")
+
+
+class ConstraintError(ValueError):
+    """Rows of a version break constraints, so it does not count. `rejected` reads them."""
+
+
+def rejected(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The rows, with reasons, for which the version after the last complete one did not count; by table, those with any."""
+    kept = versions(spark, folder)
+    place = f"{folder}/version={kept[-1] + 1 if kept else 0}/rejected"
+    files = _files(spark, place)
+    names = [p.getPath().getName() for p in files.listStatus(_path(spark, place))] if files.exists(_path(spark, place)) else []
+    return {n: spark.read.parquet(f"{place}/{n}") for n in names}
+
+
 @dataclass
 class Store:
     """The tables that there are. A table may be missing; what needs it then has an empty answer with a note."""
@@ -139,15 +175,30 @@ class Store:
         there = {p.getPath().getName() for p in _files(spark, place).listStatus(_path(spark, place))}
         return cls(spark, {name: spark.read.parquet(f"{place}/{name}") for name in TABLES if name in there})
 
-    def save(self, folder: str) -> None:
+    def save(self, folder: str, check: bool = False) -> None:
         """Writes all tables as a new version, which counts once its mark is written: a reader sees all of it or none.
 
-        The version before stays for those who read it; older ones go.
+        With `check`, the tables as written are held against their constraints first. Rows that break one are set aside with
+        their reasons, where rejected() reads them, and the version does not count. The version before stays for those who
+        read it; older ones go.
         """
         kept = versions(self.spark, folder)
         place = f"{folder}/version={kept[-1] + 1 if kept else 0}"
+        remove(self.spark, place)  # what a load that broke off left
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{place}/{name}")
+        if check:
+            written = {name: self.spark.read.parquet(f"{place}/{name}") for name in self.tables}
+            bad = {}
+            for name, df in written.items():
+                judged(name, df, written).write.mode("overwrite").parquet(f"{place}/judged/{name}")
+                if n := self.spark.read.parquet(f"{place}/judged/{name}").count():
+                    bad[name] = n
+            if bad:
+                for name in bad:
+                    self.spark.read.parquet(f"{place}/judged/{name}").write.mode("overwrite").parquet(f"{place}/rejected/{name}")
+                raise ConstraintError(f"{folder}: rows that break constraints: {bad}")
+            remove(self.spark, f"{place}/judged")
         complete(self.spark, place)
         for old in kept[:-1]:
             remove(self.spark, f"{folder}/version={old}")

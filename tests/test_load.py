@@ -5,7 +5,7 @@ import json
 import pytest
 
 from lexmill.operators import dedupe, extract, load, parse_html
-from lexmill.schema import KEYS, REFERENCES, STORE_VARIABLE, Store, lacking, orphans, repeated, versions
+from lexmill.schema import KEYS, REFERENCES, STORE_VARIABLE, ConstraintError, Store, judged, lacking, orphans, rejected, repeated, versions
 from lexmill.sources import seed
 
 
@@ -42,6 +42,38 @@ def test_build(spark, tmp_path):
     assert len(digest["digest"]) == 12
 
 
+def test_rows_that_break_constraints_keep_a_load_from_counting(spark, tmp_path):
+    staged, folder = tmp_path / "seed", str(tmp_path / "db")
+    staged.mkdir()
+    none = seed.read_mappings(spark, str(tmp_path / "none.json"))
+    write = lambda name, **more: (staged / name).write_text(json.dumps({"id": name, "title": name, "provisions": [{"provision_ref": "s1", "section": "1", "content": "text"}], "definitions": []} | more))
+    write("a.json")
+    load.build(spark, seed.read_seed(spark, str(staged)), none, "2026-01-01T00:00:00Z", folder)
+    write("b.json", status="lost")
+    write("c.json", title=None, provisions=[{"provision_ref": "s1", "section": "1", "content": None}])
+    for _ in range(2):
+        with pytest.raises(ConstraintError, match="legal_documents"):
+            load.build(spark, seed.read_seed(spark, str(staged)), none, "2026-01-02T00:00:00Z", folder)
+        assert [r["id"] for r in Store.load(spark, folder)["legal_documents"].collect()] == ["a.json"] and versions(spark, folder) == [0]
+        bad = {(t, r["id"], *r["reasons"]) for t, df in rejected(spark, folder).items() for r in df.collect()}
+        assert ("legal_documents", "b.json", "status: not allowed") in bad and {t for t, *_ in bad} <= {"legal_documents", "legal_provisions"}
+        assert any(x[:2] == ("legal_documents", "c.json") and "title: lacking" in x for x in bad) or not any(x[1] == "c.json" for x in bad)
+    write("b.json")
+    (staged / "c.json").unlink()
+    load.build(spark, seed.read_seed(spark, str(staged)), none, "2026-01-03T00:00:00Z", folder)
+    assert Store.load(spark, folder)["legal_documents"].count() == 2 and rejected(spark, folder) == {}
+
+
+def test_every_kind_of_constraint_is_judged(spark):
+    docs = spark.createDataFrame([("a", "statute", "A", "in_force"), ("a", "bill", "B", "repealed"), ("b", "novel", None, None)], "id string, type string, title string, status string")
+    rows = spark.createDataFrame([(1, "a", "s1", "1", "x"), (2, "a", "s1", "1", "y"), (3, "nowhere", "s1", "1", None), (4, "a", None, "1", "z")], "id long, document_id string, provision_ref string, section string, content string")
+    tables = {"legal_documents": docs, "legal_provisions": rows}
+    assert sorted((r["type"], sorted(r["reasons"])) for r in judged("legal_documents", docs, tables).collect()) == [("bill", ["id: shared"]), ("novel", ["status: lacking", "title: lacking", "type: not allowed"]), ("statute", ["id: shared"])]
+    got = {r["id"]: sorted(r["reasons"]) for r in judged("legal_provisions", rows, tables).collect()}
+    assert got == {1: ["document_id, provision_ref: shared"], 2: ["document_id, provision_ref: shared"], 3: ["content: lacking", "document_id: names no row of legal_documents"], 4: ["provision_ref: lacking"]}
+    assert judged("eu_documents", spark.createDataFrame([("x", "directive", 1900, 0)], "id string, type string, year int, number int"), {}).first()["reasons"] == ["year: not allowed", "number: not allowed"]
+
+
 def test_a_store_is_replaced_as_a_whole(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "db")
     table = lambda i: Store(spark, {"db_metadata": spark.createDataFrame([("built_at", str(i))], "key string, value string"), "definitions": spark.createDataFrame([(i,)], "id long")})
