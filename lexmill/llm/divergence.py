@@ -24,6 +24,8 @@ from lexmill.llm.common import checkpointed, utf8_view
 
 #: Added to every count, and what shares are of.
 SMOOTHING, WHOLE = 5, 1_000_000_000
+#: Languages that have kept terms travel to all executors up to so many; of more none has a great share, and they are shuffled.
+LANGUAGES = 10_000
 #: Terms of a shard, and sources of a slot, about; a language of few sources is dealt over so many slots.
 SHARD_TERMS, SLOT_SOURCES, SLOTS = 1 << 15, 32, 8
 #: Distinct terms that a task sums up before it passes them on, and bytes of a text that are split at once.
@@ -200,9 +202,10 @@ def build_cells(counts: DataFrame, least: int, foremost: int, shard_terms: int,
     """The cells of term_counts(), dealt by language, shard and slot, checkpointed; `slots` is how many a language has."""
     kept = counts.where("term != ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("documents").alias("documents")).where(F.col("documents") >= least)
     kept = checkpointed(kept.select("lang", "term", "total"))
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("total").alias("all"))
+    sizes = checkpointed(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("total").alias("all")))
+    few = sizes.count() <= LANGUAGES
     shards = F.greatest(F.lit(1), F.ceil(F.col("vocabulary") / shard_terms))
-    spread = kept.join(sizes, "lang").select("lang", "term", "total", F.pmod(F.xxhash64(F.lit("shard"), "term"), shards).alias("shard"))
+    spread = kept.join(F.broadcast(sizes) if few else sizes, "lang").select("lang", "term", "total", F.pmod(F.xxhash64(F.lit("shard"), "term"), shards).alias("shard"))
     spread = checkpointed(spread.withColumn("at", F.row_number().over(Window.partitionBy("lang", "shard").orderBy("term")) - 1))
     widths = spread.groupBy("lang", "shard").agg(F.count(F.lit(1)).alias("width"))
     # Each source's counts of kept terms, and how the sources of a language are dealt.
@@ -215,7 +218,8 @@ def build_cells(counts: DataFrame, least: int, foremost: int, shard_terms: int,
     roster = roster.groupBy("lang", "slot").agg(F.array_sort(F.collect_list("group")).alias("roster"))  # about slot_sources of them
     heads = roster.join(languages, "lang").withColumn("shard", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("vocabulary") / shard_terms)) - 1)))
     heads = heads.join(widths, ["lang", "shard"], "left").withColumn("width", F.coalesce("width", F.lit(0)))
-    body = found.join(languages.select("lang", "slots"), "lang").select("lang", "shard", slot, "source", "term", "n", "total", F.col("at").cast("long").alias("at"))
+    dealt = languages.select("lang", "slots")
+    body = found.join(F.broadcast(dealt) if few else dealt, "lang").select("lang", "shard", slot, "source", "term", "n", "total", F.col("at").cast("long").alias("at"))
     rows = body.unionByName(heads.select("lang", "shard", "slot", "roster", "width", "vocabulary", "all"), allowMissingColumns=True)
     cells = rows.groupBy("lang", "shard", "slot").applyInArrow(pack(foremost), _CELL)
     return checkpointed(cells.join(languages.select("lang", "slots"), "lang"))
