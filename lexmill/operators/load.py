@@ -9,33 +9,13 @@ from lexmill.operators.dedupe import keep_first, keep_longest, mark_primary, uni
 from lexmill.operators.extract import act_url, eu_references
 from lexmill.schema import Store, valid_eu_document
 from lexmill.sources.seed import children
-from lexmill.storage import checkpoint_dir
+from lexmill.storage import numbered
 
 
 #: What the metadata of a load says of its source.
 SOURCE, LICENCE = "official-source", "as the publisher of the statutes says"
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with an id from 1 in this order, which tells any two rows apart.
-
-    Rows are dealt by ranges of the order and numbered within each; only the sizes of the ranges come together. Numbers are
-    written to the checkpoint folder, so that they stay what they are.
-    """
-    spark = rows.sparkSession
-    checkpoint_dir(spark)
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright("_m", 33)
-    sizes = sorted((r["p"], r["n"]) for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    before, total = [], 0
-    for p, n in sizes:  # a row for each partition
-        before.append((p, total))
-        total += n
-    offsets = spark.createDataFrame(before, "_p long, _before long")
-    # A row a partition.
-    return dealt.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn("id", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_m", "_before")
-
-
 def attempts(seeds: DataFrame, store: Store) -> DataFrame:
     """name, attempted, kept: rows that the files of a load held of each kind, and what the rules left of them."""
     tried = {"legal_documents": seeds.count(), "legal_provisions": children(seeds, "provisions").count(), "definitions": children(seeds, "definitions").count()}

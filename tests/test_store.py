@@ -135,6 +135,25 @@ def test_constraints(spark):
     assert {(r["id"], r["violation"]) for r in violations("legal_documents", rows).collect()} == {("b", "type"), ("c", "status")}
 
 
+def test_a_gram_that_all_titles_share(spark, store, monkeypatch):
+    """Names whose every gram is common meet titles in rounds, and no round pairs them all."""
+    monkeypatch.setattr(resolve, "HOT", 10)
+    ids = [f"d{i:04d}" for i in range(600)]
+    docs = spark.createDataFrame([(i, f"act of the realm {int(i[1:]) % 7}", None if int(i[1:]) % 2 else "THE REALM", None) for i in ids], "id string, title string, short_name string, title_en string")
+    pairs, held = [], resolve._held
+
+    def counting(met, titles, column):
+        pairs.append(met.count())
+        return held(met, titles, column)
+
+    monkeypatch.setattr(resolve, "_held", counting)
+    said = ["act of the realm", "the realm", "of the realm 6", "t_e realm", "realm 9", "re", "m", "%", "the realm of"]
+    got = {r["said"]: r["document_id"] for r in resolve.resolve(docs, names(spark, *said)).collect()}
+    assert got == {s: resolve.resolve_one(docs, s) for s in said}
+    assert got["act of the realm"] == "d0000" and got["of the realm 6"] == "d0006" and got["realm 9"] is None
+    assert max(pairs) <= 600 and sum(pairs) < 0.5 * len(said) * 600
+
+
 def test_stored_index(spark, store, tmp_path):
     rows = store["legal_provisions"]
     stored = Index.build(rows, f"{tmp_path}/index")
