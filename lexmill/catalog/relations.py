@@ -218,10 +218,12 @@ def health_counts(spark, sf):
     return spark.createDataFrame([(n["legal_documents"], n["legal_provisions"], reports.healthy(store))], "documents long, provisions long, ok boolean")
 
 
-@query("capabilities", "SELECT * FROM (VALUES ('legal_documents', true), ('legal_provisions', true), ('definitions', false), ('eu_documents', true), ('eu_references', true)) t(name, available)")
+@query("capabilities", A.SQL + """ SELECT 'legal_documents' AS name, true AS available, (SELECT count(*) FROM doc) AS rows UNION ALL SELECT 'legal_provisions', true, count(*) FROM prov
+  UNION ALL SELECT 'definitions', false, 0 UNION ALL SELECT 'eu_documents', true, count(*) FROM act UNION ALL SELECT 'eu_references', true, count(*) FROM ref""")
 def capabilities(spark, sf):
-    store = A.store(spark, sf)
-    return spark.createDataFrame([(t, store.has(t)) for t in ("legal_documents", "legal_provisions", "definitions", "eu_documents", "eu_references")], "name string, available boolean")
+    """What the session's catalog has of the store's tables."""
+    A.store(spark, sf).register("lexmill_")
+    return reports.capabilities(Store.of_catalog(spark, "lexmill_"))
 
 
 @query("kv_pivot", "SELECT coalesce(max(p_name) FILTER (p_partkey % 50 = 0), 'free') AS tier, coalesce(max(p_name) FILTER (p_partkey < 0), '1.0') AS schema_version, max(p_name) FILTER (p_partkey % 50 = 2) AS built_at FROM part")

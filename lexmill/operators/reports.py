@@ -37,6 +37,15 @@ def table_counts(store: Store, tables: tuple[str, ...]) -> DataFrame:
     return out
 
 
+def capabilities(store: Store, names: tuple[str, ...] = (*CORE, "definitions", "eu_documents", "eu_references")) -> DataFrame:
+    """name, available, rows: which tables there are, and how many rows those have."""
+    counts = None
+    for name in names:
+        rows = store[name].agg(F.lit(name).alias("name"), F.lit(store.has(name)).alias("available"), F.count(F.lit(1)).alias("rows"))
+        counts = rows if counts is None else counts.unionByName(rows)
+    return counts
+
+
 def metadata(kv: DataFrame) -> DataFrame:
     """tier, schema_version, built_at in one row, with defaults."""
     value = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))

@@ -175,6 +175,16 @@ class Store:
         there = {p.getPath().getName() for p in _files(spark, place).listStatus(_path(spark, place))}
         return cls(spark, {name: spark.read.parquet(f"{place}/{name}") for name in TABLES if name in there})
 
+    def register(self, prefix: str = "") -> None:
+        """Makes the tables views of the session's catalog, where SQL has them by name."""
+        for name, df in self.tables.items():
+            df.createOrReplaceTempView(f"{prefix}{name}")
+
+    @classmethod
+    def of_catalog(cls, spark: SparkSession, prefix: str = "") -> Store:
+        """The tables that the session's catalog has by their names; one that is dropped is missing from then on."""
+        return cls(spark, {name: spark.table(f"{prefix}{name}") for name in TABLES if spark.catalog.tableExists(f"{prefix}{name}")})
+
     def save(self, folder: str, check: bool = False) -> None:
         """Writes all tables as a new version, which counts once its mark is written: a reader sees all of it or none.
 

@@ -130,6 +130,16 @@ def test_missing_tables(spark):
     assert reports.healthy(bare) and not reports.healthy(Store(spark, {}))
 
 
+def test_a_table_that_is_dropped_is_no_longer_available(spark):
+    make(spark).register("t_")
+    there = {r["name"]: (r["available"], r["rows"]) for r in reports.capabilities(Store.of_catalog(spark, "t_")).collect()}
+    assert there["legal_documents"] == (True, 4) and there["eu_references"][0] and there["legal_provisions"] == (True, 3)
+    spark.catalog.dropTempView("t_eu_references")
+    left = Store.of_catalog(spark, "t_")
+    assert {r["name"]: (r["available"], r["rows"]) for r in reports.capabilities(left).collect()} == there | {"eu_references": (False, 0)}
+    assert relations.eu_basis(left, "doc-inforce").note and reports.healthy(left)
+
+
 def test_constraints(spark):
     rows = spark.createDataFrame([("a", "bill", "in_force"), ("b", "novel", "in_force"), ("c", "statute", "lost")], "id string, type string, status string")
     assert {(r["id"], r["violation"]) for r in violations("legal_documents", rows).collect()} == {("b", "type"), ("c", "status")}
