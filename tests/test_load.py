@@ -1,6 +1,8 @@
 """From staged files to a store."""
 
 import json
+import random
+import re
 
 import pytest
 
@@ -132,3 +134,29 @@ def test_references_have_places(spark):
     assert set(got) == {("directive:2000/1", "5"), ("directive:1999/2", "5")}
     first = got["directive:2000/1", "5"]
     assert first["full_citation"] == "Directive 2000/1/EC" and text[first["at"] - 1 :].startswith("Directive 2000/1/EC")
+
+
+def test_references_equal_three_searches_one_after_the_other(spark):
+    """One pass finds what each notation, searched by itself, finds, with places and contexts."""
+    rng, texts = random.Random(5), [None, "", "Regulation", "x" * 5000 + " Directive 2000/1/EC " + "y" * 5000]
+    words = ["Regulation", "directive", "(EU)", "(eec)", "No", "No.", "2016/679", "95/46/EC", "16/1/EU", "1/2", "2000/31/ECx", "99/2/Euratom/EC", "12345/1", "0/5", "2010/00", "Article 5(2)", "transpose", ",", " ", "\n", "\0", "sub", "Regulation(EC)", "DIRECTIVE2001/9"]
+    texts += ["".join(rng.choice(words) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    space = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    start, end, of = r"(?<![0-9A-Za-z_])(Regulation|Directive)" + space + "*", r"(?![0-9A-Za-z_])", "(EU|EC|EEC|Euratom)"
+    act = rf"(?:No\.?{space}*)?([0-9]{{2,4}})/([0-9]{{1,4}})"
+    notations = ((rf"{start}\({of}\){space}*{act}{end}", 3, 4, 2), (rf"{start}{act}/{of}{end}", 2, 3, 4), (rf"{start}{act}{end}", 2, 3, None))
+    want = {}
+    for k, text in enumerate(texts):
+        for n, (pattern, y, num, of_group) in enumerate(notations):
+            for m in re.finditer(pattern, text or "", re.IGNORECASE | re.ASCII):
+                year, number = int(m[y]), int(m[num])
+                year += 0 if len(m[y]) > 2 else 1900 if year >= 50 else 2000
+                if year <= 0 or number <= 0:
+                    continue
+                around = re.sub(space + "+", " ", text[max(0, m.start() - 120) : m.end() + 120]).strip(" ")
+                article = re.search(rf"(?<![0-9A-Za-z_])Article{space}+([0-9]+[A-Za-z]?(?:\([0-9]+\))?)", around, re.IGNORECASE | re.ASCII)
+                found = (n, m.start() + 1, m[of_group].upper() if of_group else "EU", m[0], around)
+                want.setdefault((k, f"{m[1].lower()}:{year}/{number}", article[1] if article else None), found)
+    rows = extract.eu_references(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t").collect()
+    got = {(r["k"], r["eu_document_id"], r["eu_article"]): (r["pattern"], r["at"], r["community"], r["full_citation"], r["reference_context"]) for r in rows}
+    assert len(rows) == len(got) and len(want) > 300 and {v[0] for v in want.values()} == {0, 1, 2} and got == want
