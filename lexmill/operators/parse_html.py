@@ -24,8 +24,9 @@ def blocks(pages: DataFrame) -> DataFrame:
     """id, pos, block_id, block_class, html: what stands between a marker and the next. Empty blocks are dropped."""
     ids = F.regexp_extract_all("html", F.lit(MARKER), F.lit(1))
     parts = F.slice(F.split("html", MARKER), 2, F.size(ids))
-    each = pages.select("id", F.posexplode(F.arrays_zip(ids.alias("block_id"), parts.alias("html"))).alias("pos", "b"))
-    trimmed = each.select("id", "pos", "b.block_id", F.regexp_replace("b.html", r"^\s+|\s+\z", "").alias("html")).where("html != ''")
+    # Not `posexplode`: the filter that is inferred from it would read every page a second time.
+    each = pages.select("id", F.posexplode_outer(F.arrays_zip(ids.alias("block_id"), parts.alias("html"))).alias("pos", "b")).where(F.col("b.html").rlike(r"\S"))
+    trimmed = each.select("id", "pos", "b.block_id", F.regexp_replace("b.html", r"^\s+|\s+\z", "").alias("html"))
     return trimmed.withColumn("block_class", F.regexp_extract("html", r'(?i)^<(?:div|h1|h2)\b[^>]*class="([^"]*)"', 1))
 
 
@@ -88,12 +89,16 @@ def provisions(pages: DataFrame) -> DataFrame:
 
     A document without any section has each block of legacy content as a provision of its own, numbered from 1.
     """
-    each = keyed(blocks(pages))
-    folded = fold(each)
-    bare = each.join(folded.select("id").distinct(), "id", "left_anti").where(is_legacy_content(F.col("block_class")) & (F.col("text") != ""))
-    turn = F.row_number().over(Window.partitionBy("id").orderBy("pos")).cast("string")
-    legacy = bare.select("id", "pos", F.concat(F.lit("LEGACY_"), turn).alias("key"), F.lit(None).cast("string").alias("chapter"), turn.alias("section"), X.spaced(F.col("text")).alias("content"))
-    every = folded.unionByName(legacy).where("content != ''").where(belongs(F.col("id"), F.col("section")))
+    each = keyed(blocks(pages)).withColumn("_legacy", is_legacy_content(F.col("block_class")) & (F.col("text") != ""))
+    known = each.withColumns({"_bare": F.max(F.col("own_key").isNotNull()).over(Window.partitionBy("id")) == F.lit(False), "_turn": F.count_if("_legacy").over(Window.partitionBy("id").orderBy("pos"))})
+    unless = lambda c, bare: F.when(F.col("_bare"), bare).otherwise(F.col(c))
+    rows = known.withColumns({
+        "own_key": unless("own_key", F.when(F.col("_legacy"), F.concat(F.lit("LEGACY_"), F.col("_turn").cast("string")))),
+        "content": unless("content", F.col("_legacy")),
+        "number": unless("number", F.lit(None)),
+        "title": unless("title", F.lit(None)),
+    })
+    every = fold(rows).where("content != ''").where(belongs(F.col("id"), F.col("section")))
     return every.select(F.col("id").alias("document_id"), "pos", X.provision_ref(F.col("section")).alias("provision_ref"), "chapter", "section", X.title_from_key(F.col("key"), F.col("section")).alias("title"), "content")
 
 

@@ -121,6 +121,15 @@ def test_pages(spark, tmp_path):
     assert parse_html.provisions(spark.createDataFrame([("x", None), ("y", "")], "id string, html string")).count() == 0
 
 
+def test_pages_without_sections(spark):
+    mark = lambda i, css, said: f'<span class="jhId" id="B{i}"></span> <div class="{css}">{said}</div> '
+    bare = mark(0, "fejezet", "I. heading") + mark(1, "preambulum", "first") + mark(2, "other", "no") + mark(3, "pont", "<b> </b>") + mark(4, "pont", "second") + '<span class="jhId" id="B5"></span> \n'
+    whole = mark(0, "preambulum", "before") + mark(1, "szakasz", "7. § text") + mark(2, "pont", "more")
+    pages = spark.createDataFrame([("a", bare), ("b", whole), ("c", mark(0, "other", "x")), ("d", None)], "id string, html string").repartition(3)
+    got = [tuple(r) for r in parse_html.provisions(pages).orderBy("document_id", "pos").select("document_id", "pos", "provision_ref", "chapter", "section", "title", "content").collect()]
+    assert got == [("a", 1, "s1", None, "1", "1", "first"), ("a", 4, "s2", None, "2", "2", "second"), ("b", 1, "s7", None, "7", "7. §", "7. § text more")]
+
+
 def test_a_no_break_space_is_a_space(spark):
     text = "Article\u00a07 of Regulation\u00a0(EU)\u202f2016/679 and Directive\u20032000/31/EC"
     rows = extract.eu_references(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").collect()
