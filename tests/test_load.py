@@ -8,7 +8,7 @@ import pytest
 
 from lexmill.operators import dedupe, extract, load, parse_html
 from lexmill.schema import KEYS, REFERENCES, STORE_VARIABLE, ConstraintError, Store, judged, lacking, orphans, rejected, repeated, versions
-from lexmill.sources import seed
+from lexmill.sources import json_files, seed
 
 
 def test_build(spark, tmp_path):
@@ -169,3 +169,21 @@ def test_references_equal_three_searches_one_after_the_other(spark):
     rows = extract.eu_references(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t").collect()
     got = {(r["k"], r["eu_document_id"], r["eu_article"]): (r["pattern"], r["at"], r["community"], r["full_citation"], r["reference_context"]) for r in rows}
     assert len(rows) == len(got) and len(want) > 300 and {v[0] for v in want.values()} == {0, 1, 2} and got == want
+
+
+def test_a_file_for_each_act(spark, tmp_path):
+    folder = str(tmp_path / "acts")
+    acts = spark.createDataFrame([("act-a", "Á", [("x", None)]), ("b/c", "B", []), (".d", None, None)], "id string, title string, definitions array<struct<term:string,definition:string>>").repartition(3)
+    json_files.write_json_files(acts, "id", folder)
+    files = {p.name: p.read_text() for p in (tmp_path / "acts").iterdir()}
+    assert files == {"act-a.json": '{\n  "id": "act-a",\n  "title": "Á",\n  "definitions": [\n    {\n      "term": "x"\n    }\n  ]\n}\n', "b%2Fc.json": '{\n  "id": "b/c",\n  "title": "B",\n  "definitions": []\n}\n', "%2Ed.json": '{\n  "id": ".d"\n}\n'}
+    assert {r["id"] for r in seed.read_seed(spark, folder).collect()} == {"act-a", "b/c", ".d"}
+    broken = acts.selectExpr("id", "IF(id = 'b/c', raise_error('lost'), title) AS title")
+    for bad in (broken, acts.union(acts), acts.selectExpr("NULLIF(id, 'b/c') AS id", "title")):
+        with pytest.raises(Exception):
+            json_files.write_json_files(bad, "id", folder)
+        assert {p.name: p.read_text() for p in (tmp_path / "acts").iterdir()} == files and [p.name for p in tmp_path.iterdir()] == ["acts"]
+    json_files.write_json_files(acts.where("id = 'act-a'"), "id", folder)
+    assert [p.name for p in (tmp_path / "acts").iterdir()] == ["act-a.json"]
+    json_files.write_json_files(acts.limit(0), "id", folder)
+    assert list((tmp_path / "acts").iterdir()) == []
