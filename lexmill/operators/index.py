@@ -3,13 +3,15 @@
 A segment holds, for every token of a row, the row's id, its length and the places of the token in each column. Postings lie in
 files by ranges of (token, id), so that a frequent token is split among files and a prefix is a range; a small table tells the
 range of each file. Blocks of ids hold, for each token, how many rows have it, how often at most, and the least length, which
-bound any score in the block. A row that comes again, or goes, is dead in the segments that held it. A few segments of one level
+bound any score in the block. Runs of two and three letters or digits lead to the tokens that hold them, so that LIKE finds its
+rows over the vocabulary. A row that comes again, or goes, is dead in the segments that held it. A few segments of one level
 are merged to one of the next, so that after n batches about log n are left; numbers of rows and tokens are kept by difference.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +34,8 @@ BLOCK_IDS, FAN, PART_BYTES, LEAST_PART_BYTES = 1024, 4, 64 << 20, 1 << 20
 GATHERED = 512
 #: Blocks that a search reads first; each time it needs more it reads so many times as many, and past the last number all.
 FIRST_BLOCKS, MORE_BLOCKS, MOST_BLOCKS = 16, 8, 2048
+#: Runs of a pattern that are looked up, the longest; and tokens up to which postings tell the rows of a block.
+MOST_RUNS, FEW_TOKENS = 8, 256
 
 
 def postings(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -161,6 +165,9 @@ class Index:
         often = F.size("content") + F.size("title")
         blocks = written.groupBy("token", "block").agg(F.count(F.lit(1)).alias("docs"), F.max(often).alias("most"), F.min("n").alias("least"), F.sum(often).alias("hits"))
         blocks.sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{place}/blocks")
+        every = self.spark.read.parquet(f"{place}/blocks").select("token").distinct()
+        grams = every.select("token", F.explode(F.array_distinct(F.concat(*(F.regexp_extract_all("token", F.lit(f"(?=([0-9a-z]{{{k}}}))"), F.lit(1)) for k in (2, 3))))).alias("gram"))
+        grams.repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").select("gram", "token").write.mode("overwrite").parquet(f"{place}/grams")
         total = self.spark.read.parquet(f"{place}/lengths").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
         return Segment(name, level, total["rows"], total["tokens"], parts)
 
@@ -302,9 +309,67 @@ class Index:
                 return self.spark.createDataFrame([tuple(r) for r in found], "id long, relevance double"), min(take, many) if not whole else many
             take = take * MORE_BLOCKS
 
+    def _holding(self, segment: Segment, runs: list[str]) -> DataFrame:
+        """run (its turn), token: the tokens of a segment that hold each run."""
+        out = []
+        for i, run in enumerate(runs):
+            size = min(3, len(run))
+            grams = {run[k : k + size] for k in range(len(run) - size + 1)}
+            some = self._read(segment, "grams").where(F.col("gram").isin(*grams)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+            out.append(some.where((F.col("n") == len(grams)) & F.contains("token", F.lit(run))).select(F.lit(i).alias("run"), "token"))
+        return _all(out)
+
+    def like(self, rows: DataFrame, pattern: str, fits: Column, k: int, among: DataFrame | None = None) -> tuple[list[int], int] | None:
+        """The k least ids of `rows` whose text fits a LIKE pattern, as `fits` tells of a row, and how many blocks were read.
+
+        What the pattern says in ASCII letters and digits stands within tokens, so that only blocks with a token for each run
+        can have a row that fits. They are read in the order of ids until k rows are found, and of them only the rows of those
+        tokens where these are few. `among` (id) bounds the rows that count. None if the pattern has no run of two.
+        """
+        runs = sorted({r.lower() for r in re.findall("[0-9A-Za-z]{2,}", pattern)}, key=lambda r: (-len(r), r))[:MOST_RUNS]
+        if not runs:
+            return None
+        if not self.segments:
+            return [], 0
+        checkpoint_dir(self.spark)
+        whole, every = (1 << len(runs)) - 1, _all(self._holding(s, runs).withColumn("segment", F.lit(i)) for i, s in enumerate(self.segments)).checkpoint()
+        held = [every.where(F.col("segment") == i).select("run", "token") for i in range(len(self.segments))]
+
+        def all_runs(found: DataFrame, key: str) -> DataFrame:
+            bits = F.bit_or(F.expr("shiftleft(1, run)"))
+            return found.groupBy(key).agg(bits.alias("_runs")).where(F.col("_runs") == whole).select(key)
+
+        blocks = _all(all_runs(self._read(s, "blocks").select("token", "block").join(h, "token"), "block") for s, h in zip(self.segments, held)).distinct().checkpoint()
+        told = every.select("segment", "token").distinct().limit(FEW_TOKENS + 1).collect()
+        few, words = len(told) <= FEW_TOKENS, [{r["token"] for r in told if r["segment"] == i} for i in range(len(self.segments))]
+        found, read, last, take = [], 0, None, FIRST_BLOCKS
+        while True:
+            left = blocks if last is None else blocks.where(F.col("block") > last)
+            # MOST_BLOCKS at most; what is left beyond them is read at once, and not listed.
+            listed = [r["block"] for r in left.orderBy("block").limit(take).collect()] if take <= MOST_BLOCKS else None
+            if listed == [] or few and not told:
+                return found, read
+            if listed is None:
+                here = rows.withColumn("block", F.floor(F.col("id") / BLOCK_IDS)).join(left, "block", "left_semi").drop("block")
+            else:
+                here = rows.where(F.col("id").between(listed[0] * BLOCK_IDS, (listed[-1] + 1) * BLOCK_IDS - 1) & F.floor(F.col("id") / BLOCK_IDS).isin(listed))
+            if few:
+                inside = F.col("block").isin(listed) if listed is not None else F.lit(True)
+                ids = _all(all_runs(self._alive(s, self._pruned(s, w, set()).where(inside)).select("token", "id").join(h, "token"), "id") for s, h, w in zip(self.segments, held, words) if w)
+                here = here.join(ids, "id", "left_semi")
+            here = here.where(fits).select("id")
+            here = here if among is None else here.join(among.select("id"), "id", "left_semi")
+            found += [r["id"] for r in here.orderBy("id").limit(k - len(found)).collect()]  # k at most
+            if listed is None:
+                return found, blocks.count()
+            read, last = read + len(listed), listed[-1]
+            if len(found) >= k or len(listed) < take:
+                return found, read
+            take *= MORE_BLOCKS
+
 
 _POSTINGS = "token string, id long, n long, content array<int>, title array<int>, block long"
-_SCHEMAS = {"postings": _POSTINGS, "lengths": "id long, n long", "ranges": "file string, first string, last string", "blocks": "token string, block long, docs long, most int, least long, hits long"}
+_SCHEMAS = {"postings": _POSTINGS, "lengths": "id long, n long", "grams": "gram string, token string", "ranges": "file string, first string, last string", "blocks": "token string, block long, docs long, most int, least long, hits long"}
 
 
 def _gathered(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:

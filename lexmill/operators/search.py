@@ -94,7 +94,8 @@ def search(store: Store, query: str | None, document: str | None = None, status:
     With a stored index, the postings of the query's tokens are all that is read of the texts: where the strictest variant is
     one of words alone, blocks in the order of what they can score, else all of them, whose counts tell which variant is met
     and are scored. Without one, a pass over the texts counts the phrases of all variants. Of the best, texts are read by id.
-    If no variant is met, contents are searched for the words in order.
+    If no variant is met, contents are searched for the words in order, with an index in blocks that have all of their runs of
+    letters and digits.
     """
     spark = store.spark
     nothing = spark.createDataFrame([], "document_id string, document_title string, provision_ref string, chapter string, section string, title string, snippet string, relevance double")
@@ -144,7 +145,11 @@ def search(store: Store, query: str | None, document: str | None = None, status:
             scored = counts.where(matches(tree, columns)).withColumn("relevance", F.round(bm25(stats, columns, used), 6)).join(wanted, "document_id")
             best = first_per_provision(scored, [F.col("relevance"), F.col("id")], limit).select("id", "document_title", "relevance").collect()
             return Answer(_shown(provisions, best, used), strategy="broadened" if stats["tier"] else None)
-    found = like_search(provisions, Q.like_pattern(Q.sanitize(query))).join(wanted, "document_id")
+    pattern = Q.like_pattern(Q.sanitize(query))
+    among = provisions.select("id", "document_id").join(wanted.select("document_id"), "document_id", "left_semi")
+    told = store.index.like(provisions, pattern, X.like_ascii(F.col("content"), pattern), 2 * limit, among) if store.index else None
+    found = like_search(provisions, pattern) if told is None else provisions.where(F.col("id").isin(told[0]))
+    found = found.join(wanted, "document_id")
     rows = first_per_provision(found, [F.col("id")], limit)
     rows = rows.withColumns({"snippet": F.substring("content", 1, 200), "relevance": F.lit(0.0)}).orderBy("id").select(RESULT)
     return Answer(rows, strategy="like_fallback" if rows.limit(1).count() else None)

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
 from lexmill.operators import index as I
 from lexmill.operators import search
 from lexmill.plans import ftsquery as Q
@@ -135,3 +136,37 @@ def test_top_stops_early_and_agrees(spark, tmp_path):
     among = spark.range(4000, 4800).select("id")
     found, read = index.top(["aa"], 5, among=among)
     assert sorted((r["relevance"], r["id"]) for r in found.collect()) == [x for x in want if x[1] >= 4000][:5]
+
+
+def in_order(text, pattern):
+    """Whether the parts between the % of a pattern without _ stand in a text one after the other."""
+    low, at = "".join(x.lower() if x.isascii() else x for x in text), 0
+    for part in "".join(x.lower() if x.isascii() else x for x in pattern).strip("%").split("%"):
+        at = low.find(part, at) + len(part)
+        if at < len(part):
+            return False
+    return True
+
+
+def test_like_reads_blocks_that_have_its_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK_IDS", 16)
+    rows = case(300)
+    rows += [(9001, "Zebra-CROSSING ahead", None), (9500, "a zebra", "crossing"), (9501, "zebra  crossing" + "x" * 9000, ""), (9502, "zébra crossing", None), (20_000, "crossing zebra", None)]
+    frame = made(spark, rows)
+    index = I.Index.build(frame.where("id < 400"), str(tmp_path / "i")).add(frame.where("id >= 400"))
+    changed = [(20_001, "zebra crossing", None)]
+    gone = spark.createDataFrame([(9501,)], "id long")
+    index = index.add(made(spark, changed), gone)
+    kept = [r for r in rows if r[0] != 9501] + changed
+    alive = made(spark, kept).repartition(3).cache()
+    for few, patterns in ((I.FEW_TOKENS, ("%zebra%crossing%", "%EBR%", "%a_z%", "%aa bb%", "%nothing%", "%w1%é%")), (0, ("%ra-cr%", "%aa%bb%w1%"))):
+        monkeypatch.setattr(I, "FEW_TOKENS", few)
+        for pattern in patterns:
+            want = sorted(i for i, c, _ in kept if c is not None and in_order(c, pattern))
+            got = index.like(alive, pattern, X.like_ascii(F.col("content"), pattern), 10_000)
+            assert got is None if pattern == "%a_z%" else got[0] == want, pattern
+            assert pattern != "%zebra%crossing%" or got[1] <= 4
+    assert index.like(alive, "%aa%", X.like_ascii(F.col("content"), "%aa%"), 3)[1] == I.FIRST_BLOCKS
+    among = spark.createDataFrame([(20_001,), (1,)], "id long")
+    assert index.like(alive, "%zebra%", X.like_ascii(F.col("content"), "%zebra%"), 5, among)[0] == [20_001]
+    assert I.Index.open(spark, str(tmp_path / "none")).like(alive, "%zebra%", F.lit(True), 5) == ([], 0)
