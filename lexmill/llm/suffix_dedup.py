@@ -19,15 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BLOCK, U64, blobs_of, checkpointed, chunk_count, dealt_texts, merged, mix, parted, pick, prefix_sums, range_hashes, same_bytes, text_bytes, utf8_view, whole_column, window_hashes
+from lexmill.llm.common import BLOCK, U64, chunk_count, dealt_texts, merged, mix, parted, pick, prefix_sums, range_hashes, same_bytes, text_bytes, utf8_view, whole_column, window_hashes
 from lexmill.schema import complete, remove, versions
 
 ANCHOR = 20
 #: Bytes of text handled as one group, and anchors to a bucket.
 CHUNK_BYTES = 2 << 20
 BUCKET_ANCHORS = 200_000
-#: Windows of an anchor that so many chunks share are dealt one by one, not by their anchor.
-HOT_CHUNKS = 1000
+#: Windows of an anchor that so many chunks share are dealt one by one, not by their anchor. A chunk counts once more for every
+#: OFTEN runs of windows that it has of the anchor, so that fewer than 100 000 runs of one anchor come together.
+HOT_CHUNKS, OFTEN = 25_000, 4
 #: Windows in one batch of the level family.
 BATCH = 1 << 16
 
@@ -117,6 +118,15 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, width: int, limits: np
     return row[head], starts[head], np.diff(np.append(head, len(starts))), at[head], h[at[head]]
 
 
+def _longs(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.int64)
+
+
+def _named(blob: bytes) -> np.ndarray:
+    """The names of a blob's anchors, of one bucket, which it begins with."""
+    return np.frombuffer(blob, np.int64, 1) << 32 | np.frombuffer(blob, np.uint32, offset=8).astype(np.int64)
+
+
 class _Chunk:
     """The documents of a chunk, in the order of doc_id and text, without copies; windows are numbered in all their bytes."""
 
@@ -130,7 +140,7 @@ class _Chunk:
         self.ids = ids[~self.copies]
         self.text = whole_column(self.docs["text"].filter(pa.array(~self.copies)))
         self.data, self.offsets = utf8_view(self.text)
-        self.noted = {k: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(blobs[i], np.int64) for i in np.flatnonzero(kinds == k))]) for k in (_SHARED, _HOT, _SPANS)}
+        self.noted = {k: np.concatenate([np.zeros(0, np.int64), *(read(blobs[i]) for i in np.flatnonzero(kinds == k))]) for k, read in ((_SHARED, _named), (_HOT, _named), (_SPANS, _longs))}
 
     def runs(self, width: int) -> tuple[np.ndarray, ...]:
         """Row, first window, windows and anchor's hash of the runs of windows with one anchor; a block of bytes at a time."""
@@ -153,14 +163,25 @@ def distinct_anchors(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[head], h[head][row[tail] != row[head]]
 
 
+def counted_anchors(h: np.ndarray) -> np.ndarray:
+    """Hashes of all anchors, sorted, each once and once more for every OFTEN runs."""
+    found, many = np.unique(h.view(np.int64), return_counts=True)
+    return np.repeat(found, 1 + many // OFTEN)
+
+
 _NOTE = "chunk long, kind int, data binary"
-_WINDOWS = "bucket long, salt long, chunk long, ids binary, lengths binary, data binary"
+_WINDOWS = "bucket long, chunk long, ids binary, lengths binary, data binary"
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(h) % U64(buckets)).astype(np.int64)
 
 
+def _names(h: np.ndarray, buckets: int) -> np.ndarray:
+    """What an anchor is called by: its bucket and the lower half of its hash. Anchors of one name are held for the same one."""
+    return _bucket(h, buckets) << 32 | (h & U64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _notes(rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) or [()] * 3
     return pa.table({"chunk": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int32()), "data": pa.array(cols[2], pa.binary())})
@@ -187,14 +208,12 @@ class _Windows:
         empty = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         return _Windows(chunk, *(np.concatenate([e, *(p[i + 1] for p in parts)]) for i, e in enumerate(empty)), width), rows
 
-    def scan(self) -> tuple[np.ndarray, np.ndarray]:
-        """Chunk, row, start and end of all spans that an earlier document has, by batches against the levels; and how many
-        windows of each segment were found."""
+    def scan(self) -> np.ndarray:
+        """Chunk, row, start and end of all spans that an earlier document has, by batches against the levels."""
         width = self.width
         order = np.lexsort((self.ids[:, 2], self.ids[:, 1], self.chunk, self.ids[:, 0]))
         levels = SuffixLevels(width)
         found: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
-        hits = np.zeros(len(order), np.int64)
         total = np.cumsum(self.many[order])
         begin = 0
         while begin < len(order):
@@ -206,18 +225,17 @@ class _Windows:
             hit = levels.add(gather(self.data, self.at[segment] + turn, width), self.ids[segment, 0])
             segment, turn = segment[hit], turn[hit]
             if len(segment):
-                hits += np.bincount(segment, minlength=len(hits))
                 head = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (turn[1:] != turn[:-1] + 1)]))
                 tail = np.append(head[1:], len(segment)) - 1
                 s = segment[head]
                 found.append(np.stack([self.chunk[s], self.ids[s, 1], self.ids[s, 2] + turn[head], self.ids[s, 2] + turn[tail] + width], axis=1))
             begin = end
-        return np.concatenate(found), hits
+        return np.concatenate(found)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "salt", "chunk", "ids", "lengths", "data"), cols, (pa.int64(),) * 3 + (pa.binary(),) * 3, strict=True)})
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "chunk", "ids", "lengths", "data"), cols, (pa.int64(),) * 2 + (pa.binary(),) * 3, strict=True)})
 
 
 def _by_chunk(spans: np.ndarray) -> list[tuple]:
@@ -294,9 +312,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, **how) -> DataFrame:
     without one, never remove each other's bytes; a null doc_id comes after all others. An empty table gives an empty
     result. No candidate is dropped: all windows of shared anchors are compared, byte by byte.
 
-    Whole copies, and segments that repeat within a chunk, do not travel. An anchor in `hot_chunks` chunks or more has its
-    windows dealt one by one, and what is dealt so meets by groups of as many chunks first, of which the earliest holders go on.
-    Documents that come by batches are for Levels.
+    Whole copies, and segments that repeat within a chunk, do not travel. An anchor that counts for `hot_chunks` chunks or more
+    has its windows dealt one by one; of one window a chunk sends one. Texts are dealt once and windows once, and nothing is
+    written between. Documents that come by batches are for Levels.
     """
     _, size = text_bytes(docs)
     chunks = chunk_count(size, how.get("chunk_bytes", CHUNK_BYTES))
@@ -307,7 +325,6 @@ def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame,
     """The result for documents dealt, and their anchors; earlier: documents, anchors and number of the chunks of levels."""
     base = earlier[2] if earlier else 0
     buckets = chunk_count((size + before) * 2, BUCKET_ANCHORS * (width - ANCHOR + 2))
-    salts = -(-(chunks + base) // hot_chunks)
     if earlier:
         dealt = dealt.withColumn("chunk", F.col("chunk") + F.lit(base))
     every = dealt.unionByName(earlier[0].select(dealt.columns)) if earlier else dealt
@@ -321,14 +338,18 @@ def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame,
     def tell_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-        row, _, _, h = _Chunk(left, right).runs(width)
-        return pa.table(bucketed(left["chunk"][0].as_py(), distinct_anchors(row, h)[0]))
+        return pa.table(bucketed(left["chunk"][0].as_py(), counted_anchors(_Chunk(left, right).runs(width)[3])))
+
+    def keep_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Whole hashes, which later batches deal to buckets of their own."""
+        rows = [(left["chunk"][0].as_py(), counted_anchors(_Chunk(left, right).runs(width)[3]).tobytes())] if left.num_rows else []
+        return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
 
     def bucketed(chunk: int, hashes: np.ndarray) -> dict[str, pa.Array]:
         to = _bucket(hashes.view(U64), buckets)
         order, at, end = parted(to)
-        hashes = hashes[order]
-        blobs = [hashes[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+        halves = hashes.view(U64)[order].astype(np.uint32)
+        blobs = [halves[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
         return {"bucket": pa.array(to[order][at]), "chunk": pa.array(np.full(len(at), chunk, np.int64)), "data": pa.array(blobs, pa.binary())}
 
     def deal_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,21 +358,27 @@ def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame,
                 yield pa.RecordBatch.from_pydict(bucketed(chunk, np.frombuffer(data, np.int64)))
 
     def shared_anchors(table: pa.Table) -> pa.Table:
-        h, many = blobs_of(table["data"])
-        chunk = np.repeat(table["chunk"].to_numpy(), many)
+        data, offsets = utf8_view(whole_column(table["data"]))
+        h = np.frombuffer(data.tobytes(), np.uint32)
+        chunk = np.repeat(table["chunk"].to_numpy(), np.diff(offsets) // 4)
+        bucket = table["bucket"][:1].to_numpy().tobytes()
         order, at, end = parted(h)
-        times = np.empty(len(h), np.int64)
-        times[order] = np.repeat(end - at, end - at)
+        many = end - at
+        times, apart, first = np.empty(len(h), np.int64), np.empty(len(h), bool), np.ones(len(h), bool)
+        times[order] = np.repeat(many, many)
+        # A chunk's anchors of a bucket come together, so that of equal ones those of a chunk do.
+        apart[order] = np.repeat(chunk[order][at] != chunk[order][end - 1], many)
+        first[order[1:]] = (h[order][1:] != h[order][:-1]) | (chunk[order][1:] != chunk[order][:-1])
         if base:  # an anchor that no judged chunk has is of no use
             here = np.zeros(len(h), bool)
-            here[order] = np.repeat(np.logical_or.reduceat(chunk[order] >= base, at), end - at) if len(h) else here
-            times[~here] = 0
+            here[order] = np.repeat(np.logical_or.reduceat(chunk[order] >= base, at), many) if len(h) else here
+            first[~here] = False
         rows = []
-        for kind, take in ((_SHARED, (times > 1) & (times < hot_chunks)), (_HOT, times >= max(2, hot_chunks))):
-            own, of = h[take], chunk[take]
+        for kind, take in ((_SHARED, apart & (times < hot_chunks)), (_HOT, times >= max(2, hot_chunks))):
+            own, of = h[take & first], chunk[take & first]
             order, at, end = parted(of)
             own, of = own[order], of[order]
-            rows += [(int(of[a]), kind, own[a:b].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+            rows += [(int(of[a]), kind, bucket + own[a:b].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
         return _notes(rows)
 
     def tell_windows(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -361,12 +388,12 @@ def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame,
         number = left["chunk"][0].as_py()
         row, start, many, h = whole.runs(width)
         local = distinct_anchors(row, h)[1] if number >= base else np.zeros(0, np.int64)
-        hot = whole.noted[_HOT]
-        take = np.flatnonzero(np.isin(h.view(np.int64), np.concatenate([local, whole.noted[_SHARED], hot])))
-        row, start, many, h = row[take], start[take], many[take], h[take]
+        name, hot = _names(h, buckets), whole.noted[_HOT]
+        take = np.flatnonzero(np.isin(h.view(np.int64), local) | np.isin(name, np.concatenate([whole.noted[_SHARED], hot])))
+        row, start, many, h, name = row[take], start[take], many[take], h[take], name[take]
         if not len(row):
             return _table([])
-        lone = np.isin(h.view(np.int64), hot)
+        lone = np.isin(name, hot)
         sums = prefix_sums(whole.data)
         if lone.any():  # in the order of rows and starts, as before
             each = np.repeat(np.arange(len(row)), np.where(lone, many, 1))
@@ -385,39 +412,24 @@ def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame,
         local_start = start - whole.offsets[row]
         out = []
         if len(again):
-            out.append((number % buckets, 0, number, b"", b"", np.stack([row[again], local_start[again], local_start[again] + size[again]], axis=1).tobytes()))
+            out.append((number % buckets, number, b"", b"", np.stack([row[again], local_start[again], local_start[again] + size[again]], axis=1).tobytes()))
         keep = np.ones(len(row), bool)
         keep[again] = False
         keep = np.flatnonzero(keep)
-        salt = np.where(lone[keep] & (salts > 1), 1 + number % salts, 0)
         to = _bucket(h[keep], buckets)
-        order, at, end = parted(to * (salts + 1) + salt)
-        keep, to, salt = keep[order], to[order], salt[order]
+        order, at, end = parted(to)
+        keep, to = keep[order], to[order]
         told_ = np.stack([ids[keep], row[keep], local_start[keep]], axis=1)
         n = size[keep]
         stop = np.append(0, np.cumsum(n))
         data = pick(whole.data, start[keep], n)
         lengths = many[keep].astype(np.int32)
-        out += [(int(to[a]), int(salt[a]), number, told_[a:b].tobytes(), lengths[a:b].tobytes(), data[stop[a] : stop[b]].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
-        return _table(out)
-
-    def first_holders(table: pa.Table) -> pa.Table:
-        """Of the windows of a group of chunks: spans of those that an earlier document of the group has, and the others."""
-        own, _ = _Windows.read(table, width)
-        spans, hits = own.scan()
-        bucket = table["bucket"][0].as_py()
-        out = [(bucket, 0, c, b"", b"", data) for c, _, data in _by_chunk(spans)]
-        left = np.flatnonzero(hits < own.many)  # segments of one window each
-        order, at, end = parted(own.chunk[left])
-        left = left[order]
-        for a, b in zip(at.tolist(), end.tolist(), strict=True):
-            part = left[a:b]
-            out.append((bucket, 0, int(own.chunk[part[0]]), own.ids[part].tobytes(), own.many[part].astype(np.int32).tobytes(), pick(own.data, own.at[part], own.size[part]).tobytes()))
+        out += [(int(to[a]), number, told_[a:b].tobytes(), lengths[a:b].tobytes(), data[stop[a] : stop[b]].tobytes()) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
         return _table(out)
 
     def scan_windows(table: pa.Table) -> pa.Table:
         own, rows = _Windows.read(table, width)
-        return _notes(rows + _by_chunk(own.scan()[0]))
+        return _notes(rows + _by_chunk(own.scan()))
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans"] if with_text else [])]
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:long,end:long>>" * with_text
@@ -448,7 +460,8 @@ def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame,
     def together(notes: DataFrame, texts: DataFrame = dealt):
         return texts.groupBy("chunk").cogroup(notes.groupBy("chunk"))
 
-    anchors = own_anchors = together(copies).applyInArrow(tell_anchors, "bucket long, chunk long, data binary")
+    own_anchors = together(copies).applyInArrow(keep_anchors, "chunk long, data binary")
+    anchors = together(copies).applyInArrow(tell_anchors, "bucket long, chunk long, data binary")
     if earlier:
         anchors = anchors.unionByName(earlier[1].select("chunk", "data").mapInArrow(deal_anchors, "bucket long, chunk long, data binary"))
     shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, _NOTE)
@@ -456,9 +469,6 @@ def _remove(dealt: DataFrame, size: int, chunks: int, earlier: tuple[DataFrame,
     if earlier:
         texts = dealt.unionByName(earlier[0].select(dealt.columns).join(shared.select(F.col("chunk").alias("chunk")).distinct(), "chunk", "left_semi"))
     windows = together(copies.unionByName(shared), texts).applyInArrow(tell_windows, _WINDOWS)
-    if salts > 1:
-        windows = checkpointed(windows)
-        windows = windows.where("salt = 0").unionByName(windows.where("salt > 0").groupBy("bucket", "salt").applyInArrow(first_holders, _WINDOWS))
     spans = windows.groupBy("bucket").applyInArrow(scan_windows, _NOTE)
     notes = copies.unionByName(spans)
     return together(notes.where(F.col("chunk") >= base) if earlier else notes).applyInArrow(cut, result), own_anchors

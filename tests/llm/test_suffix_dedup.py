@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
 
 import numpy as np
 import pytest
 
 from lexmill.llm import suffix_dedup
+from lexmill.storage import checkpoint_dir
 from tests.llm.helpers import ODD, table, texts
 
 
@@ -122,3 +124,16 @@ def test_batches_are_scanned_against_stored_levels(spark, tmp_path):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
+
+
+def test_windows_are_not_written_before_they_are_dealt(spark):
+    """However many chunks share an anchor, nothing but the exchanges takes disk."""
+    files = lambda: sum(len(f) for _, _, f in os.walk(checkpoint_dir(spark).removeprefix("file:")))
+    before = files()
+    assert suffix_dedup.remove_repeats(table(spark, corpus()), hot_chunks=3, chunk_bytes=3000).where("n_removed > 0").count() > 8
+    assert files() == before
+
+
+def test_an_anchor_counts_once_more_for_every_few_runs():
+    h = np.array([7] * 9 + [2**63 + 5] + [3] * 4, np.uint64)
+    assert suffix_dedup.counted_anchors(h).view(np.uint64).tolist() == [2**63 + 5, 3, 3, 7, 7, 7]
