@@ -10,6 +10,7 @@ from lexmill.catalog.text import sql_html, sql_spaced
 from lexmill.functions import text as X
 from lexmill.operators import dedupe, extract, parse_html
 from lexmill.sources import seed
+from lexmill.storage import dealt
 
 
 @query("defaults_coalesce", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, 'statute') AS type, coalesce(CASE WHEN doc_id % 2 > 0 THEN source END, 'in_force') AS status FROM documents")
@@ -67,7 +68,7 @@ def concat_ordered(spark, sf):
 
 def _site(spark, sf):
     """A page for each customer: chapters, sections by id, by marker and by text, articles, legacy blocks and definitions."""
-    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    key, name = F.col("id"), F.col("c_name")
     mark = lambda i: F.concat(F.lit('<span class="jhId" id="'), i, F.lit('"></span>'))
     div = lambda c, *t: F.concat(F.lit(f'<div class="{c}">'), *t, F.lit("</div>"))
     html = F.concat(
@@ -80,7 +81,8 @@ def _site(spark, sf):
             mark(F.lit("x2")), div("pont", F.lit("a) point<sup class=\"fnSup\">1</sup>")), mark(F.lit("x3")), div("cim", F.lit("II. Cikk")), mark(F.lit("x4")), F.lit("  "), mark(F.lit("FE2")), div("fejezet", F.lit("II. Fejezet")), mark(F.lit("SZ1")), div("szakasz", F.lit("1. § again")),
         )),
     )
-    return A.read(spark, sf, "customer").select(key.alias("id"), html.alias("html"), "c_nationkey", "c_name")
+    customers = A.read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_name", "c_mktsegment", "c_nationkey")
+    return dealt(customers, "id").select("id", html.alias("html"), "c_nationkey", "c_name")
 
 
 @query("split_blocks", """SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(unnest(CASE WHEN c_nationkey % 4 = 0 THEN [0, 1, 2, 3] ELSE [0, 1, 2, 3, 4, 5, 6, 8, 9] END) AS INTEGER) AS pos,

@@ -20,6 +20,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return told
 
 
+#: Rows that cost much each, of one task.
+COSTLY_ROWS = 4000
+
+
+def dealt(rows: DataFrame, key: str, most: int = COSTLY_ROWS) -> DataFrame:
+    """rows by key over a task for every `most` of them. A file of few bytes a row is one task as it is read, however many rows
+    it has; what is worked out of a row goes after this, and what is grouped by key then needs no exchange."""
+    return rows.repartition(max(1, -(-rows.count() // most)), key)
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with an id from 1 in this order, which tells any two rows apart.
 
