@@ -3,8 +3,8 @@
 A segment holds, for every token of a row, the row's id, its length and the places of the token in each column. Postings lie in
 files by ranges of (token, id), so that a frequent token is split among files and a prefix is a range; a small table tells the
 range of each file. Blocks of ids hold, for each token, how many rows have it, how often at most, and the least length, which
-bound any score in the block. Runs of two and three letters or digits lead to the tokens that hold them, so that LIKE finds its
-rows over the vocabulary. A row that comes again, or goes, is dead in the segments that held it. A few segments of one level
+bound any score in the block; a block that was written in pieces has a row a piece. LIKE finds its rows over the vocabulary: its runs of letters or digits are looked for in the
+tokens of a segment. A row that comes again, or goes, is dead in the segments that held it. A few segments of one level
 are merged to one of the next, so that after n batches about log n are left; numbers of rows and tokens are kept by difference.
 """
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 COLUMNS = ("content", "title")
 #: Ids of a block, segments of a level that are merged, bytes of text of a part of postings, and of one at least where there are few.
-BLOCK_IDS, FAN, PART_BYTES, LEAST_PART_BYTES = 1024, 4, 64 << 20, 1 << 20
+BLOCK_IDS, FAN, PART_BYTES, LEAST_PART_BYTES = 1024, 4, 8 << 20, 1 << 20
 #: Rows whose tokens are sorted at once.
 GATHERED = 512
 #: Blocks that a search reads first; each time it needs more it reads so many times as many, and past the last number all.
@@ -160,14 +161,12 @@ class Index:
         dealt.write.mode("overwrite").parquet(f"{place}/postings")
         sizes.write.mode("overwrite").parquet(f"{place}/lengths")
         written = self.spark.read.schema(_POSTINGS).parquet(f"{place}/postings")
-        file = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
-        written.groupBy(file).agg(F.min("token").alias("first"), F.max("token").alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{place}/ranges")
+        file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        # Least and greatest of strings are worked out by sorting, so that each token of a file is told once before.
+        tokens = written.select(file.alias("file"), "token").distinct()
+        tokens.groupBy("file").agg(F.min("token").alias("first"), F.max("token").alias("last"), F.count(F.lit(1)).alias("tokens")).coalesce(1).write.mode("overwrite").parquet(f"{place}/ranges")
         often = F.size("content") + F.size("title")
-        blocks = written.groupBy("token", "block").agg(F.count(F.lit(1)).alias("docs"), F.max(often).alias("most"), F.min("n").alias("least"), F.sum(often).alias("hits"))
-        blocks.sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{place}/blocks")
-        every = self.spark.read.parquet(f"{place}/blocks").select("token").distinct()
-        grams = every.select("token", F.explode(F.array_distinct(F.concat(*(F.regexp_extract_all("token", F.lit(f"(?=([0-9a-z]{{{k}}}))"), F.lit(1)) for k in (2, 3))))).alias("gram"))
-        grams.repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").select("gram", "token").write.mode("overwrite").parquet(f"{place}/grams")
+        written.select("token", "block", often.alias("often"), "n").mapInArrow(_blocked, _SCHEMAS["blocks"]).write.mode("overwrite").parquet(f"{place}/blocks")
         total = self.spark.read.parquet(f"{place}/lengths").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
         return Segment(name, level, total["rows"], total["tokens"], parts)
 
@@ -291,8 +290,9 @@ class Index:
             return nothing, 0
         weight, mean = self._weight(having), self.mean
         told = _all(self._read(s, "blocks").where(F.col("token").isin(*words)) for s in self.segments)
-        # A row has the words of one segment alone, so that its segments' bounds of a block are bounds apart; the sum is one too.
-        bounds = told.groupBy("block").agg(F.sum(weight * saturated(F.col("most"), F.col("least"), mean)).alias("bound"), F.count_distinct("token").alias("words"))
+        # What a word counts at most in a block, whatever segments and pieces have it there.
+        each = told.groupBy("block", "token").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+        bounds = each.groupBy("block").agg(F.sum(weight * saturated(F.col("most"), F.col("least"), mean)).alias("bound"), F.count(F.lit(1)).alias("words"))
         bounds = bounds.where(F.col("words") == len(words)) if every else bounds
         checkpoint_dir(self.spark)
         bounds = bounds.checkpoint()
@@ -311,13 +311,9 @@ class Index:
 
     def _holding(self, segment: Segment, runs: list[str]) -> DataFrame:
         """run (its turn), token: the tokens of a segment that hold each run."""
-        out = []
-        for i, run in enumerate(runs):
-            size = min(3, len(run))
-            grams = {run[k : k + size] for k in range(len(run) - size + 1)}
-            some = self._read(segment, "grams").where(F.col("gram").isin(*grams)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-            out.append(some.where((F.col("n") == len(grams)) & F.contains("token", F.lit(run))).select(F.lit(i).alias("run"), "token"))
-        return _all(out)
+        every = self._read(segment, "blocks").select("token").distinct()
+        held = F.array_compact(F.array(*(F.when(F.contains("token", F.lit(run)), F.lit(i)) for i, run in enumerate(runs))))
+        return every.select(F.explode(held).alias("run"), "token")
 
     def like(self, rows: DataFrame, pattern: str, fits: Column, k: int, among: DataFrame | None = None) -> tuple[list[int], int] | None:
         """The k least ids of `rows` whose text fits a LIKE pattern, as `fits` tells of a row, and how many blocks were read.
@@ -369,7 +365,7 @@ class Index:
 
 
 _POSTINGS = "token string, id long, n long, content array<int>, title array<int>, block long"
-_SCHEMAS = {"postings": _POSTINGS, "lengths": "id long, n long", "grams": "gram string, token string", "ranges": "file string, first string, last string", "blocks": "token string, block long, docs long, most int, least long, hits long"}
+_SCHEMAS = {"postings": _POSTINGS, "lengths": "id long, n long", "ranges": "file string, first string, last string, tokens long", "blocks": "token string, block long, docs long, most int, least long, hits long"}
 
 
 def _gathered(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -383,6 +379,19 @@ def _gathered(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return each.mapInArrow(_gather, "token string, id long, n long, content array<int>, title array<int>").checkpoint()
 
 
+def _blocked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of postings of one token and block; postings come in the order of token and id."""
+    for batch in batches:
+        token, block, often, n = batch.columns
+        block, often, n = (c.to_numpy(zero_copy_only=False) for c in (block, often, n))
+        if not len(n):
+            continue
+        other = pc.not_equal(token.slice(1), token.slice(0, len(n) - 1)).to_numpy(zero_copy_only=False)
+        head = np.flatnonzero(np.concatenate([[True], other | (block[1:] != block[:-1])]))
+        most, least, hits = np.maximum.reduceat(often, head), np.minimum.reduceat(n, head), np.add.reduceat(often.astype(np.int64), head)
+        yield pa.record_batch({"token": token.take(pa.array(head)), "block": block[head], "docs": np.diff(np.append(head, len(n))), "most": most.astype(np.int32), "least": least, "hits": hits})
+
+
 def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each row, sorted, with their places."""
     for batch in batches:
