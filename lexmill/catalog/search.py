@@ -10,6 +10,7 @@ from lexmill.functions import tokens as T
 from lexmill.functions.text import ACCENTED, PLAIN
 from lexmill.operators import index, search
 from lexmill.plans import ftsquery as Q
+from lexmill.storage import checkpoint_dir
 
 _TOKENS = r"regexp_extract_all(lower(translate({e}, '" + ACCENTED + "', '" + PLAIN + r"')), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 #: Token arrays of all provisions, and their number.
@@ -138,9 +139,15 @@ def like_search_only(spark, sf):
     return search.search(A.searchable(spark, sf), "the , of , and").rows
 
 
+def _counted(spark, sf, found):
+    """Counts of phrases, from the stored index if the session has one, else in one pass over the texts."""
+    stored = A.built(spark, sf)
+    return stored.counted(found) if stored else search.counted(A.provisions(spark, sf), found)
+
+
 def _ids(spark, sf, text):
     tree = Q.parse(text)
-    counts, columns = A.index(spark, sf).counted(Q.phrases(tree))
+    counts, columns = _counted(spark, sf, Q.phrases(tree))
     return counts.where(search.matches(tree, columns)).select("id")
 
 
@@ -151,9 +158,11 @@ for _name, _text in {
 
 
 def _scores(spark, sf, text):
-    tree, stored = Q.parse(text), A.index(spark, sf)
-    counts, columns = stored.counted(Q.phrases(tree))
-    stats = search.statistics(counts, columns).asDict() | {"n": stored.rows, "mean": stored.mean}
+    tree, stored = Q.parse(text), A.built(spark, sf)
+    counts, columns = _counted(spark, sf, Q.phrases(tree))
+    checkpoint_dir(spark)
+    counts = counts.select("id", "_n", *columns.values()).checkpoint()
+    stats = search.statistics(counts, columns).asDict() | ({"n": stored.rows, "mean": stored.mean} if stored else {})
     return counts.where(search.matches(tree, columns)).select("id", F.round(search.bm25(stats, columns, Q.phrases(tree)), 6).alias("relevance"))
 
 

@@ -41,9 +41,18 @@ def ascii_lower(c: Column) -> Column:
 
 
 def like_ascii(c: Column, pattern: str) -> Column:
-    """LIKE without case for ASCII letters; % and _ are wildcards and nothing escapes them."""
-    lowered = pattern.translate(str.maketrans(_CAPITALS, _SMALL))
-    return F.like(ascii_lower(c), F.lit(lowered), F.lit("\x01"))
+    """LIKE without case for ASCII letters; % and _ are wildcards and nothing escapes them.
+
+    What stands between two % is found where it first comes after what is before it, and never sought again further on, so
+    that a text is read once.
+    """
+    def said(part: str) -> str:
+        return "".join("." if x == "_" else x if x.isascii() and x.isalnum() else f"\\x{{{ord(x):X}}}" for x in part)
+
+    first, *rest = (said(p) for p in pattern.split("%"))
+    between = "".join(f"(?>.*?{p})" for p in rest[:-1] if p)
+    end = (f".*{rest[-1]}\\z" if rest[-1] else "") if rest else "\\z"
+    return c.rlike(rf"(?is)\A{first}{between}{end}")
 
 
 def named_entities(c: Column) -> Column:
