@@ -15,6 +15,30 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(F.coalesce(c, F.lit("")), ACCENTED, PLAIN)), F.lit(WORD), F.lit(0))
 
 
+#: Letters that lose their mark in capitals alone, or have it in small letters alone.
+_ODD, _SIGN, _RING = "[\u0130\u212b]", "\u212b", "\u00e5"
+#: What is neither ASCII nor part of a token.
+_APART = r"[\P{ASCII}&&[^\p{L}\p{N}\p{Co}]]+"
+
+
+def spelled(c: Column) -> Column:
+    """A lower-case text whose tokens are its runs of ASCII letters, digits and whatever is not ASCII, some with diacritics yet.
+
+    Taking those off a whole text costs more than all else; `plain` takes them off a token.
+    """
+    c = F.coalesce(c, F.lit(""))
+    odd = F.replace(F.lower(F.translate(c, ACCENTED, PLAIN)), F.lit(_RING), F.lit(_SIGN))  # it has come of the sign, and stays
+    whole = F.when(c.rlike(_ODD), odd).otherwise(F.lower(c))
+    return F.when(c.rlike(r"\P{ASCII}"), F.regexp_replace(whole, _APART, " ")).otherwise(F.lower(c))
+
+
+_PLAIN = str.maketrans(ACCENTED + _SIGN, PLAIN + _RING)
+
+
+def plain(token: str) -> str:
+    return token if token.isascii() else token.translate(_PLAIN)
+
+
 def _same(token: Column, said: str, prefix: bool) -> Column:
     return token.startswith(said) if prefix else token == said
 

@@ -1,9 +1,9 @@
 """A stored positional index of texts: segments of postings that are pruned by token, told by blocks, and merged as they grow.
 
-A segment holds, for every token of a row, the row's id, its length and the places of the token in each column. Postings lie in
-files by ranges of (token, id), so that a frequent token is split among files and a prefix is a range; a small table tells the
-range of each file. Blocks of ids hold, for each token, how many rows have it, how often at most, and the least length, which
-bound any score in the block; a block that was written in pieces has a row a piece. LIKE finds its rows over the vocabulary: its runs of letters or digits are looked for in the
+A segment holds, for every token of a row, the row's id, its length and the places of the token in each column; the token '' is in
+all rows and has no places. Postings of one token and block of ids lie in packs, and packs in files by ranges of (token, block),
+so that a frequent token is split among files and a prefix is a range; a small table tells the range of each file. A pack says
+how many rows it has, how often at most they have the token, and the least length, which bound any score in it. LIKE finds its rows over the vocabulary: its runs of letters or digits are looked for in the
 tokens of a segment. A row that comes again, or goes, is dead in the segments that held it. A few segments of one level
 are merged to one of the next, so that after n batches about log n are left; numbers of rows and tokens are kept by difference.
 """
@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,8 +32,10 @@ LEAST_IDF = 1e-6
 COLUMNS = ("content", "title")
 #: Ids of a block, segments of a level that are merged, bytes of text of a part of postings, and of one at least where there are few.
 BLOCK_IDS, FAN, PART_BYTES, LEAST_PART_BYTES = 1024, 4, 8 << 20, 1 << 20
-#: Rows whose tokens are sorted at once.
-GATHERED = 512
+#: Rows whose tokens are sorted at once, and bytes of their text, if a row is no longer; postings of a pack.
+GATHERED, GATHERED_BYTES, PACK = 1024, 8 << 20, 64
+#: Rows that tell where files end, and those for each file; and packs that are told for each file.
+SAMPLE, SAMPLE_OF_PART, MARKS = 4096, 32, 64
 #: Blocks that a search reads first; each time it needs more it reads so many times as many, and past the last number all.
 FIRST_BLOCKS, MORE_BLOCKS, MOST_BLOCKS = 16, 8, 2048
 #: Runs of a pattern that are looked up, the longest; and tokens up to which postings tell the rows of a block.
@@ -125,8 +128,11 @@ class Index:
         if size["n"]:
             few = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size["bytes"]) // LEAST_PART_BYTES))
             parts = max(1, few, -(-int(size["bytes"]) // PART_BYTES))
-            told = _gathered(rows, columns)
-            segments.append(self._write(name, 0, told.where("token != ''").repartitionByRange(parts, "token", "id"), told.where("token = ''").select("id", "n"), parts))
+            bounds = _bounds(rows, columns, size["n"], size["bytes"], parts)
+            # A block's rows come together, so that a token has few packs; then each pack goes to its file.
+            dealt = _in_blocks(rows, columns).repartition(parts, "block").sortWithinPartitions("id")
+            packs = _spelled(dealt).mapInArrow(_packs(bounds), f"part int, {_PACKS}")
+            segments.append(self._write(name, 0, packs.repartitionById(parts, "part").drop("part"), parts))
         out = Index(self.spark, self.folder, [s for s in segments if s.rows], max(self.batch, -1 if batch is None else batch), self.next + 1)
         while len(same := out._crowded()) >= FAN:
             out = out._merged(same)
@@ -141,7 +147,7 @@ class Index:
     def _mark(self, segment: Segment, ids: DataFrame) -> Segment:
         """Writes which living rows of a segment are dead now, and takes them off its numbers."""
         place = f"{self.folder}/dead/{segment.name}/{self.next}"
-        self._alive(segment, self._read(segment, "lengths")).join(ids.distinct(), "id", "left_semi").write.mode("overwrite").parquet(place)
+        self._alive(segment, self._lengths(segment)).join(ids.distinct(), "id", "left_semi").write.mode("overwrite").parquet(place)
         lost = self.spark.read.parquet(place).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
         if not lost["rows"]:
             return segment
@@ -150,25 +156,21 @@ class Index:
     def _merged(self, same: list[Segment]) -> Index:
         """The index with segments of one level as one of the next. Texts are not read again, dead rows stay behind."""
         parts = sum(s.parts for s in same)
-        posts = _all(self._alive(s, self._read(s, "postings")) for s in same).repartitionByRange(parts, "token", "id")
-        segment = self._write(f"s{self.next}", same[0].level + 1, posts, _all(self._alive(s, self._read(s, "lengths")) for s in same), parts)
+        packs = _all(self._read(s, "packs") if not s.dead else _packed(self._alive(s, _posts(self._read(s, "packs")))) for s in same)
+        segment = self._write(f"s{self.next}", same[0].level + 1, packs.repartitionByRange(parts, "token", "block"), parts)
         return Index(self.spark, self.folder, [*(s for s in self.segments if s not in same), segment], self.batch, self.next + 1)
 
-    def _write(self, name: str, level: int, posts: DataFrame, sizes: DataFrame, parts: int) -> Segment:
-        """posts: token, id, n and places by column, dealt by ranges of token and id."""
+    def _write(self, name: str, level: int, packs: DataFrame, parts: int) -> Segment:
+        """packs: dealt by ranges of token and block."""
         place = f"{self.folder}/segments/{name}"
-        dealt = posts.withColumn("block", F.floor(F.col("id") / BLOCK_IDS)).sortWithinPartitions("token", "id")
-        dealt.write.mode("overwrite").parquet(f"{place}/postings")
-        sizes.write.mode("overwrite").parquet(f"{place}/lengths")
-        written = self.spark.read.schema(_POSTINGS).parquet(f"{place}/postings")
-        file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-        # Least and greatest of strings are worked out by sorting, so that each token of a file is told once before.
-        tokens = written.select(file.alias("file"), "token").distinct()
-        tokens.groupBy("file").agg(F.min("token").alias("first"), F.max("token").alias("last"), F.count(F.lit(1)).alias("tokens")).coalesce(1).write.mode("overwrite").parquet(f"{place}/ranges")
-        often = F.size("content") + F.size("title")
-        written.select("token", "block", often.alias("often"), "n").mapInArrow(_blocked, _SCHEMAS["blocks"]).write.mode("overwrite").parquet(f"{place}/blocks")
-        total = self.spark.read.parquet(f"{place}/lengths").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-        return Segment(name, level, total["rows"], total["tokens"], parts)
+        packs.sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{place}/packs")
+        written = self.spark.read.schema(_PACKS).parquet(f"{place}/packs")
+        ends = written.select(F.col("_metadata.file_name").alias("file"), "token").mapInArrow(_ends, _SCHEMAS["ranges"])
+        ends.groupBy("file").agg(F.min("first").alias("first"), F.max("last").alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{place}/ranges")
+        out = Segment(name, level, 0, 0, parts)
+        total = self._lengths(out).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+        out.rows, out.tokens = total["rows"], total["tokens"]
+        return out
 
     def _save(self) -> Index:
         """Writes the state; segments that neither it nor the one before names go, as readers of the one before may be left."""
@@ -192,6 +194,13 @@ class Index:
     def _read(self, segment: Segment, what: str) -> DataFrame:
         return self.spark.read.schema(_SCHEMAS[what]).parquet(f"{self.folder}/segments/{segment.name}/{what}")
 
+    def _blocks(self, segment: Segment) -> DataFrame:
+        """token, block, docs, most, least, hits of all packs of tokens; the postings themselves are not read."""
+        return self._read(segment, "packs").where("token != ''").select("token", "block", F.col("docs").cast("long").alias("docs"), "most", F.col("least").cast("long").alias("least"), "hits")
+
+    def _lengths(self, segment: Segment) -> DataFrame:
+        return self._pruned(segment, {""}, set(), places=False).select("id", "n")
+
     def _alive(self, segment: Segment, rows: DataFrame) -> DataFrame:
         """Without the rows of dead ids."""
         if not segment.dead:
@@ -203,19 +212,19 @@ class Index:
         some = F.lit(False)
         for low, high in [(w, w) for w in words] + [(p, p + "\U0010ffff") for p in prefixes]:
             some = some | ((F.col("first") <= high) & (F.col("last") >= low))
-        place = f"{self.folder}/segments/{segment.name}/postings"
+        place = f"{self.folder}/segments/{segment.name}/packs"
         return [f"{place}/{r['file']}" for r in self._read(segment, "ranges").where(some).select("file").collect()]  # names alone
 
-    def _pruned(self, segment: Segment, words: set[str], prefixes: set[str]) -> DataFrame:
+    def _pruned(self, segment: Segment, words: set[str], prefixes: set[str], places: bool = True) -> DataFrame:
         files = self._files(segment, words, prefixes)
-        posts = self.spark.read.schema(_POSTINGS).parquet(*files) if files else self.spark.createDataFrame([], _POSTINGS)
-        return posts.where(_said(words, prefixes))
+        packs = self.spark.read.schema(_PACKS).parquet(*files) if files else self.spark.createDataFrame([], _PACKS)
+        return _posts(packs.where(_said(words, prefixes)), places)
 
-    def matching(self, words: set[str], prefixes: set[str] = frozenset()) -> DataFrame:
-        """token, id, n, content, title, block: living postings of words and of tokens that begin with a prefix."""
+    def matching(self, words: set[str], prefixes: set[str] = frozenset(), places: bool = True) -> DataFrame:
+        """token, id, n, often, block and, with places, content, title: living postings of words and of tokens that begin with a prefix."""
         if not self.segments:
-            return self.spark.createDataFrame([], _POSTINGS)
-        return _all(self._alive(s, self._pruned(s, words, prefixes)) for s in self.segments)
+            return _posts(self.spark.createDataFrame([], _PACKS), places)
+        return _all(self._alive(s, self._pruned(s, words, prefixes, places)) for s in self.segments)
 
     def counted(self, phrases: list[Phrase]) -> tuple[DataFrame, dict[Phrase, Column]]:
         """id, _n and a count for each phrase, for all rows that hold a token of one; and the counts' columns.
@@ -223,11 +232,11 @@ class Index:
         Postings meet by id; a phrase is where the places of its words, each set back by its turn, are the same.
         """
         pairs = list(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)))
-        posts = self.matching({w for w, x in pairs if not x}, {w for w, x in pairs if x})
+        posts = self.matching({w for w, x in pairs if not x}, {w for w, x in pairs if x}, any(len(p.words) > 1 for p in phrases))
         slots = {}
         for i, (w, x) in enumerate(pairs):
             fits = F.col("token").startswith(w) if x else F.col("token") == w
-            slots[w, x] = {c: F.flatten(F.collect_list(F.when(fits, F.col(c)))).alias(f"_{c[0]}{i}") for c in COLUMNS} | {"n": F.coalesce(F.sum(F.when(fits, F.size("content") + F.size("title"))), F.lit(0)).alias(f"_s{i}")}
+            slots[w, x] = {c: F.flatten(F.collect_list(F.when(fits, F.col(c)))).alias(f"_{c[0]}{i}") for c in COLUMNS} | {"n": F.coalesce(F.sum(F.when(fits, F.col("often"))), F.lit(0)).alias(f"_s{i}")}
         number = {pair: i for i, pair in enumerate(pairs)}
         long = {(w, p.prefix and k == len(p.words) - 1) for p in phrases if len(p.words) > 1 for k, w in enumerate(p.words)}
         single = {(p.words[0], p.prefix) for p in phrases if len(p.words) == 1}
@@ -251,16 +260,16 @@ class Index:
 
     def dictionary(self) -> DataFrame:
         """token, rows, hits: living rows with each token, and how often they have it."""
-        often = (F.size("content") + F.size("title")).cast("long")
-        parts = [self._read(s, "blocks").select("token", "docs", "hits") if not s.dead else self._alive(s, self._read(s, "postings")).select("token", F.lit(1).cast("long").alias("docs"), often.alias("hits")) for s in self.segments]
+        living = lambda s: self._alive(s, _posts(self._read(s, "packs").where("token != ''"), False))
+        parts = [self._blocks(s).select("token", "docs", "hits") if not s.dead else living(s).select("token", F.lit(1).cast("long").alias("docs"), F.col("often").cast("long").alias("hits")) for s in self.segments]
         return (_all(parts) if parts else self.spark.createDataFrame([], "token string, docs long, hits long")).groupBy("token").agg(F.sum("docs").alias("rows"), F.sum("hits").alias("hits"))
 
     def having(self, words: list[str]) -> dict[str, int]:
         """How many living rows have each word; of a segment without dead rows its blocks tell."""
         parts = []
         for s in self.segments:
-            clean = self._read(s, "blocks").where(F.col("token").isin(*words)).select("token", "docs")
-            parts.append(clean if not s.dead else self._alive(s, self._pruned(s, set(words), set())).select("token", F.lit(1).cast("long").alias("docs")))
+            clean = self._blocks(s).where(F.col("token").isin(*words)).select("token", "docs")
+            parts.append(clean if not s.dead else self._alive(s, self._pruned(s, set(words), set(), False)).select("token", F.lit(1).cast("long").alias("docs")))
         found = _all(parts).groupBy("token").agg(F.sum("docs").alias("n")).collect() if parts else []  # a row a word
         return {w: 0 for w in words} | {r["token"]: r["n"] for r in found}
 
@@ -268,14 +277,14 @@ class Index:
         return F.element_at(F.create_map(*(x for w, n in having.items() for x in (F.lit(w), idf(F.lit(float(self.rows)), F.lit(float(n)))))), F.col("token"))
 
     def _scored(self, posts: DataFrame, words: list[str], weight: Column, every: bool) -> DataFrame:
-        part = weight * saturated(F.size("content") + F.size("title"), F.col("n"), self.mean)
+        part = weight * saturated(F.col("often"), F.col("n"), self.mean)
         scored = posts.groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.round(-F.sum(part), 6).alias("relevance"))
         return (scored.where(F.col("words") == len(words)) if every else scored).select("id", "relevance")
 
     def ranked(self, words: list[str], every: bool = False) -> DataFrame:
         """id, relevance of all rows with any (or every) of the words, by BM25."""
         words = list(dict.fromkeys(words))
-        return self._scored(self.matching(set(words)), words, self._weight(self.having(words)), every)
+        return self._scored(self.matching(set(words), places=False), words, self._weight(self.having(words)), every)
 
     def top(self, words: list[str], k: int, every: bool = False, among: DataFrame | None = None) -> tuple[DataFrame, int]:
         """id, relevance of the k best rows with any (or every) of the words, by BM25; and how many blocks were read.
@@ -289,7 +298,7 @@ class Index:
         if not self.segments or not any(having.values()):
             return nothing, 0
         weight, mean = self._weight(having), self.mean
-        told = _all(self._read(s, "blocks").where(F.col("token").isin(*words)) for s in self.segments)
+        told = _all(self._blocks(s).where(F.col("token").isin(*words)) for s in self.segments)
         # What a word counts at most in a block, whatever segments and pieces have it there.
         each = told.groupBy("block", "token").agg(F.max("most").alias("most"), F.min("least").alias("least"))
         bounds = each.groupBy("block").agg(F.sum(weight * saturated(F.col("most"), F.col("least"), mean)).alias("bound"), F.count(F.lit(1)).alias("words"))
@@ -300,7 +309,7 @@ class Index:
         while True:
             best = bounds.orderBy(F.desc("bound"), "block").limit(take + 1).collect()  # MOST_BLOCKS at most
             whole = take >= many or take > MOST_BLOCKS
-            posts = self.matching(set(words))
+            posts = self.matching(set(words), places=False)
             posts = posts if whole else posts.where(F.col("block").isin([r["block"] for r in best[:take]]))
             scored = self._scored(posts, words, weight, every)
             scored = scored if among is None else scored.join(among.select("id"), "id", "left_semi")
@@ -311,7 +320,7 @@ class Index:
 
     def _holding(self, segment: Segment, runs: list[str]) -> DataFrame:
         """run (its turn), token: the tokens of a segment that hold each run."""
-        every = self._read(segment, "blocks").select("token").distinct()
+        every = self._blocks(segment).select("token").distinct()
         held = F.array_compact(F.array(*(F.when(F.contains("token", F.lit(run)), F.lit(i)) for i, run in enumerate(runs))))
         return every.select(F.explode(held).alias("run"), "token")
 
@@ -335,7 +344,7 @@ class Index:
             bits = F.bit_or(F.expr("shiftleft(1, run)"))
             return found.groupBy(key).agg(bits.alias("_runs")).where(F.col("_runs") == whole).select(key)
 
-        blocks = _all(all_runs(self._read(s, "blocks").select("token", "block").join(h, "token"), "block") for s, h in zip(self.segments, held)).distinct().checkpoint()
+        blocks = _all(all_runs(self._blocks(s).select("token", "block").join(h, "token"), "block") for s, h in zip(self.segments, held)).distinct().checkpoint()
         told = every.select("segment", "token").distinct().limit(FEW_TOKENS + 1).collect()
         few, words = len(told) <= FEW_TOKENS, [{r["token"] for r in told if r["segment"] == i} for i in range(len(self.segments))]
         found, read, last, take = [], 0, None, FIRST_BLOCKS
@@ -351,7 +360,7 @@ class Index:
                 here = rows.where(F.col("id").between(listed[0] * BLOCK_IDS, (listed[-1] + 1) * BLOCK_IDS - 1) & F.floor(F.col("id") / BLOCK_IDS).isin(listed))
             if few:
                 inside = F.col("block").isin(listed) if listed is not None else F.lit(True)
-                ids = _all(all_runs(self._alive(s, self._pruned(s, w, set()).where(inside)).select("token", "id").join(h, "token"), "id") for s, h, w in zip(self.segments, held, words) if w)
+                ids = _all(all_runs(self._alive(s, self._pruned(s, w, set(), False).where(inside)).select("token", "id").join(h, "token"), "id") for s, h, w in zip(self.segments, held, words) if w)
                 here = here.join(ids, "id", "left_semi")
             here = here.where(fits).select("id")
             here = here if among is None else here.join(among.select("id"), "id", "left_semi")
@@ -364,19 +373,60 @@ class Index:
             take *= MORE_BLOCKS
 
 
-_POSTINGS = "token string, id long, n long, content array<int>, title array<int>, block long"
-_SCHEMAS = {"postings": _POSTINGS, "lengths": "id long, n long", "ranges": "file string, first string, last string, tokens long", "blocks": "token string, block long, docs long, most int, least long, hits long"}
+#: A pack: ids of rows, tokens of each row, how often it has this one, and its places one row after the other: from 0 in the first
+#: column, and from -1 down in the second.
+_PACKS = "token string, block long, ids array<long>, n array<int>, often array<int>, places array<int>, docs int, most int, least int, hits long"
+_SCHEMAS = {"packs": _PACKS, "lengths": "id long, n long", "ranges": "file string, first string, last string"}
+
+
+def _posts(packs: DataFrame, places: bool = True) -> DataFrame:
+    """token, block, id, n, often and, with places, content, title: a row for each posting of packs."""
+    n = F.col("n").cast("long").alias("n")
+    if not places:
+        each = F.inline(F.arrays_zip(F.col("ids").alias("id"), "n", "often")).alias("id", "n", "often")
+        return packs.select("token", "block", each).select("token", "block", "id", n, "often")
+    begin = F.aggregate("often", F.array(F.lit(0)), lambda all, x: F.concat(all, F.array(F.element_at(all, -1) + x)))
+    each = F.transform("ids", lambda id, i: F.struct(id.alias("id"), F.get("n", i).alias("n"), F.get("often", i).alias("often"), F.slice("places", F.get("begin", i) + 1, F.get("often", i)).alias("places")))
+    content, title = F.filter("places", lambda x: x >= 0), F.transform(F.filter("places", lambda x: x < 0), lambda x: -1 - x)
+    rows = packs.withColumn("begin", begin).select("token", "block", F.inline(each))
+    return rows.select("token", "block", "id", n, "often", content.alias("content"), title.alias("title"))
+
+
+def _packed(posts: DataFrame) -> DataFrame:
+    """Packs of postings, for those that lost rows: one for each token and so many ids of a block."""
+    places = F.concat("content", F.transform("title", lambda x: -1 - x)).alias("places")
+    own = F.struct("id", F.col("n").cast("int").alias("n"), "often", places)
+    packs = posts.groupBy("token", "block", F.floor(F.col("id") / PACK)).agg(F.sort_array(F.collect_list(own)).alias("p"))  # PACK at most
+    hits = F.aggregate("p.often", F.lit(0).cast("long"), lambda total, y: total + y)
+    lists = (F.col("p.id").alias("ids"), F.col("p.n").alias("n"), F.col("p.often").alias("often"), F.flatten("p.places").alias("places"))
+    return packs.select("token", "block", *lists, F.size("p").alias("docs"), F.array_max("p.often").alias("most"), F.array_min("p.n").alias("least"), hits.alias("hits"))
+
+
+def _in_blocks(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """id, block, and the two columns that an index tells apart; a sole column is the first."""
+    id = F.col("id").cast("long")
+    return rows.select(id.alias("id"), F.floor(id / BLOCK_IDS).alias("block"), F.col(columns[0]).alias("one"), (F.col(columns[1]) if len(columns) > 1 else F.lit("")).alias("two"))
+
 
+def _spelled(rows: DataFrame) -> DataFrame:
+    """id, block, both texts as one, and where (in bytes) the first ends."""
+    each = rows.select("id", "block", T.spelled(F.col("one")).alias("one"), T.spelled(F.col("two")).alias("two"))
+    return each.select("id", "block", F.octet_length("one").alias("cut"), F.concat("one", F.lit("\n"), "two").alias("said"))
 
-def _gathered(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """token, id, n, and the places (from 0) in the two columns that an index tells apart; a row of the token '' for every id.
 
-    A sole column is the first. Texts are split once: what is gathered is written, and read for lengths, ranges and parts.
-    """
-    one, two = (columns[0], columns[1] if len(columns) > 1 else None)
-    each = rows.select(F.col("id").cast("long").alias("id"), T.tokens(F.col(one)).alias("one"), (T.tokens(F.col(two)) if two else F.array().cast("array<string>")).alias("two"))
-    checkpoint_dir(rows.sparkSession)
-    return each.mapInArrow(_gather, "token string, id long, n long, content array<int>, title array<int>").checkpoint()
+def _bounds(rows: DataFrame, columns: tuple[str, ...], many: int, size: int, parts: int) -> list[tuple[str, int]]:
+    """Where (token, block) files but the first begin, so that they have about as many postings each. A sample tells; whatever it
+    tells, all postings lie in order."""
+    if parts == 1:
+        return []
+    few = max(SAMPLE, SAMPLE_OF_PART * parts)
+    share = min(1.0, few / many)
+    some = rows if share == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(many)) < few)
+    step = max(1, int(size * share) // (8 * MARKS * parts))
+    marks = sorted(tuple(r) for r in _spelled(_in_blocks(some, columns)).mapInArrow(_marks(step), "token string, block long, times long").collect())  # about MARKS a part
+    ends = np.cumsum([t for *_, t in marks])
+    cuts = np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts) if marks else []
+    return sorted({marks[i][:2] for i in cuts})
 
 
 def _blocked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,38 +442,132 @@ def _blocked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"token": token.take(pa.array(head)), "block": block[head], "docs": np.diff(np.append(head, len(n))), "most": most.astype(np.int32), "least": least, "hits": hits})
 
 
-def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each row, sorted, with their places."""
+#: Bytes of tokens, as `spelled` leaves a text.
+_WORD = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, cut between blocks where that may be."""
+    sizes = pc.binary_length(batch.column("said")).to_numpy(zero_copy_only=False)
+    ends, block = np.cumsum(sizes.astype(np.int64)), batch.column("block").to_numpy(zero_copy_only=False)
+    begin, many = 0, batch.num_rows
+    while begin < many:
+        most = int(np.searchsorted(ends, ends[begin] - sizes[begin] + GATHERED_BYTES, side="right"))
+        end = max(begin + 1, min(most, begin + GATHERED, many))
+        if end < many and (other := np.flatnonzero(block[begin + 1 : end + 1] != block[begin:end])).size:
+            end = begin + 1 + int(other[-1])
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _gather(piece: pa.RecordBatch) -> tuple[pa.Array, dict[str, np.ndarray]]:
+    """The tokens of a piece in order, the first of them '', and its packs in the order of token and block."""
+    ids, block, cut = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("id", "block", "cut"))
+    said, rows = piece.column("said").cast(pa.large_binary()), piece.num_rows
+    off = np.frombuffer(said.buffers()[1], np.int64)[said.offset : said.offset + rows + 1]
+    data = np.frombuffer(said.buffers()[2], np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    # Tokens, as they come: where they begin, and their letters alone.
+    word = _WORD[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    begins[off[:-1]] = word[off[:-1]]  # no text is without its line end
+    at = np.flatnonzero(begins)
+    letters = data[word]
+    token = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(np.cumsum(word)[at] - 1, len(letters)).astype(np.int64)), pa.py_buffer(letters))
+    first = np.searchsorted(at, off)
+    n = np.diff(first)
+    row = np.repeat(np.arange(rows), n)
+    title = at - off[row] > cut[row]
+    place = np.arange(len(at)) - first[row]
+    place = np.where(title, np.bincount(row[~title], minlength=rows)[row] - 1 - place, place).astype(np.int32)
+    coded = token.dictionary_encode()
+    words, code = _ordered(coded.dictionary)
+    code = code[coded.indices.to_numpy()]
+    # By token, and within it as they come, which is by row and place.
+    order = np.sort(code * max(1, len(at)) + np.arange(len(at))) % max(1, len(at))
+    code, row, place = code[order], row[order], place[order]
+    head = _heads(code, row)
+    often = np.diff(np.append(head, len(code)))
+    # Postings, those of '' first.
+    none = np.zeros(rows, np.int64)
+    code, row, often = np.concatenate([none, code[head]]), np.concatenate([np.arange(rows), row[head]]), np.concatenate([none, often])
+    group = _heads(code, block[row])
+    inside = np.arange(len(code)) - np.repeat(group, np.diff(np.append(group, len(code))))
+    starts = np.flatnonzero(inside % PACK == 0)
+    pack = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
+    bounds = np.append(starts, len(code))
+    made = {"code": code[starts], "block": block[row[starts]]}
+
+    def lists(at: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+    made |= {"ids": lists(bounds, ids[row]), "n": lists(bounds, n[row].astype(np.int32)), "often": lists(bounds, often.astype(np.int32)), "places": lists(_runs(often)[bounds], place)}
+    (told,) = _blocked([pa.record_batch({"token": code, "block": pack, "often": often, "n": n[row]})])
+    return words, made | {c: told.column(c).cast(pa.int64() if c == "hits" else pa.int32()) for c in ("docs", "most", "least", "hits")}
+
+
+def _ordered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """'' and the words without diacritics, in order and each once; and for each given word its turn there."""
+    marked = pc.invert(pc.string_is_ascii(words))
+    plain = pc.replace_with_mask(words, marked, pa.array([T.plain(w) for w in words.filter(marked).to_pylist()], words.type)).dictionary_encode()
+    order = pc.array_sort_indices(plain.dictionary).to_numpy()
+    turn = np.zeros(len(order), np.int64)
+    turn[order] = np.arange(1, len(order) + 1)
+    return pa.concat_arrays([pa.array([""]), plain.dictionary.take(pa.array(order)).cast(pa.string())]), turn[plain.indices.to_numpy()]
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    other = np.ones(len(keys[0]), bool)
+    other[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(other)
+
+
+def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last token of what a batch has of a file; they come in order."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, GATHERED):
-            piece = batch.slice(begin, GATHERED)
-            row, col, pos, words, n = [], [], [], [], np.zeros(piece.num_rows, np.int64)
-            for k, name in enumerate(("one", "two")):
-                lists = piece.column(name)
-                sizes = np.diff(lists.offsets.to_numpy())
-                n += sizes
-                row.append(np.repeat(np.arange(piece.num_rows), sizes))
-                col.append(np.full(len(row[-1]), k))
-                pos.append(np.arange(len(row[-1])) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-                words.append(lists.flatten())
-            row, col, pos = (np.concatenate(x) for x in (row, col, pos))
-            coded = pa.concat_arrays(words).dictionary_encode()
-            code = coded.indices.to_numpy()
-            order = np.lexsort((pos, col, code, row))
-            row, col, pos, code = row[order], col[order], pos[order].astype(np.int32), code[order]
-            head = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
-            group = np.zeros(len(row), np.int64)
-            group[head[1:]] = 1
-            group = np.cumsum(group)
-            ids = piece.column("id").to_numpy(zero_copy_only=False)
-            every = piece.num_rows  # the rows of the token '' come last
-            places = []
-            for k in (0, 1):
-                sizes = np.bincount(group[col == k], minlength=len(head)) if len(head) else np.zeros(0, np.int64)
-                offsets = np.concatenate([[0], np.cumsum(np.concatenate([sizes, np.zeros(every, np.int64)]))]).astype(np.int32)
-                places.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[col == k])))
-            token = pa.concat_arrays([coded.dictionary.take(pa.array(code[head])), pa.array([""] * every, coded.dictionary.type)])
-            yield pa.record_batch({"token": token, "id": np.concatenate([ids[row[head]], ids]), "n": np.concatenate([n[row[head]], n]), "content": places[0], "title": places[1]})
+        if many := batch.num_rows:
+            file, token = batch.columns
+            head = np.flatnonzero(np.append(True, pc.not_equal(file.slice(1), file.slice(0, many - 1)).to_numpy(zero_copy_only=False)))
+            yield pa.record_batch({"file": file.take(pa.array(head)), "first": token.take(pa.array(head)), "last": token.take(pa.array(np.append(head[1:], many) - 1))})
+
+
+def _packs(bounds: list[tuple[str, int]]) -> Callable:
+    """Packs of the rows of a task, each with the file that it goes to: files but the first begin at these bounds."""
+
+    def packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                words, made = _gather(piece)
+                code, block = made.pop("code"), made["block"]
+                begin, after = [], np.searchsorted(code, np.arange(len(words) + 1))
+                for w, b in bounds:
+                    k = bisect_left(range(len(words)), w, key=lambda i: words[i].as_py())
+                    same = k < len(words) and words[k].as_py() == w
+                    begin.append(after[k] + (np.searchsorted(block[after[k] : after[k + 1]], b) if same else 0))
+                part = np.searchsorted(np.array(begin, np.int64), np.arange(len(code)), side="right").astype(np.int32)
+                yield pa.record_batch({"part": part, "token": words.take(pa.array(code)), **made})
+
+    return packs
+
+
+def _marks(step: int) -> Callable:
+    """Packs at every so many postings, and how many such steps each makes."""
+
+    def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                words, made = _gather(piece)
+                times = np.diff((_runs(made["docs"].to_numpy()) + step // 2) // step)
+                some = np.flatnonzero(times)
+                yield pa.record_batch({"token": words.take(pa.array(made["code"][some])), "block": made["block"][some], "times": times[some]})
+
+    return marks
 
 
 def _back(places: Column, k: int) -> Column:
